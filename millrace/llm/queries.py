@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .fingerprints import edited_fingerprints
+from .language import fit, identify, training_rows
+from .mixing import mix
 from .near_dedup import near_duplicates
+from .packing import pack
 from .url_filters import judge, rule_rows
 
 
@@ -54,10 +57,35 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = training_rows(docs)
+    models = fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), identify(F.col("text"), models, spark).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.rejected")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_fingerprints": op4_fingerprints,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
+    "op8_language_id": op8_language_id,
 }
 ORACLES = {"op2_exact_dedup": ORACLE_OP2, "op3_url_filters": ORACLE_OP3}
