@@ -11,7 +11,10 @@ from .language import fit, identify, training_rows
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import fold, labelled_sample, score, train
+from .secrets import default_forest, scan
 from .url_filters import judge, rule_rows
+from .warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +74,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = train(*labelled_sample(docs, labels.where(fold(F.col("doc_id"), 3) != 1), "quality"))
+    return score(docs, model).withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = training_rows(docs)
@@ -79,6 +88,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.rejected")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"), default_forest(spark))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Lengths by strlen(): bytes of UTF-8.
+ORACLE_OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),
+g AS (SELECT payload_digest AS k, max(page_id) AS keep FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keep <> page_id THEN keep END AS refers_to
+FROM d LEFT JOIN g ON payload_bytes >= 1000 AND payload_digest = k
+"""
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -86,6 +114,9 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
+    "op9_secrets": op9_secrets,
+    "op10_warc": op10_warc,
 }
-ORACLES = {"op2_exact_dedup": ORACLE_OP2, "op3_url_filters": ORACLE_OP3}
+ORACLES = {"op2_exact_dedup": ORACLE_OP2, "op3_url_filters": ORACLE_OP3, "op10_warc": ORACLE_OP10}
