@@ -7,12 +7,13 @@ sketch, a bitmap of SKETCH_BITS parities; the population count of the XOR of two
 gives the similarity of the samples, and pairs far below the threshold (SCREEN, more than
 five standard deviations) are not looked at further. The rest are compared on full sets.
 
-Skew: documents of equal sets are one node. In a bucket only pairs with its smallest member
-are tried first, which is linear in its rows; then connected components tell which buckets
-still hold several components. Of these, small ones try the pairs between components; large
-ones are split by further bands (a pair above the threshold shares several), and what is
-large even then takes turns, LEADERS members at a time against all others, until nothing is
-left. So no pair limit drops a link and no bucket is expanded into all its pairs.
+Skew: documents of equal sets are one node. In a bucket only pairs with two leaders, its
+smallest member and one chosen by hash, are tried first, which is linear in its rows. Then
+connected components tell which buckets still hold several components. Of these, all pairs
+between components are screened, in blocks of BLOCK members, each pair only in the first
+band it shares and by finer sketches (FINE_SAMPLES samples, five standard deviations again),
+which only the members of such buckets get; so no pair limit drops a link, no task holds a whole large bucket, and
+buckets of copies that the leaders joined are never expanded.
 
 Nulls, ties, empty input: a text without words has an empty set and no links; a row without
 id is returned unlinked; rows with equal id are one document. An empty table gives none.
@@ -28,20 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, hashed_words, materialise, mix64, text_chunks
+from .shared import attach_groups, hashed_words, materialise, mix64, sieve, text_chunks
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-SMALL_BUCKET = 128
-LEADERS = 16
-LEVELS = 3
-CHUNK_BYTES = 1 << 20
+SCREEN = 0.2
+FINE_SAMPLES, FINE_BITS, FINE_SCREEN = 1024, 2048, 0.075
+BLOCK = 512
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1024
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_240_229))
-_FACTORS = _RANDOM.integers(1 << 62, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_SALTS = _RANDOM.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_FACTORS = _RANDOM.integers(1 << 62, 1 << 63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RANDOM.integers(0, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
+_SALTS = _RANDOM.integers(0, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
 _PLACES = _RANDOM.integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,12 +67,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """SAMPLES MinHash values of each non-empty set."""
+def signatures(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
+    """MinHash values of each non-empty set."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), SAMPLES), np.uint64)
-    for i in range(SAMPLES):
+    out = np.empty((len(sets), samples), np.uint64)
+    for i in range(samples):
         out[:, i] = np.minimum.reduceat(flat * _FACTORS[i] + _SHIFTS[i], starts)
     return out
 
@@ -83,30 +84,31 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the (sample number, value) pairs, as bytes."""
-    at = (mix64(samples ^ _SALTS) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    at += np.arange(len(samples))[:, None] * SKETCH_BITS
-    counts = np.bincount(at.ravel(), minlength=len(samples) * SKETCH_BITS)
-    return np.packbits((counts & 1).astype(np.uint8).reshape(len(samples), SKETCH_BITS), axis=1)
+def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity bitmaps of the (sample number, value) pairs, as 64-bit words."""
+    at = (mix64(samples ^ _SALTS[: samples.shape[1]]) % np.uint64(bits)).astype(np.int64)
+    at += np.arange(len(samples))[:, None] * bits
+    counts = np.bincount(at.ravel(), minlength=len(samples) * bits)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(len(samples), bits), axis=1).view(">i8").astype(np.int64)
 
 
-def sketch_similarity(differing: F.Column) -> F.Column:
-    """Similarity of the samples from the number of differing sketch bits."""
-    load = F.lit(1.0) - 2.0 * differing / SKETCH_BITS
-    return F.when(load <= 0.0, F.lit(0.0)).otherwise(1.0 + SKETCH_BITS / (4.0 * SAMPLES) * F.log(load))
+def sketch_similarity(a: str, b: str, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> F.Column:
+    """Similarity of the samples of two sketches, from the number of differing bits."""
+    differing = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
+    load = F.lit(1.0) - 2.0 * differing / bits
+    return F.when(load <= 0.0, F.lit(0.0)).otherwise(1.0 + bits / (4.0 * samples) * F.log(load))
 
 
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
+            for first, end, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES, CHUNK_ROWS):
                 sets = shingle_sets(data, offsets, width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, bands, sketches = ([None] * len(sets) for _ in range(3))
                 if full:
                     samples = signatures([sets[i] for i in full])
-                    for i, b, s in zip(full, band_keys(samples).view(np.int64), odd_sketches(samples).view(">i8").astype(np.int64), strict=True):
+                    for i, b, s in zip(full, band_keys(samples).view(np.int64), odd_sketches(samples), strict=True):
                         keys[i], bands[i], sketches[i] = hashlib.blake2b(sets[i], digest_size=16).digest(), b, s
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -120,34 +122,48 @@ def _describe(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
+            for first, end, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES, CHUNK_ROWS):
                 sets = [s.view(np.int64) for s in shingle_sets(data, offsets, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return run
 
 
+def _fine_sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES, CHUNK_ROWS):
+                sets = shingle_sets(data, offsets, width)
+                fine: list = [None] * len(sets)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if full:
+                    for i, s in zip(full, odd_sketches(signatures([sets[i] for i in full], FINE_SAMPLES), FINE_BITS), strict=True):
+                        fine[i] = s
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(fine, pa.list_(pa.int64()))], ["node", "fine"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node it is connected with.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): each is a minimum per
-    node and a join, so a node with very many edges is pre-aggregated and splittable.
+    node, pre-aggregated, and a lookup of it, for which nodes with very many edges are broadcast.
     """
     pairs = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "edges")
 
-    def star(both: DataFrame, keep: F.Column) -> DataFrame:
-        low = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
-        moved = both.join(low, "v").where(keep).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        return moved.where("u < v")
+    def lowest(rows: DataFrame, least: F.Column, n: int) -> DataFrame:
+        low = materialise(rows.groupBy("v").agg(least.alias("m"), F.count("*").alias("n")), "low")
+        return attach_groups(rows, low, ["v"], n, "n")
 
     tally = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    moved = lambda rows: rows.select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v")
     before = tally(pairs)
     while before[0]:
         both = pairs.union(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        large = star(both, F.col("u") > F.col("v"))
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").where("u > m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u")))
-        pairs = materialise(small.where("u < v").distinct(), "edges")
+        large = materialise(moved(lowest(both, F.least(F.col("v"), F.min("u")), 2 * before[0]).where("u > v")).distinct(), "large")
+        small = lowest(large, F.min("u"), before[0])
+        pairs = materialise(moved(small).union(small.select("v", F.col("m").alias("u"))).distinct(), "edges")
         after = tally(pairs)
         if after == before:
             break
@@ -155,89 +171,63 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("v").alias("node"), F.col("u").alias("component")).union(pairs.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
+def _screened(percent: int, sa: str, sb: str, na: str, nb: str) -> F.Column:
+    """False only for pairs whose set sizes or sketches rule a link out."""
+    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return sizes & (sketch_similarity(sa, sb) >= max(0.0, percent / 100 - SCREEN))
+
+
 class _Linker:
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
-        self.screen = max(0.0, percent / 100 - 0.2)
-        self.sketches = nodes.select("node", "sketch", "n_shingles")
-        self.edges: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def try_pairs(self, pairs: DataFrame) -> None:
-        """Add the pairs (a, b) whose full sets are similar enough to the edges."""
-        side = lambda x: self.sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-        seen = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        differing = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
-        short, long = F.least("na", "nb"), F.greatest("na", "nb")
-        seen = seen.where((100 * short >= self.percent * long) & (sketch_similarity(differing) >= self.screen))
-        likely = materialise(seen.select("a", "b", "na", "nb"), "likely")
+
+    def confirmed(self, likely: DataFrame) -> DataFrame:
+        """The pairs (a, b, na, nb) whose full sets are similar enough."""
         wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(self.width), "node long, shingles array<long>")
+        wanted = materialise(wanted, "wanted")
+        texts = sieve(self.docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(self.width), "node long, shingles array<long>")
         sets = materialise(texts, "sets")
         full = likely.join(sets.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
         common = F.size(F.array_intersect("xa", "xb"))
-        found = full.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
-        self.edges = materialise(found if self.edges is None else self.edges.union(found), "links")
-        self.labels = materialise(components(self.edges), "labels")
-
-    def unresolved(self, buckets: DataFrame) -> DataFrame:
-        """Rows (key, node, size, c) of buckets that still hold several components."""
-        rows = buckets.join(self.labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        open_ = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x < y").select("key", "size")
-        return materialise(rows.join(open_, "key"), "open")
-
-    @staticmethod
-    def buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows (key, node) of keys with at least two nodes, and their pairs with the smallest one."""
-        lead = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        held = materialise(rows.join(lead, "key").select("key", "node", "lead"), "buckets")
-        return held.select("key", "node"), held.where("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        return full.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+
+    def led(self, rows: DataFrame) -> DataFrame:
+        """Links of bucket members with the leaders of their bucket."""
+        by_hash = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))).alias("second")
+        lead = rows.groupBy("key").agg(F.min("node").alias("first"), by_hash, F.count("*").alias("n")).where("n > 1")
+        pairs = rows.join(lead.select("key", F.array("first", "second.node").alias("leaders")), "key")
+        pairs = pairs.select("node", F.explode("leaders").alias("l")).where("node <> l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
+        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
+        seen = pairs.join(side("a"), "a").join(side("b"), "b").where(_screened(self.percent, "sa", "sb", "na", "nb"))
+        return self.confirmed(materialise(seen.select("a", "b", "na", "nb"), "likely"))
+
+    def between(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between components that share a bucket."""
+        named = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        open_ = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x < y")
+        left = named.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+        left = materialise(left, "open")
+        wanted = materialise(left.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+        texts = sieve(self.docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi")
+        fine = materialise(texts.mapInArrow(_fine_sketches(self.width), "node long, fine array<long>"), "fine").dropDuplicates(["node"])
+        left = left.join(self.nodes.join(fine, "node"), "node")
+        x = left.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "sketch", "fine", "n_shingles", "bands")))
+        y = left.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "c", "sketch", "fine", "n_shingles", "bands")))
+        first_shared = F.expr("filter(zip_with(bands_a, bands_b, (p, q) -> if(p = q, p, null)), p -> p is not null)[0] = x.key")
+        apart = (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & _screened(self.percent, "sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b")
+        near = sketch_similarity("fine_a", "fine_b", FINE_SAMPLES, FINE_BITS) >= max(0.0, self.percent / 100 - FINE_SCREEN)
+        x, y = x.alias("x"), y.alias("y")
+        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block"))
+        pairs = x.join(y, same & apart & first_shared & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_shingles_a").alias("na"), F.col("n_shingles_b").alias("nb"))
+        return self.confirmed(materialise(pairs, "likely"))
 
     def run(self) -> DataFrame:
-        rows, stars = self.buckets(self.nodes.select(F.explode("bands").alias("key"), "node"))
-        self.try_pairs(stars)
-        for level in range(LEVELS):
-            left = self.unresolved(rows)
-            sizes = left.agg(F.max("size")).first()[0]
-            if sizes is None:
-                return self.labels
-            few = left.where(F.col("size") <= SMALL_BUCKET)
-            x, y = few.select("key", F.col("node").alias("a"), F.col("c").alias("ca")), few.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-            pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
-            if sizes <= SMALL_BUCKET:
-                self.try_pairs(pairs)
-                return self.labels
-            many = left.where(F.col("size") > SMALL_BUCKET).select("key", "node")
-            if level < LEVELS - 1:
-                finer = many.join(self.nodes.select("node", "bands"), "node").select(F.col("key").alias("old"), "node", F.explode("bands").alias("band"))
-                rows, stars = self.buckets(finer.select(F.xxhash64(F.col("old").bitwiseXOR(F.col("band"))).alias("key"), "node").distinct())
-                pairs = pairs.union(stars)
-            else:
-                rows = many
-            self.try_pairs(pairs)
-        return self.take_turns(rows)
-
-    def take_turns(self, rows: DataFrame) -> DataFrame:
-        """Buckets that stay large: LEADERS members by rank against all, until every bucket is one component or all had their turn."""
-        left = self.unresolved(rows)
-        while True:
-            least = materialise(_smallest(left, LEADERS), "leaders")
-            if least.isEmpty():
-                return self.labels
-            joined = left.join(least, "key").select("key", "node", "c", F.explode("lead").alias("l"))
-            self.try_pairs(joined.where("node <> l.node and c <> l.c").select(F.least("node", F.col("l.node")).alias("a"), F.greatest("node", F.col("l.node")).alias("b")))
-            done = least.select("key", F.explode("lead.node").alias("node"))
-            left = self.unresolved(left.join(done, ["key", "node"], "left_anti").select("key", "node"))
-
-
-def _smallest(rows: DataFrame, n: int) -> DataFrame:
-    """(key, lead): the n smallest (node, c) of each key, over n minimum aggregates so that no group is collected."""
-    found, rest = None, rows
-    for _ in range(n):
-        step = rest.groupBy("key").agg(F.min(F.struct("node", "c")).alias("l"))
-        found = step if found is None else found.union(step)
-        rest = rest.join(step.select("key", F.col("l.node").alias("node")), ["key", "node"], "left_anti")
-    return found.groupBy("key").agg(F.collect_list("l").alias("lead"))
+        rows = self.nodes.select(F.explode("bands").alias("key"), "node")
+        rows = rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
+        rows = materialise(rows, "buckets")
+        links = materialise(self.led(rows), "links")
+        more = self.between(rows, materialise(components(links), "labels"))
+        return components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:

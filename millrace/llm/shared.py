@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: At most this many groups are broadcast by attach_groups(): a proven bound, whatever the input.
@@ -27,6 +27,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/millrace-{context.applicationId}"
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """scratch_dir() as a URI with its scheme, for readers and writers other than Spark's."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """df written to shared storage and read again: cuts the lineage and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
@@ -55,12 +62,25 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: i
     return hot.unionByName(rest.join(groups.where(F.col(size) < least), keys, "left"))
 
 
-def ids(name: str) -> Column:
-    return F.col(name).cast("long")
+def sieve(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 29) -> DataFrame:
+    """rows whose key may be among the keys of wanted (one column, at 16 bits a key one in 17 others passes too).
+
+    For a semi-join of wide rows: only what passes needs a shuffle. The bitmap is broadcast; it has
+    at most most_bits bits (64 MB), and lets more pass where wanted holds more keys than that suits.
+    """
+    bits = 1 << 15
+    while bits < min(16 * wanted.count(), most_bits):
+        bits *= 2
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = wanted.select(at(F.col(wanted.columns[0])).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__map"))
+    marked = rows.withColumn("__at", at(F.col(key))).withColumn("__own", F.bitmap_bucket_number("__at")).withColumn("__bit", F.bitmap_bit_position("__at").cast("int"))
+    byte = F.expr("cast(conv(hex(substring(__map, cast(floor(__bit / 8) as int) + 1, 1)), 16, 10) as int)")
+    found = marked.join(F.broadcast(maps), F.col("__own") == F.col("__bucket")).where(F.call_function("getbit", byte, F.col("__bit") % 8) == 1)
+    return found.select(*rows.columns)
 
 
-def text_chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of runs of rows with about limit bytes of text; null is empty.
+def text_chunks(column: pa.Array, limit: int, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of runs of at most most rows with about limit bytes of text; null is empty.
 
     Bounds what numpy holds at once by the limit or the longest single text, whichever is more.
     """
@@ -73,7 +93,7 @@ def text_chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.nda
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(column):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+        end = min(first + most, max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
 
