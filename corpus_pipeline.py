@@ -8,7 +8,6 @@ the language model nor the tokenizer, so the stages are tested against brute for
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm.exact_dedup import drop_exact_duplicates
 from millrace.llm.language import fit, identify
@@ -23,8 +22,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is not clear. Dictionaries come from the labelled documents themselves."""
-    found = docs.withColumn("__found", identify(F.col("text"), fit(docs), spark))
-    return found.where("not __found.rejected").select(*docs.columns)
+    return identify(docs, fit(docs)).where("not __rejected").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,15 +19,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_DOCS = 150
 DICTIONARY_BYTES = 96 * 1024
 BLOCK_BYTES = 4096
 LEVEL = 6
+SLICE_ROWS = 256
 MIN_MARGIN = 0.005
 UNKNOWN = "und"
 
@@ -89,19 +92,24 @@ def decide(found: list[int], names: list[str]) -> tuple[str, float, bool]:
     return names[order[0]], score, margin <= MIN_MARGIN * best
 
 
-def identify(text: Column, models: dict[str, bytes], spark) -> Column:
-    """struct<lang, score, rejected> of a text."""
-    shared = spark.sparkContext.broadcast(models)
+def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text") -> DataFrame:
+    """docs, all columns unchanged, with __lang, __score and __rejected; small slices, so memory is bounded."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("lang string, score double, rejected boolean")
-    def run(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _compressors(shared.value)
         names = [n for n, _ in made]
-        unknown = (UNKNOWN, 0.0, True)
-        rows = [decide(sizes(letters_only(t), made), names) if ok and made else unknown for t, ok in zip(texts, letters, strict=True)]
-        return pd.DataFrame(rows, columns=["lang", "score", "rejected"])
-
-    return run(F.coalesce(text, F.lit("")), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
+                rows = [decide(sizes(letters_only(t), made), names) if made and t and any(map(str.isalpha, t)) else (UNKNOWN, 0.0, True) for t in part.column(at).to_pylist()]
+                lang, score, rejected = zip(*rows, strict=True)
+                added = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, "__lang", "__score", "__rejected"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__rejected", T.BooleanType())])
+    return docs.mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame, key: str = "doc_id", folds: int = 4, held_out: int = 2) -> Column:

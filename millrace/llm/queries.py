@@ -84,8 +84,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = training_rows(docs)
     models = fit(docs.where(~held_out))
-    found = docs.select("doc_id", held_out.alias("held_out"), identify(F.col("text"), models, spark).alias("found"))
-    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.rejected")
+    found = identify(docs.select("doc_id", "text", held_out.alias("held_out")), models)
+    return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
