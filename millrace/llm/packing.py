@@ -20,6 +20,7 @@ repeated rows are pieces of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,14 @@ from .shared import materialise
 
 UNIT = 8
 GAP = 5e-4
-CACHED_WORDS = 250_000
+CACHED_WORDS = 600_000
 CHUNK = 256
 
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: The tokenizer's pattern of the parts of a word (fixed value).
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_MARKS = ".,;:!?"
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -64,27 +70,55 @@ class WordTokens:
         self.used = 0
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words: words of letters alone in one text, cut at word ends; others one by one."""
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32) if plain else np.zeros(0, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(plain):
-            other, plain, ids, cuts = words, [], ids[:0], cuts[:0]
-        more = [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
+        """Add new words; those that end in marks are put together from the word and the marks, which are fewer."""
+        cores = [w.rstrip(_MARKS) for w in words]
+        whole = [len(c) == len(w) or not c or not c[-1].isalnum() or "<|" in w for w, c in zip(words, cores, strict=True)]
+        split = [(w, c, w[len(c) :]) for w, c, one in zip(words, cores, whole, strict=True) if not one]
+        new = {w for w, one in zip(words, whole, strict=True) if one}.union(*((c, m) for _, c, m in split)) - self.index.keys()
+        if new:
+            self.encode_new(list(new))
+        if split:
+            at = np.array([(self.index[c], self.index[m]) for _, c, m in split], np.int64).ravel()
+            ids, lengths = self.gather(at)
+            self.add([w for w, _, _ in split], ids, lengths.reshape(-1, 2).sum(axis=1))
+
+    def encode_new(self, words: list[str]) -> None:
+        """Encode words, all in one text: each part of a word has one token that ends a word, and parts are counted beforehand."""
+        plain = [w for w in words if "<|" not in w]
+        other = [w for w in words if "<|" in w]
+        parts = [1 if w.isalpha() else len(_PARTS.findall(unicodedata.normalize("NFC", w).lower())) for w in plain]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32) if plain else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == sum(parts):
+            cuts = np.concatenate([[0], ends])[np.cumsum(parts, dtype=np.int64)]
+        else:  # the tokenizer sees parts otherwise: word by word then
+            other, plain, ids, cuts = words, [], ids[:0], ends[:0]
+        more = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         lengths = np.concatenate([np.diff(cuts, prepend=0), np.array([len(x) for x in more], np.int64)]).astype(np.int64)
         new = np.concatenate([ids, np.array([i for x in more for i in x], np.uint32)])
+        self.add(plain + other, new, lengths)
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n = len(self.index)
         while n + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while self.used + len(new) > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(new)] = new
+        self.flat[self.used : self.used + len(ids)] = ids
         self.starts[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(lengths)
-        self.used += len(new)
-        self.index.update(zip(plain + other, range(n, n + len(words)), strict=True))
+        self.used += len(ids)
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, one after another, and how many each has."""
+        begin = self.starts[at]
+        lengths = self.starts[at + 1] - begin
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + lengths, lengths)], lengths
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        # Small letters, where Python and the tokenizer surely agree, for fewer distinct words.
+        texts = [t if _BEYOND_LATIN.search(t) else t.lower() for t in texts]
         split = [_ASCII_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
         words = [w for ws in split for w in ws]
         if len(self.index) > CACHED_WORDS:
@@ -92,12 +126,8 @@ class WordTokens:
         if new := list(set(words) - self.index.keys()):
             self.learn(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        begin = self.starts[at]
-        lengths = self.starts[at + 1] - begin
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(begin - ends + lengths, lengths)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *(len(ws) for ws in split)])]
+        ids, lengths = self.gather(at)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *(len(ws) for ws in split)])]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
