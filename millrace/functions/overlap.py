@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import normalize_text
 
@@ -182,21 +183,21 @@ def entity_f1_score(prediction: str | None, target: str | None, entities: Callab
     return _f(hits, len(p), len(t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def bleu(predictions: pd.Series, targets: pd.Series) -> pd.Series:
     return pd.Series([bleu_score(p, t) for p, t in zip(predictions, targets, strict=True)], dtype=float)
 
 
-@F.pandas_udf("rouge1 double, rouge2 double, rougeL double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("rouge1", "rouge2", "rougeL")]))
 def rouge(predictions: pd.Series, targets: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([rouge_scores(p, t) for p, t in zip(predictions, targets, strict=True)], columns=["rouge1", "rouge2", "rougeL"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def string_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def entity_f1(predictions: pd.Series, targets: pd.Series) -> pd.Series:
     return pd.Series([entity_f1_score(p, t) for p, t in zip(predictions, targets, strict=True)], dtype=float)

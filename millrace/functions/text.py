@@ -23,9 +23,14 @@ HALLMARKS = {
 }
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends (trim() takes spaces only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def normalize_text(text: Column) -> Column:
-    """Trimmed, lower-cased, white space collapsed, punctuation deleted."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), r"[^\p{L}\p{N}_\s]", "")
+    """Stripped, lower-cased, white space collapsed, punctuation deleted."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), r"[^\p{L}\p{N}_\s]", "")
 
 
 def words(text: Column) -> Column:
@@ -80,7 +85,7 @@ def folded_metadata(names: list[str]) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
 
 def _first(lines: Column, pattern: str) -> Column:
@@ -145,11 +150,11 @@ def split_protocol(text: Column) -> Column:
 
 def marked_criteria(text: Column) -> Column:
     """The text with both section markers, added where they are missing."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     low = F.lower(t)
     inc, exc = F.locate("inclusion criteria", low), F.locate("exclusion criteria", low)
     head, tail = F.lit("Inclusion Criteria:\n"), F.lit("\nExclusion Criteria:\n")
-    part = lambda a, n: F.trim(F.substring(t, a, n))
+    part = lambda a, n: strip(F.substring(t, a, n))
     whole = F.length(t)
     after_inc, after_exc = part(inc, F.greatest(exc - inc, F.lit(0))), part(exc, whole)
     return (

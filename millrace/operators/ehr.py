@@ -83,10 +83,10 @@ def visit_events(admissions: DataFrame, diagnoses: DataFrame, drugs: DataFrame,
 
 def visit_sequences(visits: DataFrame, subject: str, time: str) -> tuple[DataFrame, DataFrame]:
     """(subject, days, visits: array<array<index>>) and the vocabulary (word, index) in first-seen order; visits without events keep their day only."""
-    flat = visits.select(subject, time, "days", F.posexplode_outer("events").alias("at", "word"))
-    vocab = vocabulary(flat, "word", [subject, time, "at"])
+    flat = visits.select(subject, time, "days", F.posexplode_outer("events").alias("__at", "word"))
+    vocab = vocabulary(flat, "word", [subject, time, "__at"])
     coded = flat.join(vocab, "word", "left")
-    one = coded.groupBy(subject, time, "days").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("index").isNotNull(), F.struct("at", "index")))), lambda x: x["index"]).alias("codes"))
+    one = coded.groupBy(subject, time, "days").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("index").isNotNull(), F.struct("__at", "index")))), lambda x: x["index"]).alias("codes"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("days").alias("d"), F.col("codes").alias("c"))))
     out = one.groupBy(subject).agg(ordered.alias("v"))
     return out.select(subject, F.transform("v", lambda x: x["d"]).alias("days"), F.filter(F.transform("v", lambda x: x["c"]), lambda c: F.size(c) > 0).alias("visits")), vocab
