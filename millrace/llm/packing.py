@@ -19,7 +19,6 @@ repeated rows are pieces of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -32,26 +31,50 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, mix64, powers, text_chunks
 
 UNIT = 8
 GAP = 5e-4
 CACHED_WORDS = 600_000
-CHUNK = 256
+CHUNK_BYTES, CHUNK_ROWS = 1 << 21, 4096
 
-_ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 #: The tokenizer's pattern of the parts of a word (fixed value).
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_MARKS = ".,;:!?"
-_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_IS_MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+_IS_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+
+
+def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, length, text number) of words; marks at the end of a word after a letter or digit are units of their own."""
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    opens[edges] = inside[edges]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
+    letters = data[at]
+    begins = np.flatnonzero(opens[at])
+    last = np.maximum.reduceat(np.where(_IS_MARK[letters], -1, np.arange(len(letters))), begins)
+    ends = np.append(begins[1:], len(letters))
+    cut = (last >= 0) & (last + 1 < ends)
+    cut[cut] = _IS_ALNUM[letters[last[cut]]]
+    begins = np.sort(np.concatenate([begins, last[cut] + 1]))
+    lengths = np.diff(np.append(begins, len(letters)))
+    small = letters + ((letters >= 65) & (letters <= 90)).astype(np.uint8) * np.uint8(32)
+    place = np.arange(len(letters)) - np.repeat(begins, lengths)
+    terms = (small.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
+    hashes = mix64(np.add.reduceat(terms, begins) ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return hashes, at[begins], lengths, np.searchsorted(offsets, at[begins], "right") - 1
 
 
 class WordTokens:
-    """Token ids by the given tokenizer, each distinct word encoded once while it is held.
+    """Token ids by the given tokenizer, each distinct word (by a 64-bit hash, A-Z lower-cased) encoded once while it is held.
 
-    Valid for tokenizers that drop white space and treat words apart, as word-level BPE with
-    word-end marks does; the tests compare it with whole-text encoding.
+    Valid for tokenizers that drop case and white space and treat words apart, as word-level BPE
+    with word-end marks does; the tests compare it with whole-text encoding.
     """
 
     def __init__(self, path: str):
@@ -64,41 +87,21 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 15, np.int64)
         self.used = 0
 
-    def learn(self, words: list[str]) -> None:
-        """Add new words; those that end in marks are put together from the word and the marks, which are fewer."""
-        cores = [w.rstrip(_MARKS) for w in words]
-        whole = [len(c) == len(w) or not c or not c[-1].isalnum() or "<|" in w for w, c in zip(words, cores, strict=True)]
-        split = [(w, c, w[len(c) :]) for w, c, one in zip(words, cores, whole, strict=True) if not one]
-        new = {w for w, one in zip(words, whole, strict=True) if one}.union(*((c, m) for _, c, m in split)) - self.index.keys()
-        if new:
-            self.encode_new(list(new))
-        if split:
-            at = np.array([(self.index[c], self.index[m]) for _, c, m in split], np.int64).ravel()
-            ids, lengths = self.gather(at)
-            self.add([w for w, _, _ in split], ids, lengths.reshape(-1, 2).sum(axis=1))
-
-    def encode_new(self, words: list[str]) -> None:
-        """Encode words, all in one text: each part of a word has one token that ends a word, and parts are counted beforehand."""
-        plain = [w for w in words if "<|" not in w]
-        other = [w for w in words if "<|" in w]
-        parts = [1 if w.isalpha() else len(_PARTS.findall(unicodedata.normalize("NFC", w).lower())) for w in plain]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32) if plain else np.zeros(0, np.uint32)
+    def learn(self, keys: list[int], words: list[str]) -> None:
+        """Encode new words, all in one text: each part of a word has one token that ends a word, and parts are counted beforehand."""
+        parts = np.array([1 if w.isalpha() else len(_PARTS.findall(unicodedata.normalize("NFC", w).lower())) for w in words], np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == sum(parts):
-            cuts = np.concatenate([[0], ends])[np.cumsum(parts, dtype=np.int64)]
+        if len(ends) == parts.sum() and not any("<|" in w for w in words):
+            lengths = np.diff(np.concatenate([[0], ends])[np.cumsum(parts)], prepend=0)
         else:  # the tokenizer sees parts otherwise: word by word then
-            other, plain, ids, cuts = words, [], ids[:0], ends[:0]
-        more = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        lengths = np.concatenate([np.diff(cuts, prepend=0), np.array([len(x) for x in more], np.int64)]).astype(np.int64)
-        new = np.concatenate([ids, np.array([i for x in more for i in x], np.uint32)])
-        self.add(plain + other, new, lengths)
-
-    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            ids, lengths = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
         n = len(self.index)
         while n + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
@@ -107,29 +110,34 @@ class WordTokens:
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(lengths)
         self.used += len(ids)
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        self.index.update(zip(keys, range(n, n + len(words)), strict=True))
 
-    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words by number, one after another, and how many each has."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text."""
+        hashes, first, size, owner = word_units(data, offsets)
+        if len(self.index) > CACHED_WORDS:
+            self.clear()
+        codes, unlike = pd.factorize(hashes)
+        numbers = np.fromiter((self.index.get(h, -1) for h in unlike.tolist()), np.int64, len(unlike))
+        if (new := np.flatnonzero(numbers < 0)).size:
+            where = np.zeros(len(unlike), np.int64)
+            where[codes[::-1]] = np.arange(len(codes))[::-1]
+            raw = data.tobytes()
+            words = [raw[a : a + n].decode("utf-8", "replace") for a, n in zip(first[where[new]].tolist(), size[where[new]].tolist(), strict=True)]
+            self.learn(unlike[new].tolist(), words)
+            numbers[new] = np.arange(len(self.index) - len(new), len(self.index))
+        at = numbers[codes]
         begin = self.starts[at]
         lengths = self.starts[at + 1] - begin
         ends = np.cumsum(lengths)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + lengths, lengths)], lengths
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # Small letters, where Python and the tokenizer surely agree, for fewer distinct words.
-        texts = [t if _BEYOND_LATIN.search(t) else t.lower() for t in texts]
-        split = [_ASCII_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        words = [w for ws in split for w in ws]
-        if len(self.index) > CACHED_WORDS:
-            self.clear()
-        if new := list(set(words) - self.index.keys()):
-            self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ids, lengths = self.gather(at)
-        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *(len(ws) for ws in split)])]
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + lengths, lengths)]
+        bounds = np.concatenate([[0], ends])[np.searchsorted(owner, np.arange(len(offsets)))]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
+    def encode_texts(self, texts: list[str]) -> list[list[int]]:
+        raw = [t.encode() for t in texts]
+        return [x.tolist() for x in self.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))]
+
 
 _TOKENS: dict[str, WordTokens] = {}
 
@@ -145,10 +153,10 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer)
         for batch in batches:
-            for first in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(first, CHUNK)
+            for first, end, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES, CHUNK_ROWS):
+                part = batch.slice(first, end - first)
                 out: list[tuple] = []
-                for key, row, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), tokens.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for key, row, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), tokens.encode(data, offsets), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity]
