@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, materialise
+from .shared import attach_groups, materialise, single_spaced
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 29
@@ -31,13 +31,9 @@ SHARD_BITS = 1 << 16
 DIGEST = "__digest"
 
 
-def normalised(text: Column) -> Column:
-    """Runs of white space (0x20, 0x09 to 0x0D) become one space; null becomes the empty text."""
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-
-
 def digest(text: Column) -> Column:
-    return F.unhex(F.sha2(normalised(text), 256))
+    """SHA-256 of the text with runs of white space as one space."""
+    return F.unhex(F.sha2(single_spaced(text), 256))
 
 
 def _positions(digests: pa.Array, bits: int) -> np.ndarray:

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bounded_batches
+
 SAMPLE_DOCS = 150
 DICTIONARY_BYTES = 96 * 1024
 BLOCK_BYTES = 4096
@@ -94,6 +96,7 @@ def decide(found: list[int], names: list[str]) -> tuple[str, float, bool]:
 
 def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text") -> DataFrame:
     """docs, all columns unchanged, with __lang, __score and __rejected; small slices, so memory is bounded."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     at = docs.columns.index(text)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, hashed_words, materialise, mix64, sieve, text_chunks
+from .shared import attach_groups, bounded_batches, hashed_words, materialise, mix64, sieve, text_chunks
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -232,6 +232,7 @@ class _Linker:
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialise(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"), "described")
     n_rows = rows.count()

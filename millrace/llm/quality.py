@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_words, text_chunks
+from .shared import bounded_batches, hashed_words, text_chunks
 
 TRAIN_DOCS = 6000
 BUCKETS = 1 << 17
@@ -137,6 +137,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str =
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, score, predicted) of every document."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.values, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: At most this many groups are broadcast by attach_groups(): a proven bound, whatever the input.
 HEAVY_GROUPS = 100_000
+BATCH_ROWS, BATCH_BYTES = "1000", "8m"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -47,6 +48,27 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches that suit rows with long texts: BATCH_ROWS rows and BATCH_BYTES at most, set where the session has Spark's defaults."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
+def single_spaced(text: Column) -> Column:
+    """Runs of white space (0x20, 0x09 to 0x0D) become one space; null becomes the empty text. Byte searches, with a pattern only where spaces adjoin."""
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " {2,}", " ")).otherwise(out)
+
+
+def word_count(text: Column) -> Column:
+    """Number of runs of bytes other than white space (0x20, 0x09 to 0x0D)."""
+    out = F.trim(single_spaced(text))
+    return F.when(out == "", F.lit(0)).otherwise(F.octet_length(out) - F.octet_length(F.replace(out, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: int, size: str) -> DataFrame:
     """rows left join groups (unique by keys; size: rows of the group), safe for hot groups.
 

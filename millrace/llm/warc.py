@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, materialise, shared_uri
+from .shared import attach_groups, bounded_batches, materialise, shared_uri
 
 LEAST_REVISIT = 1000
 LEVEL = 4
@@ -120,6 +120,7 @@ def chunks(source) -> Iterator[bytes]:
 
 def write_archives(pages: DataFrame, folder: str, payload: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
     """Writes one monolithic gzip archive a partition; returns (archive, records) rows, already materialised."""
+    bounded_batches(pages.sparkSession)
     rows = classify(pages, payload, key).select(F.col(key).cast("long"), F.col(url).cast("string"), F.coalesce(F.col(payload).cast("string"), F.lit("")), "__digest", "__bytes", F.col("__refers").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
