@@ -71,7 +71,22 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# The excess is reshared in one step: sources sorted by 3 size / weight, unit: what a weight of 1 gets if all before are full.
+ORACLE_OP6 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, (CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight FROM s),
+u AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS unit
+      FROM w WINDOW b AS (ORDER BY 3 * source_size / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, round(least(weight * (SELECT max(unit) FROM u), 3.0 * source_size), 6)::DOUBLE AS target FROM u),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS passes FROM t),
+l AS (SELECT doc_id, size, source_size, target, passes, greatest(target - passes * source_size, 0) AS part, coalesce(sum(size) OVER b, 0) AS begin
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source WINDOW b AS (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR || ':mix'), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, size, source_size, target, (passes * size + CASE WHEN passes >= 3 THEN 0 ELSE least(greatest(round(part) - begin, 0), size) END)::BIGINT AS taken FROM l
+"""
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,4 +134,4 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
 }
-ORACLES = {"op2_exact_dedup": ORACLE_OP2, "op3_url_filters": ORACLE_OP3, "op10_warc": ORACLE_OP10}
+ORACLES = {"op2_exact_dedup": ORACLE_OP2, "op3_url_filters": ORACLE_OP3, "op6_mixing": ORACLE_OP6, "op10_warc": ORACLE_OP10}
