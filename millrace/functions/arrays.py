@@ -74,4 +74,4 @@ def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
     from millrace.operators.relational import with_row_number
 
     numbered = with_row_number(df, "__n", *order)
-    return numbered.groupBy(F.floor(F.col("__n") / size).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.struct(*df.columns).alias("row")))), lambda x: x["row"]).alias("rows"))
+    return numbered.groupBy(F.floor((F.col("__n") - 1) / size).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.struct(*df.columns).alias("row")))), lambda x: x["row"]).alias("rows"))

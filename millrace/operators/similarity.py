@@ -19,6 +19,8 @@ from millrace.functions.numeric import cosine
 
 BLOCK_ROWS = 4000
 
+Encoder = Callable[[list[str]], np.ndarray]
+
 
 def _materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder of spark.checkpoint.dir; set here only where it is unset."""
@@ -148,10 +150,25 @@ def qa_across(new: DataFrame, old: DataFrame, threshold: float = 0.9, question:
     return new.join(removed, new[key] == removed.row_id, "left_anti"), removed
 
 
-# --- encoders --------------------------------------------------------------------------
+def text_within(df: DataFrame, columns: list[str], threshold: float = 0.9, key: str = "row_id", make: Callable[[], Encoder] | None = None) -> tuple[DataFrame, DataFrame]:
+    """One pass over the embedding of several columns joined into one text: (kept rows, removed ids)."""
+    from millrace.functions.text import joined_columns
+
+    rows = _materialise(embedded(df, joined_columns(*(F.col(c) for c in columns)), "__v", make or hash_encoder))
+    kept, removed = within(rows, "__v", threshold, key)
+    return kept.drop("__v"), removed
 
-Encoder = Callable[[list[str]], np.ndarray]
 
+def text_across(new: DataFrame, old: DataFrame, columns: list[str], threshold: float = 0.9, key: str = "row_id", make: Callable[[], Encoder] | None = None) -> tuple[DataFrame, DataFrame]:
+    """new without rows whose joined text is like one of old: (kept rows, removed ids)."""
+    from millrace.functions.text import joined_columns
+
+    sides = [_materialise(embedded(df, joined_columns(*(F.col(c) for c in columns)), "__v", make or hash_encoder)) for df in (new, old)]
+    removed = across_removed(sides[0], sides[1], threshold, key, "__v")
+    return new.join(removed, new[key] == removed.row_id, "left_anti"), removed
+
+
+# --- encoders --------------------------------------------------------------------------
 
 def hash_encoder(dimensions: int = 256, n: int = 3, normalise: bool = True) -> Encoder:
     """Signed hashed character n-grams: a stand-in where no model is at hand. Any callable from texts to a matrix can take its place."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from millrace.functions import arrays, numeric, parse, text
 from millrace.functions.overlap import bleu, entity_f1, rouge, string_ratio, token_f1
 from millrace.operators import clean, ehr, features, metrics, relational, sampling, similarity
 from millrace.plans import convert, evaluate, pipelines, prompts
+from millrace.sources import readers, writers
 
 Tables = Callable[[str], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -788,6 +791,131 @@ def evaluate_multiple_choice(t: Tables) -> DataFrame:
     return evaluate.multiple_choice(rows, lambda: lambda asked: ["The answer is A" if len(p) % 2 else "B" for p in asked]).select("question_id", "predicted", "correct", "format")
 
 
+# --- files: written to the shared folder, read back ---------------------------------------------------------------------------
+
+
+def shared_path(df: DataFrame, name: str) -> str:
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/millrace-files-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+_EXTRA = "'x, \"' || p_name || '\"' || chr(10) || 'y'"
+
+
+@query(f"SELECT p_partkey::VARCHAR AS p_partkey, {_EXTRA} AS note FROM part")
+def csv_round_trip(t: Tables) -> DataFrame:
+    df = t("part").select("p_partkey", F.concat(F.lit('x, "'), "p_name", F.lit('"\ny')).alias("note"))
+    path = shared_path(df, "csv")
+    writers.csv(df, path)
+    return readers.csv(df.sparkSession, path)
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def jsonl_round_trip(t: Tables) -> DataFrame:
+    df = t("part").select("p_partkey", "p_name", "p_size")
+    path = shared_path(df, "jsonl")
+    writers.jsonl(df, path)
+    return readers.jsonl(df.sparkSession, path, "p_partkey long, p_name string, p_size int")
+
+
+@query("SELECT p_partkey AS sentence_id, p_name AS sentence_text FROM (SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part)")
+def sentence_xml(t: Tables) -> DataFrame:
+    df = t("part").select(F.col("p_partkey").alias("_id"), F.col("p_name").alias("_text"), F.lit("").alias("x"))
+    path = shared_path(df, "xml")
+    writers.xml(df, path, "corpus", "sentence")
+    spark = df.sparkSession
+    rows = spark.read.format("xml").option("rowTag", "sentence").schema("_id string, _text string").load(path)
+    return rows.select(F.col("_id").alias("sentence_id"), F.col("_text").alias("sentence_text"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS query_id, n_nationkey::VARCHAR || 'd' AS doc_id FROM nation WHERE n_regionkey > 0")
+def qrel_files(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey").cast("string")
+    line = F.when(F.col("n_nationkey") % 2 == 0, F.concat_ws(" ", k, F.lit("0"), F.concat(k, F.lit("d")), F.col("n_regionkey").cast("string"))).otherwise(F.concat_ws("\t", k, F.concat(k, F.lit("d")), F.col("n_regionkey").cast("string")))
+    df = t("nation").select(line.alias("value"))
+    path = shared_path(df, "qrels")
+    df.write.text(path)
+    return readers.qrels(df.sparkSession, path)
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def keyed_folders(t: Tables) -> DataFrame:
+    df = t("orders").select("o_orderkey", "o_orderstatus")
+    path = shared_path(df, "keyed")
+    writers.by_key(df, path, "o_orderstatus")
+    return readers.csv(df.sparkSession, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'N' || p_partkey AS nct_id, trim(p_name) AS brief_title, trim(p_type) || ', ' || trim(p_brand) AS condition, NULL::VARCHAR AS phase FROM part")
+def trial_xml_fields(t: Tables) -> DataFrame:
+    x = F.format_string("<clinical_study><id_info><nct_id>N%d</nct_id></id_info><brief_title> %s\n</brief_title><condition>%s</condition><condition>%s</condition></clinical_study>", "p_partkey", "p_name", "p_type", "p_brand")
+    return readers.trial_records(t("part").select(x.alias("value")), ["nct_id", "brief_title", "condition", "phase"])
+
+
+@query("SELECT 'T' || p_partkey AS qid, p_name AS question, p_type || '|' || p_brand AS answers FROM part")
+def live_question_xml(t: Tables) -> DataFrame:
+    x = F.format_string('<L><NLM-QUESTION qid="T%d"><MESSAGE>%s</MESSAGE><RefAnswer> %s </RefAnswer><RefAnswer><b>%s</b></RefAnswer></NLM-QUESTION></L>', "p_partkey", "p_name", "p_type", "p_brand")
+    q = readers.live_questions_test(t("part").select(x.alias("value")))
+    return q.select("qid", "question", F.array_join("answers", "|").alias("answers"))
+
+
+@query("SELECT p_name AS type FROM part WHERE p_partkey % 3 < 2")
+def literal_lines(t: Tables) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    line = F.when(k == 0, F.format_string("[{'type': '%s', 'n': None}]", "p_name")).when(k == 1, F.format_string('[{"type": "%s"}]', "p_name")).otherwise("oops [")
+    return readers.python_literals(t("part").select(line.alias("v")), "v", "type string")
+
+
+@query("SELECT p_partkey::VARCHAR AS uid, 'study_design' AS task, p_name AS input, p_brand AS label, '{\"p_size\":' || p_size || '}' AS meta FROM part")
+def task_examples(t: Tables) -> DataFrame:
+    df = t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"), F.lit("none").alias("inputs"), F.col("p_brand").alias("answer"), "p_size")
+    return readers.task_examples(df, "study_design")
+
+
+@query("SELECT event_id AS e_id, (props->>'$.k')::BIGINT AS e_p_k FROM events")
+def flattened_records(t: Tables) -> DataFrame:
+    p = F.from_json("props", "k long")
+    return readers.flattened(t("events").select(F.struct(F.col("event_id").alias("id"), p.alias("p")).alias("e")), "_")
+
+
+@query("SELECT (r - 1) // 100 AS batch, count(*) AS n, min(p_partkey) AS first FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r FROM part) GROUP BY 1")
+def row_batches(t: Tables) -> DataFrame:
+    b = arrays.batches(t("part").select("p_partkey"), 100, "p_partkey")
+    return b.select(F.col("batch"), F.size("rows").cast("long").alias("n"), F.col("rows")[0]["p_partkey"].alias("first"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_retailprice END AS price, strftime(DATE '2020-01-02', '%Y-%m-%d') AS day FROM part")
+def jsonable_records(t: Tables) -> DataFrame:
+    df = t("part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, float("nan")).otherwise(F.col("p_retailprice")).alias("price"), F.lit("2020-01-02").cast("date").alias("day"))
+    return arrays.jsonable(df)
+
+
+@query("SELECT CASE WHEN p_partkey % 2 = 0 THEN 'N' || p_partkey ELSE 'P' || p_partkey END AS nct_id, p_name AS brief_title, CASE WHEN p_size > 25 THEN 'Completed' ELSE 'none' END AS overall_status, 'none' AS phase FROM part")
+def validated_records(t: Tables) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    df = t("part").select(
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("N"), k)).alias("NCTID"), F.concat(F.lit("P"), k).alias("ID"), F.col("p_name").alias("Brief Title"), F.when(F.col("p_size") > 25, "Completed").alias("study.status")
+    )
+    return clean.validated(df, ["nct_id", "brief_title", "overall_status", "phase"]).select("nct_id", "brief_title", "overall_status", "phase")
+
+
+@query("""SELECT 'Inclusion' AS kind, sum(len(string_split(p_type, ' ')))::BIGINT AS n FROM part""")
+def labelled_trials(t: Tables) -> DataFrame:
+    df = t("part").select(F.col("p_partkey").cast("string").alias("nct_id"), F.col("p_name").alias("brief_title"), F.concat(F.lit("inclusion criteria\n"), F.replace("p_type", F.lit(" "), F.lit("\n"))).alias("eligibility_criteria"), F.lit("c").alias("condition"), F.lit("completed").alias("overall_status"))
+    out = pipelines.labelled_trials(df)
+    return out.agg(F.lit("Inclusion").alias("kind"), F.sum(F.size("inclusion_criteria")).alias("n"))
+
+
+@query()
+def text_columns_dedup(t: Tables) -> DataFrame:
+    b = t("benchmark").withColumnRenamed("item_id", "row_id")
+    return similarity.text_within(b, ["text"], 0.9)[0].select("row_id")
+
+
 @query("SELECT brand AS p_brand, n, round(total, 2) AS total FROM (SELECT p_brand AS brand, count(*) AS n, sum(p_retailprice) AS total FROM part GROUP BY 1)")
 def brand_totals(t: Tables) -> DataFrame:
     return t("part").groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
