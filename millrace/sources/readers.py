@@ -209,6 +209,36 @@ def trial_records(files: DataFrame, fields: list[str] | None = None, xml: str =
     return files.select(*(c for c in files.columns if c != xml), *(one(f) for f in chosen))
 
 
+def other_fields(files: DataFrame, xml: str = "value") -> Column:
+    """map<string,string> of the root's direct children that TRIAL_FIELDS doesn't cover, under snake-case names; null if the text isn't XML.
+
+    Names are not known beforehand, which no path expression can express, so this parses in Python.
+    """
+    import xml.etree.ElementTree as ET
+
+    from millrace.functions.text import camel_to_snake
+
+    known = {*TRIAL_FIELDS, *(path.partition("/")[0] for path in TRIAL_FIELDS.values())}
+
+    @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> dict[str, str] | None:
+            try:
+                root = ET.fromstring(text or "")
+            except ET.ParseError:
+                return None
+            found: dict[str, list[str]] = {}
+            for child in root:
+                name, value = camel_to_snake(child.tag), " ".join("".join(child.itertext()).split())
+                if name not in known and value:
+                    found.setdefault(name, []).append(value)
+            return {k: ", ".join(v) for k, v in found.items()}
+
+        return texts.map(one)
+
+    return run(files[xml])
+
+
 def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").schema(schema).load(path)
 

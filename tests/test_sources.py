@@ -52,6 +52,8 @@ def test_xml(spark, tmp_path):
     assert (r.brief_summary, r.condition, r.phase) == ("a b", "C1, C2", None) and t.count() == 2
     with pytest.raises(ValueError, match="unknown"):
         readers.trial_records(t, ["zz"])
+    more = spark.createDataFrame([("<s><phase>1</phase><WhyStopped>no\n funds</WhyStopped></s>",), ("bad",)], "value string")
+    assert [r[0] for r in more.select(readers.other_fields(more)).collect()] == [{"why_stopped": "no funds"}, None]
     write(tmp_path / "q/d.xml", '<Document id="1" source="s" url="u"><Focus>F</Focus><QAPairs><QAPair pid="1"><Question qid="1-1" qtype="i">Q?</Question><Answer>A.</Answer></QAPair></QAPairs></Document>')
     d = readers.qa_documents(spark, str(tmp_path / "q")).first()
     assert (d.doc_id, d.question_text, d.answer_text, d.question_type) == ("1", "Q?", "A.", "i")
