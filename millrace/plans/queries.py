@@ -183,9 +183,6 @@ def normalize(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("normal"))
 
 
-_CRITERIA = """'Inclusion Criteria:' || chr(10) || p_name || chr(10) || chr(10) || p_type || chr(10) || 'Exclusion Criteria:' || chr(10) || p_brand"""
-
-
 def criteria_texts(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", F.concat_ws("\n", F.lit("Inclusion Criteria:"), "p_name", F.lit(""), "p_type", F.lit("Exclusion Criteria:"), "p_brand").alias("c"))
 
