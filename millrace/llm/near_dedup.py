@@ -12,8 +12,8 @@ smallest member and one chosen by hash, are tried first, which is linear in its
 connected components tell which buckets still hold several components. Of these, all pairs
 between components are screened, in blocks of BLOCK members, each pair only in the first
 band it shares and by finer sketches (FINE_SAMPLES samples, five standard deviations again),
-which only the members of such buckets get; so no pair limit drops a link, no task holds a whole large bucket, and
-buckets of copies that the leaders joined are never expanded.
+which only the members of such buckets get; so no pair limit drops a link, no task holds a
+whole large bucket, and buckets of copies that the leaders joined are never expanded.
 
 Nulls, ties, empty input: a text without words has an empty set and no links; a row without
 id is returned unlinked; rows with equal id are one document. An empty table gives none.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, bounded_batches, hashed_words, materialise, mix64, sieve, text_chunks
+from .shared import attach_groups, bounded_batches, hashed_words, materialise, mix64, release, sieve, text_chunks
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -152,18 +152,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "edges")
 
-    def lowest(rows: DataFrame, least: F.Column, n: int) -> DataFrame:
+    def lowest(rows: DataFrame, least: F.Column, n: int) -> tuple[DataFrame, DataFrame]:
         low = materialise(rows.groupBy("v").agg(least.alias("m"), F.count("*").alias("n")), "low")
-        return attach_groups(rows, low, ["v"], n, "n")
+        return attach_groups(rows, low, ["v"], n, "n"), low
 
     tally = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     moved = lambda rows: rows.select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v")
     before = tally(pairs)
     while before[0]:
-        both = pairs.union(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        large = materialise(moved(lowest(both, F.least(F.col("v"), F.min("u")), 2 * before[0]).where("u > v")).distinct(), "large")
-        small = lowest(large, F.min("u"), before[0])
-        pairs = materialise(moved(small).union(small.select("v", F.col("m").alias("u"))).distinct(), "edges")
+        both, a = lowest(pairs.union(pairs.select(F.col("u").alias("v"), F.col("v").alias("u"))), F.least(F.col("v"), F.min("u")), 2 * before[0])
+        large = materialise(moved(both.where("u > v")).distinct(), "large")
+        small, b = lowest(large, F.min("u"), before[0])
+        done, pairs = pairs, materialise(moved(small).union(small.select("v", F.col("m").alias("u"))).distinct(), "edges")
+        release(done, large, a, b)
         after = tally(pairs)
         if after == before:
             break
@@ -189,7 +190,9 @@ class _Linker:
         sets = materialise(texts, "sets")
         full = likely.join(sets.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
         common = F.size(F.array_intersect("xa", "xb"))
-        return full.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+        links = materialise(full.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
+        release(likely, wanted, sets)
+        return links
 
     def led(self, rows: DataFrame) -> DataFrame:
         """Links of bucket members with the leaders of their bucket."""
@@ -206,10 +209,11 @@ class _Linker:
         named = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         open_ = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x < y")
         left = named.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
-        left = materialise(left, "open")
+        open_rows = left = materialise(left, "open")
         wanted = materialise(left.select(F.col("node").alias("doc_id")).distinct(), "wanted")
         texts = sieve(self.docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi")
-        fine = materialise(texts.mapInArrow(_fine_sketches(self.width), "node long, fine array<long>"), "fine").dropDuplicates(["node"])
+        sketched = materialise(texts.mapInArrow(_fine_sketches(self.width), "node long, fine array<long>"), "fine")
+        fine = sketched.dropDuplicates(["node"])
         left = left.join(self.nodes.join(fine, "node"), "node")
         x = left.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "sketch", "fine", "n_shingles", "bands")))
         y = left.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "c", "sketch", "fine", "n_shingles", "bands")))
@@ -219,14 +223,18 @@ class _Linker:
         x, y = x.alias("x"), y.alias("y")
         same = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block"))
         pairs = x.join(y, same & apart & first_shared & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_shingles_a").alias("na"), F.col("n_shingles_b").alias("nb"))
-        return self.confirmed(materialise(pairs, "likely"))
+        likely = materialise(pairs, "likely")
+        release(open_rows, wanted, sketched)
+        return self.confirmed(likely)
 
     def run(self) -> DataFrame:
         rows = self.nodes.select(F.explode("bands").alias("key"), "node")
         rows = rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
         rows = materialise(rows, "buckets")
-        links = materialise(self.led(rows), "links")
-        more = self.between(rows, materialise(components(links), "labels"))
+        links = self.led(rows)
+        labels = materialise(components(links), "labels")
+        more = self.between(rows, labels)
+        release(rows, labels)
         return components(links.union(more))
 
 
@@ -243,6 +251,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     labels = _Linker(docs, nodes, width, percent).run()
     named = sets.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), F.col("node"), "copies").where("copies > 1 or component < node")
     named = materialise(named.select("set_key", "component", "copies"), "named")
+    release(nodes, sets)
     out = attach_groups(rows.select("doc_id", "n_shingles", "set_key"), named, ["set_key"], n_rows, "copies")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", whole).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
