@@ -3,7 +3,9 @@
 Each language is a raw-content zstandard dictionary, texts of that language. Texts are
 lower-cased and runs of other characters than letters become one space. A text is
 compressed in blocks with every dictionary; the language whose dictionary gives the
-smallest total wins. A text is rejected when the second best comes within MIN_MARGIN of it
+smallest total wins. A text of under SHORT_BYTES is compressed with SLICES parts of each
+dictionary instead, as the total over these tells languages apart where whole bytes of one
+result are too coarse. A text is rejected when the second best comes within MIN_MARGIN of it
 (always on a tie), or when it has no letter.
 
 Fitting reads a bounded sample: about SAMPLE_DOCS documents a language, chosen by a hash of
@@ -31,6 +33,7 @@ from .shared import bounded_batches
 SAMPLE_DOCS = 150
 DICTIONARY_BYTES = 96 * 1024
 BLOCK_BYTES = 4096
+SHORT_BYTES, SLICES = 512, 12
 LEVEL = 6
 SLICE_ROWS = 256
 MIN_MARGIN = 0.005
@@ -63,26 +66,30 @@ def letters_only(text: str) -> bytes:
 _COMPRESSORS: dict[tuple, list] = {}
 
 
+def _compressor(content: bytes):
+    import zstandard
+
+    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
 def _compressors(models: dict[str, bytes]) -> list:
-    """One compressor a language, made once in each worker."""
+    """(language, compressor, compressors of the dictionary's slices), made once in each worker."""
     key = tuple((k, hash(v)) for k, v in models.items())
     if key not in _COMPRESSORS:
-        import zstandard
-
         _COMPRESSORS.clear()
-        made = []
-        for name in sorted(models):
-            content = zstandard.ZstdCompressionDict(models[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            made.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False)))
-        _COMPRESSORS[key] = made
+        part = lambda m, i: m[i * len(m) // SLICES : (i + 1) * len(m) // SLICES]
+        _COMPRESSORS[key] = [(n, _compressor(models[n]), [_compressor(part(models[n], i) or b" " * 8) for i in range(SLICES)]) for n in sorted(models)]
     return _COMPRESSORS[key]
 
 
 def sizes(data: bytes, compressors: list) -> list[int]:
     """Compressed bytes by language."""
+    if len(data) < SHORT_BYTES:
+        return [sum(len(c.compress(data)) for c in parts) for _, _, parts in compressors]
     blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-    return [sum(len(c.compress(b)) for b in blocks) for _, c in compressors]
+    return [sum(len(c.compress(b)) for b in blocks) for _, c, _ in compressors]
 
 
 def decide(found: list[int], names: list[str]) -> tuple[str, float, bool]:
@@ -102,7 +109,7 @@ def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _compressors(shared.value)
-        names = [n for n, _ in made]
+        names = [m[0] for m in made]
         for batch in batches:
             for first in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(first, SLICE_ROWS)
