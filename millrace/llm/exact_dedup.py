@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, materialise, single_spaced
+from .shared import attach_groups, materialise, single_spaced, trimmed
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 29
@@ -88,8 +88,8 @@ def repeat_filter(digests: DataFrame, n_rows: int, max_bits: int = MAX_BITS) ->
         if held is not None:
             yield out()
 
-    shards = digests.select(DIGEST).mapInArrow(fill, "shard long, once binary, again binary")
-    merged = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, again binary")
+    shards = digests.select(DIGEST).mapInArrow(trimmed(fill), "shard long, once binary, again binary")
+    merged = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(trimmed(merge), "shard long, again binary")
     whole = bytearray(bits // 8)
     for row in merged.toLocalIterator():
         whole[row.shard * shard : (row.shard + 1) * shard] = row.again

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches
+from .shared import bounded_batches, trimmed
 
 SAMPLE_DOCS = 150
 DICTIONARY_BYTES = 96 * 1024
@@ -119,7 +119,7 @@ def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, "__lang", "__score", "__rejected"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__rejected", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def training_rows(docs: DataFrame, key: str = "doc_id", folds: int = 4, held_out: int = 2) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, bounded_batches, hashed_words, materialise, mix64, release, sieve, text_chunks
+from .shared import attach_groups, bounded_batches, hashed_words, materialise, mix64, release, sieve, text_chunks, trimmed
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -186,7 +186,7 @@ class _Linker:
         """The pairs (a, b, na, nb) whose full sets are similar enough."""
         wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
         wanted = materialise(wanted, "wanted")
-        texts = sieve(self.docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(self.width), "node long, shingles array<long>")
+        texts = sieve(self.docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi").mapInArrow(trimmed(_sets(self.width)), "node long, shingles array<long>")
         sets = materialise(texts, "sets")
         full = likely.join(sets.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
         common = F.size(F.array_intersect("xa", "xb"))
@@ -212,7 +212,7 @@ class _Linker:
         open_rows = left = materialise(left, "open")
         wanted = materialise(left.select(F.col("node").alias("doc_id")).distinct(), "wanted")
         texts = sieve(self.docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi")
-        sketched = materialise(texts.mapInArrow(_fine_sketches(self.width), "node long, fine array<long>"), "fine")
+        sketched = materialise(texts.mapInArrow(trimmed(_fine_sketches(self.width)), "node long, fine array<long>"), "fine")
         fine = sketched.dropDuplicates(["node"])
         left = left.join(self.nodes.join(fine, "node"), "node")
         x = left.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "sketch", "fine", "n_shingles", "bands")))
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     """One row a document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialise(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"), "described")
+    rows = materialise(docs.mapInArrow(trimmed(_describe(width)), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"), "described")
     n_rows = rows.count()
     sets = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     sets = materialise(sets, "nodes")

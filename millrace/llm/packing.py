@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialise, mix64, powers, text_chunks
+from .shared import bounded_batches, materialise, mix64, powers, text_chunks, trimmed
 
 UNIT = 8
 GAP = 5e-4
@@ -247,7 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     bounded_batches(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    pieces = plain.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = plain.mapInArrow(trimmed(_pieces(tokenizer, capacity, end_id)), "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = materialise(pieces.withColumn("class", F.ceil(F.col("length") / unit).cast("int")), "pieces")
     salts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(salts)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, hashed_words, text_chunks
+from .shared import bounded_batches, hashed_words, text_chunks, trimmed
 
 TRAIN_DOCS = 6000
 BUCKETS = 1 << 17
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
                 found = held.scores(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
 
 
 def fold(key: Column, folds: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +66,20 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def trimmed(run):
+    """run, a function from batches to batches, that gives freed memory back at the end of each task: workers live on between stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def single_spaced(text: Column) -> Column:
     """Runs of white space (0x20, 0x09 to 0x0D) become one space; null becomes the empty text. Byte searches, with a pattern only where spaces adjoin."""
     out = F.coalesce(text.cast("string"), F.lit(""))

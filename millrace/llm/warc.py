@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, bounded_batches, materialise, shared_uri
+from .shared import attach_groups, bounded_batches, materialise, shared_uri, trimmed
 
 LEAST_REVISIT = 1000
 LEVEL = 4
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", key: st
         fs.move(draft, posixpath.join(base, name))
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["archive", "records"])
 
-    return materialise(rows.mapInArrow(run, "archive string, records long"), "archives")
+    return materialise(rows.mapInArrow(trimmed(run), "archive string, records long"), "archives")
 
 
 def normalise(archives: DataFrame, source: str, folder: str, remove: bool = False) -> DataFrame:
@@ -164,7 +164,7 @@ def normalise(archives: DataFrame, source: str, folder: str, remove: bool = Fals
                 out_fs.move(drafts[1], posixpath.join(out_base, name + ".index"))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], ["archive", "records", "size"])
 
-    done = materialise(archives.repartition(max(1, archives.count()), "archive").mapInArrow(run, "archive string, records long, size long"), "normalised")
+    done = materialise(archives.repartition(max(1, archives.count()), "archive").mapInArrow(trimmed(run), "archive string, records long, size long"), "normalised")
     if remove:
         path = done.sparkSession._jvm.org.apache.hadoop.fs.Path(source)
         path.getFileSystem(done.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
@@ -207,7 +207,7 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
-    return archives.select("archive").repartition(max(1, archives.count()), "archive").mapInArrow(run, RECORD)
+    return archives.select("archive").repartition(max(1, archives.count()), "archive").mapInArrow(trimmed(run), RECORD)
 
 
 def lines(parts: Iterator[bytes]) -> Iterator[bytes]:
