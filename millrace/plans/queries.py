@@ -570,7 +570,7 @@ def exact_match(t: Tables) -> DataFrame:
 @query()
 def overlap_scores(t: Tables) -> DataFrame:
     rows = turns(t).withColumn("r", rouge("prediction", "target"))
-    return rounded(rows.select("conv_id", "turn", bleu("prediction", "target").alias("bleu"), "r.rouge1", "r.rouge2", "r.rougeL", entity_f1("prediction", "target").alias("entities"), string_ratio(F.substring("prediction", 1, 200), F.substring("target", 1, 200)).alias("ratio")))
+    return rounded(rows.select("conv_id", "turn", bleu("prediction", "target").alias("bleu"), "r.rouge1", "r.rouge2", "r.rougeL", entity_f1("prediction", "target").alias("entities"), string_ratio("prediction", "target").alias("ratio")))
 
 
 # --- answers out of texts -----------------------------------------------------------------------------------------------

@@ -50,3 +50,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_overlap_ratio_is_of_whole_texts(spark, tmp_path):
+    import difflib
+
+    start = "The dose was raised after the second visit. " * 8
+    said = [start + "No adverse event was seen.", start + "zzz 12345 " * 30, "", start[:150], None, start]
+    rows = [(1, i, "user", t) for i, t in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.ratio for r in QUERIES["overlap_scores"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(difflib.SequenceMatcher(None, said[i + 1] or "", said[i] or "").ratio(), 6) for i in range(len(said) - 1)}
+    assert 0 < got[0] < 1
