@@ -57,7 +57,12 @@ def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """(doc_id, start, candidate, before, after): every candidate of every text, with its neighbourhood."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("gaps", F.split("text", CANDIDATE, -1)).withColumn("row", F.monotonically_increasing_id())
-    one = f"struct(i, x as candidate, lower(right(gaps[i], {WINDOW})) as before, lower(left(gaps[i + 1], {WINDOW})) as after, length(gaps[i]) as gap, length(x) as hit)"
+    # The text around a candidate, put together from as many runs and gaps as WINDOW characters can hold.
+    most = -(-WINDOW // LEAST)
+    ahead = f"array_join(transform(sequence(greatest(i - {most}, 0), i - 1), j -> right(gaps[j], {WINDOW}) || right(found[j], {WINDOW})), '')"
+    behind = f"array_join(transform(sequence(i + 1, least(i + {most}, size(found))), j -> left(gaps[j], {WINDOW}) || left(coalesce(get(found, j), ''), {WINDOW})), '')"
+    before = f"lower(right(if(i = 0, '', {ahead}) || right(gaps[i], {WINDOW}), {WINDOW}))"
+    one = f"struct(i, x as candidate, {before} as before, lower(left({behind}, {WINDOW})) as after, length(gaps[i]) as gap, length(x) as hit)"
     rows = rows.select("doc_id", "row", F.inline(F.expr(f"transform(found, (x, i) -> {one})")))
     # Only candidates are shuffled; a window holds those of one text.
     so_far = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("doc_id", "row").orderBy("i"))
@@ -132,7 +137,7 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int]]:
     r = random.Random(seed)
     hexes, alnum, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
-    names = ("token", "secret", "api_key", "apikey", "API_KEY", "access_key", "auth_token", "client_secret", "password", "passwd", "private_key", "SECRET_TOKEN")
+    names = ("token", "secret", "api_key", "apikey", "API_KEY", "access_key", "auth_token", "client_secret", "password", "passwd", "private_key", "SECRET_TOKEN", "aws_secret_access_key", "GITHUB_ACCESS_TOKEN", "stripe_secret_key", "database_password")
     places = (' = "{}"', ": {}", "={}", ": '{}'", ' := "{}"', '": "{}"')
     prose = ("the", "value", "was", "found", "in", "und", "der", "les", "que", "and", "set", "of", "here", "see", "for")
     words = lambda: " ".join(r.choice(prose) for _ in range(r.randint(0, 6)))

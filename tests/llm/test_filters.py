@@ -96,6 +96,22 @@ def test_secrets(spark, odd_docs, no_docs):
     assert secrets.scan(no_docs, forest).count() == 0 and secrets.scan(odd_docs, forest).count() >= 0
 
 
+def test_secrets_under_long_names(spark):
+    r = random.Random(21)
+    names = ("aws_secret_access_key", "GITHUB_ACCESS_TOKEN", "stripe_secret_key", "azure_storage_access_key")
+    keys = ["".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(40)) for _ in range(12)]
+    texts = [f"é {names[i % 4]}{(': ', ' = ', ': "', '="')[i // 4]}{key}" + ('"' if i >= 8 else "") + f" {names[i % 3]} a" for i, key in enumerate(keys)]
+    docs = spark.createDataFrame([*enumerate(texts), (99, f"{keys[0]} {keys[1]} {keys[2]}é{keys[3]}")], "doc_id long, text string")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    found = secrets.candidates(docs).collect()
+    for x in found:
+        end = x.start + len(x.candidate)
+        assert x.before == text[x.doc_id][max(0, x.start - secrets.WINDOW) : x.start].lower() and x.after == text[x.doc_id][end : end + secrets.WINDOW].lower()
+    assert sum(x.doc_id == 99 for x in found) == 4
+    judged = {(x.doc_id, x.secret): x.is_secret for x in secrets.scan(docs, secrets.default_forest(spark)).collect()}
+    assert all(judged[i, key] for i, key in enumerate(keys))
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     forest = secrets.default_forest(spark)
     fresh = secrets.labelled_findings(600, seed=99)
