@@ -1,9 +1,12 @@
 """Secret scans: candidate strings judged by a random forest, with DataFrame functions only.
 
-A candidate is a run of at least LEAST characters of [A-Za-z0-9_+/=.-] with a digit or a
-change of case. Its features are its length, its character transitions and distinct
-characters, the share of it covered by dictionary words, whether it looks like a path, and
-the words around it (WINDOW characters on each side). The forest is trained in numpy on
+A candidate is a run of at least LEAST characters of [A-Za-z0-9_+/=.-], or the value assigned
+to a name that holds a keyword, if it has SHORTEST characters at least: all between quotes,
+or else up to white space, a quote or the next parameter, without closing punctuation. A
+name with a bare = and no space before its value is part of the candidate, as in other runs.
+Its features are its length, its character transitions and distinct characters, the share of
+it covered by dictionary words, whether it looks like a path, and the words before it (WINDOW
+characters; those after it are given too). The forest is trained in numpy on
 labelled findings, real secrets and false positives (checksums, paths, identifiers,
 placeholders), and compiled to a column expression, so scanning stays inside the JVM.
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 LEAST = 16
 WINDOW = 48
-CANDIDATE = rf"[A-Za-z0-9_+/=.-]{{{LEAST},}}+"
+SHORTEST = 4
 TREES, DEPTH, LEAF = 25, 5, 8
 THRESHOLD = 0.5
 
@@ -48,6 +51,14 @@ DICTIONARY = (
     "virtual web width window word work write xxxx your zone"
 ).split()
 KEYWORDS = "token|secret|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|auth|credential|passw(?:or)?d|passwd|pwd|bearer|client[_ -]?secret"
+RUN = "A-Za-z0-9_+/=.-"
+#: Group 1: the name, sign and opening quote. Loops over alternatives are possessive, so that values of any length need no stack.
+ASSIGNED = rf"(?<![{RUN}])([{RUN}]*?(?i:{KEYWORDS})[A-Za-z0-9_.-]{{0,64}}+[\"'`]?[ \t]{{0,8}}(?::=|=>|[:=])[ \t]{{0,8}}[\"'`]?)"
+VALUE = (
+    rf"(?:(?<=\")[^\"\r\n]{{{SHORTEST},}}+(?=\")|(?<=')[^'\r\n]{{{SHORTEST},}}+(?=')|(?<=`)[^`\r\n]{{{SHORTEST},}}+(?=`)"
+    rf"|(?![:=>])(?:[^\s\"'`&;,]|[&;,](?!\w{{1,64}}[:=])){{{SHORTEST},}}+)"
+)
+CANDIDATE = rf"{ASSIGNED}{VALUE}|[{RUN}]{{{LEAST},}}+"
 INNOCENT = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|revision|etag|integrity|uuid|guid|version|build|example|sample|dummy|placeholder|fixture|image|href|src"
 
 FEATURES = ("length", "digits", "uppers", "symbols", "transitions", "distinct", "dictionary", "path", "keyword", "assigned", "quoted", "innocent", "hexadecimal", "vowels")
@@ -56,18 +67,26 @@ FEATURES = ("length", "digits", "uppers", "symbols", "transitions", "distinct",
 def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, start, candidate, before, after): every candidate of every text, with its neighbourhood."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
-    rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("gaps", F.split("text", CANDIDATE, -1)).withColumn("row", F.monotonically_increasing_id())
-    # The text around a candidate, put together from as many runs and gaps as WINDOW characters can hold.
-    most = -(-WINDOW // LEAST)
+    rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("names", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)))
+    rows = rows.withColumn("gaps", F.split("text", CANDIDATE, -1)).withColumn("row", F.monotonically_increasing_id())
+    # The text around a match, put together from as many matches and gaps as WINDOW characters can hold.
+    most = -(-WINDOW // (SHORTEST + 4))
     ahead = f"array_join(transform(sequence(greatest(i - {most}, 0), i - 1), j -> right(gaps[j], {WINDOW}) || right(found[j], {WINDOW})), '')"
     behind = f"array_join(transform(sequence(i + 1, least(i + {most}, size(found))), j -> left(gaps[j], {WINDOW}) || left(coalesce(get(found, j), ''), {WINDOW})), '')"
-    before = f"lower(right(if(i = 0, '', {ahead}) || right(gaps[i], {WINDOW}), {WINDOW}))"
-    one = f"struct(i, x as candidate, {before} as before, lower(left({behind}, {WINDOW})) as after, length(gaps[i]) as gap, length(x) as hit)"
+    before = f"right(if(i = 0, '', {ahead}) || right(gaps[i], {WINDOW}), {WINDOW})"
+    one = f"struct(i, x as match, names[i] as name, {before} as before, left({behind}, {WINDOW}) as after, length(gaps[i]) as gap, length(x) as hit)"
     rows = rows.select("doc_id", "row", F.inline(F.expr(f"transform(found, (x, i) -> {one})")))
     # Only candidates are shuffled; a window holds those of one text.
     so_far = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("doc_id", "row").orderBy("i"))
-    rows = rows.withColumn("start", (so_far - F.col("hit")).cast("long"))
-    return rows.where(F.col("candidate").rlike("[0-9]|[a-z][A-Z]")).select("doc_id", "start", "candidate", "before", "after")
+    rows = rows.withColumn("start", so_far - F.col("hit"))
+    # What of a match is the name, and what is closing punctuation of a value without quotes.
+    rows = rows.withColumn("name", F.when(F.col("name").rlike(rf"^[{RUN}]*$"), F.lit("")).otherwise(F.col("name")))
+    rows = rows.withColumn("value", F.expr("substring(match, length(name) + 1)"))
+    bare = F.col("match").rlike(rf"^[{RUN}]+$") | F.col("name").rlike("[\"'`]$")
+    rows = rows.withColumn("candidate", F.when(bare, F.col("value")).otherwise(F.expr("trim(TRAILING ',;)]}>' FROM value)")))
+    rows = rows.withColumn("before", F.expr(f"lower(right(before || name, {WINDOW}))")).withColumn("after", F.expr(f"lower(left(substring(value, length(candidate) + 1) || after, {WINDOW}))"))
+    rows = rows.withColumn("start", (F.col("start") + F.length("name")).cast("long"))
+    return rows.where(F.length("candidate") >= SHORTEST).select("doc_id", "start", "candidate", "before", "after")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -143,6 +162,18 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int]]:
     words = lambda: " ".join(r.choice(prose) for _ in range(r.randint(0, 6)))
     ident = lambda: "".join(w.capitalize() for w in r.sample(DICTIONARY, r.randint(3, 5)))
     secret = (lambda: pick(hexes, r.choice((20, 32, 40, 64))), lambda: pick(alnum, r.randint(20, 48)), lambda: pick(b64, r.randint(24, 64)) + "==", lambda: r.choice(("pk_live_", "key-", "gh_", "xo-")) + pick(alnum, 28))
+    # Passwords: short, punctuated, or of letters of one case alone.
+    leet = lambda: r.choice(DICTIONARY).capitalize().translate(str.maketrans(r.choice(("oe", "ai", "si")), r.choice(("03", "41", "51")))) + str(r.randint(1, 9999))
+    password = (
+        leet,
+        lambda: leet() + r.choice("!@#$%&*") + pick(alnum, r.randint(0, 6)),
+        lambda: pick(alnum + "!@#$%^*", r.randint(8, 20)) + r.choice("0123456789") + r.choice("!@#$"),
+        lambda: pick(alnum, r.randint(8, 14)) + r.choice("0123456789"),
+        lambda: r.choice("!@#$").join(pick(alnum, r.randint(2, 6)) for _ in range(4)),
+        lambda: pick(string.ascii_lowercase, r.randint(16, 40)),
+        lambda: pick(string.ascii_uppercase, r.randint(16, 40)),
+    )
+    other = ("required", "string", "None", "true", "false", "null", "optional", "Bearer", "changed", "missing", "nothing", "Miller", "everyone", "os.environ", "get_token()", "self.token", "$TOKEN", "${DB_PASSWORD}", "<password>", "********", "request.user.name", "process.env.API_KEY", "settings.SECRET", "[redacted]", "the usual one")
     plain = (
         lambda: r.choice(("commit ", "sha256: ", "md5 ", "checksum=", "revision ", 'integrity="sha512-', "etag: ")) + pick(hexes, r.choice((32, 40, 64))),
         lambda: "/".join(r.sample(DICTIONARY, 4)) + "/" + r.choice(DICTIONARY) + str(r.randint(1, 99)) + ".html",
@@ -155,11 +186,16 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"{pick(hexes, 8)}-{pick(hexes, 4)}-4{pick(hexes, 3)}-a{pick(hexes, 3)}-{pick(hexes, 12)}",
         lambda: pick(hexes, r.choice((32, 40, 64))),
         lambda: r.choice(("id ", "ref ", "user ")) + pick("0123456789", r.randint(16, 24)),
+        lambda: r.choice(names) + r.choice(places).format(r.choice((*other, r.choice(DICTIONARY) + "ing", ident(), "_".join(r.sample(DICTIONARY, 2)) + "()"))),
+        lambda: r.choice((r.choice(DICTIONARY) + "_" + r.choice(names) + "_identifier", ident() + r.choice(("Token", "Secret", "Credential")) + "Provider", "aws_secret_access_key", "GITHUB_ACCESS_TOKEN")),
+        lambda: "".join(r.choice(("en", "ti", "on", "th", "er", "es", "ung", "ment", "schaft", "keit")) for _ in range(r.randint(8, 12))),
+        lambda: r.choice("-=_.") * r.randint(16, 60),
+        lambda: "_".join(r.sample(DICTIONARY, 4)),
         lambda: "".join(r.choice(("en", "ti", "on", "th", "er", "es", "ung", "ment")) for _ in range(10)) + ".A",
     )
     out = []
     for i in range(n):
-        found = r.choice(names) + r.choice(places).format(r.choice(secret)()) if i % 2 else r.choice(plain)()
+        found = r.choice(names) + r.choice(places).format(r.choice(r.choice((secret, password)))()) if i % 2 else r.choice(plain)()
         out.append((f"{words()} {found} {words()}", i % 2))
     return out
 

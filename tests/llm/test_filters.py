@@ -112,6 +112,29 @@ def test_secrets_under_long_names(spark):
     assert all(judged[i, key] for i, key in enumerate(keys))
 
 
+def test_short_and_punctuated_secrets(spark):
+    texts = [
+        ("password = Tr0ub4dorX9", "Tr0ub4dorX9", True),
+        ("ü passwd: 'x9!kQ@2m#Zr$7'.", "x9!kQ@2m#Zr$7", True),
+        ("my_database_password: Qx7!aB@93z, next", "Qx7!aB@93z", True),
+        ("pwd=K7#mz!Q4p@t2", "pwd=K7#mz!Q4p@t2", True),
+        ("api_key = qzjxkvwpbmtrhgfdncls", "qzjxkvwpbmtrhgfdncls", True),
+        ("API_KEY: QZJXKVWPBMTRHGFDNCLSQWZX", "QZJXKVWPBMTRHGFDNCLSQWZX", True),
+        ("password: required", "required", False),
+        ("token = get_token()", "get_token(", False),
+        ("a Donaudampfschifffahrt once", "Donaudampfschifffahrt", False),
+        ("-" * 40, "-" * 40, False),
+        ("pwd=ab1!;password=cd2!&token=ef3!", None, None),
+    ]
+    docs = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = secrets.scan(docs, secrets.default_forest(spark)).collect()
+    assert all(texts[x.doc_id][0][x.start : x.start + x.length] == x.secret for x in found)
+    assert {(x.doc_id, x.secret): x.is_secret for x in found if x.doc_id < 10} == {(i, s): y for i, (_, s, y) in enumerate(texts) if s}
+    assert sorted(x.secret for x in found if x.doc_id == 10) == ["password=cd2!", "pwd=ab1!", "token=ef3!"]
+    long = "password = " + "a!" * 50_000
+    assert secrets.candidates(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().candidate == long[11:]
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     forest = secrets.default_forest(spark)
     fresh = secrets.labelled_findings(600, seed=99)
