@@ -12,7 +12,8 @@ fingerprints estimates the resemblance of the anchor sets, and is exact while th
 no more than SAMPLE anchors.
 
 Nulls, ties, empty input: a null or blank text has the empty fingerprint; a text of fewer
-than K units has one anchor, the hash of all its units. Two empty fingerprints are alike
+than K units, or of K or K + 1 units without a closed syncmer, has one anchor, the hash of all
+its units. (K - S successive K-mers always hold a closed syncmer.) Two empty fingerprints are alike
 (1.0), an empty and another one are not (0.0).
 """
 
@@ -40,6 +41,12 @@ def with_smers(docs: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("__size", F.size("__smers"))
 
 
+def without(smer: str, size: str) -> Column:
+    """Whether K or K + 1 units have no closed syncmer: each K-mer's smallest S-mer is an inner one."""
+    open_ = lambda i: f"least({smer}[{i}], {smer}[{i + 3}]) > least({smer}[{i + 1}], {smer}[{i + 2}])"
+    return F.expr(f"case {size} when {K - S + 1} then {open_(0)} when {K - S + 2} then {open_(0)} and {open_(1)} else false end")
+
+
 def anchors(smer: str, size: str) -> Column:
     """array<struct<position, hash>> of the closed syncmers; smer: a column of smers(), size: its length."""
     one = F.transform(F.col(smer), lambda h: F.struct(F.lit(0).alias("position"), h.alias("hash")))
@@ -50,7 +57,7 @@ def anchors(smer: str, size: str) -> Column:
         f"filter(transform(sequence(0, greatest({size} - {inner + 1}, 0)), i -> "
         f"if(least({g(0)}, {g(inner)}) <= least({rest}), struct(i as position, xxhash64({g(0)}, {g(1)}, {g(inner)}) as hash), null)), x -> x is not null)"
     )
-    return F.when(F.col(size) <= 1, one).otherwise(chosen)
+    return F.when(F.col(size) <= 1, one).when(without(smer, size), F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(smer).alias("hash")))).otherwise(chosen)
 
 
 def anchor_hashes(smer: str, size: str) -> Column:
@@ -62,7 +69,7 @@ def anchor_hashes(smer: str, size: str) -> Column:
         f"transform(filter(sequence(0, greatest({size} - {inner + 1}, 0)), i -> least({g(0)}, {g(inner)}) <= least({rest})), "
         f"i -> xxhash64({g(0)}, {g(1)}, {g(inner)}))"
     )
-    return F.when(F.col(size) <= 1, F.col(smer)).otherwise(chosen)
+    return F.when(F.col(size) <= 1, F.col(smer)).when(without(smer, size), F.array(F.xxhash64(smer))).otherwise(chosen)
 
 
 def sample(hashes: Column) -> Column:

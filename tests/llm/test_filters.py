@@ -59,6 +59,22 @@ def test_syncmers(spark):
     assert (m.shift, m.matches >= len(found[1]) - 5) == (3, True)
 
 
+def test_texts_of_few_units_have_an_anchor(spark):
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in (1, 4, *[5] * 40, *[6] * 40, 7, 8, 9, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.id: x.anchors for x in fingerprints.document_anchors(docs).collect()}
+    smers = {x.doc_id: x["__smers"] for x in fingerprints.with_smers(docs, "text").collect()}
+    for i in range(len(texts)):
+        closed = brute_syncmers(smers[i]) if len(smers[i]) > 1 else []
+        assert [a.position for a in found[i]] == (closed or [0])
+    got = {x.doc_id: x for x in fingerprints.edited_fingerprints(docs).collect()}
+    assert len({x.fingerprint for x in got.values()}) == len(texts) and "" not in {x.edited_fingerprint for x in got.values()}
+    assert all(x.near_next == 0 for x in got.values())
+    parts = lambda text: {text[k : k + 16] for k in range(0, len(text), 16)}
+    assert all({f"{a.hash & (2**64 - 1):016x}" for a in found[i]} == parts(got[i].fingerprint) for i in found)
+
+
 def test_edited(odd_docs, no_docs, spark):
     docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
