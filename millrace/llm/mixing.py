@@ -121,16 +121,19 @@ def mix(
     cut = F.least(F.greatest(F.round("part").cast("long") - F.col("begin"), F.lit(0)), F.col("size"))
     extra = F.when(F.col("begin") + F.col("size") / 2 <= F.col("part"), F.col("size")).otherwise(0) if whole else cut
     laid = laid.withColumn("extra", F.when(F.col("passes") >= MAX_PASSES, F.lit(0)).otherwise(extra).cast("long"))
-    copies = F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)
-    places = F.transform(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))), lambda i: position(F.try_divide((i - 1) * F.col("source_size") + F.col("begin"), "target"), F.col("curve")))
-    positions = F.when((copies > 0) & (F.col("size") > 0), places).otherwise(F.array().cast("array<double>"))
+    # A copy is taken if the demand reaches its first word, at its training position.
+    end = F.greatest(F.col("target"), (F.col("passes") * F.col("source_size")).cast("double"))
+    share = lambda i: F.try_divide((i - 1) * F.col("source_size") + F.col("begin"), end)
+    copy = lambda i: F.struct(F.when(share(i) < 1, position(share(i), F.col("curve"))).alias("position"), F.when(i <= F.col("passes"), F.col("size")).otherwise(F.col("extra")).alias("words"))
+    copies = F.filter(F.transform(F.sequence(F.lit(1).cast("long"), F.col("passes") + 1), copy), lambda c: c["position"].isNotNull() & (c["words"] > 0))
+    laid = laid.withColumn("copies", copies)
     return laid.select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"),
-        positions.alias("positions"),
+        F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"),
+        F.col("copies.position").alias("positions"),
     )
 
 

@@ -47,6 +47,17 @@ def test_mix(spark, sf, odd_docs, no_docs):
     assert copies.columns == docs.columns and copies.count() == whole.agg(F.sum(F.size("positions"))).first()[0]
 
 
+def test_taken_is_of_copies_with_a_position(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    level, late = ({r.doc_id: (r.taken, r.positions) for r in mixing.mix(docs, schedules=(s,)).collect()} for s in ((1.0, 1.0), (0.5, 1.0, 1.5)))
+    assert all(level[d][0] == late[d][0] and len(level[d][1]) == len(late[d][1]) for d in level)
+    assert sum(sum(p) for _, p in late.values()) > sum(sum(p) for _, p in level.values())
+    real = mixing.position
+    monkeypatch.setattr(mixing, "position", lambda share, curve: F.when(real(share, curve) < 0.5, real(share, curve)))
+    half = {r.doc_id: r.taken for r in queries.op6_mixing(spark, sf).collect()}
+    assert 0 < sum(half.values()) < 0.7 * sum(t for t, _ in level.values())
+
+
 def test_price_and_plan():
     rng = np.random.default_rng(0)
     sizes = np.array([2, 3, 5, 7, 11])
