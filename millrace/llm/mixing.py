@@ -14,7 +14,9 @@ levels: sums by (source, prefix of the order hash), then running sums inside eac
 
 Nulls, ties, empty input: a null source is a source of its own, after all others; a text
 that is null or blank has size 0 and is never taken; repeated rows are documents of their
-own, in any order; an empty table gives an empty result.
+own, in any order; very long texts are only counted; an empty table gives an empty result.
+mixed_documents() returns the columns of its input alone; only names beginning with two
+underscores (__key, __size, __copy, __position) are its own and must not occur there.
 """
 
 from __future__ import annotations
@@ -46,15 +48,19 @@ class Source:
 
 
 def targets(sources: list[Source], most: float = MAX_PASSES) -> None:
-    """Share all words by weight; a target stops at most times its source's size, and the excess goes to the others by weight."""
-    open_, left = list(sources), float(sum(s.size for s in sources))
-    while open_:
-        unit = left / sum(s.weight for s in open_)
-        full = [s for s in open_ if s.weight * unit >= most * s.size]
-        for s in full or open_:
-            s.target = float(most * s.size) if full else s.weight * unit
-            left -= s.target
-        open_ = [s for s in open_ if s not in full] if full else []
+    """Share all words by weight; a target stops at most times its source's size, and the excess goes to the others by weight.
+
+    Sources fill up in the order of size by weight, so one pass over them sorted is enough.
+    """
+    left, weight = float(sum(s.size for s in sources)), sum(s.weight for s in sources)
+    order = sorted(sources, key=lambda s: most * s.size / s.weight)
+    for i, s in enumerate(order):
+        if s.weight * left < most * s.size * weight:
+            for rest in order[i:]:
+                rest.target = rest.weight * left / weight
+            return
+        s.target = float(most * s.size)
+        left, weight = left - s.target, weight - s.weight
 
 
 def demand_curve(schedule: tuple[float, ...]) -> list[tuple[float, float, float, float]]:
