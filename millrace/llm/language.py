@@ -1,20 +1,22 @@
 """Language identification by compression.
 
 Each language is a raw-content zstandard dictionary, texts of that language. Texts are
-lower-cased and runs of other characters than letters become one space. A text is
-compressed in blocks with every dictionary; the language whose dictionary gives the
-smallest total wins. A text of under SHORT_BYTES is compressed with SLICES parts of each
-dictionary instead, as the total over these tells languages apart where whole bytes of one
-result are too coarse. A text is rejected when the second best comes within MIN_MARGIN of it
-(always on a tie), or when it has no letter.
+lower-cased and runs of other characters than letters become one space. A text, of whatever
+length, is compressed in blocks of BLOCK_BYTES with every dictionary (optimal parsing, matches
+from three bytes on, so that short texts tell languages apart too); the language whose
+dictionary gives the smallest total wins. A text is rejected when the second best comes within
+MIN_MARGIN of it (always on a tie), or when it has no letter.
 
-Fitting reads a bounded sample: about SAMPLE_DOCS documents a language, chosen by a hash of
-their id, of whose texts DICTIONARY_BYTES are kept (both documented bounds). Predicting
-reads every whole text in blocks of BLOCK_BYTES.
+Fitting reads a bounded sample: of at most LANGUAGES languages (those with most labelled
+texts) about SAMPLE_DOCS documents each, chosen by a hash of their id, and of a document the
+PASSAGE characters from a place that the hash gives (all of a shorter text); DICTIONARY_BYTES
+of these are kept. All four bounds are parameters of fit(). Predicting reads every whole text.
 
 Nulls, ties, empty input: a null text, or one without letters, is `und` with score 0 and
 rejected; of languages with equal sizes the first in code-point order is predicted, and the
-tie is rejected; without any labelled text everything is `und`.
+tie is rejected; without any labelled text everything is `und`. Repeated rows are judged each
+for itself; very long texts are read block by block. Columns named __lang, __score or
+__rejected are replaced, all others come out as they went in.
 """
 
 from __future__ import annotations
@@ -32,27 +34,40 @@ from .shared import bounded_batches, trimmed
 
 SAMPLE_DOCS = 150
 DICTIONARY_BYTES = 96 * 1024
-BLOCK_BYTES = 4096
-SHORT_BYTES, SLICES = 512, 12
-LEVEL = 6
+PASSAGE = 24 * 1024
+LANGUAGES = 200
+BLOCK_BYTES = 2048
+LEVEL, MIN_MATCH, SEARCHES, WINDOW_LOG = 6, 3, 5, 17
 SLICE_ROWS = 256
 MIN_MARGIN = 0.005
 UNKNOWN = "und"
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_each: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary of at most size bytes a language, from about docs_each documents with letters."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+def fit(
+    labelled: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    key: str = "doc_id",
+    docs_each: int = SAMPLE_DOCS,
+    size: int = DICTIONARY_BYTES,
+    passage: int = PASSAGE,
+    languages: int = LANGUAGES,
+) -> dict[str, bytes]:
+    """A dictionary of at most size bytes a language, from about docs_each documents with letters; what reaches the driver has these bounds."""
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("order", F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 40)) / float(1 << 40))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    commonest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    counts = {r[0]: r[1] for r in commonest.collect()}
     if not counts:
         return {}
-    bounds = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * docs_each / n)))))
-    chosen = rows.where(F.col("order") < F.try_element_at(bounds, F.col("lang"))).select("lang", "order", "key", "text").collect()
-    chosen.sort(key=lambda r: (r.lang, r.order, r.key))
+    bounds = F.create_map(*(x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, 1.5 * docs_each / n)))))
+    chosen = rows.where(F.col("order") < F.try_element_at(bounds, F.col("lang")))
+    place = F.floor(F.pmod(F.xxhash64("key", F.lit("passage")), F.lit(1 << 20)) / float(1 << 20) * (F.greatest(F.length("text") - passage, F.lit(0)) + 1))
+    chosen = chosen.select("lang", "order", "key", F.substring("text", place.cast("int") + 1, F.lit(passage)).alias("text")).orderBy("lang", "order", "key", "text").collect()
     out: dict[str, bytes] = {}
     for r in chosen:
-        out[r.lang] = out.get(r.lang, b"") + (letters_only(r.text)[: size // 4] if len(out.get(r.lang, b"")) < size else b"")
+        if len(out.get(r.lang, b"")) < size:
+            out[r.lang] = out.get(r.lang, b"") + letters_only(r.text)
     return {k: v[:size] for k, v in out.items()}
 
 
@@ -69,27 +84,27 @@ _COMPRESSORS: dict[tuple, list] = {}
 def _compressor(content: bytes):
     import zstandard
 
+    params = zstandard.ZstdCompressionParameters(
+        compression_level=LEVEL, min_match=MIN_MATCH, strategy=zstandard.STRATEGY_BTULTRA, window_log=WINDOW_LOG, search_log=SEARCHES, write_checksum=False, write_content_size=False, write_dict_id=False
+    )
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    dictionary.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
+    dictionary.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary)
 
 
 def _compressors(models: dict[str, bytes]) -> list:
-    """(language, compressor, compressors of the dictionary's slices), made once in each worker."""
+    """(language, compressor), made once in each worker."""
     key = tuple((k, hash(v)) for k, v in models.items())
     if key not in _COMPRESSORS:
         _COMPRESSORS.clear()
-        part = lambda m, i: m[i * len(m) // SLICES : (i + 1) * len(m) // SLICES]
-        _COMPRESSORS[key] = [(n, _compressor(models[n]), [_compressor(part(models[n], i) or b" " * 8) for i in range(SLICES)]) for n in sorted(models)]
+        _COMPRESSORS[key] = [(n, _compressor(models[n])) for n in sorted(models)]
     return _COMPRESSORS[key]
 
 
 def sizes(data: bytes, compressors: list) -> list[int]:
     """Compressed bytes by language."""
-    if len(data) < SHORT_BYTES:
-        return [sum(len(c.compress(data)) for c in parts) for _, _, parts in compressors]
     blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-    return [sum(len(c.compress(b)) for b in blocks) for _, c, _ in compressors]
+    return [sum(len(c.compress(b)) for b in blocks) for _, c in compressors]
 
 
 def decide(found: list[int], names: list[str]) -> tuple[str, float, bool]:
@@ -104,6 +119,7 @@ def decide(found: list[int], names: list[str]) -> tuple[str, float, bool]:
 def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text") -> DataFrame:
     """docs, all columns unchanged, with __lang, __score and __rejected; small slices, so memory is bounded."""
     bounded_batches(docs.sparkSession)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in {"__lang", "__score", "__rejected"}))
     shared = docs.sparkSession.sparkContext.broadcast(models)
     at = docs.columns.index(text)
 

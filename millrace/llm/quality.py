@@ -12,7 +12,9 @@ the average, each bucket's vector is folded into one number before the model is
 (BUCKETS numbers, whatever the input).
 
 Nulls, ties, empty input: null text is empty text; a text without words gets the prior of
-the training labels; without labels, or with one label only, every score is that prior.
+the training labels; without labels, or with one label only, every score is that prior. A
+document with both labels counts as labelled 1; repeated rows are trained on and scored each
+for itself; very long texts are read whole, one at a time. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -127,7 +129,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", most: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
     """Texts and labels of about most labelled documents, chosen by a hash of the key."""
-    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).dropDuplicates(["__key"])
+    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).groupBy("__key").agg(F.max("__label").alias("__label"))
     share = min(1.0, most / max(1, marked.count()))
     chosen = marked.where(F.pmod(F.xxhash64(F.col("__key").cast("string"), F.lit("quality")), F.lit(1 << 40)) < int(share * (1 << 40)))
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key").collect()
