@@ -6,15 +6,21 @@ S-mers are hashed, and it is a closed syncmer if the smallest of them is the fir
 last. Whether it is chosen depends on the K-mer alone, not on its surroundings, so the same
 passage gives the same anchors in any document and at any place.
 
-anchors() gives them with positions, match_offsets() aligns two documents by them, and
-fingerprint() is the SAMPLE smallest distinct anchor hashes (in hex): the likeness of two
-fingerprints estimates the resemblance of the anchor sets, and is exact while the union has
-no more than SAMPLE anchors.
+anchors() gives them with positions, match_offsets() aligns two documents by them. The
+fingerprint is all anchors of the text in order, WIDTH hex digits each: the first is the
+distance from the anchor before (in units; at most K - S, as K - S successive K-mers always
+hold a closed syncmer), the others are 32 bits of the anchor's hash. So it holds positions
+too, and grows with the text. Likeness matches positions: an anchor counts as the same where
+the anchor before it has the same hash and stands at the same distance, wherever both stand in
+their texts. It is the resemblance of the two sets of such links (shared by all distinct ones),
+exact, without a sample.
 
 Nulls, ties, empty input: a null or blank text has the empty fingerprint; a text of fewer
 than K units, or of K or K + 1 units without a closed syncmer, has one anchor, the hash of all
-its units. (K - S successive K-mers always hold a closed syncmer.) Two empty fingerprints are alike
-(1.0), an empty and another one are not (0.0).
+its units. Two empty fingerprints are alike (1.0), an empty and another one are not (0.0).
+Documents of equal id follow each other in the order of their texts' hashes, equal rows in
+any; documents without id come last; an empty table gives an empty result. Very long texts
+are read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 K, S = 5, 2
 UNIT = 32
-SAMPLE = 64
+WIDTH = 9
 UNIT_PATTERN = rf"[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]|[^\x20\x09-\x0D\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]{{1,{UNIT}}}"
 
 
@@ -60,37 +66,36 @@ def anchors(smer: str, size: str) -> Column:
     return F.when(F.col(size) <= 1, one).when(without(smer, size), F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(smer).alias("hash")))).otherwise(chosen)
 
 
-def anchor_hashes(smer: str, size: str) -> Column:
-    """As anchors(), the hashes alone, which is what fingerprints need."""
+def entries(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """docs with a column name: the anchors of the text in order, as numbers: distance from the one before, then 32 bits of the hash."""
     inner = K - S
-    g = lambda i: f"{smer}[i + {i}]"
+    g = lambda i: f"__smers[i + {i}]"
     rest = ", ".join(g(j) for j in range(1, inner))
-    chosen = F.expr(
-        f"transform(filter(sequence(0, greatest({size} - {inner + 1}, 0)), i -> least({g(0)}, {g(inner)}) <= least({rest})), "
-        f"i -> xxhash64({g(0)}, {g(1)}, {g(inner)}))"
-    )
-    return F.when(F.col(size) <= 1, F.col(smer)).when(without(smer, size), F.array(F.xxhash64(smer))).otherwise(chosen)
-
+    rows = with_smers(docs, text)
+    # In steps, so that each is computed once.
+    rows = rows.withColumn("__at", F.expr(f"filter(if(__size > {inner}, sequence(0, __size - {inner + 1}), cast(array() as array<int>)), i -> least({g(0)}, {g(inner)}) <= least({rest}))"))
+    low = "& 4294967295L"
+    chosen = F.expr(f"transform(__at, (i, k) -> shiftleft(cast(i - if(k = 0, 0, __at[k - 1]) as bigint), 32) | (xxhash64({g(0)}, {g(1)}, {g(inner)}) {low}))")
+    one = F.expr(f"transform(__smers, h -> h {low})")
+    whole = F.array(F.expr(f"xxhash64(__smers) {low}"))
+    rows = rows.withColumn(name, F.when(F.col("__size") <= 1, one).when(without("__smers", "__size"), whole).otherwise(chosen))
+    return rows.drop("__smers", "__size", "__at")
 
-def sample(hashes: Column) -> Column:
-    """The SAMPLE smallest distinct hashes, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SAMPLE)
 
+def as_text(found: str) -> Column:
+    return F.expr(f"array_join(transform({found}, e -> lpad(lower(hex(e)), {WIDTH}, '0')), '')")
 
-def as_text(sampled: Column) -> Column:
-    return F.array_join(F.transform(sampled, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
+def links(found: str) -> Column:
+    """Hashes of each anchor with its distance from the one before and that one's hash."""
+    return F.expr(f"array_distinct(transform({found}, (e, k) -> xxhash64(if(k = 0, -1L, {found}[k - 1] & 4294967295L), e)))")
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated resemblance of two samples, 0 to 1."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SAMPLE)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union)).cast("double")
 
-
-def fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """docs with a column name: the sample (array of hashes) of the text's anchors."""
-    return with_smers(docs, text).withColumn(name, sample(anchor_hashes("__smers", "__size"))).drop("__smers", "__size")
+def likeness(a: str, b: str) -> Column:
+    """Resemblance of two columns of links, 0 to 1."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union == 0, F.lit(1.0)).otherwise(shared / union).cast("double")
 
 
 def document_anchors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -111,12 +116,11 @@ def match_offsets(left: DataFrame, right: DataFrame) -> DataFrame:
     return shifts.groupBy("left_id", "right_id").agg(best).select("left_id", "right_id", "best.shift", F.col("best.count").alias("matches"))
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """docs with next_<c> for each carried column: that of the next document in descending key order, after the last the first.
+def dealt_with_guests(docs: DataFrame, key: str) -> DataFrame:
+    """docs with __b, a range of the key, and __guest: each row once (0) in the partition of its range, and the row that heads a range once more (1), behind the range above.
 
-    One shuffle of the rows: they are dealt by ranges of the key, and the row that heads a range is
-    dealt a second time, as a guest behind the last row of the range above. The number of ranges is
-    the number of shuffle partitions, so what reaches the driver (one key a range) is bounded.
+    One shuffle of the rows. The number of ranges is the number of shuffle partitions, so what reaches
+    the driver (one key a range) is bounded.
     """
     spark = docs.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -134,36 +138,37 @@ def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
         block = F.size(F.filter(longs(coarse), lambda c: c <= at))
         return F.when(block == 0, F.lit(0)).otherwise((block - 1) * side + F.size(F.filter(F.element_at(arrays, F.greatest(block, F.lit(1))), lambda c: c <= at)))
 
+    head = F.struct(F.col(key).alias("key"), F.col("__tie").alias("tie"))
     dealt = docs.withColumn("__bucket", F.coalesce(bucket(), F.lit(-1)))
-    tops = [(r[0], r[1]) for r in dealt.groupBy("__bucket").agg(F.max(key)).orderBy("__bucket").collect()]
-    if not tops:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
-    above = [(b, top, tops[(i + 1) % len(tops)][0]) for i, (b, top) in enumerate(tops)]
-    heads = spark.createDataFrame(above, f"__b int, __top {docs.schema[key].dataType.simpleString()}, __above int")
-    dealt = dealt.join(F.broadcast(heads), (F.col("__bucket") == F.col("__b")) & at.eqNullSafe(F.col("__top")), "left").drop("__b", "__top")
-    places = F.filter(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("__above").alias("b"), F.lit(1).alias("guest"))), lambda x: x["b"].isNotNull())
-    rows = dealt.withColumn("__place", F.explode(places))
-    order = Window.partitionBy("__place.b").orderBy("__place.guest", F.col(key).desc_nulls_last())
-    rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried))
-    return rows.where("__place.guest = 0").drop("__bucket", "__place", "__above")
+    tops = [(r[0], r[1][0], r[1][1]) for r in dealt.groupBy("__bucket").agg(F.max(head)).orderBy("__bucket").collect()]
+    above = [(b, top, tie, tops[(i + 1) % len(tops)][0]) for i, (b, top, tie) in enumerate(tops)]
+    heads = spark.createDataFrame(above, f"__own int, __top {docs.schema[key].dataType.simpleString()}, __top_tie long, __above int")
+    dealt = dealt.join(F.broadcast(heads), (F.col("__bucket") == F.col("__own")) & at.eqNullSafe(F.col("__top")) & (F.col("__tie") == F.col("__top_tie")), "left")
+    places = F.filter(F.array(F.struct(F.col("__bucket").alias("__b"), F.lit(0).alias("__guest")), F.struct(F.col("__above").alias("__b"), F.lit(1).alias("__guest"))), lambda x: x["__b"].isNotNull())
+    return dealt.select(*docs.columns, F.inline(places)).repartition("__b")
 
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row a document: its fingerprint, and that of the text whose last third is replaced by the next document's first third."""
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = fingerprint(plain, "text", "sample")
-    rows = with_next(own, "doc_id", ["text", "sample"])
+    """One row a document: its fingerprint, and that of the text whose last third is replaced by the next document's first third.
+
+    Texts are shuffled once; fingerprints are made behind the shuffle.
+    """
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("__tie", F.xxhash64("text"))
+    rows = entries(dealt_with_guests(plain, "doc_id"), "text", "own")
+    order = Window.partitionBy("__b").orderBy("__guest", F.col("doc_id").desc_nulls_last(), F.col("__tie").desc())
+    rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "own"))).where("__guest = 0")
     n_chars = F.length("text")
     third = F.floor(n_chars / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n_chars - third), F.substring("next_text", F.lit(1), third)))
-    rows = fingerprint(rows.withColumn("n_chars", n_chars.cast("long")).drop("next_text"), "edited", "edited_sample")
+    rows = rows.select("doc_id", n_chars.cast("long").alias("n_chars"), "edited", "own", "next_own")
+    rows = entries(rows, "edited", "other")
+    rows = rows.withColumns({"own_links": links("own"), "other_links": links("other"), "next_links": links("next_own")})
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("sample")).alias("fingerprint"),
-        as_text(F.col("edited_sample")).alias("edited_fingerprint"),
-        likeness(F.col("sample"), F.col("edited_sample")).alias("near_edited"),
-        likeness(F.col("sample"), F.col("next_sample")).alias("near_next"),
+        as_text("own").alias("fingerprint"),
+        as_text("other").alias("edited_fingerprint"),
+        likeness("own_links", "other_links").alias("near_edited"),
+        likeness("own_links", "next_links").alias("near_next"),
     )
-

@@ -71,8 +71,47 @@ def test_texts_of_few_units_have_an_anchor(spark):
     got = {x.doc_id: x for x in fingerprints.edited_fingerprints(docs).collect()}
     assert len({x.fingerprint for x in got.values()}) == len(texts) and "" not in {x.edited_fingerprint for x in got.values()}
     assert all(x.near_next == 0 for x in got.values())
-    parts = lambda text: {text[k : k + 16] for k in range(0, len(text), 16)}
-    assert all({f"{a.hash & (2**64 - 1):016x}" for a in found[i]} == parts(got[i].fingerprint) for i in found)
+    for i in found:
+        assert [h for _, h in parsed(got[i].fingerprint)] == [a.hash & (2**32 - 1) for a in found[i]]
+        assert [p for p, _ in parsed(got[i].fingerprint)] == [a.position for a in found[i]]
+
+
+def parsed(fingerprint):
+    """(position, hash) of the anchors that a fingerprint holds."""
+    out, at = [], 0
+    for k in range(0, len(fingerprint), fingerprints.WIDTH):
+        at += int(fingerprint[k], 16)
+        out.append((at, int(fingerprint[k + 1 : k + fingerprints.WIDTH], 16)))
+    return out
+
+
+def brute_likeness(a, b):
+    """Share of the links (hash before, distance, hash) that two fingerprints have in common."""
+    sets = []
+    for found in (parsed(a), parsed(b)):
+        sets.append({(-1 if k == 0 else found[k - 1][1], p - (found[k - 1][0] if k else 0), h) for k, (p, h) in enumerate(found)})
+    union = sets[0] | sets[1]
+    return len(sets[0] & sets[1]) / len(union) if union else 1.0
+
+
+def test_likeness_is_brute_force(spark, sf):
+    """On every document: the fingerprints are those of the texts, and likeness is that of all anchors by position."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    edits = [(d, t[: len(t) - len(t) // 3] + rows[(i + 1) % len(rows)][1][: len(t) // 3]) for i, (d, t) in enumerate(rows)]
+    of = {x.doc_id: x.fingerprint for x in fingerprints.edited_fingerprints(spark.createDataFrame(edits, "doc_id long, text string")).collect()}
+    for i, (d, t) in enumerate(rows):
+        x, after = got[d], got[rows[(i + 1) % len(rows)][0]]
+        assert x.edited_fingerprint == of[d]
+        assert x.near_edited == pytest.approx(brute_likeness(x.fingerprint, x.edited_fingerprint))
+        assert x.near_next == pytest.approx(brute_likeness(x.fingerprint, after.fingerprint))
+    plain = [x for x in got.values() if x.n_chars > 300]
+    assert sum(x.near_edited > x.near_next for x in plain) > 0.95 * len(plain)
+    assert 0.3 < sum(x.near_edited for x in plain) / len(plain) < 0.7
+    shifted = [(1, "lead words come first " + rows[0][1]), (2, rows[0][1])]
+    alone = {x.doc_id: x for x in fingerprints.edited_fingerprints(spark.createDataFrame(shifted, "doc_id long, text string")).collect()}
+    assert len(parsed(alone[2].fingerprint)) > 20 and alone[2].near_next > 0.8  # matching is by distance, not by place
 
 
 def test_edited(odd_docs, no_docs, spark):
