@@ -131,7 +131,7 @@ d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS paylo
 g AS (SELECT payload_digest AS k, max(page_id) AS keep FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN keep <> page_id THEN keep END AS refers_to
+       CASE WHEN keep IS DISTINCT FROM page_id THEN keep END AS refers_to
 FROM d LEFT JOIN g ON payload_bytes >= 1000 AND payload_digest = k
 """
 

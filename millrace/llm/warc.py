@@ -1,26 +1,33 @@
 """WARC archives: writing, normalising and reading.
 
 Archives are first written as monolithic gzip files (one member for the whole file), as some
-crawlers leave them. The normaliser inflates such a file once, as a stream, rewrites every
-record as a gzip member of its own, so that each can be read alone, and writes a sidecar
-index (offset, length, record id, type, payload digest by line). Reading takes the records
-back from the normalised archives by their index.
+crawlers leave them, each page a response record. The normaliser inflates such a file once, as
+a stream, rewrites every record as a gzip member of its own, so that each can be read alone,
+and writes a sidecar index (offset, length, record id, type, payload digest by line). Reading
+takes the records back from the normalised archives by their index.
 
 Records with equal payloads of at least LEAST_REVISIT bytes: that with the largest id is
-the response, the others are revisit records, which refer to it and carry no payload.
+the response, the others are revisit records, which refer to it and carry no payload. Writing
+yields one narrow row a record (archive, place in it, id, digest, size); which records repeat a
+payload is found on these rows alone, and the normaliser, which gets them by archive and place,
+writes the revisit records. So pages themselves are never shuffled, whatever repeats.
 
 Archives go to shared storage (any file system that pyarrow can open by URI) under names
 that depend on the partition alone; each is written under a name of its own attempt and then
-renamed, so a task that runs again replaces what it left.
-
-Nulls, ties, empty input: a null payload is the empty payload; rows with equal id and
-payload refer to that id; null urls are written as `urn:none`, other urls percent-encoded
-where they hold spaces or control characters; an empty table gives empty archives.
+renamed, so a task that runs again replaces what it left. The normaliser fails if an archive
+does not hold the records of its rows.
+
+Nulls, ties, empty input: a null payload is the empty payload; a page without id is a record
+`none`, it refers to the response of its payload if that has an id and is a response otherwise;
+rows with equal id and payload are all responses; null urls are written as `urn:none`, other
+urls percent-encoded where they hold spaces or control characters; an empty table gives no
+archives. Very long payloads are held one record at a time. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import posixpath
 import uuid
@@ -42,29 +49,32 @@ DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 
 
-def classify(pages: DataFrame, payload: str = "html", key: str = "page_id") -> DataFrame:
-    """pages with __bytes, __digest (SHA-1, hex) and __refers (the response's id for revisits, else null)."""
-    data = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
-    narrow = materialise(pages.select(F.col(key).alias("__id"), F.octet_length(data).alias("__bytes"), F.unhex(F.sha1(data)).alias("__digest")), "payloads")
-    groups = narrow.where(F.col("__bytes") >= LEAST_REVISIT).groupBy("__digest").agg(F.max("__id").alias("__keep"), F.count("*").alias("__size")).where("__size > 1")
+def refer(records: DataFrame) -> DataFrame:
+    """Rows of write_archives() with refers: the id of the response for revisits, else null."""
+    groups = records.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("size")).where("size > 1 and keep is not null")
     groups = materialise(groups, "responses")
-    rows = pages.withColumn("__digest", F.unhex(F.sha1(data))).withColumn("__bytes", F.octet_length(data).cast("long"))
-    rows = attach_groups(rows, groups, ["__digest"], narrow.count(), "__size")
-    refers = F.when((F.col("__bytes") >= LEAST_REVISIT) & (F.col("__keep") != F.col(key)), F.col("__keep"))
-    return rows.withColumn("__refers", refers).withColumn("__digest", F.lower(F.hex("__digest"))).drop("__keep", "__size")
+    rows = attach_groups(records, groups, ["digest"], records.count(), "size")
+    return rows.withColumn("refers", F.when((F.col("bytes") >= LEAST_REVISIT) & ~F.col("keep").eqNullSafe(F.col("page_id")), F.col("keep"))).drop("keep", "size")
 
 
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def record(key: int, url: str | None, payload: bytes, digest: str, size: int, refers: int | None) -> bytes:
+def record_id(key: int | None) -> str:
+    return f"<urn:page:{'none' if key is None else key}>"
+
+
+def target(url: str | None) -> str:
+    return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url) if url else "urn:none"
+
+
+def record(rid: str, uri: str, payload: bytes, digest: str, size: int, refers: str | None = None) -> bytes:
     """The bytes of one WARC record; a revisit has no block."""
-    safe = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url) if url else "urn:none"
     kind = "response" if refers is None else "revisit"
-    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{key}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {safe}\r\nWARC-Payload-Digest: sha1:{digest}\r\nX-Payload-Length: {size}\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {uri}\r\nWARC-Payload-Digest: {digest}\r\nX-Payload-Length: {size}\r\n"
     if refers is not None:
-        head += f"WARC-Refers-To: <urn:page:{refers}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
+        head += f"WARC-Refers-To: {refers}\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
         payload = b""
     return f"{head}Content-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload + END
 
@@ -118,53 +128,75 @@ def chunks(source) -> Iterator[bytes]:
         yield part
 
 
+WRITTEN = pa.schema([("archive", pa.string()), ("place", pa.int64()), ("page_id", pa.int64()), ("digest", pa.binary()), ("bytes", pa.int64())])
+
+
 def write_archives(pages: DataFrame, folder: str, payload: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
-    """Writes one monolithic gzip archive a partition; returns (archive, records) rows, already materialised."""
+    """Writes one monolithic gzip archive a partition; returns a row a record (archive, place, page_id, digest, bytes), already materialised."""
     bounded_batches(pages.sparkSession)
-    rows = classify(pages, payload, key).select(F.col(key).cast("long"), F.col(url).cast("string"), F.coalesce(F.col(payload).cast("string"), F.lit("")), "__digest", "__bytes", F.col("__refers").cast("long"))
+    rows = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.coalesce(F.col(payload).cast("string"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
         name = f"{TaskContext.get().partitionId():06d}.warc.gz"
         draft, n = posixpath.join(base, f".{name}.{uuid.uuid4().hex}"), 0
         deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         with fs.open_output_stream(draft, compression=None) as out:
-            for batch in batches:
+            for batch in itertools.chain([first], batches):
+                found = []
                 for i in range(batch.num_rows):
-                    k, u, body, digest, size, refers = (c[i].as_py() for c in batch.columns)
-                    out.write(deflate.compress(record(k, u, body.encode("utf-8", "surrogatepass"), digest, size, refers)))
-                    n += 1
+                    k, u, text = (c[i].as_py() for c in batch.columns)
+                    body = text.encode("utf-8", "surrogatepass")
+                    digest = hashlib.sha1(body)
+                    out.write(deflate.compress(record(record_id(k), target(u), body, f"sha1:{digest.hexdigest()}", len(body))))
+                    found.append((name, n + i, k, digest.digest(), len(body)))
+                n += batch.num_rows
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), WRITTEN.types, strict=True)], schema=WRITTEN)
             out.write(deflate.flush())
         fs.move(draft, posixpath.join(base, name))
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["archive", "records"])
 
-    return materialise(rows.mapInArrow(trimmed(run), "archive string, records long"), "archives")
+    return materialise(rows.mapInArrow(trimmed(run), "archive string, place long, page_id long, digest binary, bytes long"), "written")
+
 
+def normalise(written: DataFrame, source: str, folder: str, remove: bool = False) -> DataFrame:
+    """Rewrites each archive of source into folder, one gzip member a record, with its index; returns (archive, records, size).
 
-def normalise(archives: DataFrame, source: str, folder: str, remove: bool = False) -> DataFrame:
-    """Rewrites each archive of source into folder, one gzip member a record, with its index; returns (archive, records, size)."""
+    Narrow rows alone are shuffled. A task reads the rows of its archives in step with their records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (fs, base), (out_fs, out_base) = _open(source), _open(folder)
         out_fs.create_dir(out_base, recursive=True)
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                tag, at, n = uuid.uuid4().hex, 0, 0
-                drafts = [posixpath.join(out_base, f".{name}.{kind}.{tag}") for kind in ("warc", "index")]
-                with fs.open_input_stream(posixpath.join(base, name), compression=None) as data, out_fs.open_output_stream(drafts[0], compression=None) as out, out_fs.open_output_stream(drafts[1], compression=None) as index:
-                    for headers, _, whole in records(inflated(chunks(data))):
-                        deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                        member = deflate.compress(whole) + deflate.flush()
-                        out.write(member)
-                        line = [at, len(member), headers["warc-record-id"], headers["warc-type"], headers["warc-payload-digest"]]
-                        index.write(json.dumps(line).encode() + b"\n")
-                        at, n = at + len(member), n + 1
-                out_fs.move(drafts[0], posixpath.join(out_base, name))
-                out_fs.move(drafts[1], posixpath.join(out_base, name + ".index"))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], ["archive", "records", "size"])
-
-    done = materialise(archives.repartition(max(1, archives.count()), "archive").mapInArrow(trimmed(run), "archive string, records long, size long"), "normalised")
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for name, own in itertools.groupby(rows, key=lambda row: row[0]):
+            tag, at, n = uuid.uuid4().hex, 0, 0
+            drafts = [posixpath.join(out_base, f".{name}.{kind}.{tag}") for kind in ("warc", "index")]
+            with fs.open_input_stream(posixpath.join(base, name), compression=None) as data, out_fs.open_output_stream(drafts[0], compression=None) as out, out_fs.open_output_stream(drafts[1], compression=None) as index:
+                for (headers, _, whole), (_, _, key, refers) in zip(records(inflated(chunks(data))), own, strict=True):
+                    rid, kind, digest = record_id(key), "response", headers["warc-payload-digest"]
+                    if headers["warc-record-id"] != rid:
+                        raise ValueError(f"{name}: record {n} is not {rid}")
+                    if refers is not None:
+                        kind = "revisit"
+                        whole = record(rid, headers["warc-target-uri"], b"", digest, int(headers["x-payload-length"]), record_id(refers))
+                    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    member = deflate.compress(whole) + deflate.flush()
+                    out.write(member)
+                    index.write(json.dumps([at, len(member), rid, kind, digest]).encode() + b"\n")
+                    at, n = at + len(member), n + 1
+            out_fs.move(drafts[0], posixpath.join(out_base, name))
+            out_fs.move(drafts[1], posixpath.join(out_base, name + ".index"))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], ["archive", "records", "size"])
+
+    rows = refer(written).select("archive", "place", "page_id", "refers")
+    archives = written.select("archive").distinct().count()
+    dealt = rows.repartition(max(1, archives), "archive").sortWithinPartitions("archive", "place")
+    done = materialise(dealt.mapInArrow(trimmed(run), "archive string, records long, size long"), "normalised")
     if remove:
         path = done.sparkSession._jvm.org.apache.hadoop.fs.Path(source)
         path.getFileSystem(done.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
@@ -175,7 +207,8 @@ RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_
 
 
 def _number(uri: str | None) -> int | None:
-    return int(uri.strip("<>").rpartition(":")[2]) if uri else None
+    number = uri.strip("<>").rpartition(":")[2] if uri else "none"
+    return None if number == "none" else int(number)
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -224,6 +257,5 @@ def round_trip(pages: DataFrame, payload: str = "html", key: str = "page_id", ur
     root = shared_uri(pages.sparkSession)
     tag = uuid.uuid4().hex
     raw, clean = f"{root}/warc-raw-{tag}", f"{root}/warc-{tag}"
-    archives = write_archives(pages, raw, payload, key, url)
-    done = normalise(archives, raw, clean, remove=True)
+    done = normalise(write_archives(pages, raw, payload, key, url), raw, clean, remove=True)
     return read_archives(done, clean, payloads)

@@ -130,6 +130,34 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_odd_pages(spark):
+    """Pages without id, repeated rows, very long payloads, clashing columns."""
+    big, huge = "x" * 1000, "é" * 3_000_000
+    data = [(None, "a", big), (4, "b", big), (4, "b", big), (2, None, big), (None, None, None), (None, "c", "y" * 2000), (None, "d", "y" * 2000), (7, "e", huge), (6, "f", huge)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({c: F.lit("z") for c in ("archive", "place", "digest", "bytes", "keep")}).repartition(4)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=str)
+    want = [(None, 1000, "revisit", 4), (4, 1000, "response", None), (4, 1000, "response", None), (2, 1000, "revisit", 4), (None, 0, "response", None)]
+    want += [(None, 2000, "response", None)] * 2 + [(7, 6_000_000, "response", None), (6, 6_000_000, "revisit", 7)]
+    assert got == sorted(want, key=str)
+
+
+def test_pages_are_not_shuffled(spark, sf, monkeypatch):
+    """Whatever the number of repeated payloads: no exchange of any job holds html."""
+    monkeypatch.setattr("millrace.llm.shared.HEAVY_GROUPS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.read.parquet(f"{sf}/pages.parquet")
+        pages = pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 10_000))
+        written = warc.write_archives(pages, f"{warc.shared_uri(spark)}/not-shuffled")
+        assert "html" not in written.columns
+        plan = warc.refer(written)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and "html" not in plan
+        found = warc.refer(written)
+        assert found.count() == pages.count() and found.where("refers is not null").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_normalised_members_stand_alone(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"u{i}", f"body {i}") for i in range(5)], "page_id long, url string, html string").coalesce(1)
     done = warc.normalise(warc.write_archives(pages, f"file://{tmp_path}/raw"), f"file://{tmp_path}/raw", f"file://{tmp_path}/clean")
