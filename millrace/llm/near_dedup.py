@@ -7,16 +7,23 @@ sketch, a bitmap of SKETCH_BITS parities; the population count of the XOR of two
 gives the similarity of the samples, and pairs far below the threshold (SCREEN, more than
 five standard deviations) are not looked at further. The rest are compared on full sets.
 
-Skew: documents of equal sets are one node. In a bucket only pairs with two leaders, its
-smallest member and one chosen by hash, are tried first, which is linear in its rows. Then
-connected components tell which buckets still hold several components. Of these, all pairs
-between components are screened, in blocks of BLOCK members, each pair only in the first
-band it shares and by finer sketches (FINE_SAMPLES samples, five standard deviations again),
-which only the members of such buckets get; so no pair limit drops a link, no task holds a
-whole large bucket, and buckets of copies that the leaders joined are never expanded.
-
-Nulls, ties, empty input: a text without words has an empty set and no links; a row without
-id is returned unlinked; rows with equal id are one document. An empty table gives none.
+Skew: documents of equal sets are one node, known by the number of one of its rows, so ids
+may repeat. In a bucket only pairs with two leaders, its smallest member and one chosen by
+hash, are tried first, which is linear in its rows. Then connected components tell which
+buckets still hold several components. Of these, the members outside the bucket's largest
+component (its minors) are compared with all members of other components, each pair only in
+the first band it shares and by finer sketches (FINE_SAMPLES samples, five standard deviations
+again), which only the members of such buckets get. Members are dealt to blocks of BLOCK, and
+only minors are copied, once a block, so a stray document in a large bucket costs as many
+comparisons as the bucket has members; minors in turn are dealt to groups of GROUP. So no pair
+limit drops a link, no task holds a whole large bucket, and buckets of copies that the leaders
+joined are never expanded.
+
+Nulls, ties, empty input: a text without words has an empty set and no links, and takes no
+part in any join; a row without id is returned unlinked; rows of one id are documents of their
+own, linked by their texts. An empty table gives none. Very long texts are read whole, one at
+a time. near_duplicates() reads no other column; drop_near_duplicates() returns all columns
+unchanged, and only names beginning with two underscores (__handle, __gone) are its own.
 """
 
 from __future__ import annotations
@@ -29,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, bounded_batches, hashed_words, materialise, mix64, release, sieve, text_chunks, trimmed
+from .shared import attach_groups, bounded_batches, hashed_words, materialise, mix64, release, sieve, sieved, text_chunks, trimmed
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 SCREEN = 0.2
 FINE_SAMPLES, FINE_BITS, FINE_SCREEN = 1024, 2048, 0.075
-BLOCK = 512
+BLOCK, GROUP = 512, 8192
 CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1024
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_240_229))
@@ -99,47 +106,55 @@ def sketch_similarity(a: str, b: str, samples: int = SAMPLES, bits: int = SKETCH
     return F.when(load <= 0.0, F.lit(0.0)).otherwise(1.0 + bits / (4.0 * samples) * F.log(load))
 
 
+def set_keys(sets: list[np.ndarray]) -> list[bytes | None]:
+    """A 128-bit name of each non-empty set."""
+    return [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
+
+
 def _describe(width: int):
+    """From (id, text, handle) batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES, CHUNK_ROWS):
                 sets = shingle_sets(data, offsets, width)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys, bands, sketches = ([None] * len(sets) for _ in range(3))
+                bands, sketches = ([None] * len(sets) for _ in range(2))
                 if full:
                     samples = signatures([sets[i] for i in full])
                     for i, b, s in zip(full, band_keys(samples).view(np.int64), odd_sketches(samples), strict=True):
-                        keys[i], bands[i], sketches[i] = hashlib.blake2b(sets[i], digest_size=16).digest(), b, s
+                        bands[i], sketches[i] = b, s
                 longs = pa.list_(pa.int64())
+                part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
-                    ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_keys(sets), pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
+                    ["doc_id", "handle", "n_shingles", "set_key", "bands", "sketch"],
                 )
 
     return run
 
 
 def _sets(width: int):
+    """From (text) batches: name and members of each non-empty set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES, CHUNK_ROWS):
-                sets = [s.view(np.int64) for s in shingle_sets(data, offsets, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            for _, _, data, offsets in text_chunks(batch.column(0), CHUNK_BYTES, CHUNK_ROWS):
+                sets = [s for s in shingle_sets(data, offsets, width) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_key", "shingles"])
 
     return run
 
 
 def _fine_sketches(width: int):
+    """From (text) batches: name and fine sketch of each non-empty set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES, CHUNK_ROWS):
-                sets = shingle_sets(data, offsets, width)
-                fine: list = [None] * len(sets)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                if full:
-                    for i, s in zip(full, odd_sketches(signatures([sets[i] for i in full], FINE_SAMPLES), FINE_BITS), strict=True):
-                        fine[i] = s
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(fine, pa.list_(pa.int64()))], ["node", "fine"])
+            for _, _, data, offsets in text_chunks(batch.column(0), CHUNK_BYTES, CHUNK_ROWS):
+                sets = [s for s in shingle_sets(data, offsets, width) if len(s)]
+                fine = list(odd_sketches(signatures(sets, FINE_SAMPLES), FINE_BITS)) if sets else []
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets), pa.binary()), pa.array(fine, pa.list_(pa.int64()))], ["set_key", "fine"])
 
     return run
 
@@ -179,19 +194,29 @@ def _screened(percent: int, sa: str, sb: str, na: str, nb: str) -> F.Column:
 
 
 class _Linker:
+    """docs: (handle, text); nodes: (node, handle, set_key, n_shingles, bands, sketch)."""
+
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
 
+    def from_texts(self, wanted: DataFrame, run, column: str) -> DataFrame:
+        """(node, column) of the wanted nodes, computed from their texts: found by handle, confirmed by the name of the set."""
+        named = materialise(wanted.join(self.nodes.select("node", "handle", "set_key"), "node"), "wanted")
+        handles = named.select("handle").distinct()
+        texts = sieve(self.docs, "handle", handles).join(handles, "handle", "left_semi")
+        found = texts.select("text").mapInArrow(trimmed(run(self.width)), f"set_key binary, {column} array<long>")
+        out = materialise(found.join(named.select("node", "set_key"), "set_key").dropDuplicates(["node"]).select("node", column), column)
+        release(named)
+        return out
+
     def confirmed(self, likely: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) whose full sets are similar enough."""
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        wanted = materialise(wanted, "wanted")
-        texts = sieve(self.docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi").mapInArrow(trimmed(_sets(self.width)), "node long, shingles array<long>")
-        sets = materialise(texts, "sets")
+        wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+        sets = self.from_texts(wanted, _sets, "shingles")
         full = likely.join(sets.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
         common = F.size(F.array_intersect("xa", "xb"))
         links = materialise(full.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
-        release(likely, wanted, sets)
+        release(likely, sets)
         return links
 
     def led(self, rows: DataFrame) -> DataFrame:
@@ -205,26 +230,27 @@ class _Linker:
         return self.confirmed(materialise(seen.select("a", "b", "na", "nb"), "likely"))
 
     def between(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links between components that share a bucket."""
+        """Links between components that share a bucket: its minors with all members of other components."""
         named = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        open_ = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x < y")
-        left = named.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
-        open_rows = left = materialise(left, "open")
-        wanted = materialise(left.select(F.col("node").alias("doc_id")).distinct(), "wanted")
-        texts = sieve(self.docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi")
-        sketched = materialise(texts.mapInArrow(trimmed(_fine_sketches(self.width)), "node long, fine array<long>"), "fine")
-        fine = sketched.dropDuplicates(["node"])
-        left = left.join(self.nodes.join(fine, "node"), "node")
-        x = left.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "sketch", "fine", "n_shingles", "bands")))
-        y = left.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "c", "sketch", "fine", "n_shingles", "bands")))
+        sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
+        open_ = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
+        shape = open_.select("key", "major", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / GROUP).cast("int").alias("groups"))
+        left = materialise(named.join(shape, "key"), "open")
+        fine = self.from_texts(left.select("node").distinct(), _fine_sketches, "fine")
+        sketched = left.join(self.nodes.select("node", "sketch", "n_shingles", "bands"), "node").join(fine, "node")
+        columns = ("node", "c", "sketch", "fine", "n_shingles", "bands")
+        up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+        x = sketched.where("c <> major").select("key", up_to("blocks").alias("block"), at("groups", "group").alias("part"), *(F.col(c).alias(f"{c}_a") for c in columns))
+        y = sketched.select("key", at("blocks", "block").alias("block"), up_to("groups").alias("part"), (F.col("c") == F.col("major")).alias("is_major"), *(F.col(c).alias(f"{c}_b") for c in columns))
         first_shared = F.expr("filter(zip_with(bands_a, bands_b, (p, q) -> if(p = q, p, null)), p -> p is not null)[0] = x.key")
-        apart = (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & _screened(self.percent, "sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b")
+        apart = (F.col("c_a") != F.col("c_b")) & (F.col("is_major") | (F.col("node_a") < F.col("node_b"))) & _screened(self.percent, "sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b")
         near = sketch_similarity("fine_a", "fine_b", FINE_SAMPLES, FINE_BITS) >= max(0.0, self.percent / 100 - FINE_SCREEN)
         x, y = x.alias("x"), y.alias("y")
-        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block"))
+        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part"))
         pairs = x.join(y, same & apart & first_shared & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_shingles_a").alias("na"), F.col("n_shingles_b").alias("nb"))
         likely = materialise(pairs, "likely")
-        release(open_rows, wanted, sketched)
+        release(left, fine)
         return self.confirmed(likely)
 
     def run(self) -> DataFrame:
@@ -238,27 +264,53 @@ class _Linker:
         return components(links.union(more))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
+def _found(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
+    """One row a document: doc_id, handle, n_shingles, component_id, kept."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialise(docs.mapInArrow(trimmed(_describe(width)), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"), "described")
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), handle(key, text).alias("handle"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.mapInArrow(trimmed(_describe(width)), f"doc_id {kind}, handle long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    rows = materialise(rows.withColumn("node", F.monotonically_increasing_id()), "described")
     n_rows = rows.count()
-    sets = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    linked = rows.where("set_key is not null and doc_id is not null")
+    # The node of a set is its row of the smallest id.
+    sets = linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "node")).alias("least"), F.count("*").alias("copies")).select("set_key", "least.doc_id", "least.node", "copies")
     sets = materialise(sets, "nodes")
-    nodes = rows.join(sets.select(F.col("node").alias("doc_id"), F.col("set_key").alias("own")), "doc_id").where("set_key = own")
-    nodes = materialise(nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch"), "sketches")
-    labels = _Linker(docs, nodes, width, percent).run()
-    named = sets.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), F.col("node"), "copies").where("copies > 1 or component < node")
-    named = materialise(named.select("set_key", "component", "copies"), "named")
+    nodes = materialise(rows.join(sets.select("node"), "node", "left_semi").select("node", "handle", "set_key", "n_shingles", "bands", "sketch"), "sketches")
+    labels = materialise(_Linker(docs.select("handle", "text"), nodes, width, percent).run(), "labels")
+    least = labels.join(sets.select("node", "doc_id"), "node").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    labels = labels.join(least, "component").select("node", "first")
+    named = sets.join(labels, "node", "left").select("set_key", F.coalesce("first.doc_id", "doc_id").alias("component"), F.coalesce("first.node", "node").alias("stays"), "node", "copies")
+    named = materialise(named.where("copies > 1 or stays <> node").select("set_key", "component", "stays", "copies"), "named")
     release(nodes, sets)
-    out = attach_groups(rows.select("doc_id", "n_shingles", "set_key"), named, ["set_key"], n_rows, "copies")
-    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return out.select("doc_id", "n_shingles", whole).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    narrow = rows.select("doc_id", "handle", "node", "n_shingles", "set_key")
+    whole = attach_groups(narrow.where("set_key is not null"), named, ["set_key"], n_rows, "copies")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = whole.select("doc_id", "handle", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id").isNull() | (F.col("stays") == F.col("node")), F.lit(True)).alias("stays"))
+    bare = narrow.where("set_key is null").select("doc_id", "handle", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return out.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def handle(key: str, text: str) -> F.Column:
+    """A 64-bit name of a row, by which it is found again."""
+    return F.xxhash64(F.col(key), F.col(text).cast("string"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (smallest id reachable over links), kept (it is this id)."""
+    return _found(docs, text, key, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, all columns unchanged."""
-    found = near_duplicates(docs, text, key, width, percent)
-    gone = materialise(found.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "dropped")
-    return docs.join(gone, key, "left_anti")
+    """docs without the documents that are linked with one of smaller id (of equal ids one row stays), all columns unchanged.
+
+    Rows that certainly stay pass straight through; the others meet the list of those that go by
+    (id, text) handle. Rows of equal id and text go or stay as one.
+    """
+    found = _found(docs, text, key, width, percent)
+    fate = found.where("doc_id is not null").groupBy("handle").agg(F.max("stays").alias("__stays")).where("not __stays")
+    gone = materialise(fate.select(F.col("handle").alias("__gone")), "dropped")
+    marked = sieved(docs.withColumn("__handle", handle(key, text)), "__handle", gone, "__maybe")
+    alone = marked.where("not __maybe").select(*docs.columns)
+    rest = marked.where("__maybe").join(gone, F.col("__handle") == F.col("__gone"), "left_anti").select(*docs.columns)
+    return alone.unionByName(rest)

@@ -109,10 +109,10 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: i
     return hot.unionByName(rest.join(groups.where(F.col(size) < least), keys, "left"))
 
 
-def sieve(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 29) -> DataFrame:
-    """rows whose key may be among the keys of wanted (one column, at 16 bits a key one in 17 others passes too).
+def sieved(rows: DataFrame, key: str, wanted: DataFrame, flag: str, most_bits: int = 1 << 29) -> DataFrame:
+    """rows with a column flag, false only where the key is certainly not among the keys of wanted (one column; at 16 bits a key one in 17 others is true too).
 
-    For a semi-join of wide rows: only what passes needs a shuffle. The bitmap is broadcast; it has
+    For joins of wide rows: only what passes needs a shuffle. The bitmap is broadcast; it has
     at most most_bits bits (64 MB), and lets more pass where wanted holds more keys than that suits.
     """
     bits = 1 << 15
@@ -122,8 +122,13 @@ def sieve(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 29
     maps = wanted.select(at(F.col(wanted.columns[0])).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__map"))
     marked = rows.withColumn("__at", at(F.col(key))).withColumn("__own", F.bitmap_bucket_number("__at")).withColumn("__bit", F.bitmap_bit_position("__at").cast("int"))
     byte = F.expr("cast(conv(hex(substring(__map, cast(floor(__bit / 8) as int) + 1, 1)), 16, 10) as int)")
-    found = marked.join(F.broadcast(maps), F.col("__own") == F.col("__bucket")).where(F.call_function("getbit", byte, F.col("__bit") % 8) == 1)
-    return found.select(*rows.columns)
+    found = marked.join(F.broadcast(maps), F.col("__own") == F.col("__bucket"), "left")
+    return found.withColumn(flag, F.coalesce(F.call_function("getbit", byte, F.col("__bit") % 8) == 1, F.lit(False))).drop("__at", "__own", "__bit", "__bucket", "__map")
+
+
+def sieve(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 29) -> DataFrame:
+    """The rows that pass sieved(), for a semi-join."""
+    return sieved(rows, key, wanted, "__passes", most_bits).where("__passes").select(*rows.columns)
 
 
 def text_chunks(column: pa.Array, limit: int, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
