@@ -9,7 +9,10 @@ that it lets more rows through to the exact comparison, so it can cost a larger
 narrow rows but never changes a result.
 
 Nulls, ties, empty input: a null text counts as empty text; rows without an id sort after
-all ids; of rows with equal id and text one stays. An empty table gives an empty result.
+all ids; of rows with equal id and text one stays. An empty table gives an empty result. Very
+long texts are hashed whole. exact_duplicates() reads no other column; drop_exact_duplicates()
+returns all columns unchanged, and only names beginning with two underscores (__name, __maybe,
+__digest, __id, __sum, __stays, __n) are its own.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, materialise, single_spaced, trimmed
+from .shared import attach_groups, materialise, sieved, single_spaced, trimmed
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 29
@@ -131,16 +134,23 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", m
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs that stay, all their columns unchanged; texts of unique rows are never shuffled."""
-    rows = materialise(docs.select(F.col(key).alias("__id"), digest(F.col(text)).alias(DIGEST)), "digests")
-    n_rows = rows.count()
-    probe = maybe_repeated(rows, n_rows, max_bits)
-    ranked = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))
-    groups = rows.where(probe(DIGEST)).groupBy(DIGEST).agg(F.min(ranked).alias("__keep"), F.count("*").alias("__size")).where("__size > 1")
-    groups = materialise(groups, "groups")
-    flagged = docs.withColumn(DIGEST, digest(F.col(text))).withColumn("__maybe", probe(DIGEST))
-    alone = flagged.where("not __maybe").select(*docs.columns)
-    joined = attach_groups(flagged.where("__maybe"), groups, [DIGEST], n_rows, "__size")
-    unlike = joined.where("__keep is null").select(*docs.columns)
-    first = joined.where(F.col("__keep").isNotNull() & F.col(key).eqNullSafe(F.col("__keep.id"))).dropDuplicates([DIGEST]).select(*docs.columns)
+    """The rows of docs that stay, all their columns unchanged.
+
+    Which go is decided on narrow rows. Rows with an id that none of these has pass straight
+    through, without being hashed again; the others meet the list of rows that go by id and digest.
+    """
+    found = exact_duplicates(docs, text, key, max_bits)
+    # Of rows with equal id and text, one stays or none does; so all but one of a kept group go, by number.
+    fate = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1")
+    fate = materialise(fate.withColumnsRenamed({"doc_id": "__id", "digest": "__sum"}), "dropped")
+    ids = fate.select(F.coalesce(F.xxhash64("__id"), F.lit(0)).alias("__name")).distinct()
+    marked = sieved(docs.withColumn("__name", F.xxhash64(F.col(key))), "__name", ids, "__maybe")
+    alone = marked.where("not __maybe").select(*docs.columns)
+    rest = marked.where("__maybe").withColumn(DIGEST, digest(F.col(text)))
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.col(DIGEST) == F.col("__sum"))
+    unlike = rest.join(fate, same, "left_anti").select(*docs.columns)
+    repeated = fate.where("__stays")
+    if repeated.isEmpty():
+        return alone.unionByName(unlike)
+    first = rest.join(repeated, same, "left_semi").dropDuplicates([key, DIGEST]).select(*docs.columns)
     return alone.unionByName(unlike).unionByName(first)

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, near_dedup
 from millrace.llm.shared import attach_groups, sieve
@@ -77,6 +78,46 @@ def test_near_odd(odd_docs, no_docs):
     assert left.columns == [c for c in left.columns if c in odd_docs.columns] and {x.doc_id for x in left.collect()} == {1, 2, 3, 4, 7, 9, 12, 13}
 
 
+def test_near_repeated_ids(spark):
+    """Rows of one id are documents of their own: a text that no other row has is never lost."""
+    t, u = " ".join(f"t{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    rows = [(3, t, "a"), (5, u, "b"), (5, t, "c"), (7, u + " v", "d"), (7, "w " * 9, "e"), (7, "w " * 9, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(3)
+    for _ in range(2):
+        got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(df).collect())
+        assert got == [(3, 36, 3), (5, 36, 3), (5, 36, 5), (7, 1, 7), (7, 1, 7), (7, 37, 5)]
+        left = near_dedup.drop_near_duplicates(df)
+        assert left.columns == df.columns
+        assert sorted((x.doc_id, x.text) for x in left.collect() if x.doc_id < 7) == [(3, t), (5, u)]
+    named = df.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert {x.component_id for x in near_dedup.near_duplicates(named).collect()} == {"d3", "d5", "d7"}
+
+
+def test_near_many_rows_without_words(spark, monkeypatch):
+    """They take no part in joins, however many there are."""
+    monkeypatch.setattr("millrace.llm.shared.HEAVY_GROUPS", 2)
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, F.lit(None)).otherwise(F.concat(F.lit("a b c d e f g h "), (F.col("id") % 40).cast("string"))).alias("text"))
+    got = near_dedup.near_duplicates(df)
+    assert got.count() == 400 and got.where("text is null" if "text" in got.columns else "n_shingles = 0").where("component_id <> doc_id or not kept").count() == 0
+    assert got.where("n_shingles > 0").select("component_id").distinct().count() == 10
+
+
+@pytest.mark.parametrize("group", [8192, 4])
+def test_a_stray_in_a_large_bucket(spark, monkeypatch, group):
+    """Components that share buckets without a link: the comparisons are the stray's with the others."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(r.randrange(0, 3) if i < 70 else r.randrange(4, 9)):
+            words[r.randrange(len(words))] = f"e{r.randrange(9999)}"
+        rows.append((i, " ".join(words)))
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_near(rows)
+
+
 def test_sketches_estimate():
     rng = np.random.default_rng(0)
     for j in (0.75, 0.9):
@@ -125,6 +166,14 @@ def test_exact_odd(odd_docs, no_docs):
     assert left.columns == odd_docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3, 4, 7, 8, 9, 10, 12, 13]
 
 
+def test_exact_drop_repeated_ids(spark):
+    rows = [(1, "a b", "x"), (1, "c", "y"), (2, "a  b", "z"), (2, "d", "z"), (2, "d", "z"), (None, "c", "n"), (None, "q", "n"), (None, "q", "n"), (3, None, "e"), (4, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(4)
+    left = exact_dedup.drop_exact_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted(map(str, left.collect())) == sorted(map(str, df.where("(doc_id = 1) or (doc_id = 2 and text = 'd') or text = 'q' or doc_id = 3").distinct().collect()))
+
+
 def test_shared(spark, monkeypatch):
     rows, groups = spark.range(300).selectExpr("id", "id % 7 as k"), spark.createDataFrame([(0, 43, "a"), (1, 43, "b")], "k long, n long, v string")
     want = sorted((r.id, {0: "a", 1: "b"}.get(r.k)) for r in rows.collect())
