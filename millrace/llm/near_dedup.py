@@ -134,29 +134,27 @@ def _describe(width: int):
     return run
 
 
-def _sets(width: int):
-    """From (text) batches: name and members of each non-empty set."""
+def _from_sets(width: int, column: str, make):
+    """From (node, set_key, text) batches: node and make(sets) of each row whose text has the set of this name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), CHUNK_BYTES, CHUNK_ROWS):
-                sets = [s for s in shingle_sets(data, offsets, width) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_key", "shingles"])
+            for first, end, data, offsets in text_chunks(batch.column(2), CHUNK_BYTES, CHUNK_ROWS):
+                sets = shingle_sets(data, offsets, width)
+                part = batch.slice(first, end - first)
+                own = [i for i, (name, key) in enumerate(zip(part.column(1).to_pylist(), set_keys(sets), strict=True)) if name == key]
+                made = make([sets[i] for i in own]) if own else []
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array(made, pa.list_(pa.int64()))], ["node", column])
 
     return run
 
 
-def _fine_sketches(width: int):
-    """From (text) batches: name and fine sketch of each non-empty set."""
+def _members(sets: list[np.ndarray]) -> list[np.ndarray]:
+    return [s.view(np.int64) for s in sets]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), CHUNK_BYTES, CHUNK_ROWS):
-                sets = [s for s in shingle_sets(data, offsets, width) if len(s)]
-                fine = list(odd_sketches(signatures(sets, FINE_SAMPLES), FINE_BITS)) if sets else []
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets), pa.binary()), pa.array(fine, pa.list_(pa.int64()))], ["set_key", "fine"])
 
-    return run
+def _fine_sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
+    return list(odd_sketches(signatures(sets, FINE_SAMPLES), FINE_BITS))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,20 +197,22 @@ class _Linker:
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
 
-    def from_texts(self, wanted: DataFrame, run, column: str) -> DataFrame:
-        """(node, column) of the wanted nodes, computed from their texts: found by handle, confirmed by the name of the set."""
+    def from_texts(self, wanted: DataFrame, column: str, make) -> DataFrame:
+        """(node, column) of the wanted nodes, made of their sets: texts are found by handle, sets confirmed by name."""
         named = materialise(wanted.join(self.nodes.select("node", "handle", "set_key"), "node"), "wanted")
-        handles = named.select("handle").distinct()
-        texts = sieve(self.docs, "handle", handles).join(handles, "handle", "left_semi")
-        found = texts.select("text").mapInArrow(trimmed(run(self.width)), f"set_key binary, {column} array<long>")
-        out = materialise(found.join(named.select("node", "set_key"), "set_key").dropDuplicates(["node"]).select("node", column), column)
+        texts = sieve(self.docs, "handle", named.select("handle")).join(named, "handle").select("node", "set_key", "text")
+        out = materialise(texts.mapInArrow(trimmed(_from_sets(self.width, column, make)), f"node long, {column} array<long>"), column)
+        more = out.count() > named.count()
         release(named)
+        if more:  # rows of equal id and text
+            out, several = materialise(out.dropDuplicates(["node"]), column), out
+            release(several)
         return out
 
     def confirmed(self, likely: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) whose full sets are similar enough."""
         wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-        sets = self.from_texts(wanted, _sets, "shingles")
+        sets = self.from_texts(wanted, "shingles", _members)
         full = likely.join(sets.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
         common = F.size(F.array_intersect("xa", "xb"))
         links = materialise(full.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
@@ -236,7 +236,7 @@ class _Linker:
         open_ = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
         shape = open_.select("key", "major", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / GROUP).cast("int").alias("groups"))
         left = materialise(named.join(shape, "key"), "open")
-        fine = self.from_texts(left.select("node").distinct(), _fine_sketches, "fine")
+        fine = self.from_texts(left.select("node").distinct(), "fine", _fine_sketches)
         sketched = left.join(self.nodes.select("node", "sketch", "n_shingles", "bands"), "node").join(fine, "node")
         columns = ("node", "c", "sketch", "fine", "n_shingles", "bands")
         up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
