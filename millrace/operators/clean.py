@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import combined_text, folded_metadata, nullish_to_null
+from millrace.functions.text import combined_text, folded_metadata, nullish_to_null, strip
 
 NONE = "none"
 
@@ -59,12 +59,12 @@ def drop_null(df: DataFrame, subset: list[str]) -> DataFrame:
 
 def drop_blank(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with text other than white space in all columns."""
-    return df.where(reduce(lambda a, b: a & b, [F.trim(F.col(c)) != "" for c in columns]))
+    return df.where(reduce(lambda a, b: a & b, [strip(F.col(c)) != "" for c in columns]))
 
 
 def drop_nullish(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows where no column is null, empty or the text `nan`."""
-    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.trim(F.col(c)).isin("", "nan") for c in columns]))
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~strip(F.col(c)).isin("", "nan") for c in columns]))
 
 
 def validated(df: DataFrame, required: list[str], prefix: str = "TRIAL", key: str = "nct_id", aliases: tuple[str, ...] = ("nctid", "id")) -> DataFrame:
@@ -102,10 +102,10 @@ def standardise_qa(df: DataFrame, dataset: str, quality: int, question: str = "q
     for c in (question, answer, *([answer_long] if answer_long else [])):
         resolve_column(df, c)
     out = df.select(
-        F.trim(F.col(question).cast("string")).alias("question"),
-        F.trim(F.col(answer).cast("string")).alias("answer"),
-        (F.trim(F.col(answer_long).cast("string")) if answer_long else F.lit(None).cast("string")).alias("answer_long"),
-        F.trim(F.col(answer_long or answer).cast("string")).alias("dedup_answer"),
+        strip(F.col(question).cast("string")).alias("question"),
+        strip(F.col(answer).cast("string")).alias("answer"),
+        (strip(F.col(answer_long).cast("string")) if answer_long else F.lit(None).cast("string")).alias("answer_long"),
+        strip(F.col(answer_long or answer).cast("string")).alias("dedup_answer"),
         F.lit(dataset).alias("dataset_name"),
         F.lit(quality).alias("quality"),
     )
@@ -126,7 +126,7 @@ def with_combined_text(df: DataFrame, columns: list[str], name: str = "combined_
 def status_outcome(status: Column) -> Column:
     """1, 0 or null by the registry status."""
     pairs = [F.lit(x) for kv in STATUS_OUTCOME.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(status)))
+    return F.try_element_at(F.create_map(*pairs), F.lower(strip(status)))
 
 
 def outcome(status: Column, label: Column | None = None) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import ordered_distinct
 from millrace.functions.numeric import age_years
+from millrace.operators.relational import with_row_number
 
 
 def _micros(c: Column) -> Column:
@@ -66,9 +67,9 @@ def sampled_documents(admissions: DataFrame, children: dict[str, tuple[DataFrame
 
 
 def vocabulary(words: DataFrame, word: str, position: list[str], first: int = 1) -> DataFrame:
-    """(word, index) in the order of first appearance. One row a distinct word is ranked."""
+    """(word, index) in the order of first appearance. Distinct words are numbered by ranges."""
     seen = words.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("word")).agg(F.min(F.struct(*position)).alias("__first"))
-    return seen.select("word", (F.row_number().over(Window.orderBy("__first", "word")) + (first - 1)).alias("index"))
+    return with_row_number(seen, "__n", "__first", "word").select("word", (F.col("__n") + (first - 1)).alias("index"))
 
 
 def visit_events(admissions: DataFrame, diagnoses: DataFrame, drugs: DataFrame, subject: str, admission: str, time: str, code: str, drug: str, order: str) -> DataFrame:

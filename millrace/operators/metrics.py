@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import softmax, top_k
+from millrace.operators.relational import median, running_sums
 
 MISSING = "__NO_PREDICTION__"
 
@@ -44,9 +45,15 @@ def _counts(df: DataFrame, truth: str, prediction: str, by: list[str]) -> DataFr
     return df.groupBy(*by, F.col(truth).alias("t"), F.coalesce(F.col(prediction), F.lit(MISSING)).alias("p")).agg(F.count("*").alias("n"))
 
 
-def confusion(df: DataFrame, truth: str = "truth", prediction: str = "prediction") -> DataFrame:
-    """(truth, prediction, n) for all pairs of labels that occur, zeros too. The label grid is as large as the labels squared."""
+def confusion(df: DataFrame, truth: str = "truth", prediction: str = "prediction", only_truth: bool = False, other: str = "__OTHER__") -> DataFrame:
+    """(truth, prediction, n) for all pairs of labels that occur, zeros too. The label grid is as large as the labels squared.
+
+    Where predictions are free texts, only_truth counts all that no row has as its truth under other.
+    """
     c = _counts(df, truth, prediction, [])
+    if only_truth:
+        known = c.select(F.col("t").alias("p")).distinct().withColumn("__known", F.lit(True))
+        c = c.join(known, "p", "left").groupBy("t", F.when(F.col("__known"), F.col("p")).otherwise(other).alias("p")).agg(F.sum("n").alias("n"))
     labels = c.select(F.explode(F.array("t", "p")).alias("label")).distinct()
     grid = labels.select(F.col("label").alias("truth")).crossJoin(labels.select(F.col("label").alias("prediction")))
     found = c.select(F.col("t").alias("truth"), F.col("p").alias("prediction"), "n")
@@ -88,12 +95,12 @@ def valid_only(df: DataFrame, prediction: str, labels: list[str]) -> DataFrame:
 
 
 def score_curve(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """One row a distinct score, from high to low, with positives and negatives so far. The window holds distinct scores only."""
+    """One row a distinct score, from high to low, with positives and negatives so far (of all rows: P, N)."""
     by = by or []
     d = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(F.desc("s"))
-    total = Window.partitionBy(*by)
-    return d.select(*by, "s", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(total).alias("P"), F.sum("neg").over(total).alias("N"))
+    found = running_sums(d, F.desc("s"), {"tp": "pos", "fp": "neg"}, by)
+    total = d.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return found.join(total, by) if by else found.crossJoin(total)  # without by: one row
 
 
 def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -177,11 +184,12 @@ def regression_metrics(df: DataFrame, truth: str, prediction: str, by: list[str]
     rows = df.where(F.col(truth).isNotNull())
     if penalise:
         mean = rows.groupBy(*by).agg(F.avg(truth).alias("__mean"))
-        rows = rows.join(F.broadcast(mean), by) if by else rows.crossJoin(F.broadcast(mean))
+        rows = rows.join(mean, by) if by else rows.crossJoin(mean)  # without by: one row
         rows = rows.withColumn("__p", F.coalesce(F.col(prediction).cast("double"), F.col("__mean")))
     else:
         rows = rows.where(F.col(prediction).isNotNull()).withColumn("__p", F.col(prediction).cast("double"))
     e, y = F.col("__p") - F.col(truth), F.col(truth)
+    middle = [F.median(e).alias("median_error")] if by else []
     out = rows.groupBy(*by).agg(
         F.count("*").alias("evaluated"),
         F.avg(F.abs(e)).alias("mae"),
@@ -190,8 +198,10 @@ def regression_metrics(df: DataFrame, truth: str, prediction: str, by: list[str]
         (F.lit(1.0) - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"),
         F.avg(e).alias("mean_error"),
         F.stddev_pop(e).alias("std_error"),
-        F.median(e).alias("median_error"),
+        *middle,
     )
+    if not by:
+        out = out.crossJoin(median(rows.select(e.alias("e")), "e").withColumnRenamed("median", "median_error"))
     return out.fillna(0.0, ["r2"])
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import strip
+from millrace.storage import materialise
+
 
 def with_row_number(df: DataFrame, name: str, *order: str) -> DataFrame:
     """A gapless number from 1, by order or by place in the input, without putting all rows into one task.
@@ -15,9 +18,8 @@ def with_row_number(df: DataFrame, name: str, *order: str) -> DataFrame:
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     marked = placed.withColumn("__id", F.monotonically_increasing_id())
-    marked = marked.withColumn("__part", F.shiftright("__id", 33)).withColumn("__in", F.col("__id").bitwiseAND((1 << 33) - 1))
-    if order:  # range boundaries come from a sample, so both uses below must see the same rows
-        marked = marked.persist()
+    # Both uses below must see the same rows in the same partitions, so they are written once.
+    marked = materialise(marked.withColumn("__part", F.shiftright("__id", 33)).withColumn("__in", F.col("__id").bitwiseAND((1 << 33) - 1)), "numbered")
     counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
@@ -72,9 +74,20 @@ def contained_pairs(queries: DataFrame, items: DataFrame, query: str, text: str,
     return queries.crossJoin(items).withColumn(label, F.coalesce(hit, F.lit(False)).cast("int"))
 
 
-def lookup_both(mapping: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Mapping rows with the first row of each side by key."""
-    return mapping.join(left.dropDuplicates([left_key]), left_key).join(right.dropDuplicates([right_key]), right_key)
+def lookup_both(mapping: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: str | None = None, missing: str = "raise") -> DataFrame:
+    """Mapping rows with the first row of each side by key: first in the order column, else by the values of its columns.
+
+    An id that a side lacks fails the query, or drops the mapping row if missing is `drop`.
+    """
+    for side, key in ((left, left_key), (right, right_key)):
+        rest = [c for c in side.columns if c != key]
+        ranked = F.struct(*([F.col(order).alias("__order")] if order in rest else []), *rest)
+        first = side.groupBy(key).agg(F.min(ranked).alias("__first"))
+        mapping = mapping.join(first, key, "left" if missing == "raise" else "inner")
+        if missing == "raise":
+            mapping = mapping.where(F.assert_true(F.col("__first").isNotNull(), F.concat(F.lit(f"no row of {key} "), F.col(key).cast("string"))).isNull())
+        mapping = mapping.select("*", *(F.col(f"__first.{c}").alias(c) for c in rest)).drop("__first")
+    return mapping
 
 
 def matched_lists(mapping: DataFrame, sites: DataFrame, trial: str, site: str, weight: str, default: float = 1.0) -> DataFrame:
@@ -117,7 +130,7 @@ def value_counts(df: DataFrame, *keys: str) -> DataFrame:
 
 def distinct_items(df: DataFrame, column: str, separator: str = ",") -> DataFrame:
     """Distinct trimmed items of a separated column."""
-    return df.select(F.explode(F.split(column, separator)).alias("value")).select(F.trim("value").alias("value")).where("value <> ''").distinct()
+    return df.select(F.explode(F.split(column, separator)).alias("value")).select(strip("value").alias("value")).where("value <> ''").distinct()
 
 
 def retention(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
@@ -128,3 +141,26 @@ def retention(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
     return out.withColumn("rate", F.coalesce(F.bround(F.try_divide(100.0 * F.col("final"), "original"), 2), F.lit(0.0)))
 
 
+def running_sums(df: DataFrame, order: Column, sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """df with a column for each of sums (name to column): its sum up to the row, in order, within by.
+
+    Rows are dealt by ranges of by and order; running sums inside each range are shifted by the
+    sums of the ranges before, one row a range and group, so no task holds a whole group.
+    """
+    by = by or []
+    placed = materialise(df.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = placed.groupBy(*by, "__part").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__by_{c}") for c in by), *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], F.col("__part") == F.col("__p"))
+    found = placed.select("*", *(F.sum(c).over(inner).alias(n) for n, c in sums.items())).join(shifts, same)
+    return found.select(*df.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
+
+
+def median(df: DataFrame, column: str) -> DataFrame:
+    """(median) of a column, exact, by row numbers in order of the value; null if there is none."""
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    numbered = with_row_number(values, "__n", "v")
+    n = numbered.count()
+    return numbered.where(F.col("__n").isin((n + 1) // 2, n // 2 + 1)).agg(F.avg("v").alias("median"))

@@ -11,6 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.relational import with_row_number
+
+#: Groups are dealt to 16**BUCKET_DIGITS buckets by the first digits of the draw.
+BUCKET_DIGITS = 3
+
 
 def draw(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
@@ -31,15 +36,36 @@ def upsample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     size = df.count()
     if not size:
         return df.limit(0)
-    ranked = df.withColumn("__r", F.row_number().over(Window.orderBy(draw(F.col(key), seed), key)) - 1)
+    ranked = with_row_number(df.withColumn("__d", draw(F.col(key), seed)), "__r", "__d", key).withColumn("__r", F.col("__r") - 1).drop("__d")
     slots = spark.range(n).select(F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}:slot"))), 1, 8), 16, 10).cast("long"), F.lit(size)).alias("__s"))
     return slots.join(ranked, F.col("__s") == F.col("__r")).drop("__s", "__r")
 
 
+def ranked(df: DataFrame, group: list[str], key: str, seed: int, name: str, most: Column | int | None = None) -> DataFrame:
+    """df with the rank, from 1, of each row in its group by its draw; only ranks up to most if that is given.
+
+    A group may hold any share of the rows: it is dealt to buckets by the first digits of the draw,
+    whose counts give each bucket's first rank; ranks are then made inside buckets. Buckets that
+    begin beyond most are left out before any row is shuffled to be ranked.
+    """
+    rows = df.withColumn("__d", draw(F.col(key), seed)).withColumn("__bucket", F.substring("__d", 1, BUCKET_DIGITS))
+    counts = rows.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*(F.col(c).alias(f"__by_{c}") for c in group), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in group], F.col("__bucket") == F.col("__b"))
+    rows = rows.join(firsts, same)
+    if most is not None:
+        rows = rows.where(F.col("__shift") < most)
+    inside = F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy("__d", key))
+    rows = rows.withColumn(name, inside + F.col("__shift"))
+    if most is not None:
+        rows = rows.where(F.col(name) <= most)
+    return rows.select(*df.columns, name)
+
+
 def per_group(df: DataFrame, group: list[str], n: Column | int, key: str, seed: int = 42) -> DataFrame:
     """At most n rows of each group."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(draw(F.col(key), seed), key))
-    return df.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
+    return ranked(df, group, key, seed, "__r", n).drop("__r")
 
 
 def recovered(before: DataFrame, after: DataFrame, group: str, key: str, n: int = 10, seed: int = 42) -> DataFrame:
@@ -50,9 +76,9 @@ def recovered(before: DataFrame, after: DataFrame, group: str, key: str, n: int
 
 def train_test(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """df with is_test: the same share of every label."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(draw(F.col(key), seed), key))
-    return df.withColumn("is_test", rank <= F.round(F.count("*").over(w) * test))
+    share = df.groupBy(F.col(label).alias("__label")).agg(F.round(F.count("*") * test).alias("__most"))
+    rows = ranked(df, [label], key, seed, "__r").join(share, F.col(label).eqNullSafe(F.col("__label")))
+    return rows.select(*df.columns, (F.col("__r") <= F.col("__most")).alias("is_test"))
 
 
 def _tier_share(pool: DataFrame, quality: int, n: int, dataset: str, key: str, seed: int) -> DataFrame:
@@ -61,8 +87,7 @@ def _tier_share(pool: DataFrame, quality: int, n: int, dataset: str, key: str, s
     names = [r[0] for r in tier.select(dataset).distinct().orderBy(dataset).collect()]
     d = len(names)
     share = F.create_map(*(x for i, name in enumerate(names) for x in (F.lit(name), F.lit(n // d + (1 if i < n % d else 0)))))
-    rank = F.row_number().over(Window.partitionBy(dataset).orderBy(draw(F.col(key), seed), key))
-    marked = tier.withColumn("__over", (rank > F.try_element_at(share, F.col(dataset))).cast("int"))
+    marked = ranked(tier, [dataset], key, seed, "__r").withColumn("__over", (F.col("__r") > F.try_element_at(share, F.col(dataset))).cast("int")).drop("__r")
     return marked.withColumn("__d", draw(F.col(key), seed)).orderBy("__over", "__d", key).limit(n).drop("__over", "__d")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import cosine
+from millrace.storage import materialise, release
 
 BLOCK_ROWS = 4000
 
@@ -23,14 +24,8 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def _materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir; set here only where it is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df written to the shared folder of spark.checkpoint.dir and read again."""
+    return materialise(df, "vectors")
 
 
 def _blocks(n: int) -> int:
@@ -44,7 +39,8 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "row_id", vector: str = "embedding", n_rows: int | None = None) -> DataFrame:
-    """(i, j, cosine) with i before j by key and cosine above the threshold."""
+    """(i, j, cosine) with i before j by key and cosine above the threshold. Rows without a vector are in no pair."""
+    vectors = vectors.where(F.col(vector).isNotNull())
     b = _blocks(n_rows if n_rows is not None else vectors.count())
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(b)).cast("int").alias("b"))
     others = F.sequence(F.lit(0), F.lit(b - 1))
@@ -70,7 +66,8 @@ def cosine_pairs_sql(vectors: DataFrame, threshold: float, key: str = "row_id",
 
 
 def similarity_histogram(vectors: DataFrame, bins: int = 50, key: str = "row_id", vector: str = "embedding") -> DataFrame:
-    """(bin, pairs) of the cosines of all pairs, -1 to 1; each block returns its own counts."""
+    """(bin, pairs) of the cosines of all pairs, -1 to 1; each block returns its own counts. Rows without a vector are left out."""
+    vectors = vectors.where(F.col(vector).isNotNull())
     b = _blocks(vectors.count())
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(b)).cast("int").alias("b"))
     dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
@@ -103,7 +100,8 @@ def greedy_removed(pairs: DataFrame, order: DataFrame | None = None) -> DataFram
         out = _materialise(edges.join(kept, edges.i == kept.r, "left_semi").select(F.col("j").alias("row_id")).distinct())
         removed = out if removed is None else removed.union(out)
         left = edges.join(out, edges.i == out.row_id, "left_anti").join(out, F.col("j") == out.row_id, "left_anti")
-        edges = _materialise(left.join(kept, left.i == kept.r, "left_anti"))
+        done, edges = edges, _materialise(left.join(kept, left.i == kept.r, "left_anti"))
+        release(done)
     spark = pairs.sparkSession
     return removed.distinct() if removed is not None else spark.createDataFrame([], "row_id long")
 
@@ -114,7 +112,8 @@ def any_earlier_removed(pairs: DataFrame) -> DataFrame:
 
 
 def across_removed(new: DataFrame, old: DataFrame, threshold: float, key: str = "row_id", vector: str = "embedding") -> DataFrame:
-    """(row_id) of new rows with a cosine above the threshold to any old row. Old rows are dealt to blocks, new rows meet each block."""
+    """(row_id) of new rows with a cosine above the threshold to any old row. Old rows are dealt to blocks, new rows meet each block. Rows without a vector are like none."""
+    new, old = new.where(F.col(vector).isNotNull()), old.where(F.col(vector).isNotNull())
     b = _blocks(max(new.count(), old.count()))
     side = lambda df, tag, own, all_: df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(tag).alias("side"), F.pmod(F.xxhash64(key), F.lit(b)).cast("int").alias(own)).withColumn(all_, F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     dealt = side(new, 0, "p", "q").unionByName(side(old, 1, "q", "p"))

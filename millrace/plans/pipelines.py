@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import citation_title, split_criteria
+from millrace.functions.text import citation_title, split_criteria, strip
 from millrace.operators.clean import NONE, outcome, summary, validated
 from millrace.operators.relational import group_concat, outer_chain, union_all
 from millrace.operators.sampling import balanced, presampled, recovered
-from millrace.operators.similarity import Encoder, cosine_pairs, embedded, greedy_removed, hash_encoder, qa_across, within
+from millrace.operators.similarity import Encoder, across_removed, cosine_pairs, embedded, greedy_removed, hash_encoder, qa_across, within
+from millrace.storage import materialise
 
 
 @dataclass
@@ -49,7 +50,7 @@ def within_group(df: DataFrame, threshold: float = 0.9, question_only: bool = Fa
     """Questions, then answers of what is left; datasets that are lost altogether get a few rows back."""
     left = df.join(removed_by_quality(df, "question_embedding", threshold, key).withColumnRenamed("row_id", key), key, "left_anti")
     if not question_only:
-        left = left.checkpoint()
+        left = materialise(left, "left")
         left = left.join(removed_by_quality(left, "answer_embedding", threshold, key).withColumnRenamed("row_id", key), key, "left_anti")
     return recovered(df, left, "dataset_name", key, rescue)
 
@@ -62,7 +63,7 @@ def group_pipeline(groups: list[tuple[Group, DataFrame]], threshold: float = 0.9
         kept = within_group(presampled(rows, key=key), threshold, group.question_only, key)
         if before is not None:
             kept, _ = qa_across(kept, before, threshold, key=key)
-        final = balanced(kept, group.target, key=key).checkpoint()
+        final = materialise(balanced(kept, group.target, key=key), group.name)
         out[group.name] = final
         before = final if before is None else before.unionByName(final, allowMissingColumns=True)
     return out
@@ -75,19 +76,25 @@ def group_statistics(before: dict[str, DataFrame], after: dict[str, DataFrame])
     return union_all([retention(before[g], after[g], "dataset_name").withColumn("group", F.lit(g)) for g in before])
 
 
-def incremental(new: DataFrame, index_path: str, threshold: float = 0.9, key: str = "row_id", vector: str = "embedding") -> DataFrame:
-    """One more corpus: de-duplicated within itself, then against the saved index, to which what is left is appended."""
-    from millrace.operators.similarity import across_removed
-    from millrace.sources.readers import exists
+def incremental(new: DataFrame, index_path: str, threshold: float = 0.9, key: str = "row_id", vector: str = "embedding", batch: int | None = None) -> DataFrame:
+    """One more corpus: de-duplicated within itself, then against the saved index, to which what is left is added as its batch.
 
+    A batch is compared with batches of smaller numbers only and replaces what was saved under its
+    own number, so running it again, after a failure or not, gives the same rows. Without a number it
+    comes after all saved ones.
+    """
     spark = new.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(index_path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{index_path}/batch=*/_SUCCESS"))
+    saved = sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or ())
+    number = batch if batch is not None else (saved[-1] + 1 if saved else 0)
     kept, _ = within(new, vector, threshold, key)
-    if exists(spark, f"{index_path}/_SUCCESS"):
-        old = spark.read.parquet(index_path)
-        gone = across_removed(kept, old, threshold, key, vector)
+    before = [f"{index_path}/batch={n}" for n in saved if n < number]
+    if before:
+        gone = across_removed(kept, spark.read.parquet(*before), threshold, key, vector)
         kept = kept.join(gone, kept[key] == gone.row_id, "left_anti")
-    kept = kept.checkpoint()
-    kept.select(key, vector).write.mode("append").parquet(index_path)
+    kept = materialise(kept, "kept")
+    kept.select(key, vector).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
     return kept
 
 
@@ -108,7 +115,7 @@ def registry_table(tables: dict[str, DataFrame], key: str = "nct_id", order: str
         lists.append(group_concat(rows, key, c, [order]).withColumnRenamed(c, names[t]))
     status = tables["studies"].groupBy(key).agg(F.min("overall_status").alias("overall_status"))
     out = outer_chain([*lists, status], key, NONE)
-    out = out.withColumn("reference", F.when(F.trim("reference") == "", NONE).otherwise(F.col("reference")))
+    out = out.withColumn("reference", F.when(strip("reference") == "", NONE).otherwise(F.col("reference")))
     return out.where("overall_status <> 'Withheld'")
 
 

@@ -20,10 +20,10 @@ def binned(events: DataFrame, duration: str, by: str, variables: list[str], time
 
 
 def deduplicated(rows: DataFrame, index_path: str, sink: Callable[[DataFrame, int], None], threshold: float = 0.9, key: str = "row_id", vector: str = "embedding") -> DataStreamWriter:
-    """Each micro-batch loses its near duplicates, within itself and against all before; sink gets what is left."""
+    """Each micro-batch loses its near duplicates, within itself and against all before; sink gets what is left, the same rows if a batch is run again."""
 
     def step(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            sink(incremental(batch, index_path, threshold, key, vector), number)
+            sink(incremental(batch, index_path, threshold, key, vector, batch=number), number)
 
     return rows.writeStream.foreachBatch(step)

@@ -132,3 +132,48 @@ def test_transform_round_trip(spark):
         back = features.TableTransform.from_json(t.to_json()).inverse(t.transform(df)).collect()
         assert [(r.x, r.c, r.b, r.i) for r in back] == [(1.0, "a", True, "0"), (3.0, "b", False, "5"), (2.0, "a", True, "9")]
     assert features.demographic_columns(spark.createDataFrame([(1, 2)], "gender_f int, x int")) == ["gender_f"]
+
+
+def test_large_groups_are_ranked_in_buckets(spark):
+    """Ranks by counts and buckets are those of one window, and no plan puts all rows into one partition."""
+    from pyspark.sql import Window
+
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 6 == 0, F.lit(None)).otherwise("b").alias("g"), (F.col("id") * 7919 % 101).alias("s"), (F.col("id") % 2).alias("t"))
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(sampling.draw(F.col("id")), "id")))
+    got = sampling.ranked(df, ["g"], "id", 42, "r")
+    assert rows(got.select("id", "r")) == rows(want.select("id", "r"))
+    assert rows(sampling.per_group(df, ["g"], 7, "id").select("id")) == rows(want.where("r <= 7").select("id"))
+    curve = metrics.score_curve(df, "t", "s")
+    totals = df.groupBy("s").agg(F.sum("t").alias("p"), F.count("*").alias("n")).orderBy(F.desc("s")).collect()
+    tp, seen, expected = 0, 0, []
+    for x in totals:
+        tp, seen = tp + x.p, seen + x.n
+        expected.append((x.s, tp, seen - tp))
+    assert sorted((x.s, x.tp, x.fp) for x in curve.collect()) == sorted(expected)
+    by = metrics.score_curve(df.na.fill("z"), "t", "s", ["g"])
+    assert {(x.g, x.P) for x in by.collect()} == {(x.g, x.P) for x in df.na.fill("z").groupBy("g").agg(F.sum("t").alias("P")).collect()}
+    for n in (0, 1, 4, 5):
+        values = [float(x * x % 7) for x in range(n)]
+        one = relational.median(spark.createDataFrame([(v,) for v in values], "e double"), "e").first()[0]
+        assert one == (None if not n else pytest.approx(sorted(values)[n // 2] if n % 2 else sum(sorted(values)[n // 2 - 1 : n // 2 + 1]) / 2))
+    assert sampling.upsample(df, 5000, "id").count() == 5000
+    for made in (sampling.upsample(df, 10, "id"), sampling.train_test(df, "g", "id"), sampling.ranked(df, ["g"], "id", 1, "r"), ehr.vocabulary(df, "g", ["id"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Exchange SinglePartition" in line]
+        assert len(windows) <= 1  # the window over one row a partition
+
+
+def test_lookup_both(spark):
+    mapping = spark.createDataFrame([(1, "a"), (2, "b")], "x long, y string")
+    left = spark.createDataFrame([(1, 5, "late"), (1, 3, "first"), (2, 1, "two")], "x long, o long, v string")
+    right = spark.createDataFrame([("a", 1)], "y string, w long")
+    found = relational.lookup_both(mapping, left, right, "x", "y", order="o", missing="drop")
+    assert [(r.x, r.v, r.w) for r in found.collect()] == [(1, "first", 1)]
+    with pytest.raises(Exception, match="no row of y b"):
+        relational.lookup_both(mapping, left, right, "x", "y").collect()
+
+
+def test_confusion_of_free_texts(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "some text"), ("b", "other text"), ("b", None)], "truth string, prediction string")
+    found = {(r.truth, r.prediction): r.n for r in metrics.confusion(df, only_truth=True).collect()}
+    assert found["a", "__OTHER__"] == 1 and found["b", "__OTHER__"] == 2 and found["a", "a"] == 1 and found["b", "a"] == 0

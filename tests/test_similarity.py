@@ -74,3 +74,28 @@ def test_encoder(spark):
     df = s.embedded(spark.createDataFrame([("abc",), (None,), ("abc",)], "t string"), F.col("t"), "v")
     rows = [r.v for r in df.collect()]
     assert rows[0] == rows[2] and len(rows[1]) == 256
+
+
+def test_rows_without_a_vector(spark):
+    from millrace.operators import similarity
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.001]), (4, None)], "row_id long, embedding array<double>")
+    kept, removed = similarity.within(v, "embedding", 0.9)
+    assert {r.row_id for r in kept.collect()} == {1, 2, 4} and {r.row_id for r in removed.collect()} == {3}
+    assert [r.row_id for r in similarity.across_removed(v, v.where("row_id = 1"), 0.9).collect()] in ([1, 3], [3, 1])
+    assert similarity.similarity_histogram(v).agg({"pairs": "sum"}).first()[0] == 1
+
+
+def test_a_batch_run_again_keeps_the_same_rows(spark, tmp_path):
+    """As after a failed sink or a restart: nothing is lost, and earlier batches still count."""
+    from millrace.plans.pipelines import incremental
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [0.01, 1.0]), (5, [-1.0, 0.0])], "row_id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    ids = lambda df: sorted(r.row_id for r in df.collect())
+    for _ in range(2):
+        assert ids(incremental(v.where("row_id < 4"), path, batch=0)) == [1, 3]
+    for _ in range(2):
+        assert ids(incremental(v.where("row_id >= 4"), path, batch=1)) == [5]
+    assert ids(incremental(v, path)) == []
+    assert ids(spark.read.parquet(path)) == [1, 3, 5]
