@@ -23,7 +23,8 @@ def multi_hot_visits(visits: Column, field: str, size: int, most: int) -> Column
 
 def by_type(visits: Column, fields: list[str]) -> Column:
     """array<struct> of visits as struct of arrays."""
-    return F.struct(*(F.transform(visits, lambda v, f=f: v[f]).alias(f) for f in fields))
+    pick = lambda f: F.transform(visits, lambda v: v[f])
+    return F.struct(*(pick(f).alias(f) for f in fields))
 
 
 def ordered_distinct(pairs: Column) -> Column:
@@ -46,6 +47,17 @@ def indexed(codes: Column, vocabulary: Column) -> Column:
     return F.filter(F.transform(codes, lambda c: F.try_element_at(vocabulary, c)), lambda i: i.isNotNull())
 
 
+def indexed_or_zero(codes: Column, vocabulary: Column) -> Column:
+    """As indexed(); no codes give `[0]`, the padding."""
+    found = F.coalesce(indexed(codes, vocabulary), F.array().cast("array<int>"))
+    return F.when(F.size(found) == 0, F.array(F.lit(0))).otherwise(found)
+
+
+def clipped(visits: Column, most: int) -> Column:
+    """The first most visits."""
+    return F.slice(visits, 1, most)
+
+
 def json_record(*columns: str) -> Column:
     """The columns as JSON text, null fields kept."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
@@ -66,6 +78,22 @@ def jsonable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def json_safe(df: DataFrame, name: str = "record") -> DataFrame:
+    """Each row as one JSON text: NaN and infinities null, whole numbers without a fraction, dates and times in ISO form."""
+    safe = jsonable(df)
+
+    def field(c: str, kind: str) -> Column:
+        one = lambda value: F.to_json(F.struct(value.alias(c)), {"ignoreNullFields": "false"})
+        value = F.col(f"`{c}`")
+        text = one(value)
+        if kind in ("double", "float"):
+            text = F.when((value == F.floor(value)) & (F.abs(value) < 1 << 53), one(value.cast("long"))).otherwise(text)
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
+    fields = [field(c, k) for c, k in safe.dtypes]
+    return safe.select(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias(name))
+
+
 def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
     """Rows (batch, rows): every size rows, in order, as an array of structs.
 

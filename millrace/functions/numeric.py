@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 
 def to_int(value: Column) -> Column:
     """`3.0` to 3; blank or not a number to null."""
-    return F.trim(value.cast("string")).try_cast("double").try_cast("bigint")
+    return strip(value.cast("string")).try_cast("double").try_cast("bigint")
 
 
 def to_number(value: Column) -> Column:
-    return F.trim(value.cast("string")).try_cast("double")
+    return strip(value.cast("string")).try_cast("double")
 
 
 def to_timestamp(value: Column, pattern: str | None = None) -> Column:
@@ -32,7 +34,7 @@ def age_years(birth: Column, at: Column) -> Column:
 
 def age_months(text: Column) -> Column:
     """`5 Years`, `3 Weeks`, `10 Days`, ... as months."""
-    t = F.lower(F.trim(text))
+    t = F.lower(strip(text))
     n = F.regexp_extract(t, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
     return (
         F.when(t.contains("year"), n * 12)

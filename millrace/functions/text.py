@@ -23,14 +23,18 @@ HALLMARKS = {
 }
 
 
-def strip(text: Column) -> Column:
+#: White space of any kind (fixed values): controls, separators, and the spaces of Unicode.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column | str) -> Column:
     """Without white space of any kind at the ends (trim() takes spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def normalize_text(text: Column) -> Column:
     """Stripped, lower-cased, white space collapsed, punctuation deleted."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), r"[^\p{L}\p{N}_\s]", "")
+    return F.regexp_replace(strip(F.regexp_replace(F.lower(text), r"\s+", " ")), r"[^\p{L}\p{N}_\s]", "")
 
 
 def words(text: Column) -> Column:
@@ -55,7 +59,7 @@ def word_count(text: Column) -> Column:
 
 def is_nullish(value: Column) -> Column:
     """Null, blank, or the text `none` or `nan`."""
-    return value.isNull() | F.lower(F.trim(value)).isin("", "none", "nan")
+    return value.isNull() | F.lower(strip(value)).isin("", "none", "nan")
 
 
 def nullish_to_null(value: Column) -> Column:
@@ -68,7 +72,7 @@ def truncate(text: Column, most: int, marker: str = "...") -> Column:
 
 def combined_text(*columns: Column) -> Column:
     """The columns that hold something, joined by spaces."""
-    return F.array_join(F.filter(F.array(*(F.trim(c.cast("string")) for c in columns)), lambda x: x.isNotNull() & ~F.lower(x).isin("", "none")), " ")
+    return F.array_join(F.filter(F.array(*(strip(c.cast("string")) for c in columns)), lambda x: x.isNotNull() & ~F.lower(x).isin("", "none")), " ")
 
 
 def joined_columns(*columns: Column) -> Column:
@@ -177,13 +181,13 @@ def literal_items(text: Column) -> Column:
 
 def list_to_csv(text: Column) -> Column:
     """A list literal as `a, b`; other texts unchanged."""
-    return F.when(F.trim(text).rlike(r"(?s)^\[.*\]$"), F.array_join(literal_items(text), ", ")).otherwise(text)
+    return F.when(strip(text).rlike(r"(?s)^\[.*\]$"), F.array_join(literal_items(text), ", ")).otherwise(text)
 
 
 def nested_codes(text: Column) -> Column:
     """`[["a", "b"], ["c"]]` (each inner list may be quoted) as array<array<string>>."""
     inner = F.regexp_extract_all(text, F.lit(r"\[[^\[\]]*\]"), F.lit(0))
-    return F.transform(inner, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\[|\]$", ""), ","), lambda c: F.regexp_replace(F.trim(c), r"^['\"]+|['\"]+$", "")))
+    return F.transform(inner, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\[|\]$", ""), ","), lambda c: F.regexp_replace(strip(c), r"^['\"]+|['\"]+$", "")))
 
 
 def label_numbers(text: Column) -> Column:
@@ -230,10 +234,10 @@ def tagged(prefix: str, code: Column) -> Column:
 
 
 def exact_match(a: Column, b: Column) -> Column:
-    return F.lower(F.trim(a)) == F.lower(F.trim(b))
+    return F.lower(strip(a)) == F.lower(strip(b))
 
 
 def decision_answer(decision: Column, reason: Column | None = None) -> Column:
     """`Yes`, or `Yes. reason` where there is one."""
-    head = F.initcap(F.lower(F.trim(decision)))
+    head = F.initcap(F.lower(strip(decision)))
     return head if reason is None else F.when(is_nullish(reason), head).otherwise(F.concat(head, F.lit(". "), reason))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import HALLMARKS, decision_answer, is_nullish, label_letters, label_numbers, option_letter
+from millrace.functions.text import HALLMARKS, decision_answer, is_nullish, label_letters, label_numbers, option_letter, strip
 from millrace.operators.clean import drop_blank
 from millrace.operators.relational import judged
 
@@ -39,9 +39,9 @@ def four_options(df: DataFrame, question: str = "question", options: tuple[str,
 def lettered_options(df: DataFrame, question: str = "question", prefix: str = "choices", letter: str = "answer_idx") -> DataFrame:
     """Four or five options in columns `<prefix>A` and on; an empty fifth is left out."""
     letters = [x for x in "ABCDE" if f"{prefix}{x}" in df.columns]
-    chosen = F.coalesce(*(F.when(F.upper(F.trim(letter)) == x, F.col(f"{prefix}{x}")) for x in letters))
+    chosen = F.coalesce(*(F.when(F.upper(strip(letter)) == x, F.col(f"{prefix}{x}")) for x in letters))
     text = F.concat(F.col(question), F.lit("\n"), options_text([(x, F.col(f"{prefix}{x}")) for x in letters]))
-    out = df.select(text.alias("question"), F.upper(F.trim(letter)).alias("answer"), F.concat(F.upper(F.trim(letter)), F.lit(") "), chosen).alias("answer_long"))
+    out = df.select(text.alias("question"), F.upper(strip(letter)).alias("answer"), F.concat(F.upper(strip(letter)), F.lit(") "), chosen).alias("answer_long"))
     return out.where(F.col("answer_long").isNotNull())
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.overlap import bleu, entity_f1, rouge, similarity, token_f1
 from millrace.functions.parse import extract_answer, parse_alive_dead, parse_doses, parse_failure_reason, parse_high_low, parse_long_short, parse_number, parse_options, parse_outcome
-from millrace.functions.text import exact_match, is_nullish
+from millrace.functions.text import exact_match, is_nullish, strip
 from millrace.operators.metrics import answer_format
 from millrace.plans.prompts import mc_prompt, open_prompt
 
@@ -50,7 +50,7 @@ def multiple_choice(df: DataFrame, make: Callable[[], Generator], question: str
     rows = generated(rows.withColumn("prompt", mc_prompt(F.col(question), F.col("options"), domain, F.col(dataset))), "prompt", make)
     predicted = extract_answer(F.col("raw_response"), F.map_keys("options"), F.col(dataset))
     rows = rows.withColumn("predicted", predicted)
-    correct = F.coalesce(F.lower("predicted") == F.lower(F.trim(answer)), F.lit(False))
+    correct = F.coalesce(F.lower("predicted") == F.lower(strip(answer)), F.lit(False))
     return rows.select(F.col(key).alias("question_id"), F.col(question).alias("question"), "options", F.col(answer).alias("ground_truth"), "predicted", correct.alias("correct"), "raw_response", answer_format(F.col("options")).alias("format"))
 
 

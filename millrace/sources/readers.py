@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import ast
+import io
 import json
+import warnings
+import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.text import nullish_to_null
+from millrace.functions.text import nullish_to_null, strip
 
 SUFFIX_FORMATS = {"csv": "csv", "tsv": "csv", "txt": "text", "json": "json", "jsonl": "json", "xml": "text", "parquet": "parquet"}
 
@@ -79,7 +83,7 @@ def positional_csv(spark: SparkSession, path: str, names: list[str]) -> DataFram
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed lines that aren't blank."""
-    return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    return spark.read.text(path).select(strip("value").alias("value")).where("value <> ''")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -195,15 +199,15 @@ def xml_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def trial_records(files: DataFrame, fields: list[str] | None = None, xml: str = "value") -> DataFrame:
-    """Trial fields of XML texts, null where absent, repeated ones as `a, b`; only the asked fields are looked up. A text that isn't XML gives nulls."""
+    """Trial fields of XML texts, null where absent, repeated ones as `a, b`; only the asked fields are looked up, and unknown ones are left out with a warning. A text that isn't XML gives nulls."""
     unknown = [f for f in fields or () if f not in TRIAL_FIELDS]
     if unknown:
-        raise ValueError(f"unknown fields: {', '.join(unknown)}")
-    chosen = fields or list(TRIAL_FIELDS)
+        warnings.warn(f"unknown fields: {', '.join(unknown)}", stacklevel=2)
+    chosen = [f for f in fields if f in TRIAL_FIELDS] if fields else list(TRIAL_FIELDS)
     whole = F.when(F.col(xml).rlike(r"(?s)^\s*<.*>\s*$"), F.regexp_replace(F.col(xml), r"<!DOCTYPE[^>]*>", ""))
 
     def one(field: str) -> Column:
-        found = F.filter(F.transform(F.xpath(whole, F.lit(f"//{TRIAL_FIELDS[field]}/text()")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+        found = F.filter(F.transform(F.xpath(whole, F.lit(f"//{TRIAL_FIELDS[field]}/text()")), lambda x: strip(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
         return F.when(F.size(found) > 0, F.array_join(found, ", ")).alias(field)
 
     return files.select(*(c for c in files.columns if c != xml), *(one(f) for f in chosen))
@@ -261,15 +265,15 @@ def qa_documents(spark: SparkSession, path: str) -> DataFrame:
         F.col("_id").alias("doc_id"),
         F.col("_source").alias("source"),
         F.col("_url").alias("url"),
-        F.trim("Focus").alias("focus"),
+        strip("Focus").alias("focus"),
         F.col("FocusAnnotations.UMLS.CUIs.CUI").alias("umls_cuis"),
         F.col("FocusAnnotations.UMLS.SemanticTypes.SemanticType").alias("semantic_types"),
         F.col("FocusAnnotations.UMLS.SemanticGroup").alias("semantic_group"),
         F.col("pair._pid").alias("pid"),
         F.col("pair.Question._qid").alias("question_id"),
         F.col("pair.Question._qtype").alias("question_type"),
-        F.trim("pair.Question._VALUE").alias("question_text"),
-        F.trim("pair.Answer").alias("answer_text"),
+        strip("pair.Question._VALUE").alias("question_text"),
+        strip("pair.Answer").alias("answer_text"),
     )
 
 
@@ -281,11 +285,11 @@ def live_questions(spark: SparkSession, path: str) -> DataFrame:
     df = df.select("*", F.explode_outer("SUB-QUESTIONS.SUB-QUESTION").alias("s"))
     return df.select(
         F.col("_questionid").alias("qid"),
-        F.trim("SUBJECT").alias("subject"),
-        F.trim("MESSAGE").alias("question"),
-        F.trim("s.ANNOTATIONS.FOCUS").alias("focus"),
-        F.trim("s.ANNOTATIONS.TYPE").alias("type"),
-        F.transform("s.ANSWERS.ANSWER", lambda a: F.trim(a["_VALUE"])).alias("answers"),
+        strip("SUBJECT").alias("subject"),
+        strip("MESSAGE").alias("question"),
+        strip("s.ANNOTATIONS.FOCUS").alias("focus"),
+        strip("s.ANNOTATIONS.TYPE").alias("type"),
+        F.transform("s.ANSWERS.ANSWER", lambda a: strip(a["_VALUE"])).alias("answers"),
     )
 
 
@@ -293,7 +297,7 @@ def live_questions_test(files: DataFrame, xml: str = "value") -> DataFrame:
     """As live_questions() for the test layout: answers are reference answers of either spelling, with the text of inner elements."""
     parts = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<NLM-QUESTION\b.*?</NLM-QUESTION>"), F.lit(0))
     q = files.select(F.explode(parts).alias("q"))
-    inner = lambda tag: F.transform(F.regexp_extract_all("q", F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " ")))
+    inner = lambda tag: F.transform(F.regexp_extract_all("q", F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), lambda x: strip(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " ")))
     text = lambda tag: F.get(inner(tag), F.lit(0))
     first, other = inner("RefAnswer"), inner("ReferenceAnswer")
     return q.select(
@@ -313,9 +317,9 @@ def annotated_questions(spark: SparkSession, path: str) -> DataFrame:
     df = _rows(spark, path, "Question", f"_qid string, Request string, Focuses struct<Focus:{focus}>, Decomposition struct<SubQuestion:{sub}>")
     return df.select(
         F.col("_qid").alias("qid"),
-        F.trim("Request").alias("question"),
-        F.transform("Focuses.Focus", lambda x: F.struct(x["_fid"].alias("fid"), x["_fcategory"].alias("fcategory"), F.trim(x["_VALUE"]).alias("text"))).alias("focuses"),
-        F.transform("Decomposition.SubQuestion", lambda x: F.struct(x["_id"].alias("id"), x["_qt"].alias("type"), F.trim(x["_VALUE"]).alias("text"))).alias("sub_questions"),
+        strip("Request").alias("question"),
+        F.transform("Focuses.Focus", lambda x: F.struct(x["_fid"].alias("fid"), x["_fcategory"].alias("fcategory"), strip(x["_VALUE"]).alias("text"))).alias("focuses"),
+        F.transform("Decomposition.SubQuestion", lambda x: F.struct(x["_id"].alias("id"), x["_qt"].alias("type"), strip(x["_VALUE"]).alias("text"))).alias("sub_questions"),
     )
 
 
@@ -325,12 +329,12 @@ def annotated_questions(spark: SparkSession, path: str) -> DataFrame:
 def id_text(spark: SparkSession, path: str, key: str) -> DataFrame:
     """`id<TAB>text` lines, cut at the first tab."""
     cut = F.split("value", "\t", 2)
-    return spark.read.text(path).where(F.contains(F.col("value"), F.lit("\t"))).select(F.trim(cut[0]).alias(key), F.trim(cut[1]).alias("text"))
+    return spark.read.text(path).where(F.contains(F.col("value"), F.lit("\t"))).select(strip(cut[0]).alias(key), strip(cut[1]).alias("text"))
 
 
 def qrels(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, doc_id) of judgments above 0, from lines of three or four fields."""
-    f = F.split(F.trim("value"), r"\s+")
+    f = F.split(strip("value"), r"\s+")
     wide = F.size(f) >= 4
     rel = F.when(wide, F.get(f, F.lit(3))).otherwise(F.get(f, F.lit(2))).try_cast("int")
     doc = F.when(wide, F.get(f, F.lit(2))).otherwise(F.get(f, F.lit(1)))
@@ -431,13 +435,51 @@ class RegisterQuery:
             raise ValueError(f"between 1 and {self.most_fields} studies, not {most}")
         if self.known is not None and (bad := set(fields) - self.known):
             raise ValueError(f"unknown fields: {', '.join(sorted(bad))}")
-        return list(self._pages(f"{self.base}/studies?query.term={expression}&fields={'|'.join(fields)}&pageSize={most}", most))
+        return list(self._pages(f"{self.base}/studies?query.term={quote(expression)}&fields={'|'.join(fields)}&pageSize={most}", most))
 
     def full(self, expression: str, most: int = 50) -> list[dict]:
         if not 1 <= most <= self.most_full:
             raise ValueError(f"between 1 and {self.most_full} studies, not {most}")
-        return list(self._pages(f"{self.base}/studies?query.term={expression}&pageSize={most}", most))
+        return list(self._pages(f"{self.base}/studies?query.term={quote(expression)}&pageSize={most}", most))
 
     def count(self, expression: str) -> int:
-        page = self.fetch(f"{self.base}/studies?query.term={expression}&countTotal=true&pageSize=1")
-        return page["totalCount"] if "totalCount" in page else sum(1 for _ in self._pages(f"{self.base}/studies?query.term={expression}&pageSize=1000", 1 << 62))
+        page = self.fetch(f"{self.base}/studies?query.term={quote(expression)}&countTotal=true&pageSize=1")
+        return page["totalCount"] if "totalCount" in page else sum(1 for _ in self._pages(f"{self.base}/studies?query.term={quote(expression)}&pageSize=1000", 1 << 62))
+
+    def version(self) -> dict:
+        return self.fetch(f"{self.base}/version")
+
+
+# --- downloads ---------------------------------------------------------------------------------------------
+
+
+def downloaded(spark: SparkSession, urls: list[str], folder: str, fetch) -> list[tuple[str, bool]]:
+    """(url, success) of each: fetch(url) gives its bytes, which are put into the folder, the members of a zip archive each by itself.
+
+    There is no network here, so fetch has no default. One failure doesn't stop the others.
+    """
+    out = []
+    for url in urls:
+        try:
+            data = fetch(url)
+            files = {url.rstrip("/").rpartition("/")[2]: data}
+            if zipfile.is_zipfile(io.BytesIO(data)):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    files = {n: z.read(n) for n in z.namelist() if not n.endswith("/") and ".." not in n.split("/")}
+            for name, content in files.items():
+                fs, path = _hadoop(spark, f"{folder}/{name}")
+                stream = fs.create(path, True)
+                stream.write(bytearray(content))
+                stream.close()
+            out.append((url, True))
+        except Exception as error:  # any failure of a source is a line of the report
+            warnings.warn(f"{url}: {error}", stacklevel=2)
+            out.append((url, False))
+    return out
+
+
+def manual(spark: SparkSession, name: str, path: str, where: str) -> str:
+    """The path of a corpus that must be downloaded by hand; an error that says from where if it isn't there."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"{name} must be downloaded by hand from {where} to {path}")
+    return path

@@ -50,7 +50,7 @@ def test_xml(spark, tmp_path):
     t = readers.trial_records(readers.xml_files(spark, str(tmp_path / "x")), ["nct_id", "brief_summary", "condition", "phase"])
     r = t.where("nct_id is not null").first()
     assert (r.brief_summary, r.condition, r.phase) == ("a b", "C1, C2", None) and t.count() == 2
-    with pytest.raises(ValueError, match="unknown"):
+    with pytest.warns(UserWarning, match="unknown"):
         readers.trial_records(t, ["zz"])
     more = spark.createDataFrame([("<s><phase>1</phase><WhyStopped>no\n funds</WhyStopped></s>",), ("bad",)], "value string")
     assert [r[0] for r in more.select(readers.other_fields(more)).collect()] == [{"why_stopped": "no funds"}, None]
@@ -182,3 +182,28 @@ def test_streams(spark, tmp_path):
     q = deduplicated(spark.readStream.schema(v.schema).parquet(str(tmp_path / "v")), str(tmp_path / "index"), lambda df, n: kept.extend(r.row_id for r in df.collect())).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(kept) == [1, 3]
+
+
+def test_downloads(spark, tmp_path):
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a/x.txt", "one")
+        z.writestr("../evil.txt", "no")
+    pages = {"http://h/b.zip": held.getvalue(), "http://h/c.txt": b"two"}
+    with pytest.warns(UserWarning, match="http://h/none"):
+        found = readers.downloaded(spark, [*pages, "http://h/none"], str(tmp_path / "got"), lambda url: pages[url])
+    assert found == [("http://h/b.zip", True), ("http://h/c.txt", True), ("http://h/none", False)]
+    assert (tmp_path / "got/a/x.txt").read_text() == "one" and (tmp_path / "got/c.txt").read_text() == "two" and not (tmp_path / "evil.txt").exists()
+    assert readers.manual(spark, "corpus", str(tmp_path / "got"), "http://h") == str(tmp_path / "got")
+    with pytest.raises(FileNotFoundError, match="by hand from http://h"):
+        readers.manual(spark, "corpus", str(tmp_path / "missing"), "http://h")
+
+
+def test_register_requests():
+    asked = []
+    q = readers.RegisterQuery(lambda url: asked.append(url) or {"studies": [], "totalCount": 7, "apiVersion": "2"}, "http://x/")
+    assert q.count("a b&c") == 7 and q.version()["apiVersion"] == "2"
+    assert asked[0].startswith("http://x/studies?query.term=a%20b%26c&") and asked[1] == "http://x/version"
