@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from millrace.functions.overlap import bleu, entity_f1, rouge, string_ratio, tok
 from millrace.operators import clean, ehr, features, metrics, relational, sampling, similarity
 from millrace.plans import convert, evaluate, pipelines, prompts
 from millrace.sources import readers, writers
+from millrace.storage import scratch_path
 
 Tables = Callable[[str], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,10 +76,25 @@ def dedup_cross(t: Tables) -> DataFrame:
     return relational.drop_keys(new, gone, "row_id").select("row_id")
 
 
-@query(f"""WITH {_PAIRS.replace('a.id < b.id', 'a.label % 2 = 1 AND b.label % 2 = 0')} SELECT id AS row_id FROM e WHERE label % 2 = 1 AND id NOT IN (SELECT i FROM pairs)""")
+#: The second vector of two-pass queries is the first three quarters of the embedding; both passes use T2.
+T2 = 0.42
+_PAIRS2 = _PAIRS.replace(f"> {T}", f"> {T2}")
+_HALF_PAIRS = f"half AS (SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.id < b.id WHERE list_cosine_similarity(a.v[1:3 * len(a.v) // 4], b.v[1:3 * len(b.v) // 4]) > {T2})"
+
+
+def halved(t: Tables) -> DataFrame:
+    return vectors(t).withColumn("half", F.slice("embedding", F.lit(1), F.floor(3 * F.size("embedding") / 4).cast("int")))
+
+
+@query(f"""WITH {_PAIRS2}, {_HALF_PAIRS}, hit AS (SELECT i, j FROM pairs UNION SELECT j, i FROM pairs UNION SELECT i, j FROM half UNION SELECT j, i FROM half)
+SELECT id AS row_id FROM e WHERE label % 2 = 1 AND id NOT IN (SELECT i FROM hit JOIN e o ON o.id = j WHERE o.label % 2 = 0)""")
 def dedup_two_pass_union(t: Tables) -> DataFrame:
-    v = vectors(t).withColumn("reversed", F.reverse("embedding"))
-    return similarity.qa_across(v.where("label % 2 = 1"), v.where("label % 2 = 0"), T, "embedding", "reversed")[0].select("row_id")
+    v = halved(t)
+    return similarity.qa_across(v.where("label % 2 = 1"), v.where("label % 2 = 0"), T2, "embedding", "half")[0].select("row_id")
+
+
+def _fold(name: str, source: str) -> str:
+    return _FOLD.replace("greedy AS", f"{name} AS").replace("FROM ranked", f"FROM {source}")
 
 
 @query(f"""WITH {_PAIRS}, n AS (SELECT id, row_number() OVER (ORDER BY label % 2 DESC, id) AS o FROM e),
@@ -93,10 +107,24 @@ def dedup_quality_first(t: Tables) -> DataFrame:
     return relational.drop_keys(v, gone, "row_id").select("row_id")
 
 
-@query()
+@query(f"""WITH {_PAIRS2}, {_HALF_PAIRS}, r1 AS (SELECT e.id, e.id AS o, coalesce((SELECT list(i) FROM pairs WHERE j = e.id), []) AS nb FROM e), {_fold('g1', 'r1')},
+r2 AS (SELECT g1.id, g1.id AS o, coalesce((SELECT list(i) FROM half WHERE j = g1.id AND i IN (SELECT id FROM g1)), []) AS nb FROM g1), {_fold('g2', 'r2')} SELECT id AS row_id FROM g2""")
 def dedup_questions_then_answers(t: Tables) -> DataFrame:
-    v = vectors(t).withColumn("answer", F.reverse("embedding"))
-    return similarity.qa_within(v, T, "embedding", "answer")[0].select("row_id")
+    return similarity.qa_within(halved(t), T2, "embedding", "half")[0].select("row_id")
+
+
+@query(f"""WITH {_PAIRS}, p2 AS (SELECT i, j FROM pairs JOIN e a ON a.id = i JOIN e b ON b.id = j WHERE a.label % 2 = b.label % 2),
+r1 AS (SELECT e.id, e.id AS o, coalesce((SELECT list(i) FROM p2 WHERE j = e.id), []) AS nb FROM e WHERE label % 2 = 0), {_fold('g1', 'r1')},
+r2 AS (SELECT e.id, e.id AS o, coalesce((SELECT list(i) FROM p2 WHERE j = e.id), []) AS nb FROM e WHERE label % 2 = 1), {_fold('g2', 'r2')},
+k2 AS (SELECT id FROM g2 WHERE id NOT IN (SELECT i FROM pairs WHERE j IN (SELECT id FROM g1) UNION SELECT j FROM pairs WHERE i IN (SELECT id FROM g1)))
+SELECT 0 AS run, id AS row_id FROM g1 UNION ALL SELECT 1, id FROM k2 UNION ALL SELECT 2, id FROM k2""")
+def incremental_dedup(t: Tables) -> DataFrame:
+    """Two corpora one after the other; the second is run twice, as after a failure, and keeps the same rows."""
+    v = vectors(t)
+    path = shared_path(v, "index")
+    runs = [(0, v.where("label % 2 = 0")), (1, v.where("label % 2 = 1")), (1, v.where("label % 2 = 1"))]
+    parts = [pipelines.incremental(rows, path, T, batch=n).select(F.lit(i).alias("run"), "row_id") for i, (n, rows) in enumerate(runs)]
+    return relational.union_all(parts)
 
 
 @query("""WITH d AS (SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS k FROM documents) GROUP BY k) SELECT doc_id, copies FROM d""")
@@ -119,7 +147,7 @@ def similarity_histogram(t: Tables) -> DataFrame:
 @query()
 def embed_and_compare(t: Tables) -> DataFrame:
     b = similarity.embedded(t("benchmark").withColumnRenamed("item_id", "row_id"), F.col("text"), "embedding")
-    return rounded(similarity.cosine_pairs(b, 0.9))
+    return rounded(similarity.cosine_pairs(b, 0.2))
 
 
 # --- cleaning, counts ------------------------------------------------------------------------------------------
@@ -137,18 +165,18 @@ def counts_and_totals(t: Tables) -> DataFrame:
     return relational.counts_by(t("documents"), "source", "lang")
 
 
-@query("""SELECT trim(split_part(text, chr(10), 1)) AS question, trim(substr(text, strpos(text, chr(10)) + 1)) AS answer, source AS dataset_name, 1 AS quality
-FROM documents WHERE strpos(text, chr(10)) > 0 AND trim(split_part(text, chr(10), 1)) NOT IN ('', 'nan') AND trim(substr(text, strpos(text, chr(10)) + 1)) NOT IN ('', 'nan')""")
+@query(r"""WITH x AS (SELECT regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g') AS question, regexp_replace(substr(text, strpos(text, chr(10)) + 1), '^\s+|\s+$', '', 'g') AS answer FROM documents WHERE strpos(text, chr(10)) > 0)
+SELECT question, answer, answer || chr(10) || '-' AS answer_long, answer || chr(10) || '-' AS dedup_answer, 'documents' AS dataset_name, 1 AS quality FROM x WHERE question NOT IN ('', 'nan') AND answer NOT IN ('', 'nan')""")
 def standardize_qa(t: Tables) -> DataFrame:
     cut = F.split("text", "\n", 2)
-    rows = t("documents").where(F.contains(F.col("text"), F.lit("\n"))).select(cut[0].alias("q"), cut[1].alias("a"), "source")
-    return clean.drop_nullish(rows.select(F.trim("q").alias("question"), F.trim("a").alias("answer"), F.col("source").alias("dataset_name"), F.lit(1).alias("quality")), ["question", "answer"])
+    rows = t("documents").where(F.contains(F.col("text"), F.lit("\n"))).select(F.concat(F.lit("\t"), cut[0], F.lit(" \r\n")).alias("q"), F.concat(cut[1], F.lit("\n\t")).alias("a"), F.concat(text.strip(cut[1]), F.lit("\n-\n")).alias("l"))
+    return clean.standardise_qa(rows, "documents", 1, "q", "a", "l")
 
 
-@query("SELECT doc_id FROM documents WHERE trim(split_part(text, ' ', 1)) <> '' AND lower(source) NOT IN ('', 'none', 'nan')")
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 > 0 AND text IS NOT NULL AND regexp_replace(text, '\\s', '', 'g') <> '' AND lower(source) NOT IN ('', 'none', 'nan')")
 def filter_blank(t: Tables) -> DataFrame:
-    d = t("documents").withColumn("first", F.substring_index("text", " ", 1))
-    return clean.drop_blank(d, ["first"]).where(~text.is_nullish(F.col("source"))).select("doc_id")
+    d = t("documents").withColumn("first", F.when(F.col("doc_id") % 3 == 0, F.lit("\t\n ")).otherwise(F.col("text")))
+    return clean.drop_blank(d, ["first"]).where(~text.is_nullish(F.concat(F.col("source"), F.lit("\t")))).select("doc_id")
 
 
 @query("SELECT 'part' AS source, p_name AS question, p_type AS answer, 'p_partkey: ' || p_partkey || ', p_brand: ' || p_brand || ', p_size: ' || p_size AS meta_info FROM part")
@@ -459,10 +487,11 @@ def binary_missing_opposite(t: Tables) -> DataFrame:
     return rounded(metrics.binary_metrics(rows, "t", "p", ("Successful", "Failed")))
 
 
-@query(f"""WITH {_ANSWERS}, z AS (SELECT truth, CASE WHEN prediction IN ('F', 'O', 'P') THEN prediction WHEN truth = 'F' THEN 'O' WHEN truth = 'O' THEN 'P' ELSE 'F' END AS p FROM p)
-SELECT count(*) AS evaluated, round(avg((truth = p)::INT), 6) AS accuracy FROM z""")
+@query(f"""WITH {_ANSWERS}, z AS (SELECT truth, CASE WHEN prediction IN ('F', 'O', 'P') THEN prediction WHEN truth = 'F' THEN 'O' WHEN truth = 'O' THEN 'P' ELSE 'F' END AS p FROM p),
+k2 AS (SELECT label, count(*) FILTER (truth = label AND p = label) AS tp, count(*) FILTER (p = label) AS pp, count(*) FILTER (truth = label) AS support FROM (SELECT DISTINCT truth AS label FROM z UNION SELECT p FROM z) CROSS JOIN z GROUP BY label)
+SELECT count(*) AS evaluated, round(avg((truth = p)::INT), 6) AS accuracy, (SELECT round(avg(coalesce(tp / nullif(pp, 0), 0)), 6) FROM k2) AS macro_precision, (SELECT round(avg(coalesce(2 * tp / nullif(pp + support, 0), 0)), 6) FROM k2) AS macro_f1 FROM z""")
 def multiclass_cycle(t: Tables) -> DataFrame:
-    return rounded(metrics.multiclass_metrics(answers(t), "truth", "prediction", ["F", "O", "P"]).select("evaluated", "accuracy"))
+    return rounded(metrics.multiclass_metrics(answers(t), "truth", "prediction", ["F", "O", "P"]).select("evaluated", "accuracy", "macro_precision", "macro_f1"))
 
 
 @query("""WITH x AS (SELECT l_linenumber % 5 AS t1, l_quantity::INT % 5 AS t2, l_partkey % 5 AS t3, CASE WHEN l_orderkey % 4 > 0 THEN 1 END AS ok, l_suppkey % 5 AS p1, l_quantity::INT % 5 AS p2, l_orderkey % 5 AS p3 FROM lineitem),
@@ -562,9 +591,10 @@ def token_set_f1(t: Tables) -> DataFrame:
     return turns(t).select("conv_id", "turn", r6(token_f1(F.col("prediction"), F.col("target"))).alias("f1"))
 
 
-@query("SELECT a.conv_id, a.turn, lower(trim(a.text)) = lower(trim(b.text)) AS same FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+@query("SELECT conv_id, turn, turn % 2 = 0 AS same FROM conversations WHERE text IS NOT NULL")
 def exact_match(t: Tables) -> DataFrame:
-    return turns(t).select("conv_id", "turn", text.exact_match(F.col("target"), F.col("prediction")).alias("same"))
+    other = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\t\n"), F.upper("text"), F.lit(" \r\n"))).otherwise(F.concat(F.col("text"), F.lit("!")))
+    return t("conversations").where("text is not null").select("conv_id", "turn", text.exact_match(F.upper("text"), other).alias("same"))
 
 
 @query()
@@ -576,12 +606,51 @@ def overlap_scores(t: Tables) -> DataFrame:
 # --- answers out of texts -----------------------------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'D' WHEN 3 THEN 'A' END AS letter FROM orders""")
+#: Responses by o_orderkey % 8, with the letter that the published patterns read and the one that stands alone.
+SAID = (
+    ("b) because", "B", "B"),
+    ("The correct answer is C, since", "C", "C"),
+    ("it must be (D)", "D", "D"),
+    (" \t\nAnswer: A", "A", "A"),
+    ("The answer is clearly D", "C", "D"),
+    ("Answer: Beta blockers, so C", "B", "C"),
+    ("the correct answer is Both, hence D", "B", "D"),
+    ("", None, None),
+)
+
+
+def _by_key(values: list[str | None]) -> str:
+    return "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(values) if x) + " END"
+
+
+@query(f"SELECT o_orderkey, {_by_key([x[1] for x in SAID])} AS letter, {_by_key([x[2] for x in SAID])} AS repaired FROM orders")
 def extract_letter(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    said = F.when(k == 0, "b) because").when(k == 1, "The correct answer is C, since").when(k == 2, "it must be (D)").when(k == 3, "Answer: A").otherwise("")
+    said = F.get(F.array(*(F.lit(x[0]) for x in SAID)), (F.col("o_orderkey") % 8).cast("int"))
     options = F.array(*(F.lit(x) for x in "ABCD"))
-    return t("orders").select("o_orderkey", parse.extract_letter(said, options).alias("letter"))
+    return t("orders").select("o_orderkey", parse.extract_letter(said, options).alias("letter"), parse.extract_letter(said, options, repaired=True).alias("repaired"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'F' WHEN 1 THEN 'F, K' WHEN 2 THEN 'A' WHEN 3 THEN 'B' END AS letter, CASE o_orderkey % 5 WHEN 0 THEN 'F' WHEN 1 THEN 'F, K' WHEN 2 THEN 'A, D' END AS fixed FROM orders""")
+def hallmark_letters(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey") % 5
+    said = F.when(k == 0, "it is F.").when(k == 1, "F ,K it is").when(k == 2, "this is a case of D").when(k == 3, "number").otherwise("no")
+    options = F.when(k == 1, F.array(F.lit("F, K"), F.lit("B"))).when(k == 4, F.array(F.lit("J"))).otherwise(F.array(*(F.lit(x) for x in "ABCDEFGHIJK")))
+    return t("orders").select("o_orderkey", parse.extract_hallmark(said, options).alias("letter"), parse.extract_hallmark(said, options, fixed=True).alias("fixed"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Maybe' WHEN 1 THEN 'C' ELSE 'C' END AS answer, CASE WHEN o_orderkey % 2 = 0 THEN 'Long' ELSE 'Short' END AS duration, CASE WHEN o_orderkey % 2 = 0 THEN 'Low' ELSE 'High' END AS mortality,
+CASE o_orderkey % 3 WHEN 0 THEN 'Alive' WHEN 1 THEN 'Dead' END AS survival FROM orders""")
+def dispatched_answers(t: Tables) -> DataFrame:
+    k, two = F.col("o_orderkey") % 3, F.col("o_orderkey") % 2 == 0
+    dataset = F.when(k == 0, "PubMedQA").when(k == 1, "hoc").otherwise("exam")
+    options = F.array(*(F.lit(x) for x in "ABC"))
+    return t("orders").select(
+        "o_orderkey",
+        parse.extract_answer(F.when(k == 0, "\tmaybe").otherwise("so (C)"), options, dataset).alias("answer"),
+        parse.parse_long_short(F.when(two, '{"prediction": "Long"}').otherwise(" b) \n")).alias("duration"),
+        parse.parse_high_low(F.when(two, "rather low").otherwise("\ta")).alias("mortality"),
+        parse.parse_alive_dead(F.when(k == 0, "the patient survives").when(k == 1, '{"prediction":"Dead"}').otherwise("?")).alias("survival"),
+    )
 
 
 @query("SELECT o_orderkey, CASE WHEN contains(upper(o_orderpriority), 'YES') THEN 'Yes' WHEN contains(upper(o_orderpriority), 'NO') THEN 'No' WHEN contains(upper(o_orderpriority), 'MAYBE') THEN 'Maybe' END AS answer FROM orders")
@@ -604,21 +673,22 @@ def parse_number(t: Tables) -> DataFrame:
     return t("events").select("event_id", parse.parse_number(keyed).alias("k"), parse.parse_number(plain).alias("v"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 4 THEN l_linenumber END AS dose FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 4 THEN l_linenumber END AS dose, CASE WHEN l_linenumber <= 4 THEN 0 END AS least, CASE WHEN l_linenumber <= 4 THEN 1 END AS mean FROM lineitem")
 def parse_dose(t: Tables) -> DataFrame:
     n = F.col("l_linenumber").cast("string")
     said = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit('{"max_dose": '), n, F.lit(', "min": 0, "average": 1}'))).otherwise(F.concat(F.lit("Max: "), n, F.lit(", Min: 0, Avg: 1")))
-    return t("lineitem").select("l_orderkey", "l_linenumber", parse.parse_doses(said)["max"].alias("dose"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", parse.parse_doses(said).alias("d")).select("l_orderkey", "l_linenumber", F.col("d.max").alias("dose"), F.col("d.min").alias("least"), F.col("d.avg").alias("mean"))
 
 
-@query("SELECT p_partkey, 4 AS n, p_name AS a, p_brand AS d FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 2 THEN 3 WHEN p_partkey % 5 = 3 THEN 11 ELSE 4 END AS n, CASE p_partkey % 5 WHEN 2 THEN NULL WHEN 3 THEN 'None of the above' ELSE p_name END AS a, CASE p_partkey % 5 WHEN 2 THEN NULL WHEN 3 THEN 'Resisting cell death (CD)' ELSE p_brand END AS d FROM part")
 def parse_options(t: Tables) -> DataFrame:
-    k = F.col("p_partkey") % 2
+    k = F.col("p_partkey") % 5
     items = [("A", "p_name"), ("B", "p_type"), ("C", "p_mfgr_"), ("D", "p_brand")]
     rows = t("part").withColumn("p_mfgr_", F.lit("other maker"))
-    lines = F.concat_ws("\n", F.lit("Which part?"), *(F.concat(F.lit(f"{x}) "), F.col(c)) for x, c in items))
-    inline = F.concat_ws(" ", F.lit("Which part?"), *(F.concat(F.lit(f"{x}) "), F.col(c)) for x, c in items))
-    o = rows.select("p_partkey", parse.parse_options(F.when(k == 0, lines).otherwise(inline)).alias("o"))
+    joined = lambda separator, mark: F.concat_ws(separator, F.lit("Which part?"), *(F.concat(F.lit(f"{x}{mark} "), F.col(c)) for x, c in items))
+    three_way, hallmark = F.concat(F.lit("Yes, no, or maybe: "), F.col("p_name")), F.concat(F.lit("Which cancer hallmarks? "), F.col("p_name"))
+    asked = F.when(k == 0, joined("\n", ")")).when(k == 1, joined(" ", ")")).when(k == 2, three_way).when(k == 3, hallmark).otherwise(joined(" ", "."))
+    o = rows.select("p_partkey", parse.parse_options(asked).alias("o"))
     return o.select("p_partkey", F.size("o").alias("n"), F.try_element_at("o", F.lit("A")).alias("a"), F.try_element_at("o", F.lit("D")).alias("d"))
 
 
@@ -666,7 +736,11 @@ def visit_sequences(t: Tables) -> DataFrame:
     return visits(t).select("subject", "hadm", "days", F.array_join("events", ",").alias("events"))
 
 
-@query()
+@query("""WITH c AS (SELECT l_orderkey, CASE WHEN l_linenumber <= 2 THEN 'DX:' || (l_partkey % 50) ELSE 'RX:' || (l_suppkey % 20) END AS e, min(l_linenumber) AS p FROM lineitem GROUP BY 1, 2, l_linenumber <= 2),
+f AS (SELECT o_custkey AS s, o_orderdate AS t, e, row_number() OVER (PARTITION BY o_orderkey ORDER BY e[1] = 'R', p, e) AS pos FROM orders LEFT JOIN c ON l_orderkey = o_orderkey),
+v AS (SELECT e, row_number() OVER (ORDER BY min({'s': s, 't': t, 'pos': pos}), e) AS i FROM f WHERE e IS NOT NULL GROUP BY e),
+k AS (SELECT s, t, list(i ORDER BY pos, i) FILTER (i IS NOT NULL) AS codes FROM f LEFT JOIN v USING (e) GROUP BY s, t)
+SELECT s AS subject, count(*)::INT AS n_days, coalesce(to_json(list(codes ORDER BY t) FILTER (len(codes) > 0))::VARCHAR, '[]') AS visits FROM k GROUP BY s""")
 def visit_vocabulary(t: Tables) -> DataFrame:
     coded, _ = ehr.visit_sequences(visits(t), "subject", "at")
     return coded.select("subject", F.size("days").alias("n_days"), F.to_json("visits").alias("visits"))
@@ -763,7 +837,8 @@ def prompt_mc(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", prompts.mc_prompt(F.col("p_name"), o).alias("prompt"))
 
 
-@query()
+@query("""SELECT p_partkey, 'Will this trial succeed?' || chr(10) || chr(10) || 'Trial:' || chr(10) || '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '","criteria":"' || CASE WHEN length(p_type) > 10 THEN substr(p_type, 1, 10) || '...' ELSE p_type END || '"}' ||
+chr(10) || chr(10) || 'Answer as JSON: {"prediction": "Successful" or "Failed"}' AS prompt FROM part""")
 def prompt_trial(t: Tables) -> DataFrame:
     p = t("part").select("p_partkey", "p_name", F.col("p_type").alias("criteria"), "p_retailprice")
     return p.select("p_partkey", prompts.trial_prompt(p, "outcome", leaks=("p_retailprice",), most=10).alias("prompt"))
@@ -781,23 +856,219 @@ def convert_four_options(t: Tables) -> DataFrame:
     return convert.four_options(rows)
 
 
-@query()
+@query("""WITH x AS (SELECT p_partkey, contains(p_brand, '1') AS b, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS truth FROM part)
+SELECT p_partkey AS question_id, CASE WHEN b THEN 'B' ELSE 'A' END AS predicted, truth = CASE WHEN b THEN 'B' ELSE 'A' END AS correct, 'letters' AS format FROM x""")
 def evaluate_multiple_choice(t: Tables) -> DataFrame:
-    q = F.concat_ws("\n", "p_name", F.concat(F.lit("A) "), "p_brand"), F.concat(F.lit("B) "), "p_type"))
+    q = F.concat_ws("\n", F.lit("Which?"), F.concat(F.lit("A) "), "p_brand"), F.concat(F.lit("B) "), F.lit("none")))
     rows = t("part").select(F.col("p_partkey").alias("row_id"), q.alias("question"), F.when(F.col("p_size") % 2 == 0, "A").otherwise("B").alias("answer"), F.lit("exam").alias("dataset_name"))
-    return evaluate.multiple_choice(rows, lambda: lambda asked: ["The answer is A" if len(p) % 2 else "B" for p in asked]).select("question_id", "predicted", "correct", "format")
+    return evaluate.multiple_choice(rows, lambda: lambda asked: ["(B)" if "1" in p else "The answer is A" for p in asked]).select("question_id", "predicted", "correct", "format")
+
+
+@query("""SELECT p_partkey AS trial_id, 'duration' AS task, p_size::DOUBLE AS parsed_prediction, p_partkey::DOUBLE AS ground_truth, abs(p_size - p_partkey)::DOUBLE AS absolute_error, ((p_size - p_partkey) ** 2)::DOUBLE AS squared_error FROM part""")
+def evaluate_trial_task(t: Tables) -> DataFrame:
+    rows = t("part").select(F.col("p_partkey").alias("nctid"), F.concat(F.lit('{"months": '), F.col("p_size").cast("string"), F.lit("}")).alias("prompt_"), F.col("p_partkey").cast("double").alias("truth"))
+    return evaluate.trial_task(rows, lambda: lambda asked: list(asked), "duration", F.col("prompt_"), "truth").drop("prompt", "raw_llm_output")
+
+
+@query("""SELECT lang, count(*) AS evaluated, round(avg(quality), 6) AS quality, round(avg(CASE WHEN toxic = 1 THEN n_chars END), 4) AS chars FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def category_averages(t: Tables) -> DataFrame:
+    d = t("documents").join(t("labels"), "doc_id").withColumn("chars", F.when(F.col("toxic") == 1, F.col("n_chars")))
+    return evaluate.averages(d, ["quality", "chars"], ["lang"]).withColumns({"quality": r6("quality"), "chars": F.round("chars", 4)})
+
+
+@query("""SELECT p_partkey, 'Part Key: ' || p_partkey || chr(10) || 'Part Name: ' || p_name AS text, 'Visit 1: diag: 1, ' || p_size || '; med: ' || chr(10) || 'Visit 2: diag: 3; med: 7' AS history,
+'Does this patient fit the trial?' || chr(10) || chr(10) || 'Patient:' || chr(10) || p_name || chr(10) || chr(10) || 'Inclusion:' || chr(10) || p_type || chr(10) || chr(10) || 'Exclusion:' || chr(10) || p_brand AS match FROM part""")
+def prompts_of_records(t: Tables) -> DataFrame:
+    p = t("part").withColumnsRenamed({"p_name": "part_name", "p_partkey": "part_key"}).withColumn("none", F.lit(" \t"))
+    numbers = lambda *x: F.array(*(F.lit(i) if isinstance(i, int) else F.col(i) for i in x)).cast("array<int>")
+    p = p.withColumn("visits", F.array(F.struct(numbers(1, "p_size").alias("diag"), numbers().alias("med")), F.struct(numbers(3).alias("diag"), numbers(7).alias("med"))))
+    p = prompts.with_llm_text(p, ["part_key", "part_name", "none", "missing"])
+    return p.select(F.col("part_key").alias("p_partkey"), F.col("llm_text").alias("text"), prompts.visits_text(F.col("visits"), ["diag", "med"]).alias("history"), prompts.match_prompt(F.col("part_name"), F.col("p_type"), F.col("p_brand")).alias("match"))
+
+
+@query("""SELECT 'outcome' AS kind, 'Predict whether this trial succeeds.' || chr(10) || chr(10) || 'P Name: ' || p_name AS prompt, CASE p_size % 3 WHEN 1 THEN 'Success' WHEN 0 THEN 'Failure' END AS response FROM part
+UNION ALL SELECT 'search', 'Is this trial relevant to the query?' || chr(10) || chr(10) || 'Query: ' || r_name || chr(10) || 'Trial: ' || n_name, CASE WHEN contains(lower(n_name), lower(r_name)) THEN 'Relevant' ELSE 'Not relevant' END FROM region CROSS JOIN nation
+UNION ALL SELECT 'site', 'How well does this site suit the trial?' || chr(10) || chr(10) || 'Trial: ' || n_name || chr(10) || 'Site: ' || r_name, r_regionkey::VARCHAR FROM nation CROSS JOIN region""")
+def prompt_datasets(t: Tables) -> DataFrame:
+    p = t("part").withColumn("outcome", F.when(F.col("p_size") % 3 < 2, F.col("p_size") % 3))
+    made = {
+        "outcome": prompts.outcome_dataset(p, ["p_name", "missing"]),
+        "search": prompts.search_dataset(relational.contained_pairs(t("region"), t("nation"), "r_name", "n_name"), "r_name", "n_name", "label"),
+        "site": prompts.site_dataset(relational.all_pairs(t("nation"), t("region")), "n_name", "r_name", "r_regionkey"),
+    }
+    return relational.union_all([df.withColumn("kind", F.lit(k)) for k, df in made.items()])
+
+
+# --- codes, dates, shapes -----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, p_type || ', ' || p_brand AS csv, 'a1|b|' || p_brand AS nested, chr(65 + (p_size % 5)) || ', H' AS letters, 'Yes. ' || p_name AS decision, ' ' || p_name AS citation, 'Brief Title' AS title, p_size::BIGINT AS whole,
+CASE WHEN p_size >= 25 THEN 'high' ELSE 'low' END AS level, p_size || ', ' || p_partkey AS joined, 'C: ' || p_name AS rewritten, CASE p_size % 3 WHEN 0 THEN 'three_way' WHEN 1 THEN 'letters' ELSE 'many' END AS format, p_size / 2 AS half FROM part""")
+def codes_and_texts(t: Tables) -> DataFrame:
+    n = F.col("p_size")
+    keys = F.when(n % 3 == 0, F.array(*map(F.lit, ("Yes", "No", "Maybe")))).when(n % 3 == 1, F.array(*map(F.lit, "ABCD"))).otherwise(F.array(*map(F.lit, "ABCDEFGHIJK")))
+    rows = convert.answer_with_option(t("part").withColumn("rewritten", F.col("p_name")).withColumn("option", F.lit("C")), "rewritten", "option")
+    return rows.select(
+        "p_partkey",
+        text.list_to_csv(F.format_string("\t['%s', \"%s\"]\n", "p_type", "p_brand")).alias("csv"),
+        F.array_join(F.flatten(text.nested_codes(F.concat(F.lit('[["a1", \t"b"], ["'), F.col("p_brand"), F.lit('"]]')))), "|").alias("nested"),
+        text.label_letters(text.label_numbers(F.concat(F.lit("[7 "), (n % 5).cast("string"), F.lit("]")))).alias("letters"),
+        text.decision_answer(F.lit("\tyES\n"), F.col("p_name")).alias("decision"),
+        text.citation_title(F.concat(F.lit("Auth A. "), F.col("p_name"), F.lit(". 2020"))).alias("citation"),
+        text.title_case(F.lit("brief_title")).alias("title"),
+        numeric.to_int(F.concat(F.lit("\t"), n.cast("string"), F.lit(".0\n"))).alias("whole"),
+        parse.binarised(n, 25, "high", "low").alias("level"),
+        arrays.joined(F.array(n.cast("long"), F.col("p_partkey"))).alias("joined"),
+        "rewritten",
+        metrics.answer_format(F.map_from_arrays(keys, keys)).alias("format"),
+        numeric.to_number(F.concat((n / 2).cast("string"), F.lit("\r\n"))).alias("half"),
+    )
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate)::INT END AS year, CASE WHEN o_orderkey % 2 = 0 THEN epoch(date_trunc('day', o_orderdate::TIMESTAMP))::BIGINT END AS seconds FROM orders""")
+def dates(t: Tables) -> DataFrame:
+    said = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon")
+    return t("orders").select("o_orderkey", numeric.year_of(said).alias("year"), F.unix_seconds(numeric.to_timestamp(said)).alias("seconds"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine, round(least(1, greatest(0, list_cosine_similarity(a.v, b.v))), 6) AS similarity FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
+def vector_measures(t: Tables) -> DataFrame:
+    from millrace.functions.overlap import similarity as held
+
+    e = t("embeddings")
+    c = e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select("a.vec_id", numeric.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("cosine"))
+    return rounded(c.withColumn("similarity", held(F.col("cosine"))))
+
+
+@query("""WITH g AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS c FROM lineitem GROUP BY 1), i AS (SELECT l_orderkey, c, list_filter(list_transform(c, lambda x: CASE WHEN x > 2 THEN x * 10 END), lambda x: x IS NOT NULL) AS k FROM g)
+SELECT l_orderkey, array_to_string(c[1:3], ',') AS clipped, CASE WHEN len(k) = 0 THEN '0' ELSE array_to_string(k, ',') END AS indexed, array_to_string(c, ',') || '|' || array_to_string(list_transform(c, lambda x: x * 2), ',') AS transposed FROM i""")
+def visit_shapes(t: Tables) -> DataFrame:
+    g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("c"))
+    s = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    table = F.create_map(*(F.lit(x) for i in range(3, 8) for x in (i, i * 10)))
+    g = g.withColumn("visits", F.transform("c", lambda x: F.struct(x.alias("a"), (x * 2).alias("b")))).withColumn("by", arrays.by_type(F.col("visits"), ["a", "b"]))
+    clipped = F.transform(arrays.clipped(F.col("visits"), 3), lambda v: v["a"])
+    return g.select("l_orderkey", s(clipped).alias("clipped"), s(arrays.indexed_or_zero(F.col("c"), table)).alias("indexed"), F.concat_ws("|", s(F.col("by.a")), s(F.col("by.b"))).alias("transposed"))
+
+
+@query("""SELECT '{"p_partkey":' || p_partkey || ',"size":' || p_size || ',"half":' || CASE WHEN p_size % 2 = 0 THEN (p_size // 2)::VARCHAR ELSE (p_size / 2)::VARCHAR END || ',"none":null,"day":"2020-01-02"}' AS record FROM part""")
+def json_safe_records(t: Tables) -> DataFrame:
+    n = F.col("p_size")
+    return arrays.json_safe(t("part").select("p_partkey", n.cast("double").alias("size"), (n / 2).alias("half"), F.lit(float("inf")).alias("none"), F.lit("2020-01-02").cast("date").alias("day")))
+
+
+# --- tables --------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_size::DOUBLE AS size FROM part WHERE p_size % 4 > 0""")
+def renamed_table(t: Tables) -> DataFrame:
+    p = t("part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("NAME"), F.col("p_brand").alias("b"), F.when(F.col("p_size") % 4 > 0, F.col("p_size").cast("string")).alias("size"), F.lit("x").alias("leak"))
+    p = clean.without_leaks(clean.rename_first(clean.rename(p, {"b": "brand", "zz": "z"}), "id"), ["leak"])
+    p = clean.existing(clean.ensure_columns(p, ["id", "name", "brand", "size"]), ["id", "name", "brand", "size", "zz"])
+    return clean.numeric_where_whole(clean.drop_null(p, ["size"]), ["size", "name"])
+
+
+@query("SELECT n_nationkey, r_regionkey, n_name || '@' || r_name AS pair FROM nation CROSS JOIN region")
+def site_pairs(t: Tables) -> DataFrame:
+    return relational.all_pairs(t("nation"), t("region")).select("n_nationkey", "r_regionkey", F.concat_ws("@", "n_name", "r_name").alias("pair"))
+
+
+@query("""WITH d AS (SELECT n_nationkey, r_regionkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY md5(n_nationkey || ':' || r_regionkey || ':42')) AS r FROM nation CROSS JOIN region) SELECT n_nationkey, r_regionkey FROM d WHERE r <= 3""")
+def example_sites(t: Tables) -> DataFrame:
+    return features.example_mapping(t("nation"), t("region"), "n_nationkey", "r_regionkey")
+
+
+@query("""WITH o AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS priority FROM orders GROUP BY 1) SELECT o_custkey, c_name, priority FROM (SELECT DISTINCT o_custkey FROM orders) JOIN customer ON c_custkey = o_custkey JOIN o USING (o_custkey)""")
+def two_sided_lookup(t: Tables) -> DataFrame:
+    mapping = t("orders").select("o_custkey").distinct()
+    left = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    right = t("orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_orderpriority").alias("priority"))
+    found = relational.lookup_both(mapping.withColumn("custkey", F.col("o_custkey")), left, right, "o_custkey", "custkey", order="o_orderkey")
+    return found.select("o_custkey", "c_name", "priority")
+
+
+@query("""SELECT o_orderkey, coalesce(array_to_string(list(l_partkey ORDER BY l_partkey) FILTER (l_partkey IS NOT NULL), ','), '') AS parts, (o_orderstatus = 'F')::INT AS death FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+def attached_lists(t: Tables) -> DataFrame:
+    o = t("orders").withColumn("deathtime", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")))
+    o = ehr.death_indicator(ehr.attached(o.select("o_orderkey", "deathtime"), {"parts": (t("lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "l_partkey")}, "o_orderkey"))
+    return o.select("o_orderkey", F.coalesce(F.array_join(F.transform("parts", lambda x: x.cast("string")), ","), F.lit("")).alias("parts"), "death")
+
+
+@query("""WITH f AS (SELECT o_custkey, min(o_orderdate) AS came FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) GROUP BY 1)
+SELECT c_custkey AS subject_id, round(date_diff('day', DATE '1960-01-01', came::DATE) / 365.25, 6) AS age FROM customer LEFT JOIN f ON o_custkey = c_custkey""")
+def patient_ages(t: Tables) -> DataFrame:
+    patients = t("customer").select(F.col("c_custkey").alias("subject_id"), F.lit("1960-01-01").cast("date").alias("dob"), F.lit(None).cast("date").alias("dod_hosp"))
+    admissions = t("orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").cast("date").alias("admittime"))
+    return ehr.patient_table(patients, admissions).select("subject_id", r6("age").alias("age"))
+
+
+@query("""SELECT 'c_mktsegment' AS name, count(DISTINCT c_mktsegment)::BIGINT AS n FROM customer UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'age_group', 0 UNION ALL SELECT 'gender', 0""")
+def feature_roles(t: Tables) -> DataFrame:
+    c = t("customer").select("c_acctbal", "c_mktsegment", "c_nationkey")
+    sizes = features.table_config(c, ["c_acctbal"], [])["cardinalities"]
+    named = features.demographic_columns(c.withColumns({"age_group": F.lit(1), "gender": F.lit(2), "package": F.lit(3)}))
+    return c.sparkSession.createDataFrame([*((k, int(v)) for k, v in sizes.items()), *((k, 0) for k in named)], "name string, n long")
+
+
+@query("""WITH x AS (SELECT l_extendedprice AS y, l_quantity * 1000 AS p FROM lineitem WHERE l_orderkey % 5 > 0), z AS (SELECT y, p - y AS e FROM x)
+SELECT count(*) AS evaluated, round(avg(abs(e)), 4) AS mae, round(avg(e), 4) AS mean_error, round(median(e), 4) AS median_error FROM z""")
+def parsed_regression(t: Tables) -> DataFrame:
+    rows = t("lineitem").select(F.col("l_extendedprice").alias("y"), F.when(F.col("l_orderkey") % 5 > 0, F.col("l_quantity") * 1000).alias("p"))
+    m = metrics.regression_metrics(rows, "y", "p", penalise=False)
+    return m.select("evaluated", *(F.round(c, 4).alias(c) for c in ("mae", "mean_error", "median_error")))
+
+
+@query("SELECT p_partkey::VARCHAR AS nct_id, p_name AS title, 1995 + p_size % 7 AS year, CASE WHEN p_size % 2 = 0 THEN 'Phase 1' END AS phase FROM part")
+def library_table(t: Tables) -> DataFrame:
+    day = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("March 5, "), (F.lit(1995) + F.col("p_size") % 7).cast("string"))).otherwise(F.concat(F.lit("March "), (F.lit(1995) + F.col("p_size") % 7).cast("string")))
+    same = {c: F.lit("x") for c in ("brief_summary", "condition", "intervention_name", "eligibility_criteria", "keyword", "primary_outcome_measure", "study_status")}
+    r = t("part").select(F.col("p_partkey").cast("string").alias("nct_id"), F.col("p_name").alias("brief_title"), day.alias("start_date"), F.when(F.col("p_size") % 2 == 0, "Phase 1").alias("phase")).withColumns(same)
+    return pipelines.trial_library_table(r).select("nct_id", "title", "year", "phase")
+
+
+# --- converters ---------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'decision' AS kind, p_name AS question, 'Maybe' AS answer, 'Maybe. ' || p_type AS answer_long FROM part
+UNION ALL SELECT 'letters', p_name || chr(10) || 'A) ' || p_brand || chr(10) || 'B) ' || p_type || chr(10) || 'C) x' || chr(10) || 'D) y', 'B', 'B) ' || p_type FROM part
+UNION ALL SELECT 'live', p_name, p_type, NULL FROM part UNION ALL SELECT 'live', p_name, p_brand, NULL FROM part
+UNION ALL SELECT 'inference', 'Does the conclusion follow from the premises?' || chr(10) || 'Premises: ' || p_name || chr(10) || 'Conclusion: ' || p_type, CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END, NULL FROM part
+UNION ALL SELECT 'summary', 'Summarise this question in one sentence: ' || p_name, p_type, NULL FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT 'documents', p_name, p_brand, NULL FROM part WHERE p_size % 2 = 1
+UNION ALL SELECT 'paper', 'Which chemicals and diseases does this paper name? ' || p_name || ' ' || p_type, 'Chemical: ' || p_brand || ', zinc; Disease: flu', NULL FROM part
+UNION ALL SELECT 'paper', 'Which relations does this paper report? ' || p_name || ' ' || p_type, 'CID', NULL FROM part""")
+def converted_corpora(t: Tables) -> DataFrame:
+    p = t("part")
+    even = F.col("p_size") % 2 == 0
+    entity = lambda kind, *names: F.struct(F.lit(kind).alias("type"), F.array(*names).alias("text"))
+    relations = F.array(F.struct(F.lit("CID").alias("type")), F.struct(F.lit("CID").alias("type")))
+    paper = F.array(
+        F.struct(F.lit("title").alias("type"), F.col("p_name").alias("text"), F.array(entity("Chemical", F.lit("zinc"), F.col("p_brand"))).alias("entities"), relations.alias("relations")),
+        F.struct(F.lit("abstract").alias("type"), F.col("p_type").alias("text"), F.array(entity("Disease", F.lit("flu")), entity("Chemical", F.lit("zinc"))).alias("entities"), F.slice(relations, 1, 0).alias("relations")),
+    )
+    made = {
+        "decision": convert.decisions(p.select(F.col("p_name").alias("QUESTION"), F.lit(" maybe\t").alias("final_decision"), F.col("p_type").alias("LONG_ANSWER"))),
+        "letters": convert.lettered_options(p.select(F.col("p_name").alias("question"), F.col("p_brand").alias("choicesA"), F.col("p_type").alias("choicesB"), F.lit("x").alias("choicesC"), F.lit("y").alias("choicesD"), F.lit(" ").alias("choicesE"), F.lit("b\n").alias("answer_idx"))),
+        "live": convert.live(p.select(F.lit(None).cast("string").alias("question"), F.col("p_name").alias("subject"), F.array("p_type", "p_brand", F.lit("\n")).alias("answers"))),
+        "inference": convert.inference(p.select(F.col("p_name").alias("supp_set"), F.col("p_type").alias("conclusion"), F.when(even, "pos").otherwise("neg").alias("label_cat"))),
+        "summary": convert.summaries(p.select(F.col("p_name").alias("CHQ"), F.when(even, F.col("p_type")).otherwise("\t").alias("Summary"))),
+        "documents": convert.documents(p.select(F.col("p_name").alias("question_text"), F.when(~even, F.col("p_brand")).alias("answer_text"))),
+        "paper": convert.entity_relations(p.select(paper.alias("document"))),
+    }
+    return relational.union_all([df.withColumn("kind", F.lit(k)) for k, df in made.items()]).select("kind", "question", "answer", "answer_long")
+
+
+@query("""SELECT 'Which cancer hallmarks does this text describe?' || chr(10) || p_name || chr(10) || 'A) None' AS question, CASE WHEN p_size % 2 = 0 THEN 'B, D' ELSE 'A' END AS answer, CASE WHEN p_size % 2 = 0 THEN 'Sustaining proliferative signaling (PS), Resisting cell death (CD)' ELSE 'None of the above' END AS answer_long FROM part""")
+def hallmark_corpus(t: Tables) -> DataFrame:
+    p = t("part").select(F.col("p_name").alias("text"), F.when(F.col("p_size") % 2 == 0, "[3 1]").otherwise("[]").alias("label"))
+    return convert.hallmarks(p).withColumn("question", F.concat(F.substring_index("question", "A) None", 1), F.lit("A) None")))
 
 
 # --- files: written to the shared folder, read back ---------------------------------------------------------------------------
 
 
 def shared_path(df: DataFrame, name: str) -> str:
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/millrace-files-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(df.sparkSession, name)
 
 
 _EXTRA = "'x, \"' || p_name || '\"' || chr(10) || 'y'"
@@ -819,14 +1090,106 @@ def jsonl_round_trip(t: Tables) -> DataFrame:
     return readers.jsonl(df.sparkSession, path, "p_partkey long, p_name string, p_size int")
 
 
-@query("SELECT p_partkey AS sentence_id, p_name AS sentence_text FROM (SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part)")
+@query("SELECT p_partkey::VARCHAR AS sentence_id, p_name AS sentence_text FROM part")
 def sentence_xml(t: Tables) -> DataFrame:
     df = t("part").select(F.col("p_partkey").alias("_id"), F.col("p_name").alias("_text"), F.lit("").alias("x"))
     path = shared_path(df, "xml")
     writers.xml(df, path, "corpus", "sentence")
-    spark = df.sparkSession
-    rows = spark.read.format("xml").option("rowTag", "sentence").schema("_id string, _text string").load(path)
-    return rows.select(F.col("_id").alias("sentence_id"), F.col("_text").alias("sentence_text"))
+    return readers.sentences(df.sparkSession, path)
+
+
+def texts(t: Tables, line: F.Column, name: str, table: str = "part") -> str:
+    """A folder of text files with these lines."""
+    df = t(table).select(line.alias("value"))
+    path = shared_path(df, name)
+    df.write.text(path)
+    return path
+
+
+def spark_of(t: Tables) -> SparkSession:
+    return t("region").sparkSession
+
+
+@query("""SELECT 'tab' AS kind, p_partkey::VARCHAR AS id, p_name AS name FROM part UNION ALL SELECT 'pipe', p_partkey::VARCHAR, p_name FROM part UNION ALL SELECT 'place', p_partkey::VARCHAR, p_name FROM part
+UNION ALL SELECT 'lower', p_partkey::VARCHAR, p_name FROM part UNION ALL SELECT 'folder', p_partkey::VARCHAR, p_name FROM part""")
+def delimited_files(t: Tables) -> DataFrame:
+    spark, made = spark_of(t), {}
+    p = t("part").select(F.col("p_partkey").alias("ID"), F.col("p_name").alias("Name"))
+    for kind, sep, read in (("tab", "\t", readers.tsv), ("pipe", "|", readers.pipes)):
+        path = shared_path(p, kind)
+        p.write.option("header", "true").option("sep", sep).csv(path)
+        made[kind] = read(spark, path, lower=True)
+    path = shared_path(p, "csv")
+    writers.csv(p.withColumn("more", F.lit("é")), path)
+    made["place"] = readers.positional_csv(spark, path, ["id", "name"]).select("id", "name")
+    made["lower"] = readers.csv(spark, path, lower=True, columns=["id", "name"])
+    made["folder"] = readers.directory(spark, path, schema="id string, name string, more string").where("file_path like '%csv%'").select("id", "name")
+    return relational.union_all([df.select(F.lit(k).alias("kind"), "id", "name") for k, df in made.items()])
+
+
+@query("""SELECT 'lines' AS kind, 'x' AS id, p_name AS text FROM part UNION ALL SELECT 'pairs', p_partkey::VARCHAR, p_name FROM part
+UNION ALL SELECT 'keyed', n_nationkey::VARCHAR, n_name FROM nation UNION ALL SELECT 'documents', n_nationkey::VARCHAR, n_name FROM nation UNION ALL SELECT 'visits', n_nationkey::VARCHAR, '1,2;' || n_regionkey FROM nation""")
+def text_and_json_files(t: Tables) -> DataFrame:
+    spark = spark_of(t)
+    lines = readers.lines(spark, texts(t, F.concat(F.lit(" \t"), F.col("p_name"), F.lit("\t ")), "lines")).select(F.lit("lines").alias("kind"), F.lit("x").alias("id"), F.col("value").alias("text"))
+    pairs = readers.id_text(spark, texts(t, F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name"), "pairs"), "id").select(F.lit("pairs").alias("kind"), "id", "text")
+    k = F.col("n_nationkey").cast("string")
+    keyed = readers.keyed_json(spark, texts(t, F.concat(F.lit('{"'), k, F.lit('": {"name": "'), F.col("n_name"), F.lit('"}}')), "keyed", "nation"), "name string")
+    whole = t("nation").select(F.collect_list(F.struct(k.alias("id"), F.col("n_name").alias("name"))).alias("studies"))
+    path = shared_path(whole, "documents")
+    whole.coalesce(1).write.json(path)
+    documents = readers.json_documents(spark, path).select(F.lit("documents").alias("kind"), "id", F.col("name").alias("text"))
+    visited = t("nation").select(F.map_from_entries(F.collect_list(F.struct(k, F.array(F.array(F.lit(1), F.lit(2)), F.array(F.col("n_regionkey").cast("int")))))).alias("m")).select(F.to_json("m").alias("value"))
+    path = shared_path(visited, "visits")
+    visited.coalesce(1).write.text(path)
+    shown = F.array_join(F.transform("visits", lambda v: F.array_join(F.transform(v, lambda x: x.cast("string")), ",")), ";")
+    visits_ = readers.visits_json(spark, path).select(F.lit("visits").alias("kind"), F.col("subject").alias("id"), shown.alias("text"))
+    return relational.union_all([lines, pairs, keyed.select(F.lit("keyed").alias("kind"), "id", F.col("name").alias("text")), documents, visits_])
+
+
+@query("""SELECT n_nationkey::VARCHAR AS nctid, n_name AS name, n_regionkey::VARCHAR AS y FROM nation""")
+def paired_files(t: Tables) -> DataFrame:
+    n, spark = t("nation"), spark_of(t)
+    folder = shared_path(n, "pair")
+    writers.csv(n.select(F.col("n_nationkey").alias("first"), F.col("n_name").alias("name")), f"{folder}/test_x.csv")
+    writers.csv(n.select(F.col("n_nationkey").alias("other"), F.col("n_regionkey").alias("y")), f"{folder}/test_y.csv")
+    assert readers.missing_inputs(spark, [f"{folder}/test_x.csv", f"{folder}/zz"]) == [f"{folder}/zz"]
+    return readers.cached(spark, f"{folder}/joined", lambda: readers.split_pair(spark, folder))
+
+
+@query("""SELECT 'qa' AS kind, 'D' || p_partkey AS id, p_name AS question, p_type AS more FROM part UNION ALL SELECT 'live', 'L' || p_partkey, p_name, p_brand || '|' || p_type FROM part
+UNION ALL SELECT 'annotated', 'Q' || p_partkey, p_name, p_brand || '|' || p_type FROM part""")
+def question_xml(t: Tables) -> DataFrame:
+    spark = spark_of(t)
+
+    def written(name: str, shape: str, *columns: str) -> str:
+        made = t("part").repartition(2).select(F.concat(F.format_string(shape, *columns)).alias("x")).groupBy(F.lit(1)).agg(F.array_join(F.collect_list("x"), "\n").alias("x"))
+        folder = shared_path(made, name)
+        made.select(F.concat(F.lit("<all>"), "x", F.lit("</all>")).alias("value")).coalesce(1).write.text(folder)
+        files = readers._hadoop(spark, folder)
+        for status in files[0].listStatus(files[1]):
+            path = status.getPath()
+            if path.getName().startswith("part-"):
+                files[0].rename(path, path.getParent().suffix("/all.xml"))
+        return folder
+
+    qa = written("qa", '<Document id="D%d" source="s"><Focus> f </Focus><QAPairs><QAPair pid="1"><Question qid="q" qtype="t"> %s </Question><Answer>\t%s </Answer></QAPair></QAPairs></Document>', "p_partkey", "p_name", "p_type")
+    live = written("live", '<NLM-QUESTION questionid="L%d"><SUBJECT>s</SUBJECT><MESSAGE> %s </MESSAGE><SUB-QUESTIONS><SUB-QUESTION subqid="1"><ANNOTATIONS><FOCUS> %s</FOCUS><TYPE>%s </TYPE></ANNOTATIONS></SUB-QUESTION></SUB-QUESTIONS></NLM-QUESTION>', "p_partkey", "p_name", "p_brand", "p_type")
+    notes = written("notes", '<Question qid="Q%d"><Request> %s</Request><Focuses><Focus fid="F" fcategory="c">%s</Focus></Focuses><Decomposition><SubQuestion id="1" qt="t"> %s</SubQuestion></Decomposition></Question>', "p_partkey", "p_name", "p_brand", "p_type")
+    found = [
+        readers.qa_documents(spark, qa).select(F.lit("qa").alias("kind"), F.col("doc_id").alias("id"), F.col("question_text").alias("question"), F.col("answer_text").alias("more")),
+        readers.live_questions(spark, live).select(F.lit("live").alias("kind"), F.col("qid").alias("id"), "question", F.concat_ws("|", "focus", "type").alias("more")),
+        readers.annotated_questions(spark, notes).select(F.lit("annotated").alias("kind"), F.col("qid").alias("id"), "question", F.concat_ws("|", F.col("focuses")[0]["text"], F.col("sub_questions")[0]["text"]).alias("more")),
+    ]
+    return relational.union_all(found)
+
+
+@query("SELECT n_nationkey, 'f' || (n_regionkey % 2) AS folder FROM nation")
+def rows_by_folder(t: Tables) -> DataFrame:
+    n = t("nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.concat(F.lit("/a/f"), (F.col("n_regionkey") % 2).cast("string"), F.lit("/x.csv")).alias("file_path"))
+    path = shared_path(n, "folders")
+    writers.by_folder(n, path)
+    return n.sparkSession.read.parquet(path).select("n_nationkey", "folder")
 
 
 @query("SELECT n_nationkey::VARCHAR AS query_id, n_nationkey::VARCHAR || 'd' AS doc_id FROM nation WHERE n_regionkey > 0")

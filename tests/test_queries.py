@@ -40,9 +40,50 @@ def test_same_as_sql(spark, duck, name):
     assert canonical(tuple(r) for r in df.select(*(f"`{c}`" for c in columns)).collect()) == canonical(expected)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_embedded_texts_are_brute_force(spark):
+    """The two queries that compare hashed embeddings, against numpy on the same texts."""
+    import numpy as np
+
+    from millrace.functions.text import joined_columns  # noqa: F401  (the text that is embedded)
+    from millrace.operators.similarity import hash_encoder
+
+    rows = sorted((r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect())
+    v = hash_encoder()([t or "" for _, t in rows]).astype(float)
+    cosine = v @ v.T
+    want = {(rows[i][0], rows[j][0]): round(float(cosine[i, j]), 6) for i in range(len(rows)) for j in range(i + 1, len(rows)) if cosine[i, j] > 0.2}
+    got = {(r.i, r.j): r.cosine for r in QUERIES["embed_and_compare"](spark, SF).collect()}
+    assert got.keys() == want.keys() and want and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    gone: set = set()
+    for (i, j), c in sorted(want.items()):
+        if c > 0.9 and i not in gone:
+            gone.add(j)
+    assert {r.row_id for r in QUERIES["text_columns_dedup"](spark, SF).collect()} == {k for k, _ in rows} - gone
+
+
+def test_overlap_scores(spark):
+    got = QUERIES["overlap_scores"](spark, SF).collect()
+    assert got and all(0 <= x[c] <= 1 for x in got for c in ("bleu", "rouge1", "rouge2", "rougeL", "entities", "ratio"))
+
+
+def test_without_the_corpus_operators(tmp_path):
+    """The rest imports, lists its queries and runs one with millrace/llm and tests/llm deleted, with and without corpus_pipeline.py."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    code = (
+        "import __spark_entry__ as e\nq, o = e.queries(), e.oracle_sql()\nassert set(o) <= set(q) and 'pipeline' not in q and not [n for n in q if n.startswith('op')], q\n"
+        "from millrace.session import session\ns = session('copy', 'local[2]', 2, **{'spark.ui.enabled': 'false'})\nassert q['counts_and_totals'](s, '/root/testdata/sf0.001').count() > 0\n"
+    )
+    for delete in (False, True):
+        if delete and (copy / "corpus_pipeline.py").exists():
+            (copy / "corpus_pipeline.py").unlink()
+        run = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=300)
+        assert run.returncode == 0, run.stderr[-2000:]
 
 
 def test_entry(spark):
