@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,23 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import clear_scratch, materialise, release, scratch_dir  # noqa: F401  (for the operators)
+
 #: At most this many groups are broadcast by attach_groups(): a proven bound, whatever the input.
 HEAVY_GROUPS = 100_000
 BATCH_ROWS, BATCH_BYTES = "1000", "8m"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else (one machine) a temporary one."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not context.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/millrace-{context.applicationId}"
-
-
 def shared_uri(spark: SparkSession) -> str:
     """scratch_dir() as a URI with its scheme, for readers and writers other than Spark's."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
@@ -37,28 +25,6 @@ def shared_uri(spark: SparkSession) -> str:
     return uri.replace("file:/", "file:///") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df written to shared storage and read again: cuts the lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._millrace_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables of materialise() that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._millrace_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what materialise() wrote in this application; call it when no result is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches that suit rows with long texts: BATCH_ROWS rows and BATCH_BYTES at most, set where the session has Spark's defaults."""
     for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES)):
