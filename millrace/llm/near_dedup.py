@@ -8,16 +8,17 @@ gives the similarity of the samples, and pairs far below the threshold (SCREEN,
 five standard deviations) are not looked at further. The rest are compared on full sets.
 
 Skew: documents of equal sets are one node, known by the number of one of its rows, so ids
-may repeat. In a bucket only pairs with two leaders, its smallest member and one chosen by
-hash, are tried first, which is linear in its rows. Then connected components tell which
-buckets still hold several components. Of these, the members outside the bucket's largest
-component (its minors) are compared with all members of other components, each pair only in
-the first band it shares and by finer sketches (FINE_SAMPLES samples, five standard deviations
-again), which only the members of such buckets get. Members are dealt to blocks of BLOCK, and
-only minors are copied, once a block, so a stray document in a large bucket costs as many
-comparisons as the bucket has members; minors in turn are dealt to groups of GROUP. So no pair
-limit drops a link, no task holds a whole large bucket, and buckets of copies that the leaders
-joined are never expanded.
+may repeat. In a bucket only pairs with two leaders, its member of the smallest id and one
+chosen by hash, are tried first, which is linear in its rows. Then connected components tell
+which buckets still hold several components. These get two more leaders, the member with the
+most links so far and one outside the largest component. In buckets that are open even then,
+the members outside the largest component (the minors) are compared with all members of other
+components, each pair only in the first band it shares and by finer sketches (FINE_SAMPLES
+samples, five standard deviations again), which only the members of such buckets get. Members
+are dealt to blocks of BLOCK, and only minors are copied, once a block, so a stray document in
+a large bucket costs as many comparisons as the bucket has members; minors in turn are dealt to
+groups of GROUP. So no pair limit drops a link, no task holds a whole large bucket, and buckets
+of copies that the leaders joined are never expanded.
 
 Nulls, ties, empty input: a text without words has an empty set and no links, and takes no
 part in any join; a row without id is returned unlinked; rows of one id are documents of their
@@ -192,7 +193,7 @@ def _screened(percent: int, sa: str, sb: str, na: str, nb: str) -> F.Column:
 
 
 class _Linker:
-    """docs: (handle, text); nodes: (node, handle, set_key, n_shingles, bands, sketch)."""
+    """docs: (handle, text); nodes: (node, doc_id, handle, set_key, n_shingles, bands, sketch)."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
@@ -219,23 +220,24 @@ class _Linker:
         release(likely, sets)
         return links
 
-    def led(self, rows: DataFrame) -> DataFrame:
-        """Links of bucket members with the leaders of their bucket."""
-        by_hash = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))).alias("second")
-        lead = rows.groupBy("key").agg(F.min("node").alias("first"), by_hash, F.count("*").alias("n")).where("n > 1")
-        pairs = rows.join(lead.select("key", F.array("first", "second.node").alias("leaders")), "key")
+    def led(self, rows: DataFrame, leaders: DataFrame) -> DataFrame:
+        """Links of bucket members with the leaders of their bucket: (key, leaders)."""
+        pairs = rows.join(leaders, "key")
         pairs = pairs.select("node", F.explode("leaders").alias("l")).where("node <> l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
         seen = pairs.join(side("a"), "a").join(side("b"), "b").where(_screened(self.percent, "sa", "sb", "na", "nb"))
         return self.confirmed(materialise(seen.select("a", "b", "na", "nb"), "likely"))
 
-    def between(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links between components that share a bucket: its minors with all members of other components."""
+    def open_buckets(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """(key, node, c, major, blocks, groups): members of the buckets that hold several components, with their component and the bucket's largest."""
         named = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
         open_ = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
         shape = open_.select("key", "major", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / GROUP).cast("int").alias("groups"))
-        left = materialise(named.join(shape, "key"), "open")
+        return materialise(named.join(shape, "key"), "open")
+
+    def between(self, left: DataFrame) -> DataFrame:
+        """Links between components that share a bucket, of open_buckets(): its minors with all members of other components."""
         fine = self.from_texts(left.select("node").distinct(), "fine", _fine_sketches)
         sketched = left.join(self.nodes.select("node", "sketch", "n_shingles", "bands"), "node").join(fine, "node")
         columns = ("node", "c", "sketch", "fine", "n_shingles", "bands")
@@ -250,17 +252,30 @@ class _Linker:
         same = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part"))
         pairs = x.join(y, same & apart & first_shared & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_shingles_a").alias("na"), F.col("n_shingles_b").alias("nb"))
         likely = materialise(pairs, "likely")
-        release(left, fine)
+        release(fine)
         return self.confirmed(likely)
 
     def run(self) -> DataFrame:
-        rows = self.nodes.select(F.explode("bands").alias("key"), "node")
+        rows = self.nodes.select(F.explode("bands").alias("key"), "node", "doc_id")
         rows = rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
         rows = materialise(rows, "buckets")
-        links = self.led(rows)
+        by_hash = lambda salt: F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), F.col("node").alias("node"))
+        lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.min(by_hash(1)).alias("second"))
+        links = self.led(rows, lead.select("key", F.array("first.node", "second.node").alias("leaders")))
+        labels = materialise(components(links), "labels")
+        open_ = self.open_buckets(rows, labels)
+        if open_.isEmpty():
+            release(rows, open_)
+            return labels
+        # Again where components are left: led by the member with the most links so far, and by one of the minors.
+        ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+        lead = open_.join(ends, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("n"), F.col("node").alias("node"))).alias("first"), F.min(F.when(F.col("c") != F.col("major"), by_hash(2))).alias("second"))
+        links = links.union(self.led(open_.select("key", "node"), lead.select("key", F.array("first.node", "second.node").alias("leaders"))))
+        release(labels)
         labels = materialise(components(links), "labels")
-        more = self.between(rows, labels)
-        release(rows, labels)
+        left = self.open_buckets(open_.select("key", "node"), labels)
+        more = self.between(left)
+        release(rows, open_, left, labels)
         return components(links.union(more))
 
 
@@ -276,7 +291,7 @@ def _found(docs: DataFrame, text: str, key: str, width: int, percent: int) -> Da
     # The node of a set is its row of the smallest id.
     sets = linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "node")).alias("least"), F.count("*").alias("copies")).select("set_key", "least.doc_id", "least.node", "copies")
     sets = materialise(sets, "nodes")
-    nodes = materialise(rows.join(sets.select("node"), "node", "left_semi").select("node", "handle", "set_key", "n_shingles", "bands", "sketch"), "sketches")
+    nodes = materialise(rows.join(sets.select("node"), "node", "left_semi").select("node", "doc_id", "handle", "set_key", "n_shingles", "bands", "sketch"), "sketches")
     labels = materialise(_Linker(docs.select("handle", "text"), nodes, width, percent).run(), "labels")
     least = labels.join(sets.select("node", "doc_id"), "node").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
     labels = labels.join(least, "component").select("node", "first")
