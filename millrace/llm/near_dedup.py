@@ -8,17 +8,18 @@ gives the similarity of the samples, and pairs far below the threshold (SCREEN,
 five standard deviations) are not looked at further. The rest are compared on full sets.
 
 Skew: documents of equal sets are one node, known by the number of one of its rows, so ids
-may repeat. In a bucket only pairs with two leaders, its member of the smallest id and one
-chosen by hash, are tried first, which is linear in its rows. Then connected components tell
-which buckets still hold several components. These get two more leaders, the member with the
-most links so far and one outside the largest component. In buckets that are open even then,
-the members outside the largest component (the minors) are compared with all members of other
-components, each pair only in the first band it shares and by finer sketches (FINE_SAMPLES
-samples, five standard deviations again), which only the members of such buckets get. Members
-are dealt to blocks of BLOCK, and only minors are copied, once a block, so a stray document in
-a large bucket costs as many comparisons as the bucket has members; minors in turn are dealt to
-groups of GROUP. So no pair limit drops a link, no task holds a whole large bucket, and buckets
-of copies that the leaders joined are never expanded.
+may repeat. In a bucket only pairs with a leader, its member of the smallest id, are tried
+first, which is linear in its rows. Then connected components tell which buckets still hold
+several components. These get two more leaders, the member with the most links so far and one
+outside the largest component, tried with members of components other than the leader's, as a
+link within a component joins nothing. In buckets that are open even then, the members outside
+the largest component (the minors) are compared with all members of other components, each pair
+only in the first band it shares and by finer sketches (FINE_SAMPLES samples, five standard
+deviations again), which only the members of such buckets get. Members are dealt to blocks of
+BLOCK, and only minors are copied, once a block, so a stray document in a large bucket costs as
+many comparisons as the bucket has members; minors in turn are dealt to groups of GROUP. So no
+pair limit drops a link, no task holds a whole large bucket, and buckets of copies that the
+leaders joined are never expanded.
 
 Nulls, ties, empty input: a text without words has an empty set and no links, and takes no
 part in any join; a row without id is returned unlinked; rows of one id are documents of their
@@ -43,7 +44,8 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 SCREEN = 0.2
-FINE_SAMPLES, FINE_BITS, FINE_SCREEN = 1024, 2048, 0.075
+FINE_SAMPLES, FINE_BITS, FINE_SCREEN = 4096, 8192, 0.0375
+FINE_ROWS = 256
 BLOCK, GROUP = 512, 8192
 CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1024
 
@@ -155,7 +157,7 @@ def _members(sets: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _fine_sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
-    return list(odd_sketches(signatures(sets, FINE_SAMPLES), FINE_BITS))
+    return [s for i in range(0, len(sets), FINE_ROWS) for s in odd_sketches(signatures(sets[i : i + FINE_ROWS], FINE_SAMPLES), FINE_BITS)]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,9 +223,9 @@ class _Linker:
         return links
 
     def led(self, rows: DataFrame, leaders: DataFrame) -> DataFrame:
-        """Links of bucket members with the leaders of their bucket: (key, leaders)."""
-        pairs = rows.join(leaders, "key")
-        pairs = pairs.select("node", F.explode("leaders").alias("l")).where("node <> l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
+        """Links of bucket members (key, node, c) with the leaders of their bucket (key, leaders: of (node, c)) that are of another component c."""
+        pairs = rows.join(leaders, "key").select("node", "c", F.explode("leaders").alias("l")).where("c <> l.c")
+        pairs = pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
         seen = pairs.join(side("a"), "a").join(side("b"), "b").where(_screened(self.percent, "sa", "sb", "na", "nb"))
         return self.confirmed(materialise(seen.select("a", "b", "na", "nb"), "likely"))
@@ -259,9 +261,11 @@ class _Linker:
         rows = self.nodes.select(F.explode("bands").alias("key"), "node", "doc_id")
         rows = rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
         rows = materialise(rows, "buckets")
-        by_hash = lambda salt: F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), F.col("node").alias("node"))
-        lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.min(by_hash(1)).alias("second"))
-        links = self.led(rows, lead.select("key", F.array("first.node", "second.node").alias("leaders")))
+        by_hash = F.struct(F.xxhash64("node").alias("h"), "node", "c")
+        leaders = lambda *names: F.array(*(F.struct(f"{x}.node", f"{x}.c") for x in names)).alias("leaders")
+        single = rows.withColumn("c", F.col("node"))
+        lead = single.groupBy("key").agg(F.min(F.struct("doc_id", "node", "c")).alias("first"))
+        links = self.led(single, lead.select("key", leaders("first")))
         labels = materialise(components(links), "labels")
         open_ = self.open_buckets(rows, labels)
         if open_.isEmpty():
@@ -269,8 +273,9 @@ class _Linker:
             return labels
         # Again where components are left: led by the member with the most links so far, and by one of the minors.
         ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-        lead = open_.join(ends, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("n"), F.col("node").alias("node"))).alias("first"), F.min(F.when(F.col("c") != F.col("major"), by_hash(2))).alias("second"))
-        links = links.union(self.led(open_.select("key", "node"), lead.select("key", F.array("first.node", "second.node").alias("leaders"))))
+        most = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("n"), "node", "c"))
+        lead = open_.join(ends, "node", "left").groupBy("key").agg(most.alias("first"), F.min(F.when(F.col("c") != F.col("major"), by_hash)).alias("second"))
+        links = links.union(self.led(open_.select("key", "node", "c"), lead.select("key", leaders("first", "second"))))
         release(labels)
         labels = materialise(components(links), "labels")
         left = self.open_buckets(open_.select("key", "node"), labels)
