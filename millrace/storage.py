@@ -25,10 +25,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df written to shared storage and read again: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df written to shared storage (with the writer's options) and read again: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
