@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe, whitening
+from .clustering import cluster
 from .exact_dedup import exact_duplicates
 from .fingerprints import edited_fingerprints
 from .language import fit, identify, training_rows
@@ -135,6 +137,64 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d LEFT JOIN g ON payload_bytes >= 1000 AND payload_digest = k
 """
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster(_table(spark, sf_dir, "embeddings"))
+    table = spark.createDataFrame(found.summary(), "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.members.join(F.broadcast(table), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _oracle_op11(rounds: int = 5) -> str:
+    """Assignments and floored means, written out round by round."""
+    nearest = "SELECT vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, x, c, list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, {0}) GROUP BY vec_id, x"
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        "c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INTEGER AS c, x AS y FROM v QUALIFY c < 40)",
+    ]
+    for r in range(1, rounds + 1):
+        steps += [
+            f"a{r} AS MATERIALIZED ({nearest.format(f'c{r - 1}')})",
+            f"s{r} AS (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, generate_series(1, 64) g(i) GROUP BY c, i)",
+            f"m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS y FROM s{r} GROUP BY c)",
+            f"c{r} AS MATERIALIZED (SELECT c, coalesce(m{r}.y, o.y) AS y FROM c{r - 1} o LEFT JOIN m{r} USING (c))",
+        ]
+    steps.append(f"f AS MATERIALIZED ({nearest.format(f'c{rounds}')})")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} USING (c)
+"""
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, most = _table(spark, sf_dir, "embeddings"), 32
+    schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    model = whitening.fit(vectors)
+    if model is None:
+        return spark.createDataFrame([], schema)
+    most = min(most, len(model.sums))
+    explained = F.array(*(F.lit(float(e)) for e in model.explained[:most]))
+    error = F.lit(whitening.identity_error(vectors, model, most=most)).cast("double")
+    rows = whitening.transform(vectors, model, most=most).withColumn("component", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    return rows.select(
+        F.col("id").alias("vec_id"),
+        "component",
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        F.try_element_at("whitened", F.col("component")).alias("whitened"),
+        F.element_at(explained, F.col("component")).alias("explained"),
+        error.alias("identity_error"),
+    )
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -146,5 +206,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
+    "op11_clustering": op11_clustering,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_whitening": op13_whitening,
 }
-ORACLES = {"op2_exact_dedup": ORACLE_OP2, "op3_url_filters": ORACLE_OP3, "op6_mixing": ORACLE_OP6, "op10_warc": ORACLE_OP10}
+ORACLES = {"op2_exact_dedup": ORACLE_OP2, "op3_url_filters": ORACLE_OP3, "op6_mixing": ORACLE_OP6, "op10_warc": ORACLE_OP10, "op11_clustering": _oracle_op11()}

@@ -116,6 +116,21 @@ def text_chunks(column: pa.Array, limit: int, most: int = 1 << 30) -> Iterator[t
         first = end
 
 
+def finite_matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, matrix) of the lists of doubles that have so many entries, none null, NaN or infinite."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths == dimensions)
+    m = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dimensions)
+    finite = np.isfinite(m).all(axis=1)
+    return rows[finite], m[finite]
+
+
+def list_column(matrix: np.ndarray) -> pa.Array:
+    """A matrix as a column of lists, one a row."""
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.array(matrix.ravel()))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
