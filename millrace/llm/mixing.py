@@ -13,10 +13,13 @@ beyond. Prefix sums inside a source, which may hold any share of the rows, come
 levels: sums by (source, prefix of the order hash), then running sums inside each.
 
 Nulls, ties, empty input: a null source is a source of its own, after all others; a text
-that is null or blank has size 0 and is never taken; repeated rows are documents of their
-own, in any order; very long texts are only counted; an empty table gives an empty result.
-mixed_documents() returns the columns of its input alone; only names beginning with two
-underscores (__key, __size, __copy, __position) are its own and must not occur there.
+that is null or blank has size 0 and is never taken; rows of equal id are documents of their own,
+ordered by their texts, so that reruns agree whatever the order of the input; rows that are equal
+in id, source and text are interchangeable (mixed_documents() orders them by all their columns);
+rows without id are dealt by their texts; very long texts are only counted and hashed; an empty
+table gives an empty result. mixed_documents() returns the columns of its input alone; only names
+beginning with two underscores (__order, __source, __all, __copy, __position) are its own and must
+not occur there.
 """
 
 from __future__ import annotations
@@ -82,6 +85,11 @@ def position(share: Column, curve: Column) -> Column:
     return F.least(part["time"] + F.try_divide(2 * rest, part["weight"] + root), F.lit(1.0))
 
 
+def place_in_order(key: Column, text: Column) -> Column:
+    """What documents of a source are ordered by, the same in any engine: hex digits of an md5 of the id and the text's md5, so rows of one id, or of none, are spread too."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit(""))), F.lit(":mix")))
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -94,12 +102,15 @@ def mix(
     """One row a document: doc_id, size, source_size, target, taken (words, repeats counted), positions (of its copies).
 
     The last copy of a source's last pass is cut where the demand ends; with whole, it is taken
-    whole or not at all, whichever is nearer. Texts are only read to be counted.
+    whole or not at all, whichever is nearer. Texts are only read to be counted and hashed.
     """
+    return _placed(docs, text, key, source, weights, schedules, whole).drop("source", "order")
+
+
+def _placed(docs: DataFrame, text: str, key: str, source: str, weights: tuple[float, ...], schedules: tuple[tuple[float, ...], ...], whole: bool) -> DataFrame:
+    """mix() with source and order, by which rows are found again."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    # The order is the same in any engine: the hex digits of an md5.
-    rows = rows.withColumn("order", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), place_in_order(F.col(key), F.col(text)).alias("order"))
     narrow = materialise(rows, "sizes")
     totals = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -118,7 +129,7 @@ def mix(
     sums = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("shift"))
-    inner = Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
     laid = narrow.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     laid = laid.join(shifts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b").withColumn("begin", F.col("inner") + F.col("shift"))
     laid = laid.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -140,21 +151,21 @@ def mix(
         "target",
         F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"),
         F.col("copies.position").alias("positions"),
+        "source",
+        "order",
     )
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix itself: the rows of docs, whole, as often as they are taken, range-sorted by training position.
 
-    Texts are shuffled twice, once to meet their positions by id and once to be sorted. Rows of
-    equal id (or without one) are told apart by their sizes.
+    Texts are shuffled twice, once to meet their positions and once to be sorted.
     """
-    named = lambda c, size: F.coalesce(c.cast("string"), F.concat(F.lit(":"), size.cast("string")))
-    same = Window.partitionBy("__key").orderBy("__size")
-    keyed = lambda df, size: df.withColumn("__size", size).withColumn("__copy", F.row_number().over(same))
-    mixed = mix(docs, text, key, source, whole=True).select(named(F.col("doc_id"), F.col("size")).alias("__key"), "size", "positions")
-    mixed = keyed(mixed, F.col("size")).select("__key", "__copy", "positions")
-    rows = keyed(docs.withColumn("__key", named(F.col(key), word_count(F.col(text)))), word_count(F.col(text)))
-    copies = rows.join(mixed, ["__key", "__copy"]).select(*docs.columns, F.explode("positions").alias("__position"))
+    same = lambda by: F.row_number().over(Window.partitionBy("__order", "__source").orderBy(*by))
+    named = lambda c: F.coalesce(F.concat(F.lit(":"), c.cast("string")), F.lit(""))
+    mixed = _placed(docs, text, key, source, WEIGHTS, SCHEDULES, True).select(F.col("order").alias("__order"), named(F.col("source")).alias("__source"), "positions")
+    mixed = mixed.withColumn("__copy", same([F.size("positions").desc(), "positions"]))
+    rows = docs.withColumns({"__order": place_in_order(F.col(key), F.col(text)), "__source": named(F.col(source)), "__all": F.xxhash64(*(F.col(c) for c in docs.columns))})
+    copies = rows.withColumn("__copy", same(["__all"])).join(mixed, ["__order", "__source", "__copy"]).select(*docs.columns, F.explode("positions").alias("__position"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return copies.repartitionByRange(parts, "__position").sortWithinPartitions("__position").drop("__position")

@@ -84,7 +84,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The excess is reshared in one step: sources sorted by 3 size / weight, unit: what a weight of 1 gets if all before are full.
 # Schedules go linearly from 1.25 to 0.75, stay at 1, or go from 0.75 to 1.25; a position is the root of the quadratic that integrates them, by halves.
 ORACLE_OP6 = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':mix') AS place, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT *, (CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight FROM s),
 u AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS unit
@@ -92,7 +92,7 @@ u AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b
 t AS (SELECT source, i, source_size, round(least(weight * (SELECT max(unit) FROM u), 3.0 * source_size), 6)::DOUBLE AS target FROM u),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS passes FROM t),
 l AS (SELECT doc_id, i, size, source_size, target, passes, greatest(target - passes * source_size, 0) AS part, coalesce(sum(size) OVER b, 0) AS begin
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source WINDOW b AS (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR || ':mix'), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source WINDOW b AS (PARTITION BY d.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 e AS (SELECT *, CASE WHEN passes >= 3 THEN 0 ELSE least(greatest(round(part) - begin, 0), size) END AS extra, begin::DOUBLE / nullif(greatest(target, passes * source_size), 0)::DOUBLE AS share FROM l),
 c AS (SELECT *, (CASE WHEN size > 0 THEN passes ELSE 0 END + CASE WHEN extra > 0 THEN 1 ELSE 0 END)::BIGINT AS copies,
              (CASE i % 3 WHEN 0 THEN 0.5625 WHEN 1 THEN 0.5 ELSE 0.4375 END)::DOUBLE AS half, (CASE i % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0 ELSE 0.5 END)::DOUBLE AS slope,

@@ -47,6 +47,19 @@ def test_mix(spark, sf, odd_docs, no_docs):
     assert copies.columns == docs.columns and copies.count() == whole.agg(F.sum(F.size("positions"))).first()[0]
 
 
+def test_reruns_agree_for_repeated_and_missing_ids(spark):
+    """Rows of one id, of none, of one id in two sources: the order of the input doesn't matter."""
+    rows = [(7, f"w{i} " * (i % 9 + 1), "a", i) for i in range(59)] + [(None, f"v{i} " * 3, "a", i) for i in range(40)]
+    rows += [(i, f"t{i} one two", s, i) for i in range(40) for s in ("a", "b")] + [(99, "equal rows here", None, i) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    seen = []
+    for df in (docs, docs.orderBy(F.col("extra").desc()).repartition(5), docs.repartition(3, "text")):
+        taken = mixing.mix(df).collect()
+        copies = mixing.mixed_documents(df).collect()
+        seen.append((sorted(map(str, taken)), sorted(map(str, copies))))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == len(rows)
+
+
 def test_taken_is_of_copies_with_a_position(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     level, late = ({r.doc_id: (r.taken, r.positions) for r in mixing.mix(docs, schedules=(s,)).collect()} for s in ((1.0, 1.0), (0.5, 1.0, 1.5)))
