@@ -18,8 +18,10 @@ only in the first band it shares and by finer sketches (FINE_SAMPLES samples, fi
 deviations again), which only the members of such buckets get. Members are dealt to blocks of
 BLOCK, and only minors are copied, once a block, so a stray document in a large bucket costs as
 many comparisons as the bucket has members; minors in turn are dealt to groups of GROUP. So no
-pair limit drops a link, no task holds a whole large bucket, and buckets of copies that the
-leaders joined are never expanded.
+pair limit drops a link, and buckets of copies that the leaders joined are never expanded. Large
+buckets meet what is known of them by broadcast (at most HEAVY_GROUPS of them, see shared.py), and
+the pairs of a leader are dealt to blocks of about LED, each with one copy of its set, so no task
+holds a whole large bucket or all pairs of one leader.
 
 Nulls, ties, empty input: a text without words has an empty set and no links, and takes no
 part in any join; a row without id is returned unlinked; rows of one id are documents of their
@@ -47,6 +49,8 @@ SCREEN = 0.2
 FINE_SAMPLES, FINE_BITS, FINE_SCREEN = 4096, 8192, 0.0375
 FINE_ROWS = 256
 BLOCK, GROUP = 512, 8192
+#: Pairs of one leader that are compared in one task.
+LED = 256
 CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1024
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_240_229))
@@ -213,30 +217,50 @@ class _Linker:
         return out
 
     def confirmed(self, likely: DataFrame) -> DataFrame:
-        """The pairs (a, b, na, nb) whose full sets are similar enough."""
+        """The pairs (a, b, na, nb) whose full sets are similar enough.
+
+        a may be in any number of pairs: they are dealt to blocks of about LED by b, and the set of a
+        is sent once to each block.
+        """
         wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
         sets = self.from_texts(wanted, "shingles", _members)
-        full = likely.join(sets.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
+        blocks = materialise(likely.groupBy("a").agg(F.count("*").alias("pairs")).withColumn("blocks", F.ceil(F.col("pairs") / LED).cast("int")), "blocks")
+        dealt = attach_groups(likely, blocks, ["a"], likely.count(), "pairs").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+        heads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a")
+        members = dealt.select("a", "block", "b", "na", "nb").join(sets.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
         common = F.size(F.array_intersect("xa", "xb"))
-        links = materialise(full.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
-        release(likely, sets)
+        links = materialise(members.join(heads, ["a", "block"]).where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
+        release(likely, sets, blocks)
         return links
 
     def led(self, rows: DataFrame, leaders: DataFrame) -> DataFrame:
-        """Links of bucket members (key, node, c) with the leaders of their bucket (key, leaders: of (node, c)) that are of another component c."""
-        pairs = rows.join(leaders, "key").select("node", "c", F.explode("leaders").alias("l")).where("c <> l.c")
-        pairs = pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+        """Links of bucket members (key, node, c) with the leaders of their bucket (key, size, leaders: of (node, c)) that are of another component c.
+
+        a is the leader of a pair and b the member, which is in no more pairs than it has buckets and leaders.
+        """
+        n_rows = rows.count()
+        pairs = attach_groups(rows, leaders, ["key"], n_rows, "size").where("leaders is not null")
+        pairs = pairs.select("node", "c", F.explode("leaders").alias("l")).where("c <> l.c").select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+        pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        pairs = materialise(pairs, "pairs")
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-        seen = pairs.join(side("a"), "a").join(side("b"), "b").where(_screened(self.percent, "sa", "sb", "na", "nb"))
-        return self.confirmed(materialise(seen.select("a", "b", "na", "nb"), "likely"))
+        heads = materialise(pairs.groupBy("a").agg(F.count("*").alias("pairs")).join(side("a"), "a"), "heads")
+        seen = attach_groups(pairs, heads, ["a"], n_rows, "pairs").join(side("b"), "b").where(_screened(self.percent, "sa", "sb", "na", "nb"))
+        likely = materialise(seen.select("a", "b", "na", "nb"), "likely")
+        release(pairs, heads)
+        return self.confirmed(likely)
 
     def open_buckets(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """(key, node, c, major, blocks, groups): members of the buckets that hold several components, with their component and the bucket's largest."""
+        """(key, node, c, major, size, blocks, groups): members of the buckets that hold several components, with their component and the bucket's largest."""
         named = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
-        open_ = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
-        shape = open_.select("key", "major", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / GROUP).cast("int").alias("groups"))
-        return materialise(named.join(shape, "key"), "open")
+        # Of all buckets, so that large ones whose members are all of one component are known as large too.
+        shape = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("size"), F.max("n").alias("most"))
+        shape = shape.select("key", "major", "size", (F.col("most") < F.col("size")).alias("open"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / GROUP).cast("int").alias("groups"))
+        shape = materialise(shape, "shape")
+        out = materialise(attach_groups(named, shape, ["key"], rows.count(), "size").where("open").drop("open"), "open")
+        release(shape)
+        return out
 
     def between(self, left: DataFrame) -> DataFrame:
         """Links between components that share a bucket, of open_buckets(): its minors with all members of other components."""
@@ -259,13 +283,14 @@ class _Linker:
 
     def run(self) -> DataFrame:
         rows = self.nodes.select(F.explode("bands").alias("key"), "node", "doc_id")
-        rows = rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
-        rows = materialise(rows, "buckets")
         by_hash = F.struct(F.xxhash64("node").alias("h"), "node", "c")
         leaders = lambda *names: F.array(*(F.struct(f"{x}.node", f"{x}.c") for x in names)).alias("leaders")
-        single = rows.withColumn("c", F.col("node"))
-        lead = single.groupBy("key").agg(F.min(F.struct("doc_id", "node", "c")).alias("first"))
-        links = self.led(single, lead.select("key", leaders("first")))
+        first = F.min(F.struct("doc_id", "node", F.col("node").alias("c")))
+        lead = rows.groupBy("key").agg(F.count("*").alias("size"), first.alias("first")).where("size > 1")
+        lead = materialise(lead.select("key", "size", leaders("first")), "leaders")
+        rows = materialise(attach_groups(rows, lead.select("key", "size"), ["key"], BANDS * self.nodes.count(), "size").where("size is not null").drop("size"), "buckets")
+        links = self.led(rows.withColumn("c", F.col("node")), lead)
+        release(lead)
         labels = materialise(components(links), "labels")
         open_ = self.open_buckets(rows, labels)
         if open_.isEmpty():
@@ -274,8 +299,10 @@ class _Linker:
         # Again where components are left: led by the member with the most links so far, and by one of the minors.
         ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
         most = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("n"), "node", "c"))
-        lead = open_.join(ends, "node", "left").groupBy("key").agg(most.alias("first"), F.min(F.when(F.col("c") != F.col("major"), by_hash)).alias("second"))
-        links = links.union(self.led(open_.select("key", "node", "c"), lead.select("key", leaders("first", "second"))))
+        lead = open_.join(ends, "node", "left").groupBy("key").agg(F.first("size").alias("size"), most.alias("first"), F.min(F.when(F.col("c") != F.col("major"), by_hash)).alias("second"))
+        lead = materialise(lead.select("key", "size", leaders("first", "second")), "leaders")
+        links = links.union(self.led(open_.select("key", "node", "c"), lead))
+        release(lead)
         release(labels)
         labels = materialise(components(links), "labels")
         left = self.open_buckets(open_.select("key", "node"), labels)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, near_dedup
+from millrace.llm import exact_dedup, near_dedup, shared
 from millrace.llm.shared import attach_groups, sieve
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -118,6 +118,37 @@ def test_a_stray_in_a_large_bucket(spark, monkeypatch, group):
     assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_near(rows)
 
 
+def test_no_task_holds_a_large_bucket(spark, monkeypatch):
+    """A third of the rows in one family of near copies: no join by bucket or leader gets more than a few rows of a key."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(9999)}" for _ in range(100)]
+    family = [" ".join([*base[: (k := r.randrange(90))], f"x{i}", *base[k + 1 :]]) for i in range(700)]
+    others = [" ".join(f"o{r.randrange(99999)}" for _ in range(30)) for _ in range(700)]
+    docs = spark.createDataFrame(list(enumerate(family + others)), "doc_id long, text string").repartition(8)
+    largest: dict[str, int] = {}
+    real_groups, real_confirmed = near_dedup.attach_groups, near_dedup._Linker.confirmed
+
+    def groups(rows, found, keys, n_rows, size):
+        least = max(1, -(-n_rows // shared.HEAVY_GROUPS))
+        rest = rows.join(found.where(F.col(size) >= least).select(*keys), keys, "left_anti").groupBy(*keys).count().agg(F.max("count")).first()[0]
+        largest["+".join(keys)] = max(largest.get("+".join(keys), 0), rest or 0)
+        return real_groups(rows, found, keys, n_rows, size)
+
+    def confirmed(self, likely):
+        dealt = likely.join(likely.groupBy("a").agg(F.ceil(F.count("*") / near_dedup.LED).alias("blocks")), "a")
+        most = dealt.groupBy("a", F.pmod(F.xxhash64("b"), F.col("blocks"))).count().agg(F.max("count")).first()[0]
+        largest["block"] = max(largest.get("block", 0), most or 0)
+        largest["b"] = max(largest.get("b", 0), likely.groupBy("b").count().agg(F.max("count")).first()[0] or 0)
+        return real_confirmed(self, likely)
+
+    monkeypatch.setattr(shared, "HEAVY_GROUPS", 2000)
+    monkeypatch.setattr(near_dedup, "LED", 64)
+    monkeypatch.setattr(near_dedup, "attach_groups", groups)
+    monkeypatch.setattr(near_dedup._Linker, "confirmed", confirmed)
+    assert near(docs) == brute_near(list(enumerate(family + others)))
+    assert largest["key"] <= 40 and largest["a"] <= 40 and largest["block"] <= 128 and largest["b"] <= 64, largest
+
+
 def test_sketches_estimate():
     rng = np.random.default_rng(0)
     for j in (0.75, 0.9):
