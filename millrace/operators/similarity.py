@@ -1,9 +1,11 @@
 """Embedding near-duplicates: cosine pairs, greedy and one-shot removal, within and across sets.
 
-Pairs are found in blocks: rows are dealt to B blocks and each pair of blocks is one task
-group, a matrix product in numpy; only pairs above the threshold come back. Greedy removal in
-row order is the lexicographically first maximal independent set of the pairs (Blelloch,
-Fineman and Shun 2012); rounds of joins give the same set as the sequential scan.
+Pairs are found in blocks: rows are dealt to cells around pivots, cells to blocks, and each pair of
+blocks with rows in reach of each other (see cells.py) is one task group, a matrix product in
+numpy; only pairs above the threshold come back. Greedy removal in row order is the
+lexicographically first maximal independent set of the pairs (Blelloch, Fineman and Shun 2012),
+found component by component (see graph.py). Equal vectors are compared once: all but the first of
+them go in any case, so large groups of copies cost no pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import cosine
-from millrace.storage import materialise, release
+from millrace.operators.cells import Blocks, celled, unit
+from millrace.operators.graph import scanned
+from millrace.storage import materialise
 
 BLOCK_ROWS = 4000
 
@@ -33,18 +37,19 @@ def _blocks(n: int) -> int:
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return unit(np.array(vectors.tolist(), np.float64))
+
+
+def _in_reach(vectors: DataFrame, threshold: float, key: str, vector: str, n_rows: int | None = None) -> tuple[DataFrame, int]:
+    """((id, v, b, p, q): each row once for each pair of blocks, its own and one in its reach; the number of blocks)."""
+    cells, placed = celled(vectors, threshold, key, vector, n_rows)
+    blocks = Blocks(cells, BLOCK_ROWS)
+    return blocks.dealt(placed).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q")), len(blocks)
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "row_id", vector: str = "embedding", n_rows: int | None = None) -> DataFrame:
     """(i, j, cosine) with i before j by key and cosine above the threshold. Rows without a vector are in no pair."""
-    vectors = vectors.where(F.col(vector).isNotNull())
-    b = _blocks(n_rows if n_rows is not None else vectors.count())
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(b)).cast("int").alias("b"))
-    others = F.sequence(F.lit(0), F.lit(b - 1))
-    dealt = rows.withColumn("o", F.explode(others)).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+    dealt, _ = _in_reach(vectors, threshold, key, vector, n_rows)
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
         p, q = int(part.p.iloc[0]), int(part.q.iloc[0])
@@ -58,6 +63,16 @@ def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "row_id", vect
     return dealt.groupBy("p", "q").applyInPandas(block, "i long, j long, cosine double")
 
 
+def pruning(vectors: DataFrame, threshold: float, key: str = "row_id", vector: str = "embedding") -> DataFrame:
+    """One row on what cosine_pairs() does: blocks, block_pairs, skipped (pairs of blocks without a product), products (of two vectors), all_products (without cells)."""
+    dealt, n = _in_reach(vectors, threshold, key, vector)
+    rows = vectors.where(F.col(vector).isNotNull()).count()
+    sides = dealt.groupBy("p", "q").agg(F.sum((F.col("b") == F.col("p")).cast("long")).alias("x"), F.sum((F.col("b") == F.col("q")).cast("long")).alias("y"))
+    made = F.when(F.col("p") == F.col("q"), F.floor(F.col("x") * (F.col("x") - 1) / 2)).otherwise(F.col("x") * F.col("y"))
+    total = sides.withColumn("made", made).agg(F.count_if(F.col("made") > 0).alias("met"), F.coalesce(F.sum("made"), F.lit(0)).alias("products"))
+    return total.select(F.lit(n).cast("long").alias("blocks"), F.lit(n * (n + 1) // 2).cast("long").alias("block_pairs"), (F.lit(n * (n + 1) // 2) - F.col("met")).alias("skipped"), "products", F.lit(rows * (rows - 1) // 2).cast("long").alias("all_products"))
+
+
 def cosine_pairs_sql(vectors: DataFrame, threshold: float, key: str = "row_id", vector: str = "embedding") -> DataFrame:
     """The same by a nested-loop join of built-in functions; for small tables."""
     a = vectors.select(F.col(key).alias("i"), F.col(vector).alias("a"))
@@ -94,16 +109,21 @@ def greedy_removed(pairs: DataFrame, order: DataFrame | None = None) -> DataFram
     if order is not None:
         ranked = edges.join(order.select(F.col("row_id").alias("i"), F.col("rank").alias("x")), "i").join(order.select(F.col("row_id").alias("j"), F.col("rank").alias("y")), "j")
         edges = ranked.select(F.when(F.col("x") < F.col("y"), F.col("i")).otherwise(F.col("j")).alias("i"), F.when(F.col("x") < F.col("y"), F.col("j")).otherwise(F.col("i")).alias("j"))
-    edges, removed = _materialise(edges), None
-    while not edges.isEmpty():
-        kept = edges.select(F.col("i").alias("r")).distinct().join(edges.select(F.col("j").alias("r")).distinct(), "r", "left_anti")
-        out = _materialise(edges.join(kept, edges.i == kept.r, "left_semi").select(F.col("j").alias("row_id")).distinct())
-        removed = out if removed is None else removed.union(out)
-        left = edges.join(out, edges.i == out.row_id, "left_anti").join(out, F.col("j") == out.row_id, "left_anti")
-        done, edges = edges, _materialise(left.join(kept, left.i == kept.r, "left_anti"))
-        release(done)
-    spark = pairs.sparkSession
-    return removed.distinct() if removed is not None else spark.createDataFrame([], "row_id long")
+    return scanned(edges)
+
+
+def copies_removed(df: DataFrame, vector: str, threshold: float, key: str = "row_id", rank: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """((row_id, v) of the first row of each vector, (row_id) of the others): they are paired with the first and with all that it is paired with.
+
+    First is by rank, else by key. Zero vectors and vectors with entries that are no numbers are in no pair and stay; so do all where the threshold is outside 0 to 1.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("row_id"), F.col(vector).alias("v"), (F.col(key) if rank is None else rank).alias("rank"))
+    squares = F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    alike = (squares > 0) & (squares < float("inf")) if 0 <= threshold < 1 - 1e-9 else F.lit(False)
+    rows = rows.withColumn("alone", F.when(F.coalesce(alike, F.lit(False)), F.lit(None)).otherwise(F.col("row_id")))
+    groups = materialise(rows.groupBy("v", "alone").agg(F.min(F.struct("rank", "row_id")).alias("first")).select(F.col("first.row_id").alias("row_id"), "v"), "unlike")
+    gone = rows.where("alone is null").select("row_id").join(groups, "row_id", "left_anti")
+    return groups, gone
 
 
 def any_earlier_removed(pairs: DataFrame) -> DataFrame:
@@ -112,11 +132,25 @@ def any_earlier_removed(pairs: DataFrame) -> DataFrame:
 
 
 def across_removed(new: DataFrame, old: DataFrame, threshold: float, key: str = "row_id", vector: str = "embedding") -> DataFrame:
-    """(row_id) of new rows with a cosine above the threshold to any old row. Old rows are dealt to blocks, new rows meet each block. Rows without a vector are like none."""
-    new, old = new.where(F.col(vector).isNotNull()), old.where(F.col(vector).isNotNull())
-    b = _blocks(max(new.count(), old.count()))
-    side = lambda df, tag, own, all_: df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(tag).alias("side"), F.pmod(F.xxhash64(key), F.lit(b)).cast("int").alias(own)).withColumn(all_, F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    dealt = side(new, 0, "p", "q").unionByName(side(old, 1, "q", "p"))
+    """(row_id) of new rows with a cosine above the threshold to any old row. Rows without a vector are like none.
+
+    Old rows are in cells and blocks; a new row meets the blocks in its reach, together with about BLOCK_ROWS others.
+    """
+    cells, placed = celled(old, threshold, key, vector)
+    return hits(new, Blocks(cells, BLOCK_ROWS), placed, threshold, key, vector)
+
+
+def hits(new: DataFrame, blocks: Blocks, placed: DataFrame, threshold: float, key: str, vector: str) -> DataFrame:
+    """(row_id) of new rows that are like one of placed (id, v, cell), whose cells and blocks are given."""
+    mine = new.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    parts = _blocks(mine.count())
+    mine = blocks.dealt(mine.withColumn("cell", F.lit(-1))).select("id", "v", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.col("o").alias("q"))
+
+    @F.pandas_udf("int")
+    def own(ids: pd.Series, cell: pd.Series) -> pd.Series:
+        return pd.Series(blocks.own(ids.to_numpy(), cell.to_numpy()))
+
+    theirs = placed.select("id", "v", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), own("id", "cell").alias("q"))
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part.side == 0], part[part.side == 1]
@@ -125,13 +159,14 @@ def across_removed(new: DataFrame, old: DataFrame, threshold: float, key: str =
         hit = (_unit(left.v) @ _unit(right.v).T > threshold).any(axis=1)
         return pd.DataFrame({"row_id": left.id.to_numpy()[hit]})
 
-    return dealt.groupBy("p", "q").applyInPandas(block, "row_id long").distinct()
+    return mine.unionByName(theirs).groupBy("p", "q").applyInPandas(block, "row_id long").distinct()
 
 
 def within(df: DataFrame, vector: str, threshold: float = 0.9, key: str = "row_id", greedy: bool = True) -> tuple[DataFrame, DataFrame]:
     """(kept rows, removed ids) of one pass."""
-    pairs = cosine_pairs(df, threshold, key, vector)
-    removed = greedy_removed(pairs) if greedy else any_earlier_removed(pairs)
+    unlike, copies = copies_removed(df, vector, threshold, key)
+    pairs = cosine_pairs(unlike, threshold, "row_id", "v")
+    removed = copies.union(greedy_removed(pairs) if greedy else any_earlier_removed(pairs))
     return df.join(removed, df[key] == removed.row_id, "left_anti"), removed
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import citation_title, split_criteria, strip
 from millrace.operators.clean import NONE, outcome, summary, validated
+from millrace.operators.index import VectorIndex
 from millrace.operators.relational import group_concat, outer_chain, union_all
 from millrace.operators.sampling import balanced, presampled, recovered
-from millrace.operators.similarity import Encoder, across_removed, cosine_pairs, embedded, greedy_removed, hash_encoder, qa_across, within
+from millrace.operators.similarity import Encoder, copies_removed, cosine_pairs, embedded, greedy_removed, hash_encoder, qa_across, within
 from millrace.storage import materialise
 
 
@@ -42,8 +43,9 @@ def with_embeddings(df: DataFrame, make: Callable[[], Encoder] = hash_encoder) -
 
 def removed_by_quality(df: DataFrame, vector: str, threshold: float, key: str = "row_id") -> DataFrame:
     """Greedy removal in order of quality (high first), then key."""
-    order = df.select(F.col(key).alias("row_id"), F.struct(-F.col("quality"), F.col(key)).alias("rank"))
-    return greedy_removed(cosine_pairs(df, threshold, key, vector), order)
+    rank = F.struct(-F.col("quality"), F.col(key))
+    unlike, copies = copies_removed(df, vector, threshold, key, rank)
+    return copies.union(greedy_removed(cosine_pairs(unlike, threshold, "row_id", "v"), df.select(F.col(key).alias("row_id"), rank.alias("rank"))))
 
 
 def within_group(df: DataFrame, threshold: float = 0.9, question_only: bool = False, key: str = "row_id", rescue: int = 10) -> DataFrame:
@@ -81,20 +83,19 @@ def incremental(new: DataFrame, index_path: str, threshold: float = 0.9, key: st
 
     A batch is compared with batches of smaller numbers only and replaces what was saved under its
     own number, so running it again, after a failure or not, gives the same rows. Without a number it
-    comes after all saved ones.
+    comes after all saved ones. Of the index only the cells in reach of the new rows are read (see
+    millrace/operators/index.py).
     """
-    spark = new.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(index_path)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{index_path}/batch=*/_SUCCESS"))
-    saved = sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or ())
-    number = batch if batch is not None else (saved[-1] + 1 if saved else 0)
+    index = VectorIndex(new.sparkSession, index_path)
+    number = batch if batch is not None else index.last() + 1
+    if number <= index.settled():
+        return materialise(new.join(index.rows(number).select(F.col("id").alias(key)), key, "left_semi").select(*new.columns), "kept")
     kept, _ = within(new, vector, threshold, key)
-    before = [f"{index_path}/batch={n}" for n in saved if n < number]
-    if before:
-        gone = across_removed(kept, spark.read.parquet(*before), threshold, key, vector)
-        kept = kept.join(gone, kept[key] == gone.row_id, "left_anti")
     kept = materialise(kept, "kept")
-    kept.select(key, vector).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+    gone = index.like(kept, number, threshold, key, vector)
+    if gone is not None:
+        kept = materialise(kept.join(gone, kept[key] == gone.row_id, "left_anti"), "kept")
+    index.add(kept, number, key, vector)
     return kept
 
 

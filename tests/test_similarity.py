@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import cells, graph
 from millrace.operators import similarity as s
 
 
@@ -99,3 +100,121 @@ def test_a_batch_run_again_keeps_the_same_rows(spark, tmp_path):
         assert ids(incremental(v.where("row_id >= 4"), path, batch=1)) == [5]
     assert ids(incremental(v, path)) == []
     assert ids(spark.read.parquet(path)) == [1, 3, 5]
+
+
+# --- cells, components, index -------------------------------------------------------------
+
+
+def clustered(r, n, clusters, dimensions=16, spread=0.05):
+    centres = r.normal(size=(clusters, dimensions))
+    return centres[r.integers(0, clusters, n)] + spread * r.normal(size=(n, dimensions))
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.3, 0.0, -0.2])
+def test_pruned_pairs_are_all_pairs(spark, monkeypatch, threshold):
+    """Zero vectors, copies and small cells included."""
+    monkeypatch.setattr(cells, "CELL_ROWS", 15)
+    monkeypatch.setattr(s, "BLOCK_ROWS", 25)
+    r = np.random.default_rng(2)
+    v = np.concatenate([clustered(r, 150, 8), r.normal(size=(40, 16)), np.zeros((2, 16)), clustered(r, 1, 1).repeat(30, axis=0)])
+    df = table(spark, v)
+    got = {(x.i, x.j) for x in s.cosine_pairs(df, threshold).collect()}
+    assert got == {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if cos(v[i], v[j]) > threshold}
+    removed = {x[0] for x in s.within(df, "embedding", threshold)[1].collect()}
+    assert removed == scan(v, list(range(len(v))), threshold)
+
+
+def test_clusters_take_a_third_of_the_products_at_most(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_ROWS", 20)
+    monkeypatch.setattr(s, "BLOCK_ROWS", 50)
+    r = np.random.default_rng(3)
+    got = s.pruning(table(spark, clustered(r, 600, 12)), 0.9).first()
+    assert got.all_products == 600 * 599 // 2 and 0 < got.products < got.all_products / 3
+    assert got.skipped > got.block_pairs / 2
+    loose = s.pruning(table(spark, r.normal(size=(200, 16))), 0.1).first()
+    assert loose.products == loose.all_products and loose.skipped == 0
+
+
+def test_large_groups_of_copies_make_no_pairs(spark):
+    v = np.concatenate([np.ones((500, 4)), np.zeros((3, 4)), [[1, 1, 1, 0.9], [np.nan, 1, 0, 0], [np.nan, 1, 0, 0]]])
+    df = table(spark, v)
+    unlike, gone = s.copies_removed(df, "embedding", 0.9)
+    assert sorted(r.row_id for r in unlike.collect()) == [0, 500, 501, 502, 503, 504, 505] and gone.count() == 499
+    assert {r[0] for r in s.within(df, "embedding")[1].collect()} == {*range(1, 500), 503}
+    order = {r.row_id for r in s.copies_removed(df, "embedding", 0.9, rank=-F.col("row_id"))[0].collect()}
+    assert 499 in order and 0 not in order
+
+
+def test_components_of_a_path_a_star_and_strays(spark):
+    edges = [(i, i + 1) for i in range(2000)] + [(5000, 5001 + i) for i in range(300)] + [(9000, 8000), (8000, 8500)]
+    df = spark.createDataFrame(edges, "i long, j long").repartition(6)
+    got = dict(graph.components(df).collect())
+    assert got == {**{i: 0 for i in range(2001)}, **{i: 5000 for i in range(5000, 5301)}, 8000: 8000, 8500: 8000, 9000: 8000}
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_a_long_chain_is_a_few_jobs(spark, monkeypatch):
+    """10,000 rows each paired with the next: every second goes; by components, and as one task."""
+    monkeypatch.setattr(graph, "BUCKET", 2000)
+    chain = spark.range(9999).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j")).union(spark.createDataFrame([(20000, 20001), (20001, 20002)], "i long, j long"))
+    steps = []
+    real = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, label: steps.append(label) or real(df, label))
+    assert {r[0] for r in graph.scanned(chain).collect()} == {*range(1, 10000, 2), 20001}
+    assert len(steps) < 30
+    monkeypatch.setattr(graph, "BUCKET", 20_000)
+    steps.clear()
+    assert graph.scanned(chain).count() == 5001 and len(steps) == 1
+
+
+def test_components_too_large_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BUCKET", 50)
+    monkeypatch.setattr(graph, "FIT", 100)
+    r = np.random.default_rng(6)
+    v = np.concatenate([clustered(r, 60, 1), clustered(r, 30, 5)])
+    df = table(spark, v)
+    assert {x[0] for x in s.greedy_removed(s.cosine_pairs(df, 0.97)).collect()} == scan(v, list(range(90)), 0.97)
+
+
+def test_an_index_reads_the_cells_in_reach(spark, monkeypatch, tmp_path):
+    from millrace.operators.index import VectorIndex
+    from millrace.plans.pipelines import incremental
+
+    monkeypatch.setattr(cells, "CELL_ROWS", 10)
+    r = np.random.default_rng(8)
+    v = clustered(r, 300, 10, spread=0.25)
+    near = v[:1] + 0.01 * r.normal(size=(40, 16))
+    df, more = table(spark, v), table(spark, np.concatenate([near, r.normal(size=(5, 16))])).withColumn("row_id", F.col("row_id") + 1000)
+    path = str(tmp_path / "index")
+    ids = lambda df: sorted(x.row_id for x in df.collect())
+    first = ids(incremental(df.where("row_id < 200"), path, 0.98))
+    second = ids(incremental(df.where("row_id >= 200"), path, 0.98))
+    assert first == [i for i in range(200) if i not in scan(v, list(range(200)), 0.98)]
+    own = [i for i in range(200, 300) if i not in scan(v, list(range(200, 300)), 0.98)]
+    assert second == [i for i in own if all(cos(v[i], v[j]) <= 0.98 for j in first)]
+    index = VectorIndex(spark, path)
+    saved = len(first) + len(second)
+    _, read = index.reach(more.where("row_id < 1040"), 2, 0.98)
+    assert 0 < read.count() < saved / 3
+    assert any("PartitionFilters" in x and "cell" in x for x in read._jdf.queryExecution().toString().splitlines())
+    third = ids(incremental(more, path, 0.98))
+    assert third == ids(incremental(more, path, 0.98, batch=2)) and set(third) <= set(range(1000, 1045)) and not set(third) & set(range(1000, 1040))
+    # Compaction changes no result: not of a later batch, nor of one that is run again.
+    index.compact(1)
+    assert index.parts() == {"1-1": (0, 1), "2-0": (2, 2)} and index.settled() == 1
+    assert third == ids(incremental(more, path, 0.98, batch=2))
+    assert second == ids(incremental(df.where("row_id >= 200"), path, 0.98, batch=1)) and first == ids(incremental(df.where("row_id < 200"), path, 0.98, batch=0))
+    assert spark.read.parquet(path).count() == saved + len(third)
+    index.compact(2)
+    assert index.parts() == {"2-2": (0, 2)} and ids(incremental(more, path, 0.98)) == []
+    assert spark.read.parquet(path).count() == saved + len(third)
+
+
+def test_an_index_without_rows(spark, tmp_path):
+    from millrace.plans.pipelines import incremental
+
+    empty = spark.createDataFrame([], "row_id long, embedding array<double>")
+    one = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "row_id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    assert incremental(one, path).count() == 2 and incremental(empty, path).count() == 0
+    assert [r.row_id for r in incremental(one.withColumn("row_id", F.col("row_id") + 5), path).collect()] == [7]
