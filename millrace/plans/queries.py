@@ -267,9 +267,9 @@ def decode_codes(t: Tables) -> DataFrame:
     return clean.decoded(t("customer"), {"c_mktsegment": {"AUTOMOBILE": "Automobile cars"}}).select("c_custkey", F.col("c_mktsegment").alias("seg"))
 
 
-@query("SELECT p_partkey FROM part WHERE (lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%brass%') AND lower(p_brand) LIKE '%#1%'")
+@query("SELECT p_partkey FROM part WHERE (lower(p_type) LIKE '%medium%' OR lower(p_type) LIKE '%promo%') AND lower(p_brand) LIKE '%#1%'")
 def search_and(t: Tables) -> DataFrame:
-    return clean.filter_by_criteria(t("part"), {"p_type": ["Steel", "BRASS"], "p_brand": "#1"}).select("p_partkey")
+    return clean.filter_by_criteria(t("part"), {"p_type": ["Medium", "PROMO"], "p_brand": "#1"}).select("p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%blue%' OR lower(p_type) LIKE '%blue%'")
@@ -335,9 +335,9 @@ def semi_sample_keys(t: Tables) -> DataFrame:
     return relational.keep_keys(t("orders"), sampling.sample_keys(t("orders"), 50, "o_custkey"), "o_custkey").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def anti_ids(t: Tables) -> DataFrame:
-    return relational.drop_keys(t("customer"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+    return relational.drop_keys(t("customer"), t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
 
 
 @query("SELECT DISTINCT o_orderpriority FROM orders EXCEPT SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%'")
