@@ -825,7 +825,7 @@ def onehot(t: Tables) -> DataFrame:
 @query("SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
 def transform_inverse(t: Tables) -> DataFrame:
     df = t("customer").select("c_acctbal", "c_mktsegment", F.col("c_custkey").cast("string").alias("c_custkey"))
-    fitted = features.TableTransform(most_values=10_000_000).fit(df.select("c_acctbal", "c_mktsegment"))
+    fitted = features.TableTransform().fit(df.select("c_acctbal", "c_mktsegment"))
     coded = fitted.transform(df.select("c_acctbal", "c_mktsegment"))
     back = fitted.inverse(coded)
     return back.groupBy(F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment").count().join(t("customer").select("c_custkey", "c_acctbal", "c_mktsegment"), ["c_acctbal", "c_mktsegment"]).select("c_custkey", "c_acctbal", "c_mktsegment")
