@@ -165,31 +165,32 @@ def _fine_sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b): the smallest node it is connected with.
+    """A written table with (node, component) for every node of edges (a, b): the smallest node it is connected with.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): each is a minimum per
     node, pre-aggregated, and a lookup of it, for which nodes with very many edges are broadcast.
+    The minima of the large-star step also tell when every component is a star, and then are the
+    result. edges is read several times.
     """
-    pairs = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "edges")
-
-    def lowest(rows: DataFrame, least: F.Column, n: int) -> tuple[DataFrame, DataFrame]:
-        low = materialise(rows.groupBy("v").agg(least.alias("m"), F.count("*").alias("n")), "low")
-        return attach_groups(rows, low, ["v"], n, "n"), low
-
-    tally = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    moved = lambda rows: rows.select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v")
-    before = tally(pairs)
-    while before[0]:
-        both, a = lowest(pairs.union(pairs.select(F.col("u").alias("v"), F.col("v").alias("u"))), F.least(F.col("v"), F.min("u")), 2 * before[0])
-        large = materialise(moved(both.where("u > v")).distinct(), "large")
-        small, b = lowest(large, F.min("u"), before[0])
-        done, pairs = pairs, materialise(moved(small).union(small.select("v", F.col("m").alias("u"))).distinct(), "edges")
-        release(done, large, a, b)
-        after = tally(pairs)
-        if after == before:
-            break
-        before = after
-    return pairs.select(F.col("v").alias("node"), F.col("u").alias("component")).union(pairs.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    pairs, done = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v"), []
+    below, above = F.max(F.when(F.col("u") < F.col("v"), F.col("u"))), F.max("u") > F.col("v")
+    star = (F.min("u") > F.col("v")) | ((below == F.min("u")) & ~above)
+    moved = lambda rows: rows.select(F.col("u").alias("v"), F.col("component").alias("u")).where("u < v")
+    while True:
+        n = pairs.count()
+        both = pairs.union(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        low = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("component"), F.count("*").alias("n"), star.alias("star"))
+        low = materialise(low.withColumnRenamed("v", "node"), "components")
+        if low.where("not star").isEmpty():
+            release(*done)
+            return low
+        large = materialise(moved(attach_groups(both, low.withColumnRenamed("node", "v"), ["v"], 2 * n, "n").where("u > v")), "large")
+        release(low, *done)
+        least = large.groupBy("v").agg(F.min("u").alias("component"), F.count("*").alias("n"))
+        small = attach_groups(large, least, ["v"], n, "n")
+        pairs = materialise(moved(small).union(small.select("v", F.col("component").alias("u"))).distinct(), "edges")
+        done = [pairs]
+        release(large)
 
 
 def _screened(percent: int, sa: str, sb: str, na: str, nb: str) -> F.Column:
@@ -252,7 +253,7 @@ class _Linker:
 
     def open_buckets(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """(key, node, c, major, size, blocks, groups): members of the buckets that hold several components, with their component and the bucket's largest."""
-        named = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        named = rows.join(labels.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
         # Of all buckets, so that large ones whose members are all of one component are known as large too.
         shape = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("size"), F.max("n").alias("most"))
@@ -290,25 +291,34 @@ class _Linker:
         lead = materialise(lead.select("key", "size", leaders("first")), "leaders")
         rows = materialise(attach_groups(rows, lead.select("key", "size"), ["key"], BANDS * self.nodes.count(), "size").where("size is not null").drop("size"), "buckets")
         links = self.led(rows.withColumn("c", F.col("node")), lead)
-        release(lead)
-        labels = materialise(components(links), "labels")
+        labels = components(links)
         open_ = self.open_buckets(rows, labels)
+        release(lead, rows)
         if open_.isEmpty():
-            release(rows, open_)
+            release(links, open_)
             return labels
         # Again where components are left: led by the member with the most links so far, and by one of the minors.
         ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
         most = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("n"), "node", "c"))
         lead = open_.join(ends, "node", "left").groupBy("key").agg(F.first("size").alias("size"), most.alias("first"), F.min(F.when(F.col("c") != F.col("major"), by_hash)).alias("second"))
         lead = materialise(lead.select("key", "size", leaders("first", "second")), "leaders")
-        links = links.union(self.led(open_.select("key", "node", "c"), lead))
-        release(lead)
-        release(labels)
-        labels = materialise(components(links), "labels")
+        release(links)
+        links = self.led(open_.select("key", "node", "c"), lead)
+        labels = self.joined(labels, links)
         left = self.open_buckets(open_.select("key", "node"), labels)
-        more = self.between(left)
-        release(rows, open_, left, labels)
-        return components(links.union(more))
+        release(lead, open_)
+        links = self.between(left)
+        release(left)
+        return self.joined(labels, links)
+
+    def joined(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """components() of a graph whose components were labels, with more links; both tables are released.
+
+        Each component is a star around its label, so only what the links join has to move.
+        """
+        out = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+        release(labels, links)
+        return out
 
 
 def _found(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
@@ -324,9 +334,9 @@ def _found(docs: DataFrame, text: str, key: str, width: int, percent: int) -> Da
     sets = linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "node")).alias("least"), F.count("*").alias("copies")).select("set_key", "least.doc_id", "least.node", "copies")
     sets = materialise(sets, "nodes")
     nodes = materialise(rows.join(sets.select("node"), "node", "left_semi").select("node", "doc_id", "handle", "set_key", "n_shingles", "bands", "sketch"), "sketches")
-    labels = materialise(_Linker(docs.select("handle", "text"), nodes, width, percent).run(), "labels")
-    least = labels.join(sets.select("node", "doc_id"), "node").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
-    labels = labels.join(least, "component").select("node", "first")
+    joined = _Linker(docs.select("handle", "text"), nodes, width, percent).run().select("node", "component")
+    least = joined.join(sets.select("node", "doc_id"), "node").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    labels = joined.join(least, "component").select("node", "first")
     named = sets.join(labels, "node", "left").select("set_key", F.coalesce("first.doc_id", "doc_id").alias("component"), F.coalesce("first.node", "node").alias("stays"), "node", "copies")
     named = materialise(named.where("copies > 1 or stays <> node").select("set_key", "component", "stays", "copies"), "named")
     release(nodes, sets)
