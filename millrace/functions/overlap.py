@@ -1,13 +1,20 @@
-"""Text-overlap measures: token F1 as columns; BLEU, ROUGE and fuzzy entity matching as Arrow UDFs."""
+"""Text-overlap measures: token F1 as columns; BLEU, ROUGE and fuzzy entity matching as Arrow UDFs.
+
+The UDFs take whole Arrow batches: n-grams of all texts of a block are counted together in numpy, and the two measures that
+need an alignment (longest common subsequence, Ratcliff-Obershelp ratio) keep a row of comparisons in the bits of one integer.
+A null text counts as empty. Blocks hold about BLOCK characters, so memory is bounded by that and the longest pair.
+"""
 
 from __future__ import annotations
 
-import difflib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,11 +40,16 @@ def similarity(cosine: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine))
 
 
-_SPACES, _PUNCTUATION = re.compile(r"\s+"), re.compile(r"[^\w\s]")
+_PUNCTUATION, _NOT_WORD = re.compile(r"[^\w\s]+"), re.compile(r"[^a-z0-9]+")
+
+#: Characters of a block of pairs whose n-grams are counted together.
+BLOCK = 1 << 21
+#: Comparisons (characters of one text times those of the other) that the bits of one integer hold at most: 4 MB.
+CELLS = 1 << 25
 
 
 def _tokens(text: str | None) -> list[str]:
-    return _PUNCTUATION.sub("", _SPACES.sub(" ", (text or "").strip().lower())).split()
+    return _PUNCTUATION.sub("", (text or "").lower()).split()
 
 
 def _grams(tokens: list[str], n: int) -> Counter:
@@ -58,32 +70,46 @@ def bleu_score(prediction: str | None, target: str | None, orders: int = 4, epsi
     return brevity * math.exp(total / orders)
 
 
-_VOWELS = "aeiou"
+class _Letters(dict):
+    def __missing__(self, code: int) -> str:
+        return "c"
+
 
+_LETTERS = _Letters({ord(v): "v" for v in "aeiou"})
 
-def _consonant(word: str, i: int) -> bool:
-    return word[i] not in _VOWELS and (word[i] != "y" or i == 0 or not _consonant(word, i - 1))
+
+@lru_cache(maxsize=1 << 16)
+def _shape(word: str) -> str:
+    """c for each consonant, v for each vowel; y is a vowel behind a consonant."""
+    shape = word.translate(_LETTERS)
+    at = word.find("y", 1)
+    while at > 0:
+        if shape[at - 1] == "c":
+            shape = f"{shape[:at]}v{shape[at + 1 :]}"
+        at = word.find("y", at + 1)
+    return shape
 
 
 def _measure(stem: str) -> int:
-    marks = "".join("c" if _consonant(stem, i) else "v" for i in range(len(stem)))
-    return len(re.findall("v+c", marks))
+    return _shape(stem).count("vc")
 
 
 def _has_vowel(stem: str) -> bool:
-    return any(not _consonant(stem, i) for i in range(len(stem)))
+    return "v" in _shape(stem)
 
 
 def _short(word: str) -> bool:
-    return len(word) > 2 and _consonant(word, len(word) - 1) and not _consonant(word, len(word) - 2) and _consonant(word, len(word) - 3) and word[-1] not in "wxy"
+    return len(word) > 2 and _shape(word).endswith("cvc") and word[-1] not in "wxy"
 
 
 # Suffix tables of the published algorithm (Porter 1980), fixed values.
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+_LONGEST_FIRST = [sorted(table, key=len, reverse=True) for table in (_STEP2, _STEP3, _STEP4)]
 
 
+@lru_cache(maxsize=1 << 16)
 def porter_stem(word: str) -> str:
     """The stem of a lower-case word (Porter 1980)."""
     w = word
@@ -102,20 +128,20 @@ def porter_stem(word: str) -> str:
                     w = w[: -len(end)]
                     if w.endswith(("at", "bl", "iz")):
                         w += "e"
-                    elif len(w) > 1 and w[-1] == w[-2] and _consonant(w, len(w) - 1) and w[-1] not in "lsz":
+                    elif len(w) > 1 and w[-1] == w[-2] and _shape(w)[-1] == "c" and w[-1] not in "lsz":
                         w = w[:-1]
                     elif _measure(w) == 1 and _short(w):
                         w += "e"
                 break
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for end in sorted(table, key=len, reverse=True):
+    for table, ends in zip((_STEP2, _STEP3), _LONGEST_FIRST, strict=False):
+        for end in ends:
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
                     w = w[: -len(end)] + table[end]
                 break
-    for end in sorted(_STEP4, key=len, reverse=True):
+    for end in _LONGEST_FIRST[2]:
         if w.endswith(end):
             stem = w[: -len(end)]
             if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
@@ -129,20 +155,25 @@ def porter_stem(word: str) -> str:
 
 
 def _rouge_tokens(text: str | None) -> list[str]:
-    return [porter_stem(t) if len(t) > 3 else t for t in re.split(r"[^a-z0-9]+", (text or "").lower()) if t]
+    return [porter_stem(t) if len(t) > 3 else t for t in _NOT_WORD.split((text or "").lower()) if t]
 
 
 def _f(common: int, p: int, t: int) -> float:
     return 2.0 * common / (p + t) if common else 0.0
 
 
-def _longest(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
+def _longest(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as bits (Crochemore and others 2001)."""
+    shared = set(a) & set(b)
+    a, b = [x for x in a if x in shared], [x for x in b if x in shared]
+    where: dict = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = row & where[x]
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
 
 
 def rouge_scores(prediction: str | None, target: str | None) -> tuple[float, float, float]:
@@ -152,9 +183,110 @@ def rouge_scores(prediction: str | None, target: str | None) -> tuple[float, flo
     return grams[0], grams[1], _f(_longest(p, t), len(p), len(t))
 
 
+def _matched(a: str, b: str) -> int:
+    """Characters in the matching blocks that difflib finds.
+
+    Like there, a character that makes up over 1 % of a text b of 200 or more starts no run and only prolongs one.
+    """
+    counts = Counter(b)
+    often = {c for c, n in counts.items() if n > len(b) // 100 + 1} if len(b) >= 200 else set()
+    where = {c: _places(b, c) for c in counts.keys() & set(a) - often}
+    longest = _longest_run_sparse(a, where) if often or len(a) * len(b) > CELLS else _longest_run_bits(a, b, where)
+    total = 0
+    open_ = [(0, len(a), 0, len(b))]
+    while open_:
+        alo, ahi, blo, bhi = open_.pop()
+        i, j, k = longest(alo, ahi, blo, bhi)
+        if often:
+            while i > alo and j > blo and a[i - 1] == b[j - 1]:
+                i, j, k = i - 1, j - 1, k + 1
+            while i + k < ahi and j + k < bhi and a[i + k] == b[j + k]:
+                k += 1
+        if k:
+            total += k
+            if alo < i and blo < j:
+                open_.append((alo, i, blo, j))
+            if i + k < ahi and j + k < bhi:
+                open_.append((i + k, ahi, j + k, bhi))
+    return total
+
+
+def _places(text: str, c: str) -> list[int]:
+    found, at = [], text.find(c)
+    while at >= 0:
+        found.append(at)
+        at = text.find(c, at + 1)
+    return found
+
+
+Run = Callable[[int, int, int, int], tuple[int, int, int]]
+
+
+def _longest_run_bits(a: str, b: str, where: dict[str, list[int]]) -> Run:
+    """The first longest common run of two ranges as (start in a, start in b, length).
+
+    Bit i * width + j of one integer says that a[i] equals b[j], so shifting by width + 1 steps along all diagonals at once,
+    in doubling steps. The lowest bit that is left is the first of the longest runs, first in a and then in b.
+    """
+    bits = {c: sum(1 << j for j in places) for c, places in where.items()}
+
+    def longest(alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        if ahi - alo == 1:
+            j = b.find(a[alo], blo, bhi)
+            return alo, max(j, blo), int(j >= 0)
+        if bhi - blo == 1:
+            i = a.find(b[blo], alo, ahi)
+            return max(i, alo), blo, int(i >= 0)
+        part, size = a[alo:ahi], (bhi - blo) // 8 + 1
+        width, inside = 8 * size, (1 << bhi - blo) - 1  # one bit more than the range at least, so no run goes on in the next row
+        rows = {c: (bits.get(c, 0) >> blo & inside).to_bytes(size, "little") for c in set(part)}
+        cells = int.from_bytes(b"".join([rows[c] for c in part]), "little")
+        if not cells:
+            return alo, blo, 0
+        runs, k = [cells], 1
+        while found := runs[-1] & runs[-1] >> k * (width + 1):
+            runs.append(found)
+            k *= 2
+        left, step = runs.pop(), k
+        while runs:
+            step //= 2
+            if found := left & runs.pop() >> k * (width + 1):
+                left, k = found, k + step
+        i, j = divmod((left & -left).bit_length() - 1, width)
+        return alo + i, blo + j, k
+
+    return longest
+
+
+def _longest_run_sparse(a: str, where: dict[str, list[int]]) -> Run:
+    """The same from the places that match at all, for long texts in which most characters start no run."""
+    at = [i for i, c in enumerate(a) if c in where]
+
+    def longest(alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        best, before, ends = (alo, blo, 0), -1, {}
+        for i in at[bisect_left(at, alo) : bisect_left(at, ahi)]:
+            places = where[a[i]]
+            runs = ends if i == before + 1 else {}
+            ends, before = {}, i
+            for j in places[bisect_left(places, blo) : bisect_left(places, bhi)]:
+                k = ends[j] = runs.get(j - 1, 0) + 1
+                if k > best[2]:
+                    best = i - k + 1, j - k + 1, k
+        return best
+
+    return longest
+
+
 def similar(a: str | None, b: str | None) -> float:
-    """Ratcliff-Obershelp ratio."""
-    return difflib.SequenceMatcher(None, a or "", b or "").ratio()
+    """Ratcliff-Obershelp ratio, as difflib gives it."""
+    a, b = a or "", b or ""
+    return 1.0 if a == b else 2.0 * _matched(a, b) / (len(a) + len(b))
+
+
+def _may_be_similar(a: str, b: str, least: float) -> bool:
+    """False if the lengths or the shared letters rule out a ratio above least."""
+    bound = least * (len(a) + len(b)) / 2
+    return min(len(a), len(b)) > bound and sum(min(a.count(c), b.count(c)) for c in set(a)) > bound
 
 
 def default_entities(text: str) -> list[str]:
@@ -176,21 +308,83 @@ def entity_f1_score(prediction: str | None, target: str | None, entities: Callab
         else:
             rest.append(x)
     for x in rest:
-        best = max(free, key=lambda y: similar(x, y), default=None)
-        if best is not None and similar(x, best) > least:
-            free.remove(best)
+        near = ((similar(x, y), -i) for i, y in enumerate(free) if _may_be_similar(x, y, least))
+        ratio, at = max(near, default=(0.0, 0))
+        if ratio > least:
+            del free[-at]
             hits += 1
     return _f(hits, len(p), len(t))
 
 
+def _blocks(predictions: pd.Series, targets: pd.Series) -> Iterator[tuple[list[str], list[str]]]:
+    p, t = predictions.fillna("").tolist(), targets.fillna("").tolist()
+    start = size = 0
+    for i, (x, y) in enumerate(zip(p, t, strict=True)):
+        size += len(x) + len(y)
+        if size >= BLOCK:
+            yield p[start : i + 1], t[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(p):
+        yield p[start:], t[start:]
+
+
+def _coded(texts: list[str], tokens: Callable[[str], list[str]]) -> list[list[int]]:
+    """Tokens of each text as numbers, equal for equal tokens; a text that comes twice is split once."""
+    ids: dict[str, int] = {}
+    seen = {text: [ids.setdefault(w, len(ids)) for w in tokens(text)] for text in dict.fromkeys(texts)}
+    return [seen[text] for text in texts]
+
+
+def _common(p: list[list[int]], t: list[list[int]], orders: int) -> np.ndarray:
+    """[order, pair]: n-grams of p that are in t too, each at most as often as there."""
+    lengths = np.array([len(x) for x in (*p, *t)])
+    words = np.fromiter((w for x in (*p, *t) for w in x), dtype=np.int64, count=lengths.sum())
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    grams, found, kinds = words, np.zeros((orders, len(p)), dtype=np.int64), int(words.max(initial=0)) + 1
+    for n in range(orders):
+        if n:
+            whole = rows[: len(rows) - n] == rows[n:] if n < len(rows) else np.zeros(0, dtype=bool)
+            grams = pd.factorize(np.where(whole, grams[: len(whole)] * kinds + words[n : n + len(whole)], -1))[0]
+        else:
+            whole = np.ones(len(rows), dtype=bool)
+        if not whole.any():
+            break
+        of = rows[: len(whole)]
+        keys, counts = [], []
+        for side, first in ((whole & (of < len(p)), 0), (whole & (of >= len(p)), len(p))):
+            key, count = np.unique((of[side] - first) * (int(grams.max()) + 1) + grams[side], return_counts=True)
+            keys.append(key)
+            counts.append(count)
+        both, at_p, at_t = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+        found[n] = np.bincount(both // (int(grams.max()) + 1), np.minimum(counts[0][at_p], counts[1][at_t]), len(p))
+    return found
+
+
 @F.pandas_udf(T.DoubleType())
 def bleu(predictions: pd.Series, targets: pd.Series) -> pd.Series:
-    return pd.Series([bleu_score(p, t) for p, t in zip(predictions, targets, strict=True)], dtype=float)
+    """bleu_score() of each pair, counted by block."""
+    scores = []
+    for p, t in _blocks(predictions, targets):
+        coded = _coded(p + t, _tokens)
+        p, t = coded[: len(p)], coded[len(p) :]
+        common = _common(p, t, 4)
+        sizes = np.array([len(x) for x in p]), np.array([len(x) for x in t])
+        orders = np.maximum(1, sizes[0] - np.arange(4)[:, None])
+        brevity = np.exp(np.minimum(0.0, 1 - sizes[1] / np.maximum(1, sizes[0])))
+        scores.append(np.where(common[0] > 0, brevity * np.exp(np.log(np.where(common > 0, common, 0.1) / orders).mean(axis=0)), 0.0))
+    return pd.Series(np.concatenate(scores) if scores else [], dtype=float)
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("rouge1", "rouge2", "rougeL")]))
 def rouge(predictions: pd.Series, targets: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([rouge_scores(p, t) for p, t in zip(predictions, targets, strict=True)], columns=["rouge1", "rouge2", "rougeL"])
+    """rouge_scores() of each pair, counted by block."""
+    scores = [np.zeros((0, 3))]
+    for p, t in _blocks(predictions, targets):
+        coded = _coded(p + t, _rouge_tokens)
+        p, t = coded[: len(p)], coded[len(p) :]
+        one, two = _common(p, t, 2)
+        scores.append(np.array([[_f(c1, len(x), len(y)), _f(c2, len(x) - 1, len(y) - 1), _f(_longest(x, y), len(x), len(y))] for x, y, c1, c2 in zip(p, t, one.tolist(), two.tolist(), strict=True)]))
+    return pd.DataFrame(np.concatenate(scores), columns=["rouge1", "rouge2", "rougeL"])
 
 
 @F.pandas_udf(T.DoubleType())

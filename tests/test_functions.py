@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+import itertools
+
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, numeric, overlap, parse, text
@@ -110,3 +116,34 @@ def test_overlap():
 def test_token_f1(spark):
     assert one(spark, overlap.token_f1(L("a a b"), L("b c"))) == pytest.approx(0.5)
     assert one(spark, overlap.token_f1(L(""), L(""))) == 1 and one(spark, overlap.token_f1(L("a"), L(""))) == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(["ab", "abcdefgh ", "aeiou bcdfgxyzKLM\n\U0001F600"]).flatmap(lambda letters: st.tuples(st.text(letters, max_size=260), st.text(letters, max_size=260), st.booleans())))
+def test_ratio_and_subsequence_of_any_texts(case):
+    a, b, copied = case
+    b = a[: len(a) // 2] + b if copied else b
+    assert overlap.similar(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+    where = {c: overlap._places(b, c) for c in set(a) & set(b)}
+    ranges = 0, len(a), 0, len(b)
+    if a and b:  # both searches give the first longest run
+        found = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match(*ranges)
+        assert overlap._longest_run_bits(a, b, where)(*ranges) == overlap._longest_run_sparse(a, where)(*ranges) == tuple(found)
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    assert overlap._longest(list(a), list(b)) == row[-1]
+
+
+def test_batch_measures_of_odd_texts(monkeypatch):
+    """Nulls, empty texts, no words, one word, repeats; blocks of one pair and of all."""
+    texts = [None, "", "  ", "...", "a", "a a a", "the cats sat on the mat", "The cat sat, on the mats!", "x " * 500, "the cats sat on the mat"]
+    p, t = (pd.Series(x) for x in zip(*itertools.product(texts, texts), strict=True))
+    for block in (1, 64, overlap.BLOCK):
+        monkeypatch.setattr(overlap, "BLOCK", block)
+        assert overlap.bleu.func(p, t).tolist() == pytest.approx([overlap.bleu_score(x, y) for x, y in zip(p, t, strict=True)], abs=1e-12)
+        assert [tuple(r) for r in overlap.rouge.func(p, t).itertuples(index=False)] == [overlap.rouge_scores(x, y) for x, y in zip(p, t, strict=True)]
+    empty = pd.Series([], dtype=object)
+    assert len(overlap.bleu.func(empty, empty)) == len(overlap.rouge.func(empty, empty)) == 0

@@ -61,8 +61,25 @@ def test_embedded_texts_are_brute_force(spark):
 
 
 def test_overlap_scores(spark):
-    got = QUERIES["overlap_scores"](spark, SF).collect()
-    assert got and all(0 <= x[c] <= 1 for x in got for c in ("bleu", "rouge1", "rouge2", "rougeL", "entities", "ratio"))
+    """The batch measures against their plain definitions, a table for the subsequence and difflib, on every pair of turns."""
+    import difflib
+
+    from millrace.functions import overlap
+    from millrace.plans.queries import turns
+
+    got = {(r.conv_id, r.turn): r for r in QUERIES["overlap_scores"](spark, SF).collect()}
+    pairs = {(r.conv_id, r.turn): (r.prediction, r.target) for r in turns(lambda name: spark.read.parquet(f"{SF}/{name}.parquet")).collect()}
+    assert got.keys() == pairs.keys() and got
+    for key, (p, t) in pairs.items():
+        x, y = overlap._rouge_tokens(p), overlap._rouge_tokens(t)
+        row = [0] * (len(y) + 1)
+        for w in x:
+            last = 0
+            for j, v in enumerate(y, 1):
+                last, row[j] = row[j], last + 1 if w == v else max(row[j], row[j - 1])
+        one, two, _ = overlap.rouge_scores(p, t)
+        want = overlap.bleu_score(p, t), one, two, 2 * row[-1] / max(1, len(x) + len(y)), overlap.entity_f1_score(p, t), difflib.SequenceMatcher(None, p or "", t or "").ratio()
+        assert [got[key][c] for c in ("bleu", "rouge1", "rouge2", "rougeL", "entities", "ratio")] == pytest.approx(want, abs=1.1e-6), key
 
 
 def test_without_the_corpus_operators(tmp_path):
