@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ _PUNCTUATION, _NOT_WORD = re.compile(r"[^\w\s]+"), re.compile(r"[^a-z0-9]+")
 BLOCK = 1 << 21
 #: Comparisons (characters of one text times those of the other) that the bits of one integer hold at most: 4 MB.
 CELLS = 1 << 25
+#: Longest second text whose places are kept as bits.
+WIDEST = 1 << 12
 
 
 def _tokens(text: str | None) -> list[str]:
@@ -106,7 +109,7 @@ def _short(word: str) -> bool:
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
-_LONGEST_FIRST = [sorted(table, key=len, reverse=True) for table in (_STEP2, _STEP3, _STEP4)]
+_LONGEST_FIRST = [tuple(sorted(table, key=len, reverse=True)) for table in (_STEP2, _STEP3, _STEP4)]
 
 
 @lru_cache(maxsize=1 << 16)
@@ -136,12 +139,12 @@ def porter_stem(word: str) -> str:
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
     for table, ends in zip((_STEP2, _STEP3), _LONGEST_FIRST, strict=False):
-        for end in ends:
+        for end in ends if w.endswith(ends) else ():
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
                     w = w[: -len(end)] + table[end]
                 break
-    for end in _LONGEST_FIRST[2]:
+    for end in _LONGEST_FIRST[2] if w.endswith(_LONGEST_FIRST[2]) else ():
         if w.endswith(end):
             stem = w[: -len(end)]
             if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
@@ -188,10 +191,9 @@ def _matched(a: str, b: str) -> int:
 
     Like there, a character that makes up over 1 % of a text b of 200 or more starts no run and only prolongs one.
     """
-    counts = Counter(b)
-    often = {c for c, n in counts.items() if n > len(b) // 100 + 1} if len(b) >= 200 else set()
-    where = {c: _places(b, c) for c in counts.keys() & set(a) - often}
-    longest = _longest_run_sparse(a, where) if often or len(a) * len(b) > CELLS else _longest_run_bits(a, b, where)
+    often = {c for c in set(b) if b.count(c) > len(b) // 100 + 1} if len(b) >= 200 else set()
+    dense = not often and len(b) <= WIDEST and len(a) * len(b) <= CELLS
+    longest = _longest_run_bits(a, b) if dense else _longest_run_sparse(a, b, often)
     total = 0
     open_ = [(0, len(a), 0, len(b))]
     while open_:
@@ -222,13 +224,17 @@ def _places(text: str, c: str) -> list[int]:
 Run = Callable[[int, int, int, int], tuple[int, int, int]]
 
 
-def _longest_run_bits(a: str, b: str, where: dict[str, list[int]]) -> Run:
+def _longest_run_bits(a: str, b: str) -> Run:
     """The first longest common run of two ranges as (start in a, start in b, length).
 
     Bit i * width + j of one integer says that a[i] equals b[j], so shifting by width + 1 steps along all diagonals at once,
     in doubling steps. The lowest bit that is left is the first of the longest runs, first in a and then in b.
     """
-    bits = {c: sum(1 << j for j in places) for c, places in where.items()}
+    bits, one = dict.fromkeys(a, 0), 1
+    for c in b:
+        if c in bits:
+            bits[c] |= one
+        one <<= 1
 
     def longest(alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
         if ahi - alo == 1:
@@ -239,8 +245,8 @@ def _longest_run_bits(a: str, b: str, where: dict[str, list[int]]) -> Run:
             return max(i, alo), blo, int(i >= 0)
         part, size = a[alo:ahi], (bhi - blo) // 8 + 1
         width, inside = 8 * size, (1 << bhi - blo) - 1  # one bit more than the range at least, so no run goes on in the next row
-        rows = {c: (bits.get(c, 0) >> blo & inside).to_bytes(size, "little") for c in set(part)}
-        cells = int.from_bytes(b"".join([rows[c] for c in part]), "little")
+        rows = {c: (bits[c] >> blo & inside).to_bytes(size, "little") for c in set(part)}
+        cells = int.from_bytes(b"".join(map(rows.__getitem__, part)), "little")
         if not cells:
             return alo, blo, 0
         runs, k = [cells], 1
@@ -258,9 +264,10 @@ def _longest_run_bits(a: str, b: str, where: dict[str, list[int]]) -> Run:
     return longest
 
 
-def _longest_run_sparse(a: str, where: dict[str, list[int]]) -> Run:
+def _longest_run_sparse(a: str, b: str, often: set[str]) -> Run:
     """The same from the places that match at all, for long texts in which most characters start no run."""
-    at = [i for i, c in enumerate(a) if c in where]
+    where = {c: _places(b, c) for c in (set(a) & set(b)) - often}
+    at = sorted(i for c in where for i in _places(a, c))
 
     def longest(alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
         best, before, ends = (alo, blo, 0), -1, {}
@@ -296,7 +303,10 @@ def default_entities(text: str) -> list[str]:
 
 def entity_f1_score(prediction: str | None, target: str | None, entities: Callable[[str], list[str]] = default_entities, least: float = 0.8) -> float:
     """F1 of a greedy one-to-one matching, equal ones first, then the most similar above least."""
-    p, t = list(dict.fromkeys(entities(prediction or ""))), list(dict.fromkeys(entities(target or "")))
+    return _entity_f1(list(dict.fromkeys(entities(prediction or ""))), list(dict.fromkeys(entities(target or ""))), least)
+
+
+def _entity_f1(p: list[str], t: list[str], least: float) -> float:
     if not t:
         return 0.0 if p else 1.0
     free, hits = list(t), 0
@@ -336,27 +346,28 @@ def _coded(texts: list[str], tokens: Callable[[str], list[str]]) -> list[list[in
 
 
 def _common(p: list[list[int]], t: list[list[int]], orders: int) -> np.ndarray:
-    """[order, pair]: n-grams of p that are in t too, each at most as often as there."""
+    """[order, pair]: n-grams of p that are in t too, each at most as often as there.
+
+    `at` are the places where both ends of the next n-gram are n-grams that the pair shares; no other can be shared.
+    """
     lengths = np.array([len(x) for x in (*p, *t)])
-    words = np.fromiter((w for x in (*p, *t) for w in x), dtype=np.int64, count=lengths.sum())
+    words = np.fromiter(chain.from_iterable((*p, *t)), dtype=np.int64, count=lengths.sum())
     rows = np.repeat(np.arange(len(lengths)), lengths)
-    grams, found, kinds = words, np.zeros((orders, len(p)), dtype=np.int64), int(words.max(initial=0)) + 1
+    pairs, ours = rows % len(p), rows < len(p)
+    grams, at, found = words.copy(), np.arange(len(words)), np.zeros((orders, len(p)), dtype=np.int64)
+    kinds = int(words.max(initial=0)) + 1
     for n in range(orders):
         if n:
-            whole = rows[: len(rows) - n] == rows[n:] if n < len(rows) else np.zeros(0, dtype=bool)
-            grams = pd.factorize(np.where(whole, grams[: len(whole)] * kinds + words[n : n + len(whole)], -1))[0]
-        else:
-            whole = np.ones(len(rows), dtype=bool)
-        if not whole.any():
-            break
-        of = rows[: len(whole)]
-        keys, counts = [], []
-        for side, first in ((whole & (of < len(p)), 0), (whole & (of >= len(p)), len(p))):
-            key, count = np.unique((of[side] - first) * (int(grams.max()) + 1) + grams[side], return_counts=True)
-            keys.append(key)
-            counts.append(count)
-        both, at_p, at_t = np.intersect1d(*keys, assume_unique=True, return_indices=True)
-        found[n] = np.bincount(both // (int(grams.max()) + 1), np.minimum(counts[0][at_p], counts[1][at_t]), len(p))
+            follows = np.zeros(len(words) + 1, dtype=bool)
+            follows[at] = True
+            at = at[follows[at + 1]]
+            at = at[rows[at] == rows[at + n]] if len(at) else at
+            grams[at] = pd.factorize(grams[at] * kinds + words[at + n])[0]
+        key = pairs[at] * (int(grams[at].max(initial=0)) + 1) + grams[at]
+        code, keys = pd.factorize(key)
+        counts = np.minimum(*(np.bincount(code[side], minlength=len(keys)) for side in (ours[at], ~ours[at])))
+        found[n] = np.bincount(keys // (int(grams[at].max(initial=0)) + 1), counts, len(p))
+        at = at[counts[code] > 0]
     return found
 
 
@@ -394,4 +405,9 @@ def string_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def entity_f1(predictions: pd.Series, targets: pd.Series) -> pd.Series:
-    return pd.Series([entity_f1_score(p, t) for p, t in zip(predictions, targets, strict=True)], dtype=float)
+    """entity_f1_score() of each pair; the entities of a text that comes twice in a block are looked up once."""
+    scores = []
+    for p, t in _blocks(predictions, targets):
+        found = {text: list(dict.fromkeys(default_entities(text))) for text in dict.fromkeys(p + t)}
+        scores += [_entity_f1(found[x], found[y], 0.8) for x, y in zip(p, t, strict=True)]
+    return pd.Series(scores, dtype=float)

@@ -124,11 +124,10 @@ def test_ratio_and_subsequence_of_any_texts(case):
     a, b, copied = case
     b = a[: len(a) // 2] + b if copied else b
     assert overlap.similar(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
-    where = {c: overlap._places(b, c) for c in set(a) & set(b)}
     ranges = 0, len(a), 0, len(b)
     if a and b:  # both searches give the first longest run
         found = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match(*ranges)
-        assert overlap._longest_run_bits(a, b, where)(*ranges) == overlap._longest_run_sparse(a, where)(*ranges) == tuple(found)
+        assert overlap._longest_run_bits(a, b)(*ranges) == overlap._longest_run_sparse(a, b, set())(*ranges) == tuple(found)
     row = [0] * (len(b) + 1)
     for x in a:
         last = 0
@@ -145,5 +144,6 @@ def test_batch_measures_of_odd_texts(monkeypatch):
         monkeypatch.setattr(overlap, "BLOCK", block)
         assert overlap.bleu.func(p, t).tolist() == pytest.approx([overlap.bleu_score(x, y) for x, y in zip(p, t, strict=True)], abs=1e-12)
         assert [tuple(r) for r in overlap.rouge.func(p, t).itertuples(index=False)] == [overlap.rouge_scores(x, y) for x, y in zip(p, t, strict=True)]
+        assert overlap.entity_f1.func(p, t).tolist() == [overlap.entity_f1_score(x, y) for x, y in zip(p, t, strict=True)]
     empty = pd.Series([], dtype=object)
     assert len(overlap.bleu.func(empty, empty)) == len(overlap.rouge.func(empty, empty)) == 0
