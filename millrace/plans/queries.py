@@ -1216,6 +1216,30 @@ def trial_xml_fields(t: Tables) -> DataFrame:
     return readers.trial_records(t("part").select(x.alias("value")), ["nct_id", "brief_title", "condition", "phase"])
 
 
+def _trial_texts(n: int) -> list[str]:
+    """SQL of the texts of the n-th trial field: none for each fifth one, two for each fourth, else one."""
+    return [] if n % 5 == 4 else [f"concat(p_name, ' {n}')", "p_brand"][: 1 + (n % 4 == 3)]
+
+
+def _trial_oracle() -> str:
+    fields = ", ".join(f"{' || chr(44) || chr(32) || '.join(_trial_texts(n)) or 'NULL::VARCHAR'} AS {field}" for n, field in enumerate(readers.TRIAL_FIELDS))
+    return f"SELECT {fields} FROM part"
+
+
+@query(_trial_oracle())
+def trial_xml_collection(t: Tables) -> DataFrame:
+    """All fields of trial records out of files that hold many each; each third field lies one level deeper."""
+    parts = [F.lit("<clinical_study rank='1'>")]
+    for n, path in enumerate(readers.TRIAL_FIELDS.values()):
+        tags = [*(["section"] if n % 3 == 0 else []), *path.split("/")]
+        for x in _trial_texts(n):
+            parts += [F.lit("".join(f"<{tag}>" for tag in tags) + "\n "), F.expr(x), F.lit("".join(f"</{tag}>" for tag in reversed(tags)))]
+    made = t("part").select(F.concat(*parts, F.lit("</clinical_study>")).alias("value"))
+    path = shared_path(made, "trials")
+    made.repartition(8).write.text(path)
+    return readers.trial_records(readers.trial_collection(made.sparkSession, path, "*.txt")).drop("file_path")
+
+
 @query("SELECT 'T' || p_partkey AS qid, p_name AS question, p_type || '|' || p_brand AS answers FROM part")
 def live_question_xml(t: Tables) -> DataFrame:
     x = F.format_string('<L><NLM-QUESTION qid="T%d"><MESSAGE>%s</MESSAGE><RefAnswer> %s </RefAnswer><RefAnswer><b>%s</b></RefAnswer></NLM-QUESTION></L>', "p_partkey", "p_name", "p_type", "p_brand")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import ast
 import io
 import json
+import re
 import warnings
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -193,24 +195,96 @@ TRIAL_FIELDS = {
 }
 
 
+_XML_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
 def xml_files(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: file_path, value (the whole text)."""
     return directory(spark, path, "xml")
 
 
+def trial_collection(spark: SparkSession, path: str, files: str = "*.xml", tag: str = "clinical_study") -> DataFrame:
+    """One row a record of files that hold many: file_path, value (the text of one element `tag`).
+
+    Files are cut at the closing tag, so one large file is read by many tasks and no task holds more than a record at a time
+    (compressed files are one task each). Text outside the elements is left out, and an element that is cut off at the end of its
+    file is closed there. The closing tag must not stand in a comment or a CDATA section.
+    """
+    closed = f"</{tag}>"
+    pieces = spark.read.option("lineSep", closed).option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path)
+    record = F.regexp_extract("value", rf"(?s)<{tag}[\s>].*", 0)
+    return pieces.select(F.col("_metadata.file_path").alias("file_path"), record.alias("value")).where("value <> ''").withColumn("value", F.concat("value", F.lit(closed)))
+
+
+def _text_finder(paths: dict[str, str]) -> Callable[[str | None], dict[str, list[str]]]:
+    """Texts of the elements at each path, at any depth, from one pass over a document; nothing of a text that isn't XML."""
+    by_tag: dict[str, list[tuple[str, list[str]]]] = {}
+    for field, path in paths.items():
+        steps = path.split("/")
+        by_tag.setdefault(steps[-1], []).append((field, steps))
+
+    def find(text: str | None) -> dict[str, list[str]]:
+        found: dict[str, list[str]] = {}
+        above: list[str] = []
+        wanted: list[list[str]] = [[]]
+        pending: list[str] = []
+
+        def flush(*_: object) -> None:
+            if pending:
+                value = _XML_SPACES.sub(" ", "".join(pending)).strip()
+                pending.clear()
+                if value:
+                    for field in wanted[-1]:
+                        found.setdefault(field, []).append(value)
+
+        def start(tag: str, _: object) -> None:
+            flush()
+            above.append(tag)
+            wanted.append([field for field, steps in by_tag.get(tag, ()) if above[-len(steps) :] == steps])
+
+        def end(_: str) -> None:
+            flush()
+            above.pop()
+            wanted.pop()
+
+        def said(data: str) -> None:
+            if wanted[-1]:
+                pending.append(data)
+
+        parser = expat.ParserCreate("utf-8")
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, said
+        parser.CommentHandler = parser.ProcessingInstructionHandler = flush
+        try:
+            parser.Parse((text or "").strip().encode("utf-8", "replace"), True)
+        except expat.ExpatError:
+            return {}
+        return found
+
+    return find
+
+
 def trial_records(files: DataFrame, fields: list[str] | None = None, xml: str = "value") -> DataFrame:
-    """Trial fields of XML texts, null where absent, repeated ones as `a, b`; only the asked fields are looked up, and unknown ones are left out with a warning. A text that isn't XML gives nulls."""
+    """Trial fields of XML texts, null where absent, repeated ones as `a, b`; only the asked fields are looked up, and unknown ones are left out with a warning.
+
+    A document is parsed once for all fields, in a stream of elements, so nothing but the asked texts is held. A null, an empty
+    text and a text that isn't well-formed XML give nulls; rows are neither dropped nor merged.
+    """
     unknown = [f for f in fields or () if f not in TRIAL_FIELDS]
     if unknown:
         warnings.warn(f"unknown fields: {', '.join(unknown)}", stacklevel=2)
     chosen = [f for f in fields if f in TRIAL_FIELDS] if fields else list(TRIAL_FIELDS)
-    whole = F.when(F.col(xml).rlike(r"(?s)^\s*<.*>\s*$"), F.regexp_replace(F.col(xml), r"<!DOCTYPE[^>]*>", ""))
+    kept = [F.col(f"`{c}`") for c in files.columns if c != xml]
+    if not chosen:
+        return files.select(*kept)
 
-    def one(field: str) -> Column:
-        found = F.filter(F.transform(F.xpath(whole, F.lit(f"//{TRIAL_FIELDS[field]}/text()")), lambda x: strip(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-        return F.when(F.size(found) > 0, F.array_join(found, ", ")).alias(field)
+    @F.pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in chosen]))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        find = _text_finder({f: TRIAL_FIELDS[f] for f in chosen})
+        rows = [[", ".join(found[f]) if f in found else None for f in chosen] for found in map(find, texts)]
+        return pd.DataFrame(rows, columns=chosen, dtype=object)
 
-    return files.select(*(c for c in files.columns if c != xml), *(one(f) for f in chosen))
+    return files.select(*kept, run(F.col(f"`{xml}`")).alias("__r")).select(*kept, "__r.*")
 
 
 def other_fields(files: DataFrame, xml: str = "value") -> Column:

@@ -67,6 +67,43 @@ def test_xml(spark, tmp_path):
     assert (r.qid, r.answers) == ("T1", ["a b"])
 
 
+def test_trial_fields_from_one_parse(spark, tmp_path):
+    odd = [
+        None,
+        "",
+        "<a><b></a>",
+        "<!DOCTYPE s><s><x><eligibility><criteria><textblock>in\n <!-- c -->out</textblock></criteria></eligibility></x><criteria><textblock>no</textblock></criteria></s>",
+        "<?xml version='1.0' encoding='ISO-8859-1'?><s><keyword>\u00e9 &amp; <![CDATA[<f>]]></keyword><keyword> </keyword><keyword>k<b>no</b>l</keyword></s>",
+        "<s><keyword>" + "long " * 200_000 + "</keyword></s>",
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "`a.b` int, value string")
+    got = {r["a.b"]: r for r in readers.trial_records(df).collect()}
+    assert len(got) == len(odd) and all(got[i][f] is None for i in (0, 1, 2) for f in readers.TRIAL_FIELDS)
+    assert (got[3].eligibility_criteria, got[4].keyword) == ("in, out", "\u00e9 & <f>, k, l") and len(got[5].keyword) == 999_999
+    assert readers.trial_records(df.where("false")).count() == 0 and readers.trial_records(df).columns == ["a.b", *readers.TRIAL_FIELDS]
+    plan = readers.trial_records(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("run(") <= 2 and "xpath" not in plan and plan.count("ArrowEvalPython") == 1  # one parse for all fields
+
+
+def test_trials_of_one_file_are_cut_anywhere(spark, tmp_path):
+    records = [f"<clinical_study rank='{i}'>\n<nct_id>N{i}</nct_id><keyword>\u00e9{'x' * (i % 97)}</keyword>\n</clinical_study>" for i in range(500)]
+    write(tmp_path / "t/all.xml", "<?xml version='1.0'?>\n<all>\n" + "\n".join(records) + "\n</all>\n")
+    write(tmp_path / "t/sub/one.xml", "<clinical_study><nct_id>one</nct_id></clinical_study>")
+    write(tmp_path / "t/none.xml", "<all/>")
+    want = sorted([("one", None), *((f"N{i}", f"\u00e9{'x' * (i % 97)}") for i in range(500))], key=str)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (173, 1000, 1 << 20):
+            for k, v in zip(before, (size, 1), strict=True):
+                spark.conf.set(k, v)
+            df = readers.trial_records(readers.trial_collection(spark, str(tmp_path / "t")), ["nct_id", "keyword"])
+            assert sorted(((r.nct_id, r.keyword) for r in df.collect()), key=str) == want
+            assert size > 1000 or df.rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_judged(spark, tmp_path):
     q = readers.id_text(spark, write(tmp_path / "q.txt", "q1\twhat\tis\n"), "query_id")
     d = readers.id_text(spark, write(tmp_path / "d.txt", "d1\ttext\n"), "doc_id")
