@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays, numeric, parse, text
 from millrace.functions.overlap import bleu, entity_f1, rouge, string_ratio, token_f1
 from millrace.operators import clean, ehr, features, metrics, relational, sampling, similarity
+from millrace.operators.embeddings import EmbeddingCache
 from millrace.plans import convert, evaluate, pipelines, prompts
 from millrace.sources import readers, writers
 from millrace.storage import scratch_path
@@ -1216,6 +1217,18 @@ def trial_xml_fields(t: Tables) -> DataFrame:
     return readers.trial_records(t("part").select(x.alias("value")), ["nct_id", "brief_title", "condition", "phase"])
 
 
+@query("""WITH p AS (SELECT p_partkey % 2 AS batch, p_brand || ' ' || p_type AS t FROM part), f AS (SELECT t, min(batch) AS batch, count(*) AS n FROM p GROUP BY t)
+SELECT p.batch, count(*) AS n, count(DISTINCT t) AS texts, count(*) AS with_vector, (SELECT count(*) FROM f WHERE f.batch = p.batch) AS encoded FROM p GROUP BY p.batch""")
+def cached_embeddings(t: Tables) -> DataFrame:
+    """Two batches of texts through one cache: the second encodes only what the first doesn't hold."""
+    spark = spark_of(t)
+    p = t("part").select((F.col("p_partkey") % 2).alias("batch"), F.concat("p_brand", F.lit(" "), "p_type").alias("text"))
+    cache = EmbeddingCache(spark, scratch_path(spark, "embeddings"))
+    encoded = [cache.add(p.where(F.col("batch") == n), F.col("text"), n) for n in (0, 1)]
+    found = cache.attach(p, F.col("text")).groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.count("embedding").alias("with_vector"))
+    return found.withColumn("encoded", F.when(F.col("batch") == 0, F.lit(encoded[0]).cast("long")).otherwise(F.lit(encoded[1]).cast("long")))
+
+
 def _trial_texts(n: int) -> list[str]:
     """SQL of the texts of the n-th trial field: none for each fifth one, two for each fourth, else one."""
     return [] if n % 5 == 4 else [f"concat(p_name, ' {n}')", "p_brand"][: 1 + (n % 4 == 3)]
