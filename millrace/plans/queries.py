@@ -1217,12 +1217,12 @@ def trial_xml_fields(t: Tables) -> DataFrame:
     return readers.trial_records(t("part").select(x.alias("value")), ["nct_id", "brief_title", "condition", "phase"])
 
 
-@query("""WITH p AS (SELECT p_partkey % 2 AS batch, p_brand || ' ' || p_type AS t FROM part), f AS (SELECT t, min(batch) AS batch, count(*) AS n FROM p GROUP BY t)
+@query("""WITH p AS (SELECT conv_id % 2 AS batch, coalesce(text, '') AS t FROM conversations), f AS (SELECT t, min(batch) AS batch, count(*) AS n FROM p GROUP BY t)
 SELECT p.batch, count(*) AS n, count(DISTINCT t) AS texts, count(*) AS with_vector, (SELECT count(*) FROM f WHERE f.batch = p.batch) AS encoded FROM p GROUP BY p.batch""")
 def cached_embeddings(t: Tables) -> DataFrame:
     """Two batches of texts through one cache: the second encodes only what the first doesn't hold."""
     spark = spark_of(t)
-    p = t("part").select((F.col("p_partkey") % 2).alias("batch"), F.concat("p_brand", F.lit(" "), "p_type").alias("text"))
+    p = t("conversations").select((F.col("conv_id") % 2).alias("batch"), F.coalesce("text", F.lit("")).alias("text"))
     cache = EmbeddingCache(spark, scratch_path(spark, "embeddings"))
     encoded = [cache.add(p.where(F.col("batch") == n), F.col("text"), n) for n in (0, 1)]
     found = cache.attach(p, F.col("text")).groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.count("embedding").alias("with_vector"))
@@ -1231,25 +1231,26 @@ def cached_embeddings(t: Tables) -> DataFrame:
 
 def _trial_texts(n: int) -> list[str]:
     """SQL of the texts of the n-th trial field: none for each fifth one, two for each fourth, else one."""
-    return [] if n % 5 == 4 else [f"concat(p_name, ' {n}')", "p_brand"][: 1 + (n % 4 == 3)]
+    return [] if n % 5 == 4 else [f"concat('C', conv_id, ' ', turns, ' {n}')", "said_by"][: 1 + (n % 4 == 3)]
 
 
 def _trial_oracle() -> str:
     fields = ", ".join(f"{' || chr(44) || chr(32) || '.join(_trial_texts(n)) or 'NULL::VARCHAR'} AS {field}" for n, field in enumerate(readers.TRIAL_FIELDS))
-    return f"SELECT {fields} FROM part"
+    return f"SELECT {fields} FROM (SELECT conv_id, count(*) AS turns, min(role) AS said_by FROM conversations GROUP BY conv_id)"
 
 
 @query(_trial_oracle())
 def trial_xml_collection(t: Tables) -> DataFrame:
-    """All fields of trial records out of files that hold many each; each third field lies one level deeper."""
+    """All fields of trial records, one a conversation, out of files that hold many each; each third field lies one level deeper."""
     parts = [F.lit("<clinical_study rank='1'>")]
     for n, path in enumerate(readers.TRIAL_FIELDS.values()):
         tags = [*(["section"] if n % 3 == 0 else []), *path.split("/")]
         for x in _trial_texts(n):
             parts += [F.lit("".join(f"<{tag}>" for tag in tags) + "\n "), F.expr(x), F.lit("".join(f"</{tag}>" for tag in reversed(tags)))]
-    made = t("part").select(F.concat(*parts, F.lit("</clinical_study>")).alias("value"))
+    conversations = t("conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("role").alias("said_by"))
+    made = conversations.select(F.concat(*parts, F.lit("</clinical_study>")).alias("value"))
     path = shared_path(made, "trials")
-    made.repartition(8).write.text(path)
+    made.write.text(path)
     return readers.trial_records(readers.trial_collection(made.sparkSession, path, "*.txt")).drop("file_path")
 
 
