@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from millrace.storage import materialise
 
 CELL_ROWS, MAX_PIVOTS = 2000, 4096
+#: Rows are dealt to groups of blocks: about so many, unless one would hold more rows or numbers than a task should.
+GROUPS, GROUP_ROWS, GROUP_NUMBERS = 16, 40_000, 4_000_000
 SLACK = 1e-6
 
 
@@ -115,17 +117,28 @@ def celled(vectors: DataFrame, threshold: float, key: str, vector: str, n_rows:
     return cells, placed
 
 
+def group_rows(n: int, block: int, width: int = 1) -> int:
+    """Rows of a group of n rows of so many numbers, at least those of a block."""
+    return max(block, min(-(-n // GROUPS), GROUP_ROWS, GROUP_NUMBERS // max(1, width)))
+
+
 class Blocks:
     """Cells cut into blocks of at most about so many rows, by a hash of the id."""
 
     def __init__(self, cells: Cells, rows: int):
-        self.cells = cells
+        self.cells, self.size = cells, rows
         self.parts = np.maximum(1, -(-cells.rows // rows))
         self.begins = np.concatenate([[0], np.cumsum(self.parts)])
 
     def __len__(self) -> int:
         return int(self.begins[-1])
 
+    def groups(self) -> np.ndarray:
+        """The group of each block; groups are blocks in succession."""
+        most = group_rows(int(self.cells.rows.sum()), self.size, self.cells.pivots.shape[1])
+        rows = np.repeat(self.cells.rows / self.parts, self.parts)
+        return ((np.cumsum(rows) - rows) // most).astype(np.int32)
+
     def own(self, ids: np.ndarray, cell: np.ndarray) -> np.ndarray:
         mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         return self.begins[cell] + (mixed % self.parts[cell].astype(np.uint64)).astype(np.int64)
@@ -135,15 +148,20 @@ class Blocks:
         found = self.cells.reached(self.cells.angles(units))
         return [np.concatenate([np.arange(self.begins[c], self.begins[c + 1]) for c in np.flatnonzero(row)] or [np.zeros(0, np.int64)]).astype(np.int32) for row in found]
 
-    def dealt(self, rows: DataFrame) -> DataFrame:
-        """rows (id, v, cell) as (id, v, b, o): one row for each block o in reach; b is its own block (-1 without a cell)."""
-        blocks = self
+    def meeting(self, units: np.ndarray) -> np.ndarray:
+        """Rows by blocks: whether the row can have a neighbour in the block."""
+        found = [self.cells.reached(self.cells.angles(units[at : at + 1000])) for at in range(0, max(1, len(units)), 1000)]
+        return np.repeat(np.concatenate(found), self.parts, axis=1)
+
+    def dealt(self, rows: DataFrame, grouped: bool = False) -> DataFrame:
+        """rows (id, v, cell) as (id, v, b, o): one row for each block o in reach, or for each group of blocks; b is its own block (-1 without a cell)."""
+        blocks, groups = self, self.groups()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, cell = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
                 own = np.where(cell < 0, -1, blocks.own(ids, np.maximum(cell, 0))) if len(ids) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array(blocks.reached(unit(matrix(batch.column(1)))), pa.list_(pa.int32()))], ["id", "v", "b", "others"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array([np.unique(groups[x]) if grouped else x for x in blocks.reached(unit(matrix(batch.column(1))))], pa.list_(pa.int32()))], ["id", "v", "b", "others"])
 
         wide = rows.select("id", "v", "cell").mapInArrow(run, "id long, v array<double>, b int, others array<int>")
         return wide.select("id", "v", "b", F.explode("others").alias("o"))

@@ -14,12 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import cosine
-from millrace.operators.cells import Blocks, celled, unit
+from millrace.operators.cells import Blocks, celled, group_rows, matrix, unit
 from millrace.operators.graph import scanned
+from millrace.operators.leaders import led
 from millrace.storage import materialise
 
 BLOCK_ROWS = 4000
@@ -32,8 +34,8 @@ def _materialise(df: DataFrame) -> DataFrame:
     return materialise(df, "vectors")
 
 
-def _blocks(n: int) -> int:
-    return max(1, -(-n // BLOCK_ROWS))
+def _groups(n: int, width: int = 1) -> int:
+    return max(1, -(-n // group_rows(n, BLOCK_ROWS, width)))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -47,20 +49,44 @@ def _in_reach(vectors: DataFrame, threshold: float, key: str, vector: str, n_row
     return blocks.dealt(placed).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q")), len(blocks)
 
 
+def _by_block(part: pa.Table, blocks: Blocks) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By block of the rows (id, v, b): ids, unit vectors, and which blocks each can have a neighbour in."""
+    ids, of, units = part.column("id").to_numpy(), part.column("b").to_numpy(), unit(matrix(part.column("v").combine_chunks()))
+    order = np.argsort(of, kind="stable")
+    own = np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+    return {int(of[rows[0]]): (ids[rows], units[rows], blocks.meeting(units[rows])) for rows in own if len(rows)}
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "row_id", vector: str = "embedding", n_rows: int | None = None) -> DataFrame:
     """(i, j, cosine) with i before j by key and cosine above the threshold. Rows without a vector are in no pair."""
-    dealt, _ = _in_reach(vectors, threshold, key, vector, n_rows)
-
-    def block(part: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(part.p.iloc[0]), int(part.q.iloc[0])
-        left, right = part[part.b == p], part[part.b == q]
-        found = _unit(left.v) @ _unit(right.v).T if len(left) and len(right) else np.zeros((0, 0))
-        x, y = np.nonzero(found > threshold)
-        i, j, c = left.id.to_numpy()[x], right.id.to_numpy()[y], found[x, y]
-        ok = i < j if p == q else i != j
-        return pd.DataFrame({"i": np.minimum(i, j)[ok], "j": np.maximum(i, j)[ok], "cosine": c[ok]})
+    cells, placed = celled(vectors, threshold, key, vector, n_rows)
+    blocks = Blocks(cells, BLOCK_ROWS)
+    groups = blocks.groups()
 
-    return dealt.groupBy("p", "q").applyInPandas(block, "i long, j long, cosine double")
+    @F.pandas_udf("int")
+    def group(b: pd.Series) -> pd.Series:
+        return pd.Series(groups[b.to_numpy()])
+
+    dealt = blocks.dealt(placed, grouped=True).withColumn("g", group("b")).select("id", "v", "b", F.least("g", "o").alias("p"), F.greatest("g", "o").alias("q"))
+
+    def block(part: pa.Table) -> pa.Table:
+        p, q = part.column("p")[0].as_py(), part.column("q")[0].as_py()
+        sides = _by_block(part, blocks)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for x in sides:
+            for y in sides:
+                if groups[x] != p or groups[y] != q or p == q and x > y:
+                    continue
+                (ids, units, meets), (others, theirs, back) = sides[x], sides[y]
+                a, b = np.flatnonzero(meets[:, y]), np.flatnonzero(back[:, x])
+                found = units[a] @ theirs[b].T
+                left, right = np.nonzero(found > threshold)
+                i, j, c = ids[a[left]], others[b[right]], found[left, right]
+                ok = i < j if x == y else i != j
+                out.append((np.minimum(i, j)[ok], np.maximum(i, j)[ok], c[ok]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["i", "j", "cosine"])
+
+    return dealt.groupBy("p", "q").applyInArrow(block, "i long, j long, cosine double")
 
 
 def pruning(vectors: DataFrame, threshold: float, key: str = "row_id", vector: str = "embedding") -> DataFrame:
@@ -83,18 +109,21 @@ def cosine_pairs_sql(vectors: DataFrame, threshold: float, key: str = "row_id",
 def similarity_histogram(vectors: DataFrame, bins: int = 50, key: str = "row_id", vector: str = "embedding") -> DataFrame:
     """(bin, pairs) of the cosines of all pairs, -1 to 1; each block returns its own counts. Rows without a vector are left out."""
     vectors = vectors.where(F.col(vector).isNotNull())
-    b = _blocks(vectors.count())
+    b = _groups(vectors.count())
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(b)).cast("int").alias("b"))
     dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
         p, q = int(part.p.iloc[0]), int(part.q.iloc[0])
         left, right = part[part.b == p], part[part.b == q]
-        found = np.round(_unit(left.v) @ _unit(right.v).T, 9) if len(left) and len(right) else np.zeros((0, 0))
-        if p == q:
-            found = found[np.triu_indices(len(left), 1)]
-        at = np.clip(np.floor((found.ravel() + 1) / 2 * bins), 0, bins - 1).astype(np.int64)
-        n = np.bincount(at, minlength=bins)
+        x, y, n = _unit(left.v), _unit(right.v), np.zeros(bins, np.int64)
+        for i in range(0, len(x), BLOCK_ROWS):
+            for j in range(i if p == q else 0, len(y), BLOCK_ROWS):
+                found = np.round(x[i : i + BLOCK_ROWS] @ y[j : j + BLOCK_ROWS].T, 9)
+                if p == q and i == j:
+                    found = found[np.triu_indices(len(found), 1)]
+                at = np.clip(np.floor((found.ravel() + 1) / 2 * bins), 0, bins - 1).astype(np.int64)
+                n += np.bincount(at, minlength=bins)
         return pd.DataFrame({"bin": np.arange(bins), "pairs": n})[n > 0]
 
     return dealt.groupBy("p", "q").applyInPandas(block, "bin int, pairs long").groupBy("bin").agg(F.sum("pairs").alias("pairs"))
@@ -113,7 +142,7 @@ def greedy_removed(pairs: DataFrame, order: DataFrame | None = None) -> DataFram
 
 
 def copies_removed(df: DataFrame, vector: str, threshold: float, key: str = "row_id", rank: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """((row_id, v) of the first row of each vector, (row_id) of the others): they are paired with the first and with all that it is paired with.
+    """((row_id, v, rank) of the first row of each vector, (row_id) of the others): they are paired with the first and with all that it is paired with.
 
     First is by rank, else by key. Zero vectors and vectors with entries that are no numbers are in no pair and stay; so do all where the threshold is outside 0 to 1.
     """
@@ -121,7 +150,7 @@ def copies_removed(df: DataFrame, vector: str, threshold: float, key: str = "row
     squares = F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     alike = (squares > 0) & (squares < float("inf")) if 0 <= threshold < 1 - 1e-9 else F.lit(False)
     rows = rows.withColumn("alone", F.when(F.coalesce(alike, F.lit(False)), F.lit(None)).otherwise(F.col("row_id")))
-    groups = materialise(rows.groupBy("v", "alone").agg(F.min(F.struct("rank", "row_id")).alias("first")).select(F.col("first.row_id").alias("row_id"), "v"), "unlike")
+    groups = materialise(rows.groupBy("v", "alone").agg(F.min(F.struct("rank", "row_id")).alias("first")).select(F.col("first.row_id").alias("row_id"), "v", F.col("first.rank").alias("rank")), "unlike")
     gone = rows.where("alone is null").select("row_id").join(groups, "row_id", "left_anti")
     return groups, gone
 
@@ -140,33 +169,53 @@ def across_removed(new: DataFrame, old: DataFrame, threshold: float, key: str =
     return hits(new, Blocks(cells, BLOCK_ROWS), placed, threshold, key, vector)
 
 
-def hits(new: DataFrame, blocks: Blocks, placed: DataFrame, threshold: float, key: str, vector: str) -> DataFrame:
-    """(row_id) of new rows that are like one of placed (id, v, cell), whose cells and blocks are given."""
+def hits(new: DataFrame, blocks: Blocks, placed: DataFrame, threshold: float, key: str, vector: str, earlier: bool = False) -> DataFrame:
+    """(row_id) of new rows that are like one of placed (id, v, cell), or like one with a smaller id; cells and blocks of placed are given."""
+    groups = blocks.groups()
     mine = new.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    parts = _blocks(mine.count())
-    mine = blocks.dealt(mine.withColumn("cell", F.lit(-1))).select("id", "v", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.col("o").alias("q"))
+    parts = _groups(mine.count(), blocks.cells.pivots.shape[1])
+    mine = blocks.dealt(mine.withColumn("cell", F.lit(-1)), grouped=True).select("id", "v", F.lit(-1).alias("b"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.col("o").alias("q"))
 
-    @F.pandas_udf("int")
-    def own(ids: pd.Series, cell: pd.Series) -> pd.Series:
-        return pd.Series(blocks.own(ids.to_numpy(), cell.to_numpy()))
+    @F.pandas_udf("b int, q int")
+    def own(ids: pd.Series, cell: pd.Series) -> pd.DataFrame:
+        b = blocks.own(ids.to_numpy(), cell.to_numpy())
+        return pd.DataFrame({"b": b, "q": groups[b]})
 
-    theirs = placed.select("id", "v", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), own("id", "cell").alias("q"))
+    theirs = placed.select("id", "v", own("id", "cell").alias("own")).select("id", "v", "own.b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), "own.q")
 
-    def block(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = part[part.side == 0], part[part.side == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"row_id": np.zeros(0, np.int64)})
-        hit = (_unit(left.v) @ _unit(right.v).T > threshold).any(axis=1)
-        return pd.DataFrame({"row_id": left.id.to_numpy()[hit]})
+    def block(part: pa.Table) -> pa.Table:
+        sides = _by_block(part, blocks)
+        ids, units, meets = sides.pop(-1, (np.zeros(0, np.int64), np.zeros((0, 0)), None))
+        hit = np.zeros(len(ids), bool)
+        for b, (others, theirs, _) in sides.items():
+            for at in range(0, len(ids), BLOCK_ROWS):
+                x = at + np.flatnonzero(meets[at : at + BLOCK_ROWS, b] & ~hit[at : at + BLOCK_ROWS])
+                found = units[x] @ theirs.T > threshold
+                hit[x] = (found & (others[None, :] < ids[x, None]) if earlier else found).any(axis=1)
+        return pa.table({"row_id": pa.array(ids[hit])})
+
+    return mine.unionByName(theirs).groupBy("p", "q").applyInArrow(block, "row_id long").distinct()
 
-    return mine.unionByName(theirs).groupBy("p", "q").applyInPandas(block, "row_id long").distinct()
+
+def removed_in_order(df: DataFrame, vector: str, threshold: float, key: str = "row_id", rank: Column | None = None) -> DataFrame:
+    """(row_id) of what a scan in order of rank, else of key, removes: copies, what leading rows remove, then the pairs of what is left."""
+    unlike, copies = copies_removed(df, vector, threshold, key, rank)
+    left, _, gone = led(unlike, threshold)
+    pairs = cosine_pairs(left, threshold, "row_id", "v")
+    return copies.union(gone).union(greedy_removed(pairs, left.select("row_id", "rank") if rank is not None else None))
+
+
+def earlier_removed(df: DataFrame, vector: str, threshold: float, key: str = "row_id") -> DataFrame:
+    """(row_id) of every row with an earlier neighbour, removed or not."""
+    unlike, copies = copies_removed(df, vector, threshold, key)
+    left, before, gone = led(unlike, threshold, greedy=False)
+    cells, placed = celled(before, threshold, "row_id", "v")
+    return copies.union(gone).union(hits(left, Blocks(cells, BLOCK_ROWS), placed, threshold, "row_id", "v", earlier=True))
 
 
 def within(df: DataFrame, vector: str, threshold: float = 0.9, key: str = "row_id", greedy: bool = True) -> tuple[DataFrame, DataFrame]:
     """(kept rows, removed ids) of one pass."""
-    unlike, copies = copies_removed(df, vector, threshold, key)
-    pairs = cosine_pairs(unlike, threshold, "row_id", "v")
-    removed = copies.union(greedy_removed(pairs) if greedy else any_earlier_removed(pairs))
+    removed = removed_in_order(df, vector, threshold, key) if greedy else earlier_removed(df, vector, threshold, key)
     return df.join(removed, df[key] == removed.row_id, "left_anti"), removed
 
 

@@ -13,7 +13,7 @@ from millrace.operators.clean import NONE, outcome, summary, validated
 from millrace.operators.index import VectorIndex
 from millrace.operators.relational import group_concat, outer_chain, union_all
 from millrace.operators.sampling import balanced, presampled, recovered
-from millrace.operators.similarity import Encoder, copies_removed, cosine_pairs, embedded, greedy_removed, hash_encoder, qa_across, within
+from millrace.operators.similarity import Encoder, embedded, hash_encoder, qa_across, removed_in_order, within
 from millrace.storage import materialise
 
 
@@ -43,9 +43,7 @@ def with_embeddings(df: DataFrame, make: Callable[[], Encoder] = hash_encoder) -
 
 def removed_by_quality(df: DataFrame, vector: str, threshold: float, key: str = "row_id") -> DataFrame:
     """Greedy removal in order of quality (high first), then key."""
-    rank = F.struct(-F.col("quality"), F.col(key))
-    unlike, copies = copies_removed(df, vector, threshold, key, rank)
-    return copies.union(greedy_removed(cosine_pairs(unlike, threshold, "row_id", "v"), df.select(F.col(key).alias("row_id"), rank.alias("rank"))))
+    return removed_in_order(df, vector, threshold, key, F.struct(-F.col("quality"), F.col(key)))
 
 
 def within_group(df: DataFrame, threshold: float = 0.9, question_only: bool = False, key: str = "row_id", rescue: int = 10) -> DataFrame:

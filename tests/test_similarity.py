@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import cells, graph
+from millrace.operators import cells, graph, leaders
 from millrace.operators import similarity as s
 
 
@@ -218,3 +218,37 @@ def test_an_index_without_rows(spark, tmp_path):
     path = str(tmp_path / "index")
     assert incremental(one, path).count() == 2 and incremental(empty, path).count() == 0
     assert [r.row_id for r in incremental(one.withColumn("row_id", F.col("row_id") + 5), path).collect()] == [7]
+
+
+# --- leading rows and groups of blocks ----------------------------------------------------------------
+
+
+@pytest.fixture
+def few_pairs(monkeypatch):
+    """Small rounds; the rows that are given to cosine_pairs()."""
+    monkeypatch.setattr(leaders, "LEAD_ROWS", 30)
+    monkeypatch.setattr(leaders, "ROWS", 7)
+    seen = []
+    real = s.cosine_pairs
+    monkeypatch.setattr(s, "cosine_pairs", lambda df, *a, **k: seen.append(df.count()) or real(df, *a, **k))
+    return seen
+
+
+def dense(seed, n=400):
+    """Rows of which each is like a fifth of the others, with copies, zero vectors and a vector that is none."""
+    r = np.random.default_rng(seed)
+    return np.concatenate([r.normal(size=(n, 6)), np.zeros((2, 6)), np.ones((3, 6)), [[np.nan] * 6]])
+
+
+def test_incremental_batches_of_dense_rows_make_few_pairs(spark, tmp_path, few_pairs):
+    from millrace.plans.pipelines import incremental
+
+    v = dense(1)
+    df, ids = table(spark, v), lambda df: sorted(r.row_id for r in df.collect())
+    path = str(tmp_path / "index")
+    first = ids(incremental(df.where("row_id < 200"), path, 0.35, batch=0))
+    second = ids(incremental(df.where("row_id >= 200"), path, 0.35, batch=1))
+    assert first == [i for i in range(200) if i not in scan(v, list(range(200)), 0.35)]
+    own = [i for i in range(200, len(v)) if i not in scan(v, list(range(200, len(v))), 0.35)]
+    assert second == [i for i in own if all(not cos(v[i], v[j]) > 0.35 for j in first)]
+    assert len(few_pairs) == 2 and max(few_pairs) <= 30
