@@ -252,3 +252,13 @@ def test_incremental_batches_of_dense_rows_make_few_pairs(spark, tmp_path, few_p
     own = [i for i in range(200, len(v)) if i not in scan(v, list(range(200, len(v))), 0.35)]
     assert second == [i for i in own if all(not cos(v[i], v[j]) > 0.35 for j in first)]
     assert len(few_pairs) == 2 and max(few_pairs) <= 30
+
+
+def test_order_by_quality_of_dense_rows_makes_few_pairs(spark, few_pairs):
+    from millrace.plans.pipelines import removed_by_quality
+
+    v = dense(2)
+    df = table(spark, v).withColumn("quality", F.col("row_id") % 3)
+    order = sorted(range(len(v)), key=lambda i: (-(i % 3), i))
+    assert {r.row_id for r in removed_by_quality(df, "embedding", 0.35).collect()} == scan(v, order, 0.35)
+    assert len(few_pairs) == 1 and few_pairs[0] <= 30
