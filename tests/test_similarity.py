@@ -262,3 +262,9 @@ def test_order_by_quality_of_dense_rows_makes_few_pairs(spark, few_pairs):
     order = sorted(range(len(v)), key=lambda i: (-(i % 3), i))
     assert {r.row_id for r in removed_by_quality(df, "embedding", 0.35).collect()} == scan(v, order, 0.35)
     assert len(few_pairs) == 1 and few_pairs[0] <= 30
+
+
+def test_greedy_removal_of_dense_rows_makes_few_pairs(spark, few_pairs):
+    v = dense(3)
+    assert {r.row_id for r in s.within(table(spark, v), "embedding", 0.35)[1].collect()} == scan(v, list(range(len(v))), 0.35)
+    assert len(few_pairs) == 1 and few_pairs[0] <= 30
