@@ -1163,20 +1163,24 @@ UNION ALL SELECT 'annotated', 'Q' || p_partkey, p_name, p_brand || '|' || p_type
 def question_xml(t: Tables) -> DataFrame:
     spark = spark_of(t)
 
-    def written(name: str, shape: str, *columns: str) -> str:
-        made = t("part").repartition(2).select(F.concat(F.format_string(shape, *columns)).alias("x")).groupBy(F.lit(1)).agg(F.array_join(F.collect_list("x"), "\n").alias("x"))
+    def text_(shape: str, column: str) -> F.Column:
+        return F.format_string(shape, column)
+
+    def nest(**fields: F.Column) -> F.Column:
+        return F.struct(*(c.alias(n.replace("__", "-")) for n, c in fields.items()))
+
+    def written(name: str, tag: str, record: F.Column) -> str:
+        made = t("part").repartition("p_partkey").select(record.alias("x")).select("x.*")
         folder = shared_path(made, name)
-        made.select(F.concat(F.lit("<all>"), "x", F.lit("</all>")).alias("value")).coalesce(1).write.text(folder)
-        files = readers._hadoop(spark, folder)
-        for status in files[0].listStatus(files[1]):
-            path = status.getPath()
-            if path.getName().startswith("part-"):
-                files[0].rename(path, path.getParent().suffix("/all.xml"))
+        writers.xml(made, folder, "all", tag)
         return folder
 
-    qa = written("qa", '<Document id="D%d" source="s"><Focus> f </Focus><QAPairs><QAPair pid="1"><Question qid="q" qtype="t"> %s </Question><Answer>\t%s </Answer></QAPair></QAPairs></Document>', "p_partkey", "p_name", "p_type")
-    live = written("live", '<NLM-QUESTION questionid="L%d"><SUBJECT>s</SUBJECT><MESSAGE> %s </MESSAGE><SUB-QUESTIONS><SUB-QUESTION subqid="1"><ANNOTATIONS><FOCUS> %s</FOCUS><TYPE>%s </TYPE></ANNOTATIONS></SUB-QUESTION></SUB-QUESTIONS></NLM-QUESTION>', "p_partkey", "p_name", "p_brand", "p_type")
-    notes = written("notes", '<Question qid="Q%d"><Request> %s</Request><Focuses><Focus fid="F" fcategory="c">%s</Focus></Focuses><Decomposition><SubQuestion id="1" qt="t"> %s</SubQuestion></Decomposition></Question>', "p_partkey", "p_name", "p_brand", "p_type")
+    pair = nest(_pid=F.lit("1"), Question=nest(_qid=F.lit("q"), _qtype=F.lit("t"), _VALUE=text_(" %s ", "p_name")), Answer=text_("\t%s ", "p_type"))
+    qa = written("qa", "Document", nest(_id=text_("D%d", "p_partkey"), _source=F.lit("s"), Focus=F.lit(" f "), QAPairs=nest(QAPair=F.array(pair))))
+    sub = nest(_subqid=F.lit("1"), ANNOTATIONS=nest(FOCUS=text_(" %s", "p_brand"), TYPE=text_("%s ", "p_type")))
+    live = written("live", "NLM-QUESTION", nest(_questionid=text_("L%d", "p_partkey"), SUBJECT=F.lit("s"), MESSAGE=text_(" %s ", "p_name"), SUB__QUESTIONS=nest(SUB__QUESTION=F.array(sub))))
+    focus, part = nest(_fid=F.lit("F"), _fcategory=F.lit("c"), _VALUE=F.col("p_brand")), nest(_id=F.lit("1"), _qt=F.lit("t"), _VALUE=text_(" %s", "p_type"))
+    notes = written("notes", "Question", nest(_qid=text_("Q%d", "p_partkey"), Request=text_(" %s", "p_name"), Focuses=nest(Focus=F.array(focus)), Decomposition=nest(SubQuestion=F.array(part))))
     found = [
         readers.qa_documents(spark, qa).select(F.lit("qa").alias("kind"), F.col("doc_id").alias("id"), F.col("question_text").alias("question"), F.col("answer_text").alias("more")),
         readers.live_questions(spark, live).select(F.lit("live").alias("kind"), F.col("qid").alias("id"), "question", F.concat_ws("|", "focus", "type").alias("more")),

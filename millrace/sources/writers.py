@@ -18,8 +18,9 @@ def jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def xml(df: DataFrame, path: str, root: str = "Trials", row: str = "Trial") -> None:
-    df.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", row).save(path)
+def xml(df: DataFrame, path: str, root: str = "Trials", row: str = "Trial", records: int = 100_000) -> None:
+    """Files of at most so many records, as the XML source reads a file in one task."""
+    df.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", row).option("maxRecordsPerFile", records).save(path)
 
 
 def report(metrics: DataFrame, path: str) -> None:

@@ -244,3 +244,12 @@ def test_register_requests():
     q = readers.RegisterQuery(lambda url: asked.append(url) or {"studies": [], "totalCount": 7, "apiVersion": "2"}, "http://x/")
     assert q.count("a b&c") == 7 and q.version()["apiVersion"] == "2"
     assert asked[0].startswith("http://x/studies?query.term=a%20b%26c&") and asked[1] == "http://x/version"
+
+
+def test_xml_is_written_in_files_of_bounded_size(spark, tmp_path):
+    """The XML source reads a file in one task, so many records are many files."""
+    df = spark.range(95).select(F.format_string("Q%d", "id").alias("_qid"), F.lit(" a & b ").alias("Request")).coalesce(1)
+    path = str(tmp_path / "notes")
+    writers.xml(df, path, "all", "Question", records=10)
+    assert len(list((tmp_path / "notes").glob("*.xml"))) == 10
+    assert {(r.qid, r.question) for r in readers.annotated_questions(spark, path).collect()} == {(f"Q{i}", "a & b") for i in range(95)}
