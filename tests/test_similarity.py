@@ -268,3 +268,15 @@ def test_greedy_removal_of_dense_rows_makes_few_pairs(spark, few_pairs):
     v = dense(3)
     assert {r.row_id for r in s.within(table(spark, v), "embedding", 0.35)[1].collect()} == scan(v, list(range(len(v))), 0.35)
     assert len(few_pairs) == 1 and few_pairs[0] <= 30
+
+
+def test_two_passes_over_dense_rows_make_few_pairs(spark, few_pairs):
+    v = dense(4)
+    df = table(spark, v).withColumn("half", F.slice("embedding", 1, 4))
+    kept, by_question, by_answer = s.qa_within(df, 0.6, "embedding", "half")
+    first = scan(v, list(range(len(v))), 0.6)
+    left = [i for i in range(len(v)) if i not in first]
+    second = scan(v[:, :4], left, 0.6)
+    assert {r.row_id for r in by_question.collect()} == first and {r.row_id for r in by_answer.collect()} == second and second
+    assert {r.row_id for r in kept.collect()} == set(left) - second
+    assert len(few_pairs) == 2 and max(few_pairs) <= 100
