@@ -280,3 +280,19 @@ def test_two_passes_over_dense_rows_make_few_pairs(spark, few_pairs):
     assert {r.row_id for r in by_question.collect()} == first and {r.row_id for r in by_answer.collect()} == second and second
     assert {r.row_id for r in kept.collect()} == set(left) - second
     assert len(few_pairs) == 2 and max(few_pairs) <= 100
+
+
+def test_pairs_are_dealt_to_few_groups(spark, monkeypatch):
+    """Vectors that rule nothing out: 80 blocks at least, but no vector is sent more than about GROUPS times."""
+    monkeypatch.setattr(cells, "CELL_ROWS", 8)
+    monkeypatch.setattr(s, "BLOCK_ROWS", 8)
+    sent = []
+    real = cells.Blocks.dealt
+    monkeypatch.setattr(cells.Blocks, "dealt", lambda self, *a, **k: sent.append((len(self), (df := real(self, *a, **k)).count())) or df)
+    v = np.random.default_rng(9).normal(size=(640, 16))
+    df = table(spark, v)
+    units = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert {(x.i, x.j) for x in s.cosine_pairs(df, 0.5).collect()} == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(units @ units.T, 1) > 0.5), strict=True)}
+    new, old = df.where("row_id % 2 = 1"), df.where("row_id % 2 = 0")
+    assert {r.row_id for r in s.across_removed(new, old, 0.5).collect()} == {int(i) for i in range(1, 640, 2) if (units[i] @ units[::2].T > 0.5).any()}
+    assert sent[0][0] >= 80 and all(n <= (cells.GROUPS + 1) * 640 for _, n in sent)
