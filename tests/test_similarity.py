@@ -296,3 +296,15 @@ def test_pairs_are_dealt_to_few_groups(spark, monkeypatch):
     new, old = df.where("row_id % 2 = 1"), df.where("row_id % 2 = 0")
     assert {r.row_id for r in s.across_removed(new, old, 0.5).collect()} == {int(i) for i in range(1, 640, 2) if (units[i] @ units[::2].T > 0.5).any()}
     assert sent[0][0] >= 80 and all(n <= (cells.GROUPS + 1) * 640 for _, n in sent)
+
+
+@pytest.mark.parametrize("n", [400, 25])
+def test_rows_with_an_earlier_neighbour_need_no_pairs(spark, few_pairs, monkeypatch, n):
+    """By leading rows, then the few that are left against those before them; and without a round."""
+    left = []
+    real = s.hits
+    monkeypatch.setattr(s, "hits", lambda new, *a, **k: left.append(new.count()) or real(new, *a, **k))
+    v = dense(5, n)
+    want = {j for j in range(len(v)) if any(cos(v[i], v[j]) > 0.35 for i in range(j))}
+    assert {r.row_id for r in s.within(table(spark, v), "embedding", 0.35, greedy=False)[1].collect()} == want
+    assert not few_pairs and left[0] <= 31
