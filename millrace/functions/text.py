@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,16 +104,28 @@ def _from_to(lines: Column, first: Column, last: Column) -> Column:
     return F.slice(lines, F.greatest(first, F.lit(1)), F.greatest(last - F.greatest(first, F.lit(1)) + 1, F.lit(0)))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once a row however often it is used: expressions with lambdas share nothing otherwise."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def split_criteria(text: Column) -> Column:
     """struct<inclusion, exclusion: array<string>>: lower-cased lines after the last inclusion header before the first exclusion header, and after that."""
-    lines = _lines(F.lower(F.coalesce(text, F.lit(""))))
-    exclusion = _first(lines, "exclusion|exclude")
-    size = F.size(lines)
-    head = F.when(exclusion > 0, F.slice(lines, F.lit(1), F.greatest(exclusion - 1, F.lit(0)))).otherwise(lines)
-    back = _first(F.reverse(head), "inclusion|include")
-    inclusion = F.when(back > 0, F.size(head) - back + 1).otherwise(0)
-    body = F.when((inclusion == 0) & (exclusion == 0), lines).otherwise(_from_to(head, inclusion + 1, F.size(head)))
-    return F.struct(body.alias("inclusion"), F.when(exclusion > 0, _from_to(lines, exclusion + 1, size)).otherwise(F.slice(lines, 1, 0)).alias("exclusion"))
+
+    def headed(lines: Column) -> Column:
+        return F.struct(lines.alias("lines"), _first(lines, "exclusion|exclude").alias("exclusion"))
+
+    def halves(s: Column) -> Column:
+        head = F.when(s["exclusion"] > 0, F.slice(s["lines"], F.lit(1), F.greatest(s["exclusion"] - 1, F.lit(0)))).otherwise(s["lines"])
+        return _once(head, lambda h: F.struct(s["lines"].alias("lines"), s["exclusion"].alias("exclusion"), h.alias("head"), _first(F.reverse(h), "inclusion|include").alias("back")))
+
+    def sections(s: Column) -> Column:
+        lines, exclusion, head = s["lines"], s["exclusion"], s["head"]
+        inclusion = F.when(s["back"] > 0, F.size(head) - s["back"] + 1).otherwise(0)
+        body = F.when((inclusion == 0) & (exclusion == 0), lines).otherwise(_from_to(head, inclusion + 1, F.size(head)))
+        return F.struct(body.alias("inclusion"), F.when(exclusion > 0, _from_to(lines, exclusion + 1, F.size(lines))).otherwise(F.slice(lines, 1, 0)).alias("exclusion"))
+
+    return _once(_once(_once(_lines(F.lower(F.coalesce(text, F.lit("")))), headed), halves), sections)
 
 
 def split_criteria_sections(text: Column) -> Column:
@@ -132,24 +146,34 @@ def split_criteria_sections(text: Column) -> Column:
     return F.struct(F.array_join(out["i"], " ").alias("inclusion"), F.array_join(out["e"], " ").alias("exclusion"))
 
 
+def _headers(lines: Column, inclusion: str, exclusion: str) -> Column:
+    return F.struct(lines.alias("lines"), _first(lines, inclusion).alias("inc"), _first(lines, exclusion).alias("exc"))
+
+
 def split_eligibility(text: Column) -> Column:
     """struct<inclusion, exclusion: string>: first whole-word headers, case kept, lines joined by newlines; order of the sections is free."""
-    lines = _lines(F.coalesce(text, F.lit("")))
-    inc, exc, size = _first(lines, r"(?i)\binclusion\b"), _first(lines, r"(?i)\bexclusion\b"), F.size(lines)
-    until = lambda own, other: F.when(other > own, other - 1).otherwise(size)
-    none = F.slice(lines, 1, 0)
-    inclusion = F.when(inc > 0, _from_to(lines, inc + 1, until(inc, exc))).when(exc > 0, _from_to(lines, F.lit(1), exc - 1)).otherwise(lines)
-    exclusion = F.when(exc > 0, _from_to(lines, exc + 1, until(exc, inc))).otherwise(none)
-    return F.struct(F.array_join(inclusion, "\n").alias("inclusion"), F.array_join(exclusion, "\n").alias("exclusion"))
+
+    def sections(s: Column) -> Column:
+        lines, inc, exc, size = s["lines"], s["inc"], s["exc"], F.size(s["lines"])
+        until = lambda own, other: F.when(other > own, other - 1).otherwise(size)
+        none = F.slice(lines, 1, 0)
+        inclusion = F.when(inc > 0, _from_to(lines, inc + 1, until(inc, exc))).when(exc > 0, _from_to(lines, F.lit(1), exc - 1)).otherwise(lines)
+        exclusion = F.when(exc > 0, _from_to(lines, exc + 1, until(exc, inc))).otherwise(none)
+        return F.struct(F.array_join(inclusion, "\n").alias("inclusion"), F.array_join(exclusion, "\n").alias("exclusion"))
+
+    return _once(_once(_lines(F.coalesce(text, F.lit(""))), lambda lines: _headers(lines, r"(?i)\binclusion\b", r"(?i)\bexclusion\b")), sections)
 
 
 def split_protocol(text: Column) -> Column:
     """struct<inclusion, exclusion: array<string>>: headers stay in; without both sections of at least a line all is inclusion."""
-    lines = _lines(F.lower(F.coalesce(text, F.lit(""))))
-    inc, exc, size = _first(lines, "inclusion"), _first(lines, "exclusion"), F.size(lines)
-    both = (inc > 0) & (exc > inc + 1) & (exc < size)
-    none = F.slice(lines, 1, 0)
-    return F.struct(F.when(both, _from_to(lines, inc, exc - 1)).otherwise(lines).alias("inclusion"), F.when(both, _from_to(lines, exc, size)).otherwise(none).alias("exclusion"))
+
+    def sections(s: Column) -> Column:
+        lines, inc, exc, size = s["lines"], s["inc"], s["exc"], F.size(s["lines"])
+        both = (inc > 0) & (exc > inc + 1) & (exc < size)
+        none = F.slice(lines, 1, 0)
+        return F.struct(F.when(both, _from_to(lines, inc, exc - 1)).otherwise(lines).alias("inclusion"), F.when(both, _from_to(lines, exc, size)).otherwise(none).alias("exclusion"))
+
+    return _once(_once(_lines(F.lower(F.coalesce(text, F.lit("")))), lambda lines: _headers(lines, "inclusion", "exclusion")), sections)
 
 
 def marked_criteria(text: Column) -> Column:

@@ -147,3 +147,21 @@ def test_batch_measures_of_odd_texts(monkeypatch):
         assert overlap.entity_f1.func(p, t).tolist() == [overlap.entity_f1_score(x, y) for x, y in zip(p, t, strict=True)]
     empty = pd.Series([], dtype=object)
     assert len(overlap.bleu.func(empty, empty)) == len(overlap.rouge.func(empty, empty)) == 0
+
+
+@pytest.mark.parametrize("split", [text.split_eligibility, text.split_criteria, text.split_protocol])
+def test_criteria_headers_are_looked_for_once(spark, split):
+    """Two headers, two searches in the plan, however often their places are used."""
+    df = spark.createDataFrame([("Inclusion\na\nExclusion\nb",)], "c string").select(split(F.col("c")).alias("s")).select("s.inclusion", "s.exclusion")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("rlike") == 2 and plan.count("split(") == 1
+    assert df.count() == 1
+
+
+@pytest.mark.parametrize("split", [text.split_eligibility, text.split_criteria, text.split_protocol])
+def test_criteria_headers_are_looked_for_once(spark, split):
+    """Two headers, two searches in the plan, however often their places are used."""
+    df = spark.createDataFrame([("Inclusion\na\nExclusion\nb",)], "c string").select(split(F.col("c")).alias("s")).select("s.inclusion", "s.exclusion")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("rlike") == 2 and plan.count("split(") == 1
+    assert df.count() == 1
