@@ -17,8 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from millrace.storage import materialise
 
@@ -40,6 +41,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def real(df: DataFrame, vector: str) -> Column:
+    """The vectors as they are stored and sent: 4 bytes a number where that is their type, else 8. Products are of 8 bytes a number in any case."""
+    return F.col(vector) if getattr(df.schema[vector].dataType, "elementType", None) == FloatType() else F.col(vector).cast("array<double>")
+
+
 def choose_pivots(vectors: DataFrame, n_rows: int, key: str, vector: str) -> np.ndarray:
     """One row for about CELL_ROWS, those with the smallest md5 of the key; equal ones once."""
     n = min(MAX_PIVOTS, max(1, n_rows // CELL_ROWS))
@@ -86,8 +92,8 @@ class Cells:
                 part = batch.filter(pa.array(able))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own.astype(np.int32)), pa.array(angles[np.arange(len(own)), own])], ["id", "v", "cell", "angle"])
 
-        rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        return rows.mapInArrow(run, "id long, v array<double>, cell int, angle double")
+        rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), real(vectors, vector).alias("v"))
+        return rows.mapInArrow(run, f"id long, v {dict(rows.dtypes)['v']}, cell int, angle double")
 
     def measure(self, stats: DataFrame) -> None:
         """stats: (cell, n, least, most), any number of rows a cell."""
@@ -163,5 +169,5 @@ class Blocks:
                 own = np.where(cell < 0, -1, blocks.own(ids, np.maximum(cell, 0))) if len(ids) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array([np.unique(groups[x]) if grouped else x for x in blocks.reached(unit(matrix(batch.column(1))))], pa.list_(pa.int32()))], ["id", "v", "b", "others"])
 
-        wide = rows.select("id", "v", "cell").mapInArrow(run, "id long, v array<double>, b int, others array<int>")
+        wide = rows.select("id", "v", "cell").mapInArrow(run, f"id long, v {dict(rows.dtypes)['v']}, b int, others array<int>")
         return wide.select("id", "v", "b", F.explode("others").alias("o"))

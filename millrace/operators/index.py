@@ -109,7 +109,7 @@ class VectorIndex:
             pivots = choose_pivots(rows.where(F.col(vector).isNotNull()), rows.count(), key, vector)
             table = self.spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pivots)], "cell int, v array<double>")
             table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_index/pivots")
-        placed = self._cells(-1.0).placed(rows, key, vector).withColumn("added", F.lit(number))
+        placed = self._cells(-1.0).placed(rows, key, vector).withColumn("v", F.col("v").cast("array<double>")).withColumn("added", F.lit(number))
         self._save(placed, f"{number}-0", number)
 
     def compact(self, upto: int) -> None:

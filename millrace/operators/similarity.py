@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import cosine
-from millrace.operators.cells import Blocks, celled, group_rows, matrix, unit
+from millrace.operators.cells import Blocks, celled, group_rows, matrix, real, unit
 from millrace.operators.graph import scanned
 from millrace.operators.leaders import led
 from millrace.storage import materialise
 
 BLOCK_ROWS = 4000
+#: Rows of a block that meet another block at a time, and pairs that a task gathers before it hands them on.
+AT_ONCE, HELD = 250, 100_000
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -57,8 +59,37 @@ def _by_block(part: pa.Table, blocks: Blocks) -> dict[int, tuple[np.ndarray, np.
     return {int(of[rows[0]]): (ids[rows], units[rows], blocks.meeting(units[rows])) for rows in own if len(rows)}
 
 
+def _pairs(sides: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], met: list[tuple[int, int]], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(i, j, cosine) of the blocks that meet, in batches of at most HELD pairs and those of AT_ONCE rows with a block."""
+    held, n = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "cosine"])
+
+    for x, y in met:
+        (ids, units, meets), (others, theirs, back) = sides[x], sides[y]
+        rows, b = np.flatnonzero(meets[:, y]), np.flatnonzero(back[:, x])
+        columns = theirs[b].T
+        for at in range(0, len(rows), AT_ONCE):
+            a = rows[at : at + AT_ONCE]
+            found = units[a] @ columns
+            left, right = np.nonzero(found > threshold)
+            i, j, c = ids[a[left]], others[b[right]], found[left, right]
+            ok = i < j if x == y else i != j
+            held.append((np.minimum(i, j)[ok], np.maximum(i, j)[ok], c[ok]))
+            n += len(held[-1][0])
+            if n >= HELD:
+                yield batch()
+                held, n = [], 0
+    yield batch()
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "row_id", vector: str = "embedding", n_rows: int | None = None) -> DataFrame:
-    """(i, j, cosine) with i before j by key and cosine above the threshold. Rows without a vector are in no pair."""
+    """(i, j, cosine) with i before j by key and cosine above the threshold. Rows without a vector are in no pair.
+
+    A task holds two groups of rows, never all pairs of them.
+    """
     cells, placed = celled(vectors, threshold, key, vector, n_rows)
     blocks = Blocks(cells, BLOCK_ROWS)
     groups = blocks.groups()
@@ -69,22 +100,13 @@ def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "row_id", vect
 
     dealt = blocks.dealt(placed, grouped=True).withColumn("g", group("b")).select("id", "v", "b", F.least("g", "o").alias("p"), F.greatest("g", "o").alias("q"))
 
-    def block(part: pa.Table) -> pa.Table:
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(batches).combine_chunks()
         p, q = part.column("p")[0].as_py(), part.column("q")[0].as_py()
         sides = _by_block(part, blocks)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for x in sides:
-            for y in sides:
-                if groups[x] != p or groups[y] != q or p == q and x > y:
-                    continue
-                (ids, units, meets), (others, theirs, back) = sides[x], sides[y]
-                a, b = np.flatnonzero(meets[:, y]), np.flatnonzero(back[:, x])
-                found = units[a] @ theirs[b].T
-                left, right = np.nonzero(found > threshold)
-                i, j, c = ids[a[left]], others[b[right]], found[left, right]
-                ok = i < j if x == y else i != j
-                out.append((np.minimum(i, j)[ok], np.maximum(i, j)[ok], c[ok]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["i", "j", "cosine"])
+        del part
+        met = [(x, y) for x in sides for y in sides if groups[x] == p and groups[y] == q and (p != q or x <= y)]
+        yield from _pairs(sides, met, threshold)
 
     return dealt.groupBy("p", "q").applyInArrow(block, "i long, j long, cosine double")
 
@@ -172,7 +194,7 @@ def across_removed(new: DataFrame, old: DataFrame, threshold: float, key: str =
 def hits(new: DataFrame, blocks: Blocks, placed: DataFrame, threshold: float, key: str, vector: str, earlier: bool = False) -> DataFrame:
     """(row_id) of new rows that are like one of placed (id, v, cell), or like one with a smaller id; cells and blocks of placed are given."""
     groups = blocks.groups()
-    mine = new.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    mine = new.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), real(new, vector).alias("v"))
     parts = _groups(mine.count(), blocks.cells.pivots.shape[1])
     mine = blocks.dealt(mine.withColumn("cell", F.lit(-1)), grouped=True).select("id", "v", F.lit(-1).alias("b"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.col("o").alias("q"))
 

@@ -308,3 +308,34 @@ def test_rows_with_an_earlier_neighbour_need_no_pairs(spark, few_pairs, monkeypa
     want = {j for j in range(len(v)) if any(cos(v[i], v[j]) > 0.35 for i in range(j))}
     assert {r.row_id for r in s.within(table(spark, v), "embedding", 0.35, greedy=False)[1].collect()} == want
     assert not few_pairs and left[0] <= 31
+
+
+def test_vectors_are_sent_in_their_own_width(spark, monkeypatch):
+    """Numbers of 4 bytes stay so in tables and shuffles, and give the same pairs, bit for bit; other types are sent as 8 bytes."""
+    sent = []
+    real = cells.Blocks.dealt
+    monkeypatch.setattr(cells.Blocks, "dealt", lambda self, rows, *a, **k: sent.append((dict(rows.dtypes)["v"], dict((df := real(self, rows, *a, **k)).dtypes)["v"])) or df)
+    v = np.random.default_rng(11).normal(size=(90, 8)).astype(np.float32)
+    wide = table(spark, v)
+    narrow, whole = (wide.withColumn("embedding", F.col("embedding").cast(t)) for t in ("array<float>", "array<decimal(30,20)>"))
+    pairs = lambda df: sorted((x.i, x.j, x.cosine) for x in s.cosine_pairs(df, 0.5).collect())
+    got, want, other = pairs(narrow), pairs(wide), pairs(whole)
+    assert got == want and want and [x[:2] for x in other] == [x[:2] for x in want]
+    assert set(sent[:1]) == {("array<float>",) * 2} and set(sent[1:]) == {("array<double>",) * 2}
+    split = lambda a, b: {x.row_id for x in s.across_removed(a.where("row_id < 40"), b.where("row_id >= 40"), 0.5).collect()}
+    assert split(narrow, narrow) == split(narrow, wide) == split(wide, narrow) == split(wide, wide) != set()
+
+
+def test_pairs_leave_a_task_in_small_batches(monkeypatch):
+    """Rows that are all like each other: no batch holds more than HELD pairs and those of AT_ONCE rows with a block."""
+    monkeypatch.setattr(s, "HELD", 100)
+    monkeypatch.setattr(s, "AT_ONCE", 5)
+    r = np.random.default_rng(12)
+    units = cells.unit(1 + 0.01 * r.normal(size=(120, 4)))
+    ids, meets = r.permutation(120), np.ones((40, 3), bool)
+    sides = {b: (ids[40 * b : 40 * b + 40], units[40 * b : 40 * b + 40], meets) for b in range(3)}
+    batches = list(s._pairs(sides, [(x, y) for x in range(3) for y in range(x, 3)], 0.9))
+    assert max(b.num_rows for b in batches) < 100 + 5 * 40
+    got = sorted((i, j) for b in batches for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    assert got == [(i, j) for i in range(120) for j in range(i + 1, 120)]
+    assert [b.num_rows for b in s._pairs(sides, [], 0.9)] == [0]
